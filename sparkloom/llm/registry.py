@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules
+from . import bpe, ngram_jaccard, quality_rules
 
 QUERIES = {
     "op1_bpe": bpe.query,
+    "op6_ngram_jaccard": ngram_jaccard.query,
     "op9_quality_rules": quality_rules.query,
 }
 ORACLES: dict[str, str] = {}
