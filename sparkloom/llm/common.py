@@ -21,9 +21,7 @@ def blanks_lit() -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
-    squeezed = F.btrim(F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS)))
-    parts = F.filter(F.split(squeezed, " "), lambda w: w != "")
-    return F.size(parts).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, ngram_jaccard, quality_rules
+from . import bpe, line_dedup, mixing, ngram_jaccard, quality_rules
 
 QUERIES = {
     "op1_bpe": bpe.query,
+    "op2_mixing": mixing.query,
     "op6_ngram_jaccard": ngram_jaccard.query,
+    "op7_line_dedup": line_dedup.query,
     "op9_quality_rules": quality_rules.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE,
+    "op7_line_dedup": line_dedup.ORACLE,
+}
