@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, ngram_jaccard, quality_rules
+from . import bpe, html_text, line_dedup, mixing, ngram_jaccard, quality_rules, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_mixing": mixing.query,
     "op6_ngram_jaccard": ngram_jaccard.query,
     "op7_line_dedup": line_dedup.query,
+    "op8_warc": warc.query,
     "op9_quality_rules": quality_rules.query,
+    "op10_html_text": html_text.query,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op8_warc": warc.ORACLE,
 }
