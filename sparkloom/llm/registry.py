@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, line_dedup, mixing, ngram_jaccard, quality_knn, quality_rules, warc
+from . import ann_forest, bpe, html_text, line_dedup, mixing, ngram_jaccard, quality_knn, quality_rules, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_mixing": mixing.query,
+    "op3_ann_forest": ann_forest.query,
     "op4_quality_knn": quality_knn.query,
     "op6_ngram_jaccard": ngram_jaccard.query,
     "op7_line_dedup": line_dedup.query,
