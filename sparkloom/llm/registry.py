@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann_forest, bpe, html_text, line_dedup, mixing, ngram_jaccard, quality_knn, quality_rules, warc
+from . import ann_forest, bpe, html_text, line_dedup, mixing, ngram_jaccard, quality_knn, quality_rules, tool_calls, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_mixing": mixing.query,
     "op3_ann_forest": ann_forest.query,
     "op4_quality_knn": quality_knn.query,
+    "op5_tool_calls": tool_calls.query,
     "op6_ngram_jaccard": ngram_jaccard.query,
     "op7_line_dedup": line_dedup.query,
     "op8_warc": warc.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
+    "op5_tool_calls": tool_calls.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_warc": warc.ORACLE,
 }
