@@ -246,11 +246,14 @@ def _sha(s: str) -> str:
     return hashlib.sha256(s.encode("utf-8")).hexdigest()
 
 
-def apply(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
-    """Encode every text, and decode the ids again.
+#: Columns that apply() can give, with their Spark and Arrow types.
+MADE = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}
 
-    ``key``, ``ids`` array<int>, ``decoded`` string; with ``digests`` instead of these two: ``n_tokens``,
-    ``ids_sha256``, ``decoded_sha256``. One pass, no shuffle; the compiled vocabulary is broadcast.
+
+def apply(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", columns: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """Encode every text, and decode the ids again: ``key`` and the ``columns`` of MADE that are asked for.
+
+    One pass, no shuffle; the compiled vocabulary is broadcast.
     """
     spark: SparkSession = docs.sparkSession
     spec = spark.sparkContext.broadcast(compile_file(vocabulary))
@@ -263,16 +266,13 @@ def apply(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "te
             for t in batch.column(1):
                 ids, said = codec.encode(t.as_py())
                 back = codec.decode(ids)
-                rows.append((len(ids), _sha(said), _sha(back)) if digests else (ids, back))
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            if digests:
-                made = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
-            else:
-                made = [pa.array(cols[0], pa.list_(pa.int32())), pa.array(cols[1], pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[key, "ids", "decoded"])
+                row = {"n_tokens": len(ids), "ids_sha256": _sha(said), "decoded_sha256": _sha(back), "ids": ids, "decoded": back}
+                rows.append([row[c] for c in columns])
+            cols = list(zip(*rows, strict=True)) or [()] * len(columns)
+            made = [pa.array(x, MADE[c][1]) for c, x in zip(columns, cols, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[key, *columns])
 
-    out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
+    out = ", ".join(f"{c} {MADE[c][0]}" for c in columns)
     return docs.select(key, F.coalesce(text, F.lit("")).alias(text)).mapInArrow(run, f"`{key}` {kind}, {out}")
 
 
@@ -285,4 +285,4 @@ def default_vocabulary() -> str:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return apply(table(spark, sf_dir, "documents"), default_vocabulary(), digests=True)
+    return apply(table(spark, sf_dir, "documents"), default_vocabulary(), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
