@@ -1,6 +1,6 @@
-"""Registered queries: name -> callable(spark, sf_dir), and the DuckDB SQL each must equal."""
+"""All registered queries: name -> callable(spark, sf_dir), and the DuckDB SQL each must equal."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import kv_queries, language_queries, measure_queries, retrieval_queries  # noqa: F401  (they register)
+from .base import ORACLES, QUERIES  # noqa: F401
