@@ -88,9 +88,9 @@ def strip_html(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
-def hash_features(text: Column) -> Column:
-    """(feature, weight) of the hashing embedder: words, padded trigrams of longer words, pairs of words."""
-    words = tokens(text)
+def hash_features(words: Column) -> Column:
+    """(feature, weight) of the hashing embedder: words, padded trigrams of longer words, pairs of words. ``words`` should be
+    a computed column: it is read once per element."""
     pad = lambda w: F.concat(F.lit("#"), w, F.lit("#"))
     grams = F.flatten(
         F.transform(F.filter(words, lambda w: F.length(w) >= 5), lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substr(pad(w), i, F.lit(3))))

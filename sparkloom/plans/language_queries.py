@@ -1 +1,403 @@
-"""x"""
+"""Text, filter, routing, safety and answer queries over the given tables."""
+
+from __future__ import annotations
+
+import datetime as dt
+import re
+
+from pyspark.sql import functions as F
+
+from ..functions import fixed_values as V
+from ..functions import routing, text
+from ..functions.filters import apply_filter
+from ..operators import answers, chunking, records
+from .base import query, read
+
+TODAY = dt.date(2026, 10, 1)
+
+
+def _re(p: str) -> str:
+    return p.replace("'", "''")
+
+
+# --- filter language ---------------------------------------------------------------------------
+_FILTERED = "(SELECT doc_id, lang, source, n_chars, quality, toxic, CASE WHEN toxic IS NULL THEN NULL ELSE [lang, source] END AS tags FROM documents LEFT JOIN labels USING (doc_id))"
+_CASES = {
+    "eq": ({"lang": "en"}, "lang = 'en'"),
+    "ne": ({"quality": {"$ne": 1}}, "quality IS NULL OR quality <> 1"),
+    "in": ({"source": {"$in": ["src1", "src2"]}}, "source IN ('src1', 'src2')"),
+    "nin": ({"quality": {"$nin": [0]}}, "quality IS NULL OR quality <> 0"),
+    "range": ({"n_chars": {"$gte": 500, "$lt": 2000}}, "n_chars >= 500 AND n_chars < 2000"),
+    "exists": ({"toxic": {"$exists": False}}, "toxic IS NULL"),
+    "and_or": ({"$or": [{"lang": "de"}, {"$and": [{"lang": "fr"}, {"n_chars": {"$gt": 1000}}]}], "source": {"$ne": "src0"}}, "(lang = 'de' OR (lang = 'fr' AND n_chars > 1000)) AND source <> 'src0'"),
+    "list_any": ({"tags": {"$in": ["fr", "src3"]}}, "list_has_any(tags, ['fr', 'src3'])"),
+    "list_all": ({"tags": {"$nin": ["en"]}}, "tags IS NULL OR NOT list_contains(tags, 'en')"),
+    "mismatch": ({"lang": {"$gt": 5}}, "false"),
+}
+for _name, (_spec, _sql) in _CASES.items():
+    def _filtered(spark, d, spec=_spec):
+        rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left").withColumn("tags", F.when(F.col("toxic").isNotNull(), F.array("lang", "source")))
+        return apply_filter(rows, spec).select("doc_id")
+
+    query(f"filter_dsl_{_name}", f"SELECT doc_id FROM {_FILTERED} WHERE {_sql}")(_filtered)
+
+
+# --- text ----------------------------------------------------------------------------------------
+@query("tokenize_counts", f"SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '{text.TOKEN}')) AS BIGINT) AS n FROM documents WHERE lang = 'en'")
+def tokenize_counts(spark, d):
+    return read(spark, d, "documents").where("lang = 'en'").select("doc_id", F.size(text.raw_tokens(F.col("text"))).cast("long").alias("n"))
+
+
+_STEM = "CASE WHEN length(w) > 4 AND ends_with(w, 'ies') THEN left(w, length(w) - 3) || 'y' WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, length(w) - 1) ELSE w END"
+_SYN = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in V.SYNONYMS.items()) + "}"
+_STOP = ", ".join(f"'{w}'" for w in V.STOP_WORDS)
+
+
+def tokens_sql(col: str, table: str, keys: str, where: str = "true") -> str:
+    return (
+        f"(SELECT {keys}, {_STEM} AS term FROM (SELECT {keys}, unnest(string_split(coalesce({_SYN}[t], t), ' ')) AS w FROM (SELECT {keys}, unnest(regexp_extract_all(lower({col}), '{text.TOKEN}')) AS t FROM {table} WHERE {where}))"
+        f" WHERE w NOT IN ({_STOP}))"
+    )
+
+
+@query("doc_freq", f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM {tokens_sql('text', 'documents', 'doc_id', chr(108) + 'ang = ' + chr(39) + 'en' + chr(39))} GROUP BY 1 HAVING df >= 5")
+def doc_freq(spark, d):
+    from ..operators.lexical import term_counts
+
+    t = term_counts(read(spark, d, "documents").where("lang = 'en'"), "doc_id")
+    return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).where("df >= 5")
+
+
+@query("sentence_split", r"SELECT doc_id, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars FROM (SELECT doc_id, regexp_replace(unnest(string_split(regexp_replace(regexp_replace(text, '\n+', chr(1), 'g'), '([.!?])[ \t\r\f\v]+([A-Z0-9•*-])', '\1' || chr(1) || '\2', 'g'), chr(1))), '^\s+|\s+$', '', 'g') AS s FROM documents WHERE lang = 'en') WHERE s <> '' GROUP BY 1")
+def sentence_split(spark, d):
+    s = read(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode(text.sentences(F.col("text"))).alias("s"))
+    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("s")).alias("chars"))
+
+
+@query("word_sets", "SELECT item_id, CAST(len(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9-]+'))) AS BIGINT) AS n FROM benchmark")
+def word_sets(spark, d):
+    return read(spark, d, "benchmark").select("item_id", F.size(text.word_set(F.col("text"))).cast("long").alias("n"))
+
+
+@query("vocabulary_distinct", "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9-]+')) AS word FROM (SELECT text FROM documents WHERE lang = 'en' UNION ALL SELECT text FROM benchmark)")
+def vocabulary_distinct(spark, d):
+    both = read(spark, d, "documents").where("lang = 'en'").select("text").unionByName(read(spark, d, "benchmark").select("text"))
+    return both.select(F.explode(text.word_set(F.col("text"))).alias("word")).distinct()
+
+
+@query("anti_vocabulary", "SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9-]{5,}'))) AS word FROM conversations WHERE role = 'user') WHERE word NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9-]+')) FROM documents) GROUP BY 1")
+def anti_vocabulary(spark, d):
+    asked = read(spark, d, "conversations").where("role = 'user'").select(F.explode(F.array_distinct(text.found(F.lower("text"), "[a-z][a-z0-9-]{5,}"))).alias("word"))
+    known = read(spark, d, "documents").select(F.explode(text.word_set(F.col("text"))).alias("word")).distinct()
+    return asked.join(known, "word", "left_anti").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "numbers_found",
+    r"""WITH x AS (SELECT doc_id, replace(unnest(regexp_extract_all(text, '(?:^|[^A-Za-z])(\d{4}-\d{2}-\d{2}|\d+(?:[.,]\d+)?)', 1)), ',', '') AS n FROM documents)
+    SELECT doc_id, count(DISTINCT CASE WHEN contains(n, '.') AND NOT contains(n, '-') THEN coalesce(nullif(rtrim(rtrim(n, '0'), '.'), ''), '0') ELSE n END) AS n FROM x GROUP BY 1""",
+)
+def numbers_found(spark, d):
+    n = read(spark, d, "documents").select("doc_id", F.size(text.numbers(F.col("text"))).cast("long").alias("n"))
+    return n.where("n > 0")
+
+
+@query("slugs", "SELECT c_custkey, trim(regexp_replace(lower(c_name || ' / ' || c_mktsegment), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM customer")
+def slugs(spark, d):
+    return read(spark, d, "customer").select("c_custkey", text.slug(F.concat_ws(" / ", "c_name", "c_mktsegment")).alias("slug"))
+
+
+def _html_sql() -> str:
+    x = "html"
+    for p, r in ((r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " "), (r"(?i)<li[^>]*>", "' || chr(10) || '- "), (r"(?i)</?(?:p|br|div|ul|ol|h[1-6]|tr)[^>]*>", "' || chr(10) || '"), (r"<[^>]+>", "")):
+        x = f"regexp_replace({x}, '{p}', '{r}', 'g')"
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, '{a}', '{b}')"
+    x = f"regexp_replace({x}, '[ \\t]+', ' ', 'g')"
+    x = f"regexp_replace({x}, '\\s*\\n\\s*', chr(10), 'g')"
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("html_strip", f"SELECT page_id, sha256({_html_sql()}) AS digest FROM pages")
+def html_strip(spark, d):
+    return read(spark, d, "pages").select("page_id", F.sha2(text.strip_html(F.col("html")), 256).alias("digest"))
+
+
+@query("hashing_embed")
+def hashing_embed(spark, d):
+    from ..functions.embed import hashing_embedding
+
+    return hashing_embedding(read(spark, d, "documents"), "doc_id", "text", 384)
+
+
+@query("hash_embed_features", f"SELECT doc_id, count(*) AS words FROM {tokens_sql('text', 'documents', 'doc_id', 'true')} GROUP BY 1")
+def hash_embed_features(spark, d):
+    words = read(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("w"))
+    f = words.select("doc_id", F.explode(text.hash_features(F.col("w"))).alias("f")).where(F.col("f.feature").startswith("w:"))
+    return f.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"))
+
+
+# --- chunking ----------------------------------------------------------------------------------------
+@query("chunk_sections")
+def chunk_sections(spark, d):
+    return chunking.chunks(read(spark, d, "documents"), "doc_id", "text", 120)
+
+
+@query("chunk_coverage", r"SELECT doc_id, CAST(len(string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) AS BIGINT) AS words FROM documents WHERE trim(text) <> ''")
+def chunk_coverage(spark, d):
+    """Packed without overlap, the chunks of a document hold each of its words once."""
+    docs = read(spark, d, "documents")
+    parts = F.array_join(chunking.pack(text.sentences(F.col("text"), text.CHUNK_SENTENCE), 120, 0), " ")
+    return docs.select("doc_id", F.size(F.split(parts, r"\s+")).cast("long").alias("words"))
+
+
+# --- routing and safety --------------------------------------------------------------------------------
+def _questions(spark, d):
+    """User turns made into questions by phrases from the catalogues, chosen by their numbers."""
+    drugs, conds, labs = (F.array(*[F.lit(x) for x in xs]) for xs in (V.DRUGS, list(V.CONDITIONS), list(V.LABS)))
+    forms = F.array(*[F.lit(x) for x in FORMS])
+    i = F.col("conv_id") * 8 + F.col("turn")
+    pick = lambda xs, k: F.get(xs, (i * k % F.size(xs)).cast("int"))
+    q = pick(forms, 1)
+    for mark, value in (("{d}", pick(drugs, 7)), ("{c}", pick(conds, 5)), ("{l}", pick(labs, 3)), ("{p}", F.format_string("P%04d", (i % 50).cast("int")))):
+        q = F.replace(q, F.lit(mark), value)
+    scope = F.when(i % 3 == 0, F.format_string("P%04d", (i % 50).cast("int")))
+    return read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", q.alias("query"), scope.alias("scope"))
+
+
+FORMS = (
+    "What is the latest {l} for {p}?", "Side effects of {d}", "Does {p} have {c}?", "How should {c} be treated", "What does the note say about chest pain", "List medications of {p}", "Is {p} taking {d}?",
+    "RxCUI for {d}", "what does E11.9 mean", "Show visits in 2024 for {p}", "why was {d} stopped", "I think I'm having a heart attack", "What dose of {d} is usual?", "weather in Paris", "{p} and P0099 HTN",
+    "BP since 2023 for {p}", "took too many pills tonight", "history of overdose documented for {p}",
+)
+
+
+def _list(xs) -> str:
+    return "[" + ", ".join("'" + _re(x) + "'" for x in xs) + "]"
+
+
+def _pick(xs, k: int) -> str:
+    return f"{_list(xs)}[(conv_id * 8 + turn) * {k} % {len(xs)} + 1]"
+
+
+QUESTIONS = (
+    f"(SELECT conv_id, turn, replace(replace(replace(replace({_pick(FORMS, 1)}, '{{d}}', {_pick(V.DRUGS, 7)}), '{{c}}', {_pick(list(V.CONDITIONS), 5)}), '{{l}}', {_pick(list(V.LABS), 3)}), '{{p}}', printf('P%04d', (conv_id * 8 + turn) % 50)) AS query,"
+    " CASE WHEN (conv_id * 8 + turn) % 3 = 0 THEN printf('P%04d', (conv_id * 8 + turn) % 50) END AS scope FROM conversations WHERE role = 'user')"
+)
+
+
+def _norm_sql(col: str = "query") -> str:
+    x = f"trim(regexp_replace({col}, '\\s+', ' ', 'g'))"
+    for p, r, case in V.REWRITES:
+        p = p.replace(r"(?!\s*cholesterol)", "")  # RE2 has no lookahead; the made questions hold no upper-case LDL
+        x = f"regexp_replace({x}, '{_re(p)}', '{r}', '{'g' if case else 'gi'}')"
+    return f"lower({x})"
+
+
+NORMED = f"(SELECT *, {_norm_sql()} AS q FROM {QUESTIONS})"
+
+
+@query("normalize_query", f"SELECT conv_id, turn, q AS normalized FROM {NORMED}")
+def normalize_query(spark, d):
+    return _questions(spark, d).select("conv_id", "turn", routing.normalize(F.col("query")).alias("normalized"))
+
+
+def _found_sql(kind: str) -> str:
+    table = "MAP {" + ", ".join(f"'{_re(a)}': '{_re(b)}'" for a, b in routing.LEXICON[kind].items()) + "}"
+    pattern = r"\b(" + "|".join(re.sub(r"\\([ -])", r"\1", re.escape(s)) for s in sorted(routing.LEXICON[kind], key=len, reverse=True)) + r")\b"
+    return f"array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(q, '{_re(pattern)}', 1), lambda x: {table}[x]))), '|')"
+
+
+_LABS_SQL = _found_sql("labs")
+ENTITIES = f"""(SELECT *, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(query, '{_re(V.PATIENT_ID)}', 1), lambda x: 'P' || x))), '|') AS ids,
+    array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(query, '{V.ICD_CODE}', 1), lambda c: contains(c, '.') OR regexp_matches(query, '{V.ICD_CONTEXT}')))), '|') AS icd,
+    array_to_string(list_sort(list_distinct(regexp_extract_all(query, '{V.RXCUI}', 1))), '|') AS rx, {_found_sql("drugs")} AS drugs, {_LABS_SQL} AS labs0, {_found_sql("conditions")} AS conditions,
+    coalesce(array_to_string([{", ".join(f"CASE WHEN regexp_matches(q, '{_re(p)}') THEN '{k}' END" for k, p in sorted(V.RECORD_TYPES.items()))}], '|'), '') AS types, regexp_matches(q, '{V.DOSAGE}') AS dosage FROM {NORMED})"""
+ENTITIES = f"(SELECT * EXCLUDE (labs0), CASE WHEN contains('|' || labs0 || '|', '|systolic blood pressure|') AND contains(q, 'blood pressure') AND NOT contains(q, 'systolic') AND NOT contains(labs0, 'diastolic') THEN array_to_string(list_sort(string_split(labs0, '|') || ['diastolic blood pressure']), '|') ELSE labs0 END AS labs FROM {ENTITIES})"
+
+
+def _with_entities(spark, d):
+    q = _questions(spark, d).withColumn("q", routing.normalize(F.col("query")))
+    return q.withColumn("e", routing.entities(F.col("query"), F.col("q"), TODAY))
+
+
+@query("entity_extract", f"SELECT conv_id, turn, ids, icd, rx, drugs, labs, conditions, types, dosage FROM {ENTITIES}")
+def entity_extract(spark, d):
+    j = lambda f: F.array_join(f"e.{f}", "|")
+    return _with_entities(spark, d).select(
+        "conv_id", "turn", j("patient_ids").alias("ids"), j("icd10_codes").alias("icd"), j("rxnorm_codes").alias("rx"), j("drugs").alias("drugs"), j("labs").alias("labs"), j("conditions").alias("conditions"),
+        j("record_types").alias("types"), F.col("e.dosage_intent").alias("dosage"),
+    )
+
+
+@query(
+    "time_range",
+    r"""SELECT conv_id, turn, CASE WHEN regexp_matches(q, '\bsince 20\d\d\b') THEN CAST(regexp_extract(q, '\bsince (20\d\d)\b', 1) || '-01-01' AS DATE) WHEN regexp_matches(q, '\bin 20\d\d\b') THEN CAST(regexp_extract(q, '\bin (20\d\d)\b', 1) || '-01-01' AS DATE) END AS start,
+    CASE WHEN regexp_matches(q, '\bsince 20\d\d\b') THEN DATE '2026-10-01' WHEN regexp_matches(q, '\bin 20\d\d\b') THEN CAST(regexp_extract(q, '\bin (20\d\d)\b', 1) || '-12-31' AS DATE) END AS stop,
+    regexp_matches(q, '\blatest\b') AS latest FROM """ + NORMED + r" WHERE regexp_matches(q, '\b(since 20\d\d|in 20\d\d|latest)\b')",
+)
+def time_range(spark, d):
+    e = _with_entities(spark, d).select("conv_id", "turn", F.col("e.time_range").alias("t")).where("t IS NOT NULL")
+    return e.select("conv_id", "turn", F.col("t.start").alias("start"), F.col("t.end").alias("stop"), F.col("t.latest_only").alias("latest"))
+
+
+_SIG = f"""(SELECT *, ids <> '' OR scope IS NOT NULL AS patient, icd <> '' OR rx <> '' AS code, regexp_matches(q, '{V.LOOKUP}') AS lookup, regexp_matches(q, '{V.NARRATIVE}') AS narr, regexp_matches(q, '{V.KNOWLEDGE}') AS know,
+    regexp_matches(q, '{V.DEFINITION}') AS defn, regexp_matches(q, '{V.IDENTIFIER}') AS ident, regexp_matches(q, '{V.DRUG_WORDS}') AS drugish, regexp_matches(q, '{V.NOTES_ONLY}') AS notes FROM {ENTITIES})"""
+_SIG2 = f"(SELECT *, know AND NOT (code AND NOT patient AND defn) AS k, patient AND narr AS n, code OR types <> '' OR (patient AND (labs <> '' OR (drugs <> '' AND (lookup OR dosage)))) OR (NOT patient AND drugs <> '' AND ident) AS s FROM {_SIG})"
+
+
+@query(
+    "route_decide",
+    f"""SELECT conv_id, turn, CASE WHEN s AND (k OR n) THEN 'HYBRID' WHEN s THEN 'KV' WHEN n THEN 'VECTOR' WHEN k AND patient THEN 'HYBRID' WHEN k OR drugs <> '' OR conditions <> '' THEN 'VECTOR' WHEN patient THEN 'HYBRID' ELSE 'VECTOR' END AS route,
+    CAST(CASE WHEN s AND (k OR n) THEN CASE WHEN k THEN 0.85 ELSE 0.75 END WHEN s THEN CASE WHEN code OR types <> '' OR lookup THEN 0.92 ELSE 0.78 END WHEN n THEN 0.85 WHEN k AND patient THEN 0.72
+    WHEN k OR drugs <> '' OR conditions <> '' THEN CASE WHEN k THEN 0.88 ELSE 0.70 END WHEN patient THEN 0.5 ELSE 0.45 END AS DOUBLE) AS confidence FROM {_SIG2}""",
+)
+def route_decide(spark, d):
+    return _with_entities(spark, d).withColumn("r", routing.route(F.col("q"), F.col("e"), F.col("scope"))).select("conv_id", "turn", "r.route", "r.confidence")
+
+
+@query(
+    "namespace_plan",
+    f"""SELECT conv_id, turn, CASE WHEN scope IS NOT NULL AND notes AND NOT (know OR drugish) THEN 'patient_notes' ELSE array_to_string([CASE WHEN scope IS NULL AND NOT (drugs <> '' OR drugish) THEN 'drug_labels' END, CASE WHEN scope IS NOT NULL THEN 'patient_notes' END,
+    CASE WHEN drugs <> '' OR drugish THEN 'drug_labels' END, CASE WHEN conditions <> '' OR drugs = '' OR scope IS NULL THEN 'guidelines' END], '|') END AS spaces FROM {_SIG}""",
+)
+def namespace_plan(spark, d):
+    return _with_entities(spark, d).select("conv_id", "turn", F.array_join(routing.namespaces(F.col("q"), F.col("e"), F.col("scope")), "|").alias("spaces"))
+
+
+def _flag_sql() -> str:
+    hits = {c: " OR ".join(f"regexp_matches(c, '(?i){_re(p)}')" for p in ps) for c, ps in V.RED_FLAGS.items()}
+    order = ["self_harm", *[c for c in hits if c != "self_harm"]]
+    return "CASE " + " ".join(f"WHEN {hits[c]} THEN '{c}'" for c in order) + " END"
+
+
+_CLEAN = f"(SELECT *, trim(regexp_replace(query, '\\s+', ' ', 'g')) AS c FROM {QUESTIONS})"
+_NAMES = sorted({*V.DRUGS, *V.LABS, *V.CONDITIONS, *(a for _, al in V.CONDITIONS.values() for a in al.split("|") if len(a) >= 3)}, key=len, reverse=True)
+
+
+@query(
+    "redflag_precheck",
+    f"""WITH f AS (SELECT *, {_flag_sql()} AS flag FROM {_CLEAN})
+    SELECT conv_id, turn, CASE WHEN flag IS NOT NULL THEN CASE WHEN framed THEN 'ok' ELSE 'red_flag' END WHEN scope IS NULL AND NOT clinical THEN 'out_of_scope' ELSE 'ok' END AS verdict,
+    CASE WHEN flag IS NOT NULL THEN CASE WHEN framed THEN 'record_query_on_red_flag_topic' ELSE flag END WHEN scope IS NULL AND NOT clinical THEN 'non_clinical' END AS category FROM (
+    SELECT *, regexp_matches(c, '(?i){_re(V.RECORD_FRAME)}') AND NOT regexp_matches(c, '(?i){_re(V.FIRST_PERSON)}') AND NOT regexp_matches(c, '(?i){V.URGENT}') AS framed,
+    regexp_matches(c, '(?i){_re(V.MEDICAL_HINT)}') OR regexp_matches(c, '(?i)\\b({"|".join(_re(n) for n in _NAMES)})\\b') AS clinical FROM f)""",
+)
+def redflag_precheck(spark, d):
+    p = routing.precheck(F.col("query"), F.col("scope").isNotNull())
+    return _questions(spark, d).withColumn("p", p).select("conv_id", "turn", "p.verdict", "p.category")
+
+
+@query(
+    "scope_resolution",
+    f"""SELECT conv_id, turn, CASE WHEN v IS NULL THEN pick END AS scope, v AS violation FROM (SELECT *, CASE WHEN contains(ids, '|') THEN 'several' WHEN scope IS NOT NULL AND ids <> '' AND ids <> scope THEN 'mismatch'
+    WHEN pick IS NOT NULL AND CAST(substr(pick, 2) AS INTEGER) >= 40 THEN 'unknown' END AS v FROM (SELECT *, coalesce(scope, CASE WHEN ids <> '' THEN split_part(ids, '|', 1) END) AS pick FROM {ENTITIES}))""",
+)
+def scope_resolution(spark, d):
+    q = _questions(spark, d).withColumn("ids", routing.patient_ids(F.col("query")))
+    known = spark.range(40).select(F.format_string("P%04d", F.col("id")).alias("pid"))
+    q = q.withColumn("pick", F.coalesce("scope", F.get("ids", F.lit(0)))).join(known, F.col("pick") == F.col("pid"), "left")
+    return q.withColumn("s", routing.scope_of(F.col("scope"), F.col("ids"), F.col("pid").isNotNull())).select("conv_id", "turn", "s.scope", "s.violation")
+
+
+@query("request_validation", "SELECT doc_id, CASE WHEN length(text) > 2000 THEN 'query is too long' WHEN doc_id % 4 = 1 THEN 'scope is malformed' WHEN doc_id % 30 = 0 OR doc_id % 30 > 20 THEN 'top_k is out of range' END AS problem FROM documents")
+def request_validation(spark, d):
+    k = (F.col("doc_id") % 30).cast("int")
+    scope = F.when(F.col("doc_id") % 4 == 1, "X12").when(F.col("doc_id") % 4 == 2, "P0001")
+    return read(spark, d, "documents").select("doc_id", routing.request_problem(F.col("text"), scope, k).alias("problem"))
+
+
+@query("name_mention_theta_join", r"SELECT doc_id, word AS name FROM documents, (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '\b[a-z]{9,12}\b')) AS word FROM benchmark) ORDER BY 1 LIMIT 20) WHERE lang = 'en' AND regexp_matches(text, '(?i)\b' || word || '\b')")
+def name_mention_theta_join(spark, d):
+    names = read(spark, d, "benchmark").select(F.explode(text.found(F.lower("text"), r"\b[a-z]{9,12}\b")).alias("name")).distinct().orderBy("name").limit(20)
+    return records.named_in(read(spark, d, "documents").where("lang = 'en'").select("doc_id", "text"), names, "text", "name").select("doc_id", "name")
+
+
+# --- answers --------------------------------------------------------------------------------------------
+_KEYS = "(conv_id * 8 + turn)"
+
+
+def _cited_answers(spark, d):
+    """Assistant turns with markers put behind their sentences by position: every fifth names a source that isn't there."""
+    c = read(spark, d, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 8 + F.col("turn")).alias("qid"), "text")
+    marked = F.regexp_replace(F.regexp_replace(F.substring("text", 1, 400), r"[\[\]\n]", " "), r"\. ([A-Z])", " [S1]. $1")
+    return c.select("qid", F.when(F.col("qid") % 5 == 0, F.replace(marked, F.lit("[S1]"), F.lit("[S9]"))).otherwise(marked).alias("answer"))
+
+
+@query(
+    "citation_check",
+    r"""WITH a AS (SELECT conv_id * 8 + turn AS qid, regexp_replace(regexp_replace(substr(text, 1, 400), '[\[\]\n]', ' ', 'g'), '\. ([A-Z])', '.' || chr(1) || '\1', 'g') AS t FROM conversations WHERE role = 'assistant'),
+    s AS (SELECT qid, unnest(string_split(t, chr(1))) AS s, unnest(range(len(string_split(t, chr(1))))) AS p, len(string_split(t, chr(1))) AS n FROM a)
+    SELECT qid, count(*) AS counted, count(*) FILTER (WHERE p < n - 1 AND qid % 5 <> 0) AS supported FROM s WHERE regexp_matches(s, '\w') GROUP BY 1""",
+)
+def citation_check(spark, d):
+    a = _cited_answers(spark, d)
+    evidence = a.select("qid", F.lit("S1").alias("key"), F.lit("none").alias("text"), F.lit("t").alias("title"))
+    return answers.check_answers(a, evidence, "qid").select("qid", "counted", "supported")
+
+
+@query("citation_sentences")
+def citation_sentences(spark, d):
+    a = _cited_answers(spark, d)
+    evidence = a.select("qid", F.lit("S1").alias("key"), F.lit("none").alias("text"), F.lit("t").alias("title"))
+    return answers.check_sentences(a, evidence, "qid").select("qid", "pos", "status", F.sha2("sentence", 256).alias("sentence"))
+
+
+@query(
+    "evidence_number_cap",
+    "SELECT label, vec_id, 'S' || CAST(row_number() OVER w AS VARCHAR) AS key FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY CASE WHEN vec_id % 4 = 0 THEN 0 ELSE 1 END, vec_id) QUALIFY row_number() OVER w <= 10",
+)
+def evidence_number_cap(spark, d):
+    e = read(spark, d, "embeddings").select("label", "vec_id", F.when(F.col("vec_id") % 4 == 0, "kv").otherwise("vector").alias("origin"))
+    return answers.number_evidence(e, "label", "origin", "vec_id").select("label", "vec_id", "key")
+
+
+@query(
+    "sufficiency_rules",
+    """WITH x AS (SELECT d.doc_id, doc_id % 3 AS rec, CASE WHEN n_chars > 3000 THEN 2 ELSE 0 END AS strong, CASE WHEN n_chars > 500 THEN 4 ELSE 0 END AS anyc, doc_id % 7 = 0 AS dose, doc_id % 2 AS drugs, doc_id % 5 AS lab, coalesce(quality = 0, false) AS conf FROM documents d LEFT JOIN labels USING (doc_id))
+    SELECT doc_id, CASE WHEN doc_id % 50 = 3 THEN 'unknown subject' WHEN rec = 0 AND anyc = 0 THEN 'nothing retrieved' WHEN doc_id % 4 = 0 AND rec = 0 AND strong = 0 THEN 'no matching record' WHEN rec = 0 AND strong = 0 THEN 'below threshold'
+    WHEN dose AND drugs = 0 AND rec < 2 THEN 'dose without drug' WHEN dose AND drugs > 0 AND lab = 0 AND rec < 2 THEN 'dose without label' WHEN conf THEN 'sources disagree' ELSE 'ok' END AS reason FROM x""",
+)
+def sufficiency_rules(spark, d):
+    i = F.col("doc_id")
+    x = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left")
+    rec = i % 3
+    reason = answers.sufficiency(
+        F.when(i % 4 == 0, "KV").otherwise("HYBRID"), rec, F.when(F.col("n_chars") > 3000, 2).otherwise(0), F.when(F.col("n_chars") > 500, 4).otherwise(0), i % 7 == 0, i % 2,
+        F.when(rec >= 2, 1).otherwise(0), i % 5, F.coalesce(F.col("quality") == 0, F.lit(False)).cast("int"), (i % 50 == 3).cast("int"),
+    )
+    return x.select("doc_id", reason.alias("reason"))
+
+
+@query(
+    "dose_conflict",
+    "SELECT DISTINCT o_custkey AS k, 'metformin' AS drug, '500 mg' AS dose, CAST(o_orderkey % 3 * 250 + 500 AS VARCHAR) || ' mg' AS noted FROM orders WHERE o_orderkey % 3 > 0 AND o_custkey % 2 = 0",
+)
+def dose_conflict(spark, d):
+    o = read(spark, d, "orders").withColumn("k", F.col("o_custkey"))
+    meds = o.where("k % 2 = 0").select("k", F.lit("metformin").alias("drug"), F.lit("500 mg").alias("dose")).distinct()
+    notes = o.select("k", F.concat(F.lit("Metformin "), (F.col("o_orderkey") % 3 * 250 + 500).cast("string"), F.lit(" mg twice daily")).alias("text"))
+    return answers.dose_conflicts(meds, notes, "k")
+
+
+def _qa(spark, d):
+    """Every benchmark item asks; its evidence are the first ten English documents by number offset."""
+    b = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 200).alias("question"))
+    docs = read(spark, d, "documents").where("lang = 'en'").select("doc_id", "text", (F.col("doc_id") % 40).alias("slot"))
+    e = b.join(docs, F.col("qid") % 40 == F.col("slot")).select("qid", "doc_id", F.col("text"), F.lit("").alias("title"), F.when(F.col("doc_id") % 3 == 0, "kv").otherwise("vector").alias("origin"))
+    e = answers.number_evidence(e, "qid", "origin", "doc_id")
+    return b, e.withColumn("order", F.substr("key", F.lit(2)).cast("int") - 1)
+
+
+@query("extractive_answer")
+def extractive_answer(spark, d):
+    b, e = _qa(spark, d)
+    return answers.compose(b, e, "qid")
+
+
+@query("answer_and_check")
+def answer_and_check(spark, d):
+    """Composed answers quote their sources, so the check supports every sentence but the opening."""
+    b, e = _qa(spark, d)
+    told = answers.compose(b, e, "qid").where(F.col("answer") != V.INSUFFICIENT)
+    return answers.check_answers(told, e.select("qid", "key", "text", "title"), "qid").select("qid", "counted", "supported", "grounding_rate", "passed")
