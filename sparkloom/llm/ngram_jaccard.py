@@ -19,7 +19,6 @@ others; other columns are not read; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +32,8 @@ from .components import components
 WIDTH, PERCENT = 5, 80
 #: Document frequencies from here on count as one: such tokens are ordered by hash alone.
 COMMON = 64
-#: Documents sorted together before the shuffle, tokens in one task after it, documents in one block of verification.
-DOCS, TOKENS, BLOCK = 4096, 2_000_000, 256
+#: Documents and tokens sorted together before the shuffle, tokens in one task after it, documents in one block of verification.
+DOCS, LOT, TOKENS, BLOCK = 1 << 15, 2_000_000, 3_000_000, 256
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -46,51 +45,60 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Shingler:
-    """Sets of shingle hashes of texts; word hashes are remembered, up to a bound."""
+_BASE = np.uint64(0x5851F42D4C957F2D)
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-    def __init__(self):
-        self._clear()
 
-    def _clear(self) -> None:
-        import xxhash
+class Shingler:
+    """Sets of shingle hashes of texts. A word's hash is a polynomial of its bytes, taken from running sums."""
 
-        class Known(dict):
-            def __missing__(self, word):
-                h = self[word] = xxhash.xxh64_intdigest(word)
-                return h
+    def __init__(self):
+        self._powers(1 << 16)
 
-        self.known = Known()
+    def _powers(self, n: int) -> None:
+        self.up = np.cumprod(np.full(n, _BASE), dtype=np.uint64)
+        self.down = np.cumprod(np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64))), dtype=np.uint64)
 
     def set_of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII blanks and A-Z only
-        if not words:
+        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)  # bytes: only A-Z
+        n = len(raw)
+        if n > len(self.up):
+            self._powers(2 * n)
+        edge = np.diff(_BLANK[raw], prepend=True, append=True).nonzero()[0]
+        start, end = edge[::2], edge[1::2]
+        if not len(start):
             return np.empty(0, dtype=np.uint64)
-        if len(self.known) > 500_000:
-            self._clear()
-        h = np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
-        n = min(WIDTH, len(h))
-        m = len(h) - n + 1
-        s = np.full(m, n, dtype=np.uint64)
-        for k in range(n):
-            s = mix(s + h[k : k + m] * _ODD[k])
-        return np.unique(s)
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[raw] * self.up[:n], out=total[1:])
+        h = mix((total[end] - total[start]) * self.down[start])
+        k = min(WIDTH, len(h))
+        m = len(h) - k + 1
+        s = h[:m] * _ODD[0]
+        for i in range(1, k):
+            s += h[i : i + m] * _ODD[i]
+        return np.unique(mix(s, k))
 
 
-def node_of(tokens: np.ndarray) -> bytes:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+def node_of(tokens: np.ndarray, salt: int) -> tuple[int, int]:
+    """The number of a set, and a second digest by which sets of one number would be told apart."""
+    both = np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16, salt=bytes([salt])).digest(), dtype=np.int64)
+    return int(both[0]), int(both[1])
 
 
-def _nodes(key: str):
+def _nodes(key: str, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, checks = [], [], []
             for t in batch.column(1):
                 s = shingler.set_of(t.as_py())
+                node, check = node_of(s, salt) if len(s) else (None, None)
                 sizes.append(len(s))
-                nodes.append(node_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary())], names=[key, "n_shingles", "node"])
+                nodes.append(node)
+                checks.append(check)
+            made = [pa.array(x, pa.int64()) for x in (sizes, nodes, checks)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[key, "n_shingles", "node", "checked"])
 
     return run
 
@@ -110,129 +118,168 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-PARTS = "part int, tokens binary, owners binary, nodes binary, marks binary"
-LISTS = "node binary, tokens binary, freqs binary"
+PARTS = "part int, tokens binary, owners binary, nodes binary, wholes binary, marks binary"
+LOTS = "part int, nodes binary, wholes binary, sizes binary, tokens binary, freqs binary"
+LISTS = "node long, n_shingles long, tokens binary, freqs binary"
+
+
+def _free(n, shared):
+    """Prefix places of a set of n tokens that are left for its ``shared`` ones; those of it alone come first in every order."""
+    return shared - -(-PERCENT * n // 100) + 1
 
 
-def _parted(parts: int):
-    """Tokens with their documents, dealt out by token range. A token that is common in one lot is
-    known to be common everywhere: its documents are told at once (part -1) and a mark goes to its range."""
+def _range_of(x: np.ndarray, parts: int) -> np.ndarray:
+    return ((x >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
 
-    def lot(found: dict[bytes, np.ndarray]) -> Iterator[tuple]:
-        nodes = b"".join(found)
-        tokens = np.concatenate(list(found.values()))
-        owners = np.repeat(np.arange(len(found), dtype=np.uint16), [len(s) for s in found.values()])
-        order = np.argsort(tokens, kind="stable")
+
+def _parted(parts: int, salt: int):
+    """Tokens with their documents, dealt out by token range, a row for each lot and range. A token that is common
+    in one lot is known to be common everywhere: its documents are told at once (part -1) and a mark goes to its range."""
+
+    def lot(sets: dict[int, np.ndarray]) -> Iterator[tuple]:
+        nodes = np.fromiter(sets, dtype=np.int64, count=len(sets))
+        tokens = np.concatenate(list(sets.values()))
+        wholes = np.array([len(s) for s in sets.values()], dtype=np.int32)
+        owners = np.repeat(np.arange(len(sets), dtype=np.uint16), wholes)
+        sets.clear()
+        order = np.argsort(tokens)
         tokens, owners = tokens[order], owners[order]
         starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         counts = np.diff(np.append(starts, len(tokens)))
         marks = tokens[starts[counts >= COMMON]]
         if len(marks):
             common = np.repeat(counts >= COMMON, counts)
-            yield -1, _pack(tokens[common]), owners[common].tobytes(), nodes, b""
+            yield -1, _pack(tokens[common]), owners[common].tobytes(), nodes.tobytes(), wholes.tobytes(), b""
             tokens, owners = tokens[~common], owners[~common]
-        part_of = lambda x: ((x >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
-        bounds = np.searchsorted(part_of(tokens), np.arange(parts + 1, dtype=np.uint64))
-        marked = np.searchsorted(part_of(marks), np.arange(parts + 1, dtype=np.uint64))
+        edges = np.arange(parts + 1, dtype=np.uint64)
+        bounds, marked = np.searchsorted(_range_of(tokens, parts), edges), np.searchsorted(_range_of(marks, parts), edges)
         for p in range(parts):
-            i, j = bounds[p], bounds[p + 1]
-            own, back = np.unique(owners[i:j], return_inverse=True)
-            names = b"".join(nodes[16 * int(o) : 16 * int(o) + 16] for o in own)
-            yield p, _pack(tokens[i:j]), back.astype(np.uint16).tobytes(), names, marks[marked[p] : marked[p + 1]].tobytes()
+            own, back = np.unique(owners[bounds[p] : bounds[p + 1]], return_inverse=True)
+            yield p, _pack(tokens[bounds[p] : bounds[p + 1]]), back.astype(np.uint16).tobytes(), nodes[own].tobytes(), wholes[own].tobytes(), marks[marked[p] : marked[p + 1]].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, found, held = Shingler(), {}, 0
+        shingler, sets, held = Shingler(), {}, 0
 
         def out():
-            cols = list(zip(*lot(found), strict=True))
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "tokens", "owners", "nodes", "marks"])
+            cols = list(zip(*lot(sets), strict=True))
+            kinds = [pa.int32(), *[pa.binary()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "tokens", "owners", "nodes", "wholes", "marks"])
 
         for batch in batches:
             for t in batch.column(0):
                 s = shingler.set_of(t.as_py())
                 if len(s):
                     held += len(s)
-                    found[node_of(s)] = s
-                    if len(found) >= DOCS or held >= TOKENS:
+                    sets[node_of(s, salt)[0]] = s
+                    if len(sets) >= DOCS or held >= LOT:
                         yield out()
-                        found, held = {}, 0
-        if found:
+                        held = 0
+        if sets:
             yield out()
 
     return run
 
 
-def _told(nodes: np.ndarray, tokens: np.ndarray, freqs: np.ndarray) -> Iterator[tuple[bytes, bytes, bytes]]:
-    """(node, its tokens, their frequencies), given entries in any order."""
+def _by_node(nodes: np.ndarray, wholes: np.ndarray, tokens: np.ndarray, freqs: np.ndarray, parts: int) -> pa.Table:
+    """Entries in any order, as one row for each range of nodes."""
     order = np.argsort(nodes, kind="stable")
-    nodes, tokens, freqs = nodes[order], tokens[order], freqs[order]
-    starts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]])) if len(nodes) else np.empty(0, int)
-    for i, j in zip(starts, np.append(starts[1:], len(nodes)), strict=True):
-        yield nodes[i].tobytes(), tokens[i:j].tobytes(), freqs[i:j].tobytes()
-
-
-def _rows_of(lists: list[tuple]) -> pa.Table:
-    cols = list(zip(*lists, strict=True)) or [(), (), ()]
-    return pa.table([pa.array(c, pa.binary()) for c in cols], names=["node", "tokens", "freqs"])
-
-
-def _names(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, dtype="V16")
-
-
-def _frequencies(table: pa.Table) -> pa.Table:
-    """Of one token range: for every token in two documents or more, its documents and its capped frequency."""
-    tokens, owners, names, marks, base = [], [], [], [], 0
-    for row in table.to_pylist():
-        tokens.append(_unpack(row["tokens"]))
-        owners.append(np.frombuffer(row["owners"], dtype=np.uint16).astype(np.int64) + base)
-        names.append(_names(row["nodes"]))
-        marks.append(np.frombuffer(row["marks"], dtype=np.uint64))
-        base += len(names[-1])
-    tokens, owners, names, marks = map(np.concatenate, (tokens, owners, names, marks))
-    if not len(tokens):
-        return _rows_of([])
-    own, number = np.unique(names, return_inverse=True)  # a node can come from several lots
-    owners = number[owners]
-    order = np.lexsort((owners, tokens))
-    tokens, owners = tokens[order], owners[order]
-    first = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])])
-    tokens, owners = tokens[first], owners[first]
-    starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-    counts = np.diff(np.append(starts, len(tokens)))
-    freq = np.minimum(counts, COMMON)
-    freq[np.isin(tokens[starts], marks)] = COMMON
-    every = np.repeat(freq, counts)
-    more = every >= 2
-    return _rows_of(list(_told(own[owners[more]], tokens[more], every[more].astype(np.uint8))))
-
-
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            tokens, owners = _unpack(row["tokens"]), np.frombuffer(row["owners"], dtype=np.uint16)
-            told = _told(_names(row["nodes"])[owners], tokens, np.full(len(tokens), COMMON, dtype=np.uint8))
-            yield from _rows_of(list(told)).to_batches()
-
-
-def shared_tokens(docs: DataFrame, text: str, total: int) -> DataFrame:
+    nodes, wholes, tokens, freqs = nodes[order], wholes[order], tokens[order], freqs[order]
+    starts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]])) if len(nodes) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, len(nodes))).astype(np.int64)
+    names, wholes = nodes[starts], wholes[starts]
+    part = _range_of(mix(names.view(np.uint64)), parts).astype(np.int64)
+    rows = []
+    for p in np.unique(part):
+        here = part == p
+        entries = np.repeat(here, sizes)
+        rows.append((int(p), names[here].tobytes(), wholes[here].tobytes(), sizes[here].tobytes(), tokens[entries].tobytes(), freqs[entries].tobytes()))
+    cols = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.table([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "nodes", "wholes", "sizes", "tokens", "freqs"])
+
+
+def _frequencies(parts: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of one token range: for every token in two documents or more, its documents and its capped frequency."""
+        tokens, nodes, wholes, marks = [], [], [], []
+        for i in range(table.num_rows):
+            own = np.frombuffer(table["owners"][i].as_py(), dtype=np.uint16)
+            tokens.append(_unpack(table["tokens"][i].as_py()))
+            nodes.append(np.frombuffer(table["nodes"][i].as_py(), dtype=np.int64)[own])
+            wholes.append(np.frombuffer(table["wholes"][i].as_py(), dtype=np.int32)[own])
+            marks.append(np.frombuffer(table["marks"][i].as_py(), dtype=np.uint64))
+        tokens, nodes, wholes, marks = map(np.concatenate, (tokens, nodes, wholes, marks))
+        order = np.argsort(tokens)
+        tokens, nodes, wholes = tokens[order], nodes[order], wholes[order]
+        same = tokens[1:] == tokens[:-1]
+        more = np.zeros(len(tokens), dtype=bool)
+        more[1:] |= same
+        more[:-1] |= same
+        more |= np.isin(tokens, marks)
+        tokens, nodes, wholes = tokens[more], nodes[more], wholes[more]
+        order = np.lexsort((nodes, tokens))  # copies of a document in several lots count once
+        tokens, nodes, wholes = tokens[order], nodes[order], wholes[order]
+        first = np.ones(len(tokens), dtype=bool)
+        first[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
+        tokens, nodes, wholes = tokens[first], nodes[first], wholes[first]
+        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.empty(0, np.int64)
+        counts = np.diff(np.append(starts, len(tokens)))
+        freq = np.minimum(counts, COMMON)
+        freq[np.isin(tokens[starts], marks)] = COMMON
+        every = np.repeat(freq, counts)
+        more = every >= 2
+        return _by_node(nodes[more], wholes[more], tokens[more], every[more].astype(np.uint8), parts)
+
+    return run
+
+
+def _common(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                tokens, owners = _unpack(row["tokens"]), np.frombuffer(row["owners"], dtype=np.uint16)
+                nodes, wholes = np.frombuffer(row["nodes"], dtype=np.int64)[owners], np.frombuffer(row["wholes"], dtype=np.int32)[owners]
+                yield from _by_node(nodes, wholes, tokens, np.full(len(tokens), COMMON, dtype=np.uint8), parts).to_batches()
+
+    return run
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one range of nodes: the shared tokens of each node, with their frequencies. Nodes whose prefix
+    holds none of them have no candidates and end here."""
+    rows = [row for batch in batches for row in batch.to_pylist()]
+    nodes, wholes = (np.concatenate([np.repeat(np.frombuffer(r[c], dtype=d), np.frombuffer(r["sizes"], dtype=np.int64)) for r in rows]) for c, d in (("nodes", np.int64), ("wholes", np.int32)))
+    tokens = np.concatenate([np.frombuffer(r["tokens"], dtype=np.uint64) for r in rows])
+    freqs = np.concatenate([np.frombuffer(r["freqs"], dtype=np.uint8) for r in rows])
+    rows.clear()
+    order = np.lexsort((tokens, nodes))
+    nodes, wholes, tokens, freqs = nodes[order], wholes[order], tokens[order], freqs[order]
+    first = np.ones(len(nodes), dtype=bool)  # copies of a node in several lots tell a common token again
+    first[1:] = (nodes[1:] != nodes[:-1]) | (tokens[1:] != tokens[:-1])
+    nodes, wholes, tokens, freqs = nodes[first], wholes[first], tokens[first], freqs[first]
+    starts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]])) if len(nodes) else np.empty(0, np.int64)
+    ends = np.append(starts[1:], len(nodes)) if len(nodes) else starts
+    able = _free(wholes[starts].astype(np.int64), ends - starts) > 0
+    starts, ends = starts[able], ends[able]
+    for k in range(0, len(starts), 4096):
+        span = list(zip(starts[k : k + 4096], ends[k : k + 4096], strict=True))
+        made = [pa.array([x[i:j].tobytes() for i, j in span], pa.binary()) for x in (tokens, freqs)]
+        at = starts[k : k + 4096]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(wholes[at].astype(np.int64)), *made], names=["node", "n_shingles", "tokens", "freqs"])
+
+
+def shared_tokens(docs: DataFrame, text: str, total: int, salt: int) -> DataFrame:
     """Per node: the tokens that another node has too, sorted, with their capped frequencies."""
     parts = max(1, min(1 << 20, -(-total // TOKENS)))
-    dealt = docs.select(text).mapInArrow(_parted(parts), PARTS)
-    # Common tokens are told once by each lot that sees them so; both kinds go through one exchange, by node.
-    lists = dealt.where("part >= 0").groupBy("part").applyInArrow(_frequencies, LISTS).unionByName(
-        dealt.where("part < 0").mapInArrow(_common, LISTS)
+    dealt = docs.select(text).mapInArrow(_parted(parts, salt), PARTS)
+    lots = dealt.where("part >= 0").groupBy("part").applyInArrow(_frequencies(parts), LOTS).unionByName(
+        # Common tokens are told by each lot that sees them so.
+        dealt.where("part < 0").mapInArrow(_common(parts), LOTS)
     )
 
-    def joined(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        tokens = np.concatenate([np.frombuffer(r["tokens"], dtype=np.uint64) for r in rows])
-        freqs = np.concatenate([np.frombuffer(r["freqs"], dtype=np.uint8) for r in rows])
-        tokens, at = np.unique(tokens, return_index=True)  # copies of a node in several lots tell the same token again
-        return _rows_of([(rows[0]["node"], tokens.tobytes(), freqs[at].tobytes())])
+    def whole(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(_lists(iter(table.to_batches())), schema=pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("tokens", pa.binary()), ("freqs", pa.binary())]))
 
-    return lists.groupBy("node").applyInArrow(joined, LISTS)
+    return lots.groupBy("part").applyInArrow(whole, LISTS)
 
 
 def _prefixes(seed: int):
@@ -243,23 +290,21 @@ def _prefixes(seed: int):
             out_node, out_token, out_group = [], [], []
             for row in batch.to_pylist():
                 tokens = np.frombuffer(row["tokens"], dtype=np.uint64)
-                n = row["n_shingles"]
-                # Tokens of this document alone come first in every order here and fill the prefix in part or whole.
-                free = n - -(-PERCENT * n // 100) + 1 - (n - len(tokens))
+                free = _free(row["n_shingles"], len(tokens))
                 if free > 0:
                     order = np.lexsort((mix(tokens, seed), np.frombuffer(row["freqs"], dtype=np.uint8)))[:free]
                     out_token.append(tokens[order].view(np.int64))
                     out_node += [row["node"]] * len(order)
                     out_group += [row["grp"]] * len(order)
             token = np.concatenate(out_token) if out_token else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(out_node, pa.binary()), pa.array(out_group, pa.binary()), pa.array(token)], names=["node", "grp", "token"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_node, pa.int64()), pa.array(out_group, pa.int64()), pa.array(token)], names=["node", "grp", "token"])
 
     return run
 
 
 def _candidates(nodes: DataFrame, seed: int) -> DataFrame:
     """Nodes with a group each: sets of nodes that hold every pair which this order, and those before, admit."""
-    entries = nodes.mapInArrow(_prefixes(seed), "node binary, grp binary, token long")
+    entries = nodes.mapInArrow(_prefixes(seed), "node long, grp long, token long")
     least = entries.groupBy("grp", "token").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     edges = entries.join(least, ["grp", "token"]).select(F.col("node").alias("a"), "b").where("a != b")
     found = components(edges)
@@ -306,15 +351,13 @@ def _verified(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             if p != q:
                 parent[p] = q
                 links.append((rows[x]["node"], rows[int(y)]["node"]))
-    return pa.table([pa.array([a for a, _ in links], pa.binary()), pa.array([b for _, b in links], pa.binary())], names=["a", "b"])
+    return pa.table([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
 
-def links(docs: DataFrame, text: str, nodes: DataFrame, total: int) -> DataFrame:
+def links(docs: DataFrame, text: str, total: int, salt: int) -> DataFrame:
     """Links between different sets that join every two similar ones, directly or by way of others."""
-    lists = shared_tokens(docs, text, total)
-    sets = saved(
-        lists.join(nodes.select("node", "n_shingles").distinct(), "node").withColumn("grp", F.unhex(F.lit("00"))), "sets"
-    )
+    lists = shared_tokens(docs, text, total, salt)
+    sets = saved(lists.withColumn("grp", F.lit(0).cast("long")), "sets")
     for seed in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
         sets = saved(_candidates(sets, seed), "candidates")
     sized = sets.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -325,22 +368,28 @@ def links(docs: DataFrame, text: str, nodes: DataFrame, total: int) -> DataFrame
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
         .select("grp", "i", "j", "node", "block", "n_shingles", "tokens")
     )
-    return blocked.groupBy("grp", "i", "j").applyInArrow(_verified, "a binary, b binary")
+    return blocked.groupBy("grp", "i", "j").applyInArrow(_verified, "a long, b long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_shingles`` and ``component_id`` (the least key reachable by links) of every row."""
     kind = docs.schema[key].dataType.simpleString()
-    rows = saved(docs.select(key, text).mapInArrow(_nodes(key), f"`{key}` {kind}, n_shingles long, node binary"), "nodes")
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    own = rows.where("node is not null").groupBy("node").agg(F.min(key).alias("low"))
-    if total:
-        found = components(links(docs, text, rows.where("node is not null"), total))
+    for salt in range(256):
+        rows = saved(docs.select(key, text).mapInArrow(_nodes(key, salt), f"`{key}` {kind}, n_shingles long, node long, checked long"), "nodes")
+        own = saved(
+            rows.where("node is not null").groupBy("node")
+            .agg(F.min(key).alias("low"), F.max("n_shingles").alias("n_shingles"), F.min("checked").alias("c0"), F.max("checked").alias("c1")), "own"
+        )
+        if own.where("c0 != c1").isEmpty():
+            break  # else two sets have one number; number them anew
+    total = own.agg(F.sum("n_shingles")).first()[0]
+    if total is not None:
+        found = components(links(docs, text, total, salt))
         reach = own.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
         lowest = reach.groupBy("root").agg(F.min("low").alias("component_id"))
-        own = saved(reach.join(lowest, "root").select("node", "component_id"), "members")
+        own = reach.join(lowest, "root").select("node", "component_id")
     else:
-        own = own.withColumnRenamed("low", "component_id")
+        own = own.select("node", F.col("low").alias("component_id"))
     return rows.join(own, "node", "left").select(
         key, "n_shingles", F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id")
     )
