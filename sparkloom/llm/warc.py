@@ -4,10 +4,11 @@ Writing: one record per page, response or (for a payload written already under a
 by Spark's own text writer with the record separator as line separator. Its commit protocol keeps
 the archives whole when an executor is lost, and any file system that Spark writes to will do.
 
-Reading: archives come in by the binaryFile source, plain or as gzip members, one file per row. Each
-record is checked (version line, lengths, separators, gzip checksum, block and payload digest). After a failed
-check the reader searches for the next version line or gzip member, goes on from the first that
-passes, and logs the bytes in between as a gap.
+Reading: archives come in by the binaryFile source, plain or gzipped (a member for each record, or
+for many), one file per row. Each record is checked (version line, lengths, separators, block and payload
+digest, the gzip checksum). After a failed check the reader searches for the next version line or gzip member, goes
+on from the first that passes, and logs the bytes in between as a gap. Of a gzip member that breaks off or fails its
+checksum the records that came out before and pass their own checks are kept.
 
 Defined results: a null page is an empty payload; a null id is never the smallest of its group, and alone
 in a group all such rows are responses, as are equal rows of the smallest id; control characters in a url
@@ -77,7 +78,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
         F.lit(CRLF), F.col("_block"),
     )
     out = rows.withColumn("_block", block).select(record.alias("value"))
-    out.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    out.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 class Damaged(ValueError):
@@ -120,19 +121,18 @@ def _record(data: bytes, at: int) -> tuple[int, dict, bytes]:
     return begin + size + 4, fields, block
 
 
-def _member(data: bytes, at: int) -> tuple[int, dict, bytes]:
-    """The same for a record in a gzip member of its own."""
-    unzip = zlib.decompressobj(31)
-    try:
-        plain = unzip.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise Damaged(f"gzip: {str(e)[-40:]}") from None
-    if not unzip.eof:
-        raise Damaged("gzip member is cut off")
-    end, fields, block = _record(plain, 0)
-    if end != len(plain):
-        raise Damaged("more than a record in a gzip member")
-    return len(data) - len(unzip.unused_data), fields, block
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """(what comes out of the gzip member at ``at``, the byte after what was read, what went wrong)."""
+    unzip, out, step = zlib.decompressobj(31), [], 1 << 16
+    for i in range(at, len(data), step):
+        part = data[i : i + step]
+        try:
+            out.append(unzip.decompress(part))
+        except zlib.error as e:
+            return b"".join(out), min(i + 1, len(data)) if i > at else at + 1, f"gzip: {str(e)[-40:]}"
+        if unzip.eof:
+            return b"".join(out), i + len(part) - len(unzip.unused_data), None
+    return b"".join(out), len(data), "gzip member is cut off"
 
 
 def payload_of(fields: dict, block: bytes) -> bytes:
@@ -141,23 +141,46 @@ def payload_of(fields: dict, block: bytes) -> bytes:
     return block
 
 
-def salvage(data: bytes) -> Iterator[tuple]:
+def _plain(data: bytes, at: int) -> Iterator[tuple]:
+    """One step: the record at ``at``; raises Damaged."""
+    end, fields, block = _record(data, at)
+    yield "record", at, end, None, fields, block
+
+
+def _zipped(data: bytes, at: int) -> Iterator[tuple]:
+    """One step: all records of the gzip member at ``at``, with the byte range of the member; raises Damaged if it gives none."""
+    plain, end, wrong = _inflate(data, at)
+    rows = list(salvage(plain, nested=True))
+    if not any(r[0] == "record" for r in rows):
+        raise Damaged(wrong or "no record in a gzip member")
+    for kind, _, _, reason, fields, block in rows:
+        if kind == "record" or not wrong:
+            yield kind, at, end, reason and f"in a gzip member: {reason}", fields, block
+    if wrong:
+        raise Damaged(wrong)
+
+
+def salvage(data: bytes, nested: bool = False) -> Iterator[tuple]:
     """("record", start, end, None, fields, block) and ("gap", start, end, reason, None, None), in order, covering all bytes."""
     at, n, lost, why = 0, len(data), None, None
     while at < n:
+        found, failed = [], None
         try:
-            end, fields, block = _member(data, at) if data[at : at + 3] == b"\x1f\x8b\x08" else _record(data, at)
+            for row in _zipped(data, at) if data[at : at + 3] == b"\x1f\x8b\x08" and not nested else _plain(data, at):
+                found.append(row)
         except Damaged as e:
-            if lost is None:
-                lost, why = at, str(e)
-            found = START.search(data, at + 1)
-            at = found.start() if found else n
-            continue
-        if lost is not None:
+            failed = str(e)
+        if found and lost is not None:
             yield "gap", lost, at, why, None, None
             lost = None
-        yield "record", at, end, None, fields, block
-        at = end
+        yield from found
+        if failed is None:
+            at = found[-1][2]
+            continue
+        if lost is None:
+            lost, why = found[-1][2] if found else at, failed
+        after = START.search(data, max(at + 1, lost))
+        at = after.start() if after else n
     if lost is not None:
         yield "gap", lost, n, why, None, None
 
