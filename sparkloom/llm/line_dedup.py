@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, blanks_lit
+from .common import LOWER, UPPER, blanks_lit, saved
 
 MIN_POINTS, MIN_DOCS = 20, 3
 
@@ -38,7 +38,8 @@ def _hash(line: Column) -> Column:
 def dropped(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``_k`` (a key of ``docs``) and ``_gone`` (the hashes that it loses), for documents that lose any."""
     hashes = F.array_distinct(F.transform(_lines(F.col(text)), _hash))
-    held = docs.select(F.col(key).alias("_k"), F.explode(hashes).alias("_hash")).where("_hash is not null")
+    # Used twice below; the texts are cut into lines once, and the hashes wait in the shared folder.
+    held = saved(docs.select(F.col(key).alias("_k"), F.explode(hashes).alias("_hash")).where("_hash is not null"), "lines")
     # Most hashes have one holder; they end here. What remains is joined back; a hash that very many
     # documents hold is a skewed key of that join, which adaptive execution splits.
     often = held.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.max("_k").alias("_last")).where(F.col("_n") >= MIN_DOCS)
