@@ -35,7 +35,7 @@ CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:page:"
 MOST_HEADER = 1 << 16
-START = re.compile(rb"(?:(?<=\n)|\A)WARC/1\.|\x1f\x8b\x08")
+START = re.compile(rb"WARC/1\.|\x1f\x8b\x08")
 
 
 def with_kinds(pages: DataFrame, key: str, page: str) -> DataFrame:
@@ -151,6 +151,9 @@ def _zipped(data: bytes, at: int) -> Iterator[tuple]:
     """One step: all records of the gzip member at ``at``, with the byte range of the member; raises Damaged if it gives none."""
     plain, end, wrong = _inflate(data, at)
     rows = list(salvage(plain, nested=True))
+    if not plain and not wrong:
+        yield "empty", at, end, None, None, None
+        return
     if not any(r[0] == "record" for r in rows):
         raise Damaged(wrong or "no record in a gzip member")
     for kind, _, _, reason, fields, block in rows:
@@ -173,7 +176,7 @@ def salvage(data: bytes, nested: bool = False) -> Iterator[tuple]:
         if found and lost is not None:
             yield "gap", lost, at, why, None, None
             lost = None
-        yield from found
+        yield from (row for row in found if row[0] != "empty")
         if failed is None:
             at = found[-1][2]
             continue
