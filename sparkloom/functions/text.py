@@ -67,9 +67,9 @@ def collapse(text: Column) -> Column:
 def clip(text: Column, most: int) -> Column:
     """The text, or its first ``most`` characters cut at the last sentence or clause end beyond 60 % of them."""
     head = F.substring(text, 1, most)
-    cut = F.greatest(*[most - F.instr(F.reverse(head), mark[::-1]) for mark in (". ", "; ")])
-    has = head.contains(". ") | head.contains("; ")
-    return F.when(F.length(text) <= most, text).otherwise(F.when(has & (cut > 0.6 * most), F.substr(head, F.lit(1), cut.cast("int"))).otherwise(head))
+    ends = [F.instr(F.reverse(head), mark[::-1]) for mark in (". ", "; ")]
+    cut = F.greatest(*[F.when(e > 0, most - e).otherwise(0) for e in ends])
+    return F.when(F.length(text) <= most, text).otherwise(F.when(cut > 0.6 * most, F.substr(head, F.lit(1), cut.cast("int"))).otherwise(head))
 
 
 def core_name(name: Column, salts: tuple[str, ...]) -> Column:

@@ -61,7 +61,7 @@ def topic_sections(summary: Column) -> Column:
     heading = lambda p: p.endswith("?") & (F.size(F.split(p, r"\s+")) <= 14)
     marked = F.array_join(F.transform(paragraphs, lambda p: F.when(heading(p), F.concat(F.lit("\u0001"), p, F.lit("\u0002"))).otherwise(F.concat(p, F.lit("\n")))), "")
     pieces = F.split(F.when(marked.startswith("\u0001"), F.substr(marked, F.lit(2))).otherwise(F.concat(F.lit("Summary\u0002"), marked)), "\u0001", -1)
-    return F.transform(pieces, lambda p: F.struct(F.split_part(p, F.lit("\u0002"), F.lit(1)).alias("title"), F.trim(F.split_part(p, F.lit("\u0002"), F.lit(2))).alias("body")))
+    return F.transform(pieces, lambda p: F.struct(F.split_part(p, F.lit("\u0002"), F.lit(1)).alias("title"), F.regexp_replace(F.split_part(p, F.lit("\u0002"), F.lit(2)), r"^\s+|\s+$", "").alias("body")))
 
 
 def embed_text(title: Column, section: Column, text: Column) -> Column:
