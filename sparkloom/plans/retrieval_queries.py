@@ -166,3 +166,56 @@ def lifecycle_batch(spark, d):
     lab = F.get(F.array(*[F.lit(x) for x in LABS]), (F.col("c_custkey") % len(LABS)).cast("int"))
     facts = read(spark, d, "customer").select(F.format_string("P%04d", (F.col("c_custkey") % 50).cast("int")).alias("subject"), F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.concat(lab, F.lit(" reading was "), F.col("c_acctbal").cast("string"), F.lit(" at the last visit.")).alias("text"))
     return run_batch(q, facts, passages)
+
+
+@query(
+    "semantic_cache",
+    """WITH s AS (SELECT q.vec_id AS qid, c.vec_id AS cached_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id % 10 = 0 AND c.vec_id % 10 > 0)
+    SELECT qid, cached_id, round(score, 6) AS score FROM s WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, cached_id) = 1""",
+)
+def semantic_cache(spark, d):
+    from ..operators.writes import semantic_hits
+
+    e = _vectors(spark, d).withColumn("bucket", F.col("label"))
+    asked = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), "bucket", "embedding")
+    return semantic_hits(asked, e.where("vec_id % 10 > 0").withColumnRenamed("vec_id", "id"), 0.2).select("qid", "cached_id", F.round("score", 6).alias("score"))
+
+
+@query("write_through", "SELECT 'patient' AS kind, count(*) AS n FROM (SELECT DISTINCT o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders WHERE o_custkey % 2 = 0) UNION ALL SELECT 'meta', count(DISTINCT o_custkey) FROM orders WHERE o_custkey % 2 = 0 UNION ALL SELECT 'rejected', count(*) FROM (SELECT DISTINCT o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders WHERE o_custkey % 2 = 1)")
+def write_through(spark, d):
+    from ..operators.writes import add_labs
+
+    o = read(spark, d, "orders")
+    pid = F.format_string("P%06d", "o_custkey").alias("patient_id")
+    labs = o.groupBy(pid, F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).agg(F.min("o_totalprice").alias("value")).withColumn("lab", F.lit("fasting glucose"))
+    known = o.where("o_custkey % 2 = 0").select(pid)
+    empty = spark.createDataFrame([], "key string, value string, expires_at double")
+    table, _, rejected = add_labs(empty, labs, known)
+    counts = table.groupBy(F.substring_index("key", ":", 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(rejected.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected").alias("kind"), "n"))
+
+
+@query("fuzzy_drug_match")
+def fuzzy_drug_match(spark, d):
+    """Questions with a letter of their drug left out: the near match finds it again."""
+    from ..functions import fixed_values as V
+    from ..functions.fuzzy import fuzzy_drugs
+
+    names = F.array(*[F.lit(x) for x in V.DRUGS if " " not in x and len(x) >= 9])
+    i = F.col("doc_id")
+    drug = F.get(names, (i % F.size(names)).cast("int"))
+    cut = (i % (F.length(drug) - 4)).cast("int") + 3
+    typo = F.concat(F.substr(drug, F.lit(1), cut - 1), F.substr(drug, cut + 1))
+    docs = read(spark, d, "documents").select("doc_id", drug.alias("drug"), F.concat(F.lit("how much "), typo, F.lit(" is usual")).alias("q"))
+    return docs.select("doc_id", "drug", F.array_join(fuzzy_drugs(F.col("q")), "|").alias("found"))
+
+
+@query("unknown_subject")
+def unknown_subject(spark, d):
+    """Words of questions that no document knows, and nearly none spells."""
+    from ..functions import text
+    from ..functions.fuzzy import unknown_words
+
+    asked = read(spark, d, "conversations").where("role = 'user'").select("conv_id", F.explode(F.array_distinct(text.found(F.lower("text"), "[a-z][a-z0-9-]{5,}"))).alias("word"))
+    known = read(spark, d, "documents").select(F.explode(text.word_set(F.col("text"))).alias("word")).distinct()
+    return unknown_words(asked, known, "conv_id")
