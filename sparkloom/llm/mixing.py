@@ -126,10 +126,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    # The text is counted where it is read and does not travel.
-    light = docs.select("doc_id", "source", F.col("text"))
-    return mix(light).select("doc_id", "size", "source_size", "target", "taken")
+    # The text is counted where it is read and does not travel, since no column of the result needs it.
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = r"""
