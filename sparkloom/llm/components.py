@@ -14,7 +14,9 @@ def components(edges: DataFrame) -> DataFrame:
     Every round is written to the shared folder, so a lost executor costs one round at most, and the
     driver sees only the number of labels that changed. Rounds grow with the diameter of the links.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # Written before both directions are read: a second computation may give other links for the same sets.
+    edges = saved(edges.select("a", "b"), "edges")
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = saved(both.where("a != b").distinct(), "links")
     labels = saved(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "labels")
     while True:
