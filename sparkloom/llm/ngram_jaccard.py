@@ -367,6 +367,7 @@ def links(docs: DataFrame, text: str, total: int, salt: int) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
         .select("grp", "i", "j", "node", "block", "n_shingles", "tokens")
+        .repartition("grp", "i", "j")  # else a plan that has dealt by group already keeps all blocks of it in one task
     )
     return blocked.groupBy("grp", "i", "j").applyInArrow(_verified, "a long, b long")
 
