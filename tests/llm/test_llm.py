@@ -275,6 +275,21 @@ def test_jaccard_awkward(spark, awkward, nothing):
     assert ngram_jaccard.join(nothing).count() == 0 and ngram_jaccard.representatives(nothing).columns == nothing.columns
 
 
+def test_components_of_links_that_change_when_computed_again(spark):
+    from sparkloom.llm.components import components
+
+    def forest(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            order = list(range(40))
+            random.SystemRandom().shuffle(order)
+            yield pa.RecordBatch.from_arrays([pa.array(order[:-1], pa.int64()), pa.array(order[1:], pa.int64())], names=["a", "b"])
+
+    links = spark.range(0, 1, 1, 1).mapInArrow(forest, "a long, b long")
+    assert {(r.node, r.root) for r in components(links).collect()} == {(i, 0) for i in range(40)}
+
+
 # --- line dedup --------------------------------------------------------------------------------
 def test_line_dedup_rules(spark, awkward, nothing):
     got = {(r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup(awkward).collect()}
