@@ -1,9 +1,10 @@
 """Chat formatting: tool calls linked with their results, ordered, checked and serialised.
 
 Calls and results are hash-joined by identifier. Calls that name others (``after``) are ordered
-topologically, in rounds: a call gets its level when all it names have theirs; each round is a join of the
-call table with itself, written to the shared folder, so rounds grow with the depth of the
-longest chain and no conversation is gathered in one task. Arguments are parsed as JSON and checked against the schema of
+topologically by joins of the call table with itself, written to the shared folder, so no conversation is
+gathered in one task: chains of calls that wait for one other are shortened by pointer doubling, in rounds that
+grow with the logarithm of their length; calls that wait for several get their level when all those have
+theirs. Arguments are parsed as JSON and checked against the schema of
 their tool. A call is serialised with its result as canonical JSON: keys sorted, no white space.
 
 Defined results: of calls with one id the first by sequence (then by its text) counts, likewise of results; a
@@ -51,24 +52,51 @@ def problem(name: Column, parsed: Column, schemas: dict = SCHEMAS) -> Column:
     return out
 
 
+def _chains(edges: DataFrame, single: DataFrame) -> DataFrame:
+    """For calls that wait for one other: the first call up the chain that waits for none or several (``anchor``), and how far up.
+
+    By pointer doubling: every round doubles the stretch that is known, so a chain of n calls takes log n rounds.
+    What a round leaves open while it closes nothing new is on a cycle or behind one, and gets no row."""
+    up = edges.join(single, "id").select("id", F.col("dep").alias("anchor"), F.lit(1).alias("far"))
+    is_single = single.select(F.col("id").alias("anchor"), F.lit(True).alias("open"))
+    state = saved(up.join(is_single, "anchor", "left").select("id", "anchor", "far", F.coalesce("open", F.lit(False)).alias("open")), "chains")
+    left = None
+    while True:
+        still = state.where("open").count()
+        if still in (0, left):
+            return state.where("not open").drop("open")
+        left = still
+        above = state.select(F.col("id").alias("anchor"), F.col("anchor").alias("a2"), F.col("far").alias("f2"), F.col("open").alias("o2"))
+        moved = state.where("open").join(above, "anchor").select("id", F.col("a2").alias("anchor"), (F.col("far") + F.col("f2")).alias("far"), F.col("o2").alias("open"))
+        state = saved(state.where("not open").unionByName(moved), "chains")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """``id`` and ``level`` (0 for calls that wait for none; null on cycles) of a table with ``id`` and ``after``."""
     wanted = calls.select("id", F.explode("after").alias("dep")).distinct()
-    edges = saved(wanted.join(calls.select(F.col("id").alias("dep")), "dep"), "edges")
-    state = saved(calls.select("id").join(edges.select("id").distinct().withColumn("waits", F.lit(True)), "id", "left").select("id", F.when(F.col("waits").isNull(), 0).alias("level")), "levels")
-    done = -1
-    while True:
-        count = state.where("level is not null").count()
-        if count == done or state.where("level is null").isEmpty():
-            return state
-        done = count
-        ready = (
-            edges.join(state.where("level is null").select("id"), "id", "left_semi")
-            .join(state.select(F.col("id").alias("dep"), "level"), "dep")
-            .groupBy("id").agg(F.max("level").alias("deepest"), F.count_if(F.col("level").isNull()).alias("open"))
-            .where("open = 0").select("id", (F.col("deepest") + 1).alias("found"))
-        )
-        state = saved(state.join(ready, "id", "left").select("id", F.coalesce("level", "found").alias("level")), "levels")
+    edges = saved(wanted.join(calls.select(F.col("id").alias("dep")), "dep").select("id", "dep"), "edges")
+    waits = saved(edges.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "waits")
+    single = waits.where("n = 1").select("id")
+    roots = calls.select("id").join(waits.select("id"), "id", "left_anti").select("id", F.lit(0).alias("level"))
+    hung = _chains(edges, single)
+    several = waits.where("n > 1").select("id", "n")
+    # What is left is a graph of the calls that wait for several, over chains that count as one step.
+    known = roots
+    if not several.isEmpty():
+        place = hung.unionByName(roots.select("id", F.col("id").alias("anchor"), F.lit(0).alias("far"))).unionByName(several.select("id", F.col("id").alias("anchor"), F.lit(0).alias("far")))
+        steps = saved(edges.join(several, "id").join(place.withColumnRenamed("id", "dep"), "dep").select("id", "n", "anchor", "far"), "steps")
+        known, fresh = saved(roots, "levels"), None
+        while True:
+            ready = (
+                steps.join(known.withColumnRenamed("id", "anchor"), "anchor").groupBy("id", "n")
+                .agg(F.count(F.lit(1)).alias("have"), F.max(F.col("level") + F.col("far") + 1).alias("level")).where("have = n").select("id", "level")
+            )
+            fresh = saved(ready.join(known.select("id"), "id", "left_anti"), "fresh")
+            if fresh.isEmpty():
+                break
+            known = saved(known.unionByName(fresh), "levels")
+    below = hung.join(known.withColumnRenamed("id", "anchor"), "anchor").select("id", (F.col("level") + F.col("far")).alias("level"))
+    return calls.select("id").join(known.unionByName(below), "id", "left")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
