@@ -25,12 +25,15 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words whose encoding a worker remembers at a time; more are encoded anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
+#: Rows that are encoded before they are handed on.
+ROWS = 512
 #: Texts of only these characters are split here; the rest go through the library's own normaliser and splitter.
 _OTHER = re.compile("[^\t\n\r -~¡-įı-ſ]")
 _SPLIT = re.compile(
@@ -261,16 +264,16 @@ def apply(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(spec.value)
-        for batch in batches:
-            rows = []
-            for t in batch.column(1):
-                ids, said = codec.encode(t.as_py())
-                back = codec.decode(ids)
-                row = {"n_tokens": len(ids), "ids_sha256": _sha(said), "decoded_sha256": _sha(back), "ids": ids, "decoded": back}
-                rows.append([row[c] for c in columns])
-            cols = list(zip(*rows, strict=True)) or [()] * len(columns)
-            made = [pa.array(x, MADE[c][1]) for c, x in zip(columns, cols, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[key, *columns])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch, rows = whole.slice(start, ROWS), []
+                for t in batch.column(1):
+                    ids, said = codec.encode(t.as_py())
+                    back = codec.decode(ids)
+                    row = {"n_tokens": len(ids), "ids_sha256": _sha(said), "decoded_sha256": _sha(back), "ids": np.array(ids, dtype=np.int32), "decoded": back}
+                    rows.append([row[c] for c in columns])
+                made = [pa.array(x, MADE[c][1]) for c, x in zip(columns, zip(*rows, strict=True), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[key, *columns])
 
     out = ", ".join(f"{c} {MADE[c][0]}" for c in columns)
     return docs.select(key, F.coalesce(text, F.lit("")).alias(text)).mapInArrow(run, f"`{key}` {kind}, {out}")
