@@ -1,6 +1,7 @@
 """Quality classifier: similarity-weighted votes of the nearest labelled documents in a latent-semantic space.
 
-Terms are byte pairs of the whole text, hashed to ``BUCKETS``, and three shares of repetition. The
+Terms are byte pairs of the whole text, hashed to ``BUCKETS``, and three shares of repetition: words in
+repeated three-word windows, repeated lines, and words that their window of ``WINDOW`` words had before. The
 latent space (truncated SVD of the weighted term matrix) is fitted on at most ``SAMPLE`` labelled documents,
 those with the least hash of their id among the rows whose crc32 of the id modulo 3 is not 1. The fitted projection and
 the labelled vectors are broadcast; their size is bounded by SAMPLE, BUCKETS and DIMS alone. Every document
@@ -27,11 +28,22 @@ SAMPLE, BUCKETS, DIMS, NEIGHBOURS = 4096, 2048, 48, 15
 #: Documents in a block of cosine products, and the power of the cosine that weights a vote.
 BLOCK, POWER = 256, 8
 EXTRA = 3
+#: Words in a window of the third share.
+WINDOW = 200
 
 _code = np.arange(65536, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 FOLD = ((_code ^ (_code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.intp)
 
 
+def repeats(words: list[bytes]) -> float:
+    """Mean share of words that their window had before; windows are of equal length, so the mean does not depend on the text's."""
+    n = len(words)
+    if n <= WINDOW:
+        return 1 - len(set(words)) / n
+    starts = [*range(0, n - WINDOW, WINDOW), n - WINDOW]  # the last window ends with the text
+    return 1 - sum(len(set(words[i : i + WINDOW])) for i in starts) / (WINDOW * len(starts))
+
+
 def terms(text: str | None) -> np.ndarray:
     """Square roots of the shares of byte pairs, then the shares of repetition."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -44,7 +56,7 @@ def terms(text: str | None) -> np.ndarray:
     if words:
         out[BUCKETS] = repeat_words(words) / len(words)
         out[BUCKETS + 1] = dup_lines(text) / (text.count("\n") + 1)
-        out[BUCKETS + 2] = max(0.0, 1 - len(set(words)) / len(words)) if len(words) < 200 else max(0.0, 1 - len(set(words[:200])) / 200)
+        out[BUCKETS + 2] = repeats(words)
     return out
 
 

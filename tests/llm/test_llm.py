@@ -179,6 +179,16 @@ def test_classifier_on_held_out_rows(spark):
     assert np.mean(right) >= 0.97
 
 
+def test_repetition_is_counted_to_the_end():
+    third = lambda words: quality_knn.terms(" ".join(words))[quality_knn.BUCKETS + 2]
+    varied = [f"w{i}" for i in range(1000)]
+    assert third(varied) == 0 and third(varied[:150]) == 0
+    assert third(varied[:200] + ["junk"] * 800) == pytest.approx(0.8 * 199 / 200)
+    # The words after the last full window count too, and a longer text of the same kind gets the same value.
+    assert third(varied[:200] + ["junk"] * 100) == pytest.approx(99 / 400)
+    assert third(["a", "b"] * 300) == pytest.approx(third(["a", "b"] * 3000)) == pytest.approx(0.99)
+
+
 def test_classifier_awkward(spark, awkward, nothing):
     labels = spark.createDataFrame([(4, 1), (5, 0), (6, None), (9, 7), (None, 1)], "doc_id long, quality int")
     rows = quality_knn.score(awkward, quality_knn.train(awkward, labels)).collect()
