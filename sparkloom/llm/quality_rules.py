@@ -1,8 +1,11 @@
 """Quality rules: word, line and symbol counts, and zstandard compression bands.
 
-A text is compressed whole and in fixed chunks of ``CHUNK`` bytes. Compressed size over raw
-size is small for repetitive text and large for random text. What is normal depends on the
-length, so the limits are looked up by length; a text outside its band is rejected.
+A text is compressed whole and, from ``CHUNK`` bytes on, in overlapping chunks of ``CHUNK`` bytes or
+of half the text if that is less; the last chunk ends with the text, so every byte is in one. Compressed
+size over raw size is small for repetitive text and large for random text. What is normal depends on the
+length, so the limits of texts and of chunks are looked up by length; a text outside its band is rejected,
+and so is one with ``CHUNK_SHARE`` or more of its chunks outside theirs, which half a text of noise or
+filler reaches wherever it stands. A text below ``CHUNK`` bytes is judged as a whole only.
 
 Defined results: a null text has no words and fails the base rule; an empty text likewise;
 repeated rows are judged row by row; other columns of the input are not touched; an empty
@@ -23,9 +26,9 @@ CHUNK = 4096
 LEVEL = 3
 #: (raw bytes from, least ratio, greatest ratio) for whole texts.
 WHOLE_BANDS = ((0, 0.10, 1.30), (128, 0.25, 0.92), (512, 0.25, 0.80), (2048, 0.25, 0.72), (8192, 0.22, 0.66), (65536, 0.20, 0.62))
-#: The same for one chunk of CHUNK bytes; a text goes if more than CHUNK_SHARE of its chunks are outside.
-CHUNK_BAND = (0.12, 0.70)
-CHUNK_SHARE = 0.5
+#: The same for one chunk. Chunks begin every quarter of a chunk; of half a text of noise at least one chunk in eight is all noise.
+CHUNK_BANDS = ((2048, 0.12, 0.72), (4096, 0.12, 0.70))
+CHUNK_SHARE = 1 / 8
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SCHEMA = ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, ratio double, chunks_outside long, n_chunks long"
@@ -73,18 +76,25 @@ def dup_lines(text: str) -> int:
     return again
 
 
+def limits(table: tuple, length: int) -> tuple[float, float]:
+    """Least and greatest ratio for a length."""
+    return next((lo, hi) for least, lo, hi in reversed(table) if length >= least)
+
+
 def bands(raw: bytes, compress) -> tuple[float, int, int, bool]:
     """Ratio of the whole, chunks outside their band, number of chunks, and whether the text is within its limits."""
     if not raw:
         return 0.0, 0, 0, True
     ratio = len(compress(raw)) / len(raw)
-    low, high = next((lo, hi) for least, lo, hi in reversed(WHOLE_BANDS) if len(raw) >= least)
+    low, high = limits(WHOLE_BANDS, len(raw))
     outside = n = 0
-    for at in range(0, len(raw) - CHUNK + 1, CHUNK):  # a last part shorter than a chunk counts in the whole only
-        r = len(compress(raw[at : at + CHUNK])) / CHUNK
-        n += 1
-        outside += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]
-    return ratio, outside, n, low <= ratio <= high and outside <= CHUNK_SHARE * n
+    if len(raw) >= CHUNK:
+        long = min(CHUNK, len(raw) // 2)
+        least, most = limits(CHUNK_BANDS, long)
+        for at in (*range(0, len(raw) - long, long // 4), len(raw) - long):
+            n += 1
+            outside += not least <= len(compress(raw[at : at + long])) / long <= most
+    return ratio, outside, n, low <= ratio <= high and (not outside or outside < CHUNK_SHARE * n)
 
 
 def measure(text: str | None, compress) -> tuple:

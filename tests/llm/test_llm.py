@@ -385,6 +385,26 @@ def test_quality_counts_equal_brute_force(spark, awkward):
             assert r.base_failed == (exp[0] < 50 or 100 * exp[4] > 50 * exp[0]) and not (r.base_failed and r.kept)
 
 
+def test_half_a_text_of_noise_or_filler_goes():
+    import base64
+
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(1500)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n // 3)).encode()[:n]
+    noise = lambda n: base64.b64encode(rng.randbytes(n))[:n]
+    compress = __import__("zstandard").ZstdCompressor(level=quality_rules.LEVEL, write_content_size=False).compress
+    within = lambda raw: quality_rules.bands(raw, compress)[3]
+    assert not within(prose(4150) + noise(4000))
+    for n in (4096, 4200, 6000, 8191, 8192, 10_000, 12_288, 20_000, 40_000):
+        assert within(prose(n))
+        for bad in (noise(n // 2), (b"buy it now and save " * n)[: n // 2]):
+            assert not within(prose(n - n // 2) + bad) and not within(bad + prose(n - n // 2))
+            assert not within(prose(n // 8) + bad + prose(n - n // 2 - n // 8))
+    # All bytes are in a chunk: what follows the last full step counts.
+    assert quality_rules.bands(prose(9000) + noise(4096), compress)[1] > 0
+    assert within(prose(60_000) + noise(4096))
+
+
 def test_quality_verdicts(spark, nothing):
     rng = random.Random(2)
     prose = " ".join("".join(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ed"]) for _ in range(rng.randrange(1, 5))) for _ in range(900))
