@@ -30,10 +30,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order; a last, partial take counts if it is half the words or more."""
-    times = F.col("copies") + (2 * F.col("part") >= F.col("size")).cast("long") * (F.col("part") > 0).cast("long")
-    taken = mixing.mix(docs).withColumn("_times", times.cast("int")).where("_times > 0")
-    return taken.withColumn("_take", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """Documents as often as the mix takes them, every copy at its own place in training order; a last, partial take counts if it is half the words or more."""
+    return mixing.takes(docs, least=0.5).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

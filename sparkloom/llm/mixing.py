@@ -10,8 +10,9 @@ target by less than one word, and a document is taken MOST times at most.
 
 When. Each source has a schedule: a piecewise linear rate over training time 0..1. Its integral, scaled
 to the target, is the source's cumulative demand; a document copy that begins after c words of its source
-is due when the demand reaches c. Inverting the integral gives the training position, and the rows are
-range-sorted by it.
+is due when the demand reaches c, take j counting the words of the j passes before it. Inverting the integral
+gives the training position. ``takes`` gives every copy its own and range-sorts the copies by it; ``mix`` has
+one row per document, with the position of its first take.
 
 A source with a third of all rows is no single window: its row is cut into 1024 buckets of the digest,
 word sums of whole buckets are added up first, and each bucket is ordered by itself.
@@ -75,10 +76,18 @@ def _due(share: Column, knots) -> Column:
     return due
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, most=MOST, schedules=SCHEDULES, range_sorted: bool = True) -> DataFrame:
-    """Every row with ``size``, ``source_size``, ``target``, ``taken`` (words), ``copies`` (whole takes), ``part``
-    (words of a last, partial take) and ``position`` (of its first take: 0..1 of the training run)."""
-    added = ("size", "source_size", "target", "taken", "copies", "part", "position")
+def _position(begin: Column, schedules) -> Column:
+    """Training time at which a copy that begins after ``begin`` words of its source is due."""
+    share = F.when(F.col("target") > 0, begin / F.col("target")).otherwise(0.0)
+    due = _due(share, schedules[-1])
+    for k in range(len(schedules) - 1):
+        due = F.when(F.col("_turn") % len(schedules) == k, _due(share, schedules[k])).otherwise(due)
+    return due
+
+
+def _placed(docs: DataFrame, added: tuple[str, ...], key: str, text: str, source: str, weights, most) -> DataFrame:
+    """Every row, without columns named as in ``added``, with ``size``, ``source_size``, ``target``, ``_turn``, ``_start`` (words of its source
+    before it in one pass), ``_whole`` (whole passes) and ``_last`` (its words in the pass after those)."""
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")))
     sized = (
         docs.select(*[c for c in docs.columns if c not in added], word_count(F.col(text)).alias("size"))
@@ -108,21 +117,47 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     whole = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.floor("target").cast("long") - whole * F.col("source_size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - start)).cast("long")
-    share = F.when(F.col("target") > 0, start / F.col("target")).otherwise(0.0)
-    due = _due(share, schedules[-1])
-    for k in range(len(schedules) - 1):
-        due = F.when(F.col("_turn") % len(schedules) == k, _due(share, schedules[k])).otherwise(due)
-    out = placed.select(
+    return placed.select(
+        *[c for c in docs.columns if c not in added],
+        "size", "source_size", "target", "_turn", start.alias("_start"), whole.alias("_whole"), last.alias("_last"),
+    )
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, most=MOST, schedules=SCHEDULES, range_sorted: bool = True) -> DataFrame:
+    """Every row with ``size``, ``source_size``, ``target``, ``taken`` (words), ``copies`` (whole takes), ``part``
+    (words of a last, partial take) and ``position`` (of its first take: 0..1 of the training run)."""
+    added = ("size", "source_size", "target", "taken", "copies", "part", "position")
+    size, whole, last = F.col("size"), F.col("_whole"), F.col("_last")
+    out = _placed(docs, added, key, text, source, weights, most).select(
         *[c for c in docs.columns if c not in added],
         "size", "source_size", "target",
-        (whole * F.col("size") + last).alias("taken"),
-        (whole + F.when((last == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)).alias("copies"),
-        F.when(last < F.col("size"), last).otherwise(F.lit(0)).cast("long").alias("part"),
-        F.when(F.col("target") > start, due).alias("position"),
+        (whole * size + last).alias("taken"),
+        (whole + F.when((last == size) & (size > 0), 1).otherwise(0)).alias("copies"),
+        F.when(last < size, last).otherwise(F.lit(0)).cast("long").alias("part"),
+        F.when(F.col("target") > F.col("_start"), _position(F.col("_start"), schedules)).alias("position"),
     )
     return out.orderBy(F.col("position").asc_nulls_last(), key) if range_sorted else out
 
 
+def takes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, most=MOST, schedules=SCHEDULES, least: float = 0.0) -> DataFrame:
+    """One row per take, range-sorted by its own ``position``, with ``size``, ``source_size``, ``target``, ``take`` (from 0) and
+    ``words`` (``size``, or less where the target is reached inside the document). Partial takes below ``least`` of the size are left out."""
+    added = ("size", "source_size", "target", "take", "words", "position")
+    size, whole, last = F.col("size"), F.col("_whole"), F.col("_last")
+    n = whole + ((last > 0) & (last >= least * size)).cast("long")
+    words = F.when(F.col("take") < whole, size).otherwise(last)
+    return (
+        _placed(docs, added, key, text, source, weights, most)
+        .withColumn("take", F.explode(F.when((size > 0) & (n > 0), F.sequence(F.lit(0).cast("long"), n - 1))))
+        .select(
+            *[c for c in docs.columns if c not in added],
+            "size", "source_size", "target", "take", words.alias("words"),
+            _position(F.col("_start") + F.col("take") * F.col("source_size"), schedules).alias("position"),
+        )
+        .orderBy("position", key, "take")
+    )
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

@@ -119,6 +119,34 @@ def test_mixing_schedule_inverts(spark):
         assert abs(np.interp(r.t, grid, area) / area[-1] - r.y) < 1e-4
 
 
+def test_mixing_takes_follow_their_schedules(spark):
+    import corpus_pipeline
+
+    # "a" has 5/8 of the weight and few words: it is taken three times. "b" is taken more than once, "c" in part.
+    rows = [(100 * k + i, " ".join(["w"] * (5 + i % 4)), None, s, None) for k, (s, n) in enumerate((("a", 40), ("b", 30), ("c", 90))) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.takes(docs).collect()
+    assert [r.position for r in got] == sorted(r.position for r in got) and len({(r.doc_id, r.take) for r in got}) == len(got)
+    whole = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    words = Counter()
+    for r in got:
+        words[r.doc_id] += r.words
+    assert words == Counter({k: v for k, v in whole.items() if v}) and max(r.take for r in got) == 2
+    for turn, source in enumerate("abc"):
+        (_, r0), (_, r1) = mixing.SCHEDULES[turn]
+        before = 0
+        for r in (r for r in got if r.source == source):
+            demand = (r0 * r.position + (r1 - r0) * r.position**2 / 2) / ((r0 + r1) / 2) * r.target
+            assert abs(demand - before) < 1e-6 * r.target
+            before += r.words
+        assert abs(before - r.target) < 1
+    # The stage keeps whole takes and partial ones from half on, in the same order, copies apart.
+    kept = [r.doc_id for r in got if 2 * r.words >= r.size]
+    stage = [r.doc_id for r in corpus_pipeline.mixed(spark, docs, SF).collect()]
+    assert stage == kept and not any(x == y for x, y in zip(stage, stage[1:]))
+    assert max(i for i, k in enumerate(stage) if k < 100) > 0.9 * len(stage)
+
+
 def test_mixing_awkward(spark, awkward, nothing):
     rows = mixing.mix(awkward).collect()
     assert len(rows) == 13 and {r.doc_id for r in rows if r.size == 0} == {1, 2, 3} and all(r.taken == 0 for r in rows if r.size == 0)
