@@ -10,8 +10,11 @@ Formatting inside a block (b, span, br, ...) is no tag of its own here: it would
 than the article around it. Where every other part of the parent is at the threshold too (an article in
 sections), the parent is taken instead, as often as that holds.
 
-Elements that never hold article text (scripts, navigation, forms, ...; by tag, ARIA role, or a class or id that
-names such a part) are taken out of the tree beforehand, and so are headers, footers and asides.
+Elements that never hold article text (scripts, navigation, ...; by tag or ARIA role) are taken out of the tree
+beforehand, and so are headers, footers and asides. A form, or an element whose class or id names such a part, is
+taken out unless it can be a wrapper of the article: at most ``LINKED`` of its characters are in links, and it holds a
+main element or h1 (the first article where the page has neither) or, where no main or article stands outside it, ``BULK``
+of the page's text. Bulk alone does not keep comments. Names after has-, no-, with- or before -enabled and the like state what the page has and name no part.
 
 Defined results: a null or empty page, or one without text, gives an empty text; broken markup is read
 leniently (a missing end tag ends with its parent, a stray end tag is dropped); repeated rows answer
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
 FURNITURE = frozenset(
-    "script style noscript template iframe noembed noframes svg math object canvas audio video head title nav header footer aside form button select "
+    "script style noscript template iframe noembed noframes svg math object canvas audio video head title nav header footer aside button select "
     "textarea input option label fieldset dialog menu".split()
 )
 BLOCKS = frozenset(
@@ -46,6 +49,10 @@ NAMED = re.compile(
     r"recommended|pagination|pager|tags|copyright|skip-?link)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+STATES = re.compile(r"(?<![^\s_-])(?:(?:has|have|no|with|without)[_-][a-z]+(?:[_-]?list|[_-]?link)?|[a-z]+[_-](?:enabled|disabled|on|off))(?![^\s_-])", re.IGNORECASE)
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|disqus|respond|replies)(?:$|[\s_-])", re.IGNORECASE)
+#: A wrapper holds at least BULK of the page's characters, and at most LINKED of its own are in links.
+BULK, LINKED = 0.5, 0.5
 #: A start tag of these ends an open element of those (before it was closed).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
@@ -58,24 +65,54 @@ COUNTED = (BLOCKS | {"a"}) - {"br", "hr"}
 
 
 class Node:
-    __slots__ = ("tag", "kids", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "out", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, out: bool = False):
-        self.tag, self.kids, self.out = tag, [], out
+    def __init__(self, tag: str, out: bool = False, named: str = ""):
+        self.tag, self.kids, self.out, self.named = tag, [], out, named
 
 
-def _furniture(tag: str, attrs: str) -> bool:
+def _furniture(tag: str, attrs: str) -> tuple[bool, str]:
+    """Whether the element is out at all events, and what names it as furniture."""
     if tag in FURNITURE:
-        return True
+        return True, ""
+    named = "form" if tag == "form" else ""
     if not attrs or tag in ("html", "body", "main", "article"):
-        return False
+        return False, named
     for name, a, b, c in ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name == "role" and value.lower() in ROLES or name in ("class", "id") and NAMED.search(value):
-            return True
-    return False
+            return True, ""
+        if name == "role" and value.lower() in ROLES:
+            return True, ""
+        if name in ("class", "id") and NAMED.search(value) and NAMED.search(value := STATES.sub(" ", value)):
+            named += f" {value}"
+    return False, named
+
+
+def prune(root: Node) -> None:
+    """Take out the named elements that are no wrapper of the article."""
+    nodes = _order(root)
+    if not any(x.named for x in nodes):
+        return
+    heads = {id(x) for x in nodes if x.tag in ("main", "h1")} or {id(x) for x in [x for x in nodes if x.tag == "article"][:1]}
+    proper = sum(x.tag in ("main", "article") for x in nodes)
+    holds, inner = set(), {}
+    for x in reversed(nodes):
+        x.chars = x.link_chars = 0
+        inner[id(x)] = (x.tag in ("main", "article")) + sum(inner[id(k)] for k in x.kids if type(k) is Node and not k.out)
+        for k in x.kids:
+            if type(k) is str:
+                x.chars += len("".join(k.split()))
+            elif not k.out:
+                x.chars += k.chars
+                x.link_chars += k.chars if k.tag == "a" else k.link_chars
+                if id(k) in heads or id(k) in holds:
+                    holds.add(id(x))
+    for x in nodes:
+        if x.named:
+            head = id(x) in heads or id(x) in holds
+            bulk = x.chars >= BULK * root.chars and inner[id(x)] == proper and not COMMENTS.search(x.named)
+            x.out = not (head or bulk) or x.link_chars > LINKED * x.chars
 
 
 def parse(page: str) -> Node:
@@ -122,7 +159,7 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].tag in BLOCKS:
                     break
-        node = Node(tag, _furniture(tag, m[3]))
+        node = Node(tag, *_furniture(tag, m[3]))
         stack[-1].kids.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
             continue
@@ -131,6 +168,7 @@ def parse(page: str) -> Node:
             at = end.end() if end else n
             continue
         stack.append(node)
+    prune(root)
     return root
 
 
@@ -140,7 +178,7 @@ def _order(root: Node) -> list[Node]:
     while todo:
         x = todo.pop()
         out.append(x)
-        todo += [k for k in x.kids if type(k) is Node and not k.out]
+        todo += [k for k in reversed(x.kids) if type(k) is Node and not k.out]
     return out
 
 

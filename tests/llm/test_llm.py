@@ -465,6 +465,23 @@ def test_html_main_text(main, text):
     assert html_text.extract(PAGE.replace("{main}", main)) == text
 
 
+@pytest.mark.parametrize("wrapper", [
+    '<div class="layout has-sidebar">', '<div id="content" class="no-sidebar">', '<div class="page with-nav">', '<div class="sidebar-layout">', "<form id=aspnet>", '<div class="share-enabled">',
+])
+@pytest.mark.parametrize("head", ["<h1>Head of it</h1>", ""])
+def test_html_wrappers_keep_the_article(wrapper, head):
+    article = "".join(f"<p>Paragraph {i} of the article has a number of words, and it has no links.</p>" for i in range(6))
+    text = [*(["Head of it"] if head else []), *(f"Paragraph {i} of the article has a number of words, and it has no links." for i in range(6))]
+    side = '<div class="sidebar"><a href="/">One</a> <a href="/">Two</a></div><div class="comments"><p>A comment.</p></div>'
+    end = "</form>" if wrapper.startswith("<form") else "</div>"
+    assert html_text.extract(f"<html><body>{wrapper}<div>{head}{article}</div>{side}{end}</body></html>").split("\n") == text
+
+
+def test_html_long_comments_go():
+    page = "<body><div><h1>Head</h1><p>The short text of the article.</p></div><div id=comments>" + "<p>Many words of a comment under it.</p>" * 20 + "</div></body>"
+    assert "comment" not in html_text.extract(page)
+
+
 def test_html_pages_and_awkward(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in html_text.text_of(pages, keep=("page_id", "url")).join(pages.select("page_id", "html"), "page_id").collect():
