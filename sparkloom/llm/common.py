@@ -24,6 +24,14 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def spare(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that none of the frames has; Spark does not tell upper from lower case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while f"_{name}".lower() in taken:
+        name += "_"
+    return f"_{name}"
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 

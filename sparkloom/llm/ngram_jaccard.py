@@ -5,8 +5,9 @@ similarity t or more share a token among the first |x| - ceil(t|x|) + 1 tokens o
 The orders here put rare tokens first (document frequency, capped at ``COMMON``) and differ in how
 they break ties. A pair is a candidate only if every order admits it. Pairs are never listed:
 an order links each document to the least document of every prefix token, the connected sets
-of these links hold every pair that the order admits, and the next order works inside them. What is
-left is verified exactly, block against block, with the tokens that occur in two documents or more.
+of these links hold every pair that the order admits, and the next order works inside them. In a group of more than
+a block, sets similar to a pivot are linked with it and need no comparison among themselves. What is left is verified
+block against block: pairs that share a prefix token under each order are counted exactly, with the tokens that occur in two documents or more.
 
 Rows with equal sets form one node from the start; a group of copies is one node, however large.
 
@@ -23,17 +24,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, spare
 from .components import components
 
 WIDTH, PERCENT = 5, 80
 #: Document frequencies from here on count as one: such tokens are ordered by hash alone.
 COMMON = 64
-#: Documents and tokens sorted together before the shuffle, tokens in one task after it, documents in one block of verification.
-DOCS, LOT, TOKENS, BLOCK = 1 << 15, 2_000_000, 3_000_000, 256
+#: Documents and tokens sorted together before the shuffle, tokens dealt to one group after it, tokens of a group worked on at a time.
+DOCS, LOT, TOKENS, SLICE = 1 << 15, 1_000_000, 3_000_000, 500_000
+#: Documents and tokens in one block of verification.
+BLOCK, BLOCK_TOKENS = 256, 200_000
+#: Bytes of a text that are hashed at a time.
+STRETCH = 1 << 16
+#: The global token orders: rare tokens first, ties by the hash with this seed.
+ORDERS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -50,34 +57,45 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-class Shingler:
-    """Sets of shingle hashes of texts. A word's hash is a polynomial of its bytes, taken from running sums."""
-
-    def __init__(self):
-        self._powers(1 << 16)
-
-    def _powers(self, n: int) -> None:
-        self.up = np.cumprod(np.full(n, _BASE), dtype=np.uint64)
-        self.down = np.cumprod(np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64))), dtype=np.uint64)
-
-    def set_of(self, text: str | None) -> np.ndarray:
-        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)  # bytes: only A-Z
-        n = len(raw)
-        if n > len(self.up):
-            self._powers(2 * n)
-        edge = np.diff(_BLANK[raw], prepend=True, append=True).nonzero()[0]
-        start, end = edge[::2], edge[1::2]
-        if not len(start):
-            return np.empty(0, dtype=np.uint64)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[raw] * self.up[:n], out=total[1:])
-        h = mix((total[end] - total[start]) * self.down[start])
-        k = min(WIDTH, len(h))
-        m = len(h) - k + 1
-        s = h[:m] * _ODD[0]
-        for i in range(1, k):
-            s += h[i : i + m] * _ODD[i]
-        return np.unique(mix(s, k))
+_UP = np.cumprod(np.full(2 * STRETCH, _BASE), dtype=np.uint64)
+_DOWN = np.cumprod(np.full(2 * STRETCH, np.uint64(pow(int(_BASE), -1, 1 << 64))), dtype=np.uint64)
+
+
+def _word_hashes(raw: np.ndarray) -> np.ndarray:
+    """A hash for each word: a polynomial of its bytes, taken from running sums, so it does not depend on where the word stands."""
+    n = len(raw)
+    up, down = _UP, _DOWN
+    if n > len(up):  # one word of more than a stretch
+        up = np.cumprod(np.full(n, _BASE), dtype=np.uint64)
+        down = np.cumprod(np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64))), dtype=np.uint64)
+    edge = np.diff(_BLANK[raw], prepend=True, append=True).nonzero()[0]
+    start, end = edge[::2], edge[1::2]
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[raw] * up[:n], out=total[1:])
+    return mix((total[end] - total[start]) * down[start])
+
+
+def set_of(text: str | None) -> np.ndarray:
+    """The sorted shingle hashes of a text; long texts are hashed stretch by stretch, cut at blanks."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)  # bytes: only A-Z
+    words, at, n = [], 0, len(raw)
+    blank = _BLANK[raw]
+    while at < n:
+        end = at + STRETCH
+        if end < n:
+            end += int(blank[end:].argmax())
+            end = end if blank[end] else n
+        words.append(_word_hashes(raw[at:end]))
+        at = end
+    h = np.concatenate(words) if words else np.empty(0, dtype=np.uint64)
+    if not len(h):
+        return h
+    k = min(WIDTH, len(h))
+    m = len(h) - k + 1
+    s = h[:m] * _ODD[0]
+    for i in range(1, k):
+        s += h[i : i + m] * _ODD[i]
+    return np.unique(mix(s, k))
 
 
 def node_of(tokens: np.ndarray, salt: int) -> tuple[int, int]:
@@ -88,11 +106,10 @@ def node_of(tokens: np.ndarray, salt: int) -> tuple[int, int]:
 
 def _nodes(key: str, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
         for batch in batches:
             sizes, nodes, checks = [], [], []
             for t in batch.column(1):
-                s = shingler.set_of(t.as_py())
+                s = set_of(t.as_py())
                 node, check = node_of(s, salt) if len(s) else (None, None)
                 sizes.append(len(s))
                 nodes.append(node)
@@ -118,9 +135,10 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-PARTS = "part int, tokens binary, owners binary, nodes binary, wholes binary, marks binary"
+PARTS = "part int, told boolean, tokens binary, owners binary, nodes binary, wholes binary, marks binary"
 LOTS = "part int, nodes binary, wholes binary, sizes binary, tokens binary, freqs binary"
 LISTS = "node long, n_shingles long, tokens binary, freqs binary"
+_LISTS = pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("tokens", pa.binary()), ("freqs", pa.binary())])
 
 
 def _free(n, shared):
@@ -132,113 +150,151 @@ def _range_of(x: np.ndarray, parts: int) -> np.ndarray:
     return ((x >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values of a sorted array begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+
+
+def _column(batch: pa.RecordBatch, name: str, kind) -> list[np.ndarray]:
+    """A binary column as arrays, without a copy."""
+    return [np.frombuffer(x.as_buffer(), dtype=kind) if x.is_valid and len(x.as_buffer()) else np.empty(0, kind) for x in batch.column(name)]
+
+
 def _parted(parts: int, salt: int):
-    """Tokens with their documents, dealt out by token range, a row for each lot and range. A token that is common
-    in one lot is known to be common everywhere: its documents are told at once (part -1) and a mark goes to its range."""
+    """Tokens with their documents, dealt out by token range, a row for each lot and range that the lot has tokens of. A token
+    that is common in one lot is known to be common everywhere: its documents are told at once (``told``) and a mark goes to its range."""
 
     def lot(sets: dict[int, np.ndarray]) -> Iterator[tuple]:
         nodes = np.fromiter(sets, dtype=np.int64, count=len(sets))
-        tokens = np.concatenate(list(sets.values()))
         wholes = np.array([len(s) for s in sets.values()], dtype=np.int32)
-        owners = np.repeat(np.arange(len(sets), dtype=np.uint16), wholes)
+        tokens = np.concatenate(list(sets.values()))
         sets.clear()
+        owners = np.repeat(np.arange(len(nodes), dtype=np.uint16), wholes)
         order = np.argsort(tokens)
         tokens, owners = tokens[order], owners[order]
-        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        del order
+        starts = _starts(tokens)
         counts = np.diff(np.append(starts, len(tokens)))
         marks = tokens[starts[counts >= COMMON]]
         if len(marks):
             common = np.repeat(counts >= COMMON, counts)
-            yield -1, _pack(tokens[common]), owners[common].tobytes(), nodes.tobytes(), wholes.tobytes(), b""
+            yield int(nodes[0]) % parts, True, _pack(tokens[common]), owners[common].tobytes(), nodes.tobytes(), wholes.tobytes(), b""
             tokens, owners = tokens[~common], owners[~common]
-        edges = np.arange(parts + 1, dtype=np.uint64)
-        bounds, marked = np.searchsorted(_range_of(tokens, parts), edges), np.searchsorted(_range_of(marks, parts), edges)
-        for p in range(parts):
-            own, back = np.unique(owners[bounds[p] : bounds[p + 1]], return_inverse=True)
-            yield p, _pack(tokens[bounds[p] : bounds[p + 1]]), back.astype(np.uint16).tobytes(), nodes[own].tobytes(), wholes[own].tobytes(), marks[marked[p] : marked[p + 1]].tobytes()
+        of_token, of_mark = _range_of(tokens, parts), _range_of(marks, parts)
+        for p in np.union1d(of_token, of_mark):
+            i, j = np.searchsorted(of_token, [p, p + np.uint64(1)])
+            own, back = np.unique(owners[i:j], return_inverse=True)
+            a, b = np.searchsorted(of_mark, [p, p + np.uint64(1)])
+            yield int(p), False, _pack(tokens[i:j]), back.astype(np.uint16).tobytes(), nodes[own].tobytes(), wholes[own].tobytes(), marks[a:b].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sets, held = Shingler(), {}, 0
+        sets, held = {}, 0
+        kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
 
         def out():
-            cols = list(zip(*lot(sets), strict=True))
-            kinds = [pa.int32(), *[pa.binary()] * 5]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "tokens", "owners", "nodes", "wholes", "marks"])
+            rows = []
+            for row in lot(sets):
+                rows.append(row)
+                if len(rows) == 64:
+                    yield rows
+                    rows = []
+            if rows:
+                yield rows
+
+        def made():
+            for rows in out():
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "told", "tokens", "owners", "nodes", "wholes", "marks"])
 
         for batch in batches:
             for t in batch.column(0):
-                s = shingler.set_of(t.as_py())
+                s = set_of(t.as_py())
                 if len(s):
                     held += len(s)
                     sets[node_of(s, salt)[0]] = s
                     if len(sets) >= DOCS or held >= LOT:
-                        yield out()
+                        yield from made()
                         held = 0
         if sets:
-            yield out()
+            yield from made()
 
     return run
 
 
-def _by_node(nodes: np.ndarray, wholes: np.ndarray, tokens: np.ndarray, freqs: np.ndarray, parts: int) -> pa.Table:
-    """Entries in any order, as one row for each range of nodes."""
-    order = np.argsort(nodes, kind="stable")
-    nodes, wholes, tokens, freqs = nodes[order], wholes[order], tokens[order], freqs[order]
-    starts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]])) if len(nodes) else np.empty(0, np.int64)
-    sizes = np.diff(np.append(starts, len(nodes))).astype(np.int64)
-    names, wholes = nodes[starts], wholes[starts]
-    part = _range_of(mix(names.view(np.uint64)), parts).astype(np.int64)
+def _by_node(nodes: np.ndarray, wholes: np.ndarray, tokens: np.ndarray, freqs: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Entries in any order, as one row for each range of nodes; nodes stand in the order of their scattered numbers."""
+    where = mix(nodes.view(np.uint64))
+    order = np.argsort(where, kind="stable")
+    nodes, wholes, tokens, freqs, where = nodes[order], wholes[order], tokens[order], freqs[order], where[order]
+    starts = _starts(where)
+    ends = np.append(starts[1:], len(nodes)) if len(nodes) else starts
+    part = _range_of(where[starts], parts).astype(np.int64)
     rows = []
     for p in np.unique(part):
-        here = part == p
-        entries = np.repeat(here, sizes)
-        rows.append((int(p), names[here].tobytes(), wholes[here].tobytes(), sizes[here].tobytes(), tokens[entries].tobytes(), freqs[entries].tobytes()))
+        i, j = np.searchsorted(part, [p, p + 1])
+        at, span = starts[i:j], slice(starts[i], ends[j - 1])
+        rows.append((int(p), nodes[at].tobytes(), wholes[at].tobytes(), (ends[i:j] - at).tobytes(), tokens[span].tobytes(), freqs[span].tobytes()))
     cols = list(zip(*rows, strict=True)) or [()] * 6
-    return pa.table([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "nodes", "wholes", "sizes", "tokens", "freqs"])
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "nodes", "wholes", "sizes", "tokens", "freqs"])
 
 
-def _frequencies(parts: int):
-    def run(table: pa.Table) -> pa.Table:
-        """Of one token range: for every token in two documents or more, its documents and its capped frequency."""
-        tokens, nodes, wholes, marks = [], [], [], []
-        for i in range(table.num_rows):
-            own = np.frombuffer(table["owners"][i].as_py(), dtype=np.uint16)
-            tokens.append(_unpack(table["tokens"][i].as_py()))
-            nodes.append(np.frombuffer(table["nodes"][i].as_py(), dtype=np.int64)[own])
-            wholes.append(np.frombuffer(table["wholes"][i].as_py(), dtype=np.int32)[own])
-            marks.append(np.frombuffer(table["marks"][i].as_py(), dtype=np.uint64))
-        tokens, nodes, wholes, marks = map(np.concatenate, (tokens, nodes, wholes, marks))
-        order = np.argsort(tokens)
-        tokens, nodes, wholes = tokens[order], nodes[order], wholes[order]
-        same = tokens[1:] == tokens[:-1]
-        more = np.zeros(len(tokens), dtype=bool)
-        more[1:] |= same
-        more[:-1] |= same
-        more |= np.isin(tokens, marks)
-        tokens, nodes, wholes = tokens[more], nodes[more], wholes[more]
-        order = np.lexsort((nodes, tokens))  # copies of a document in several lots count once
-        tokens, nodes, wholes = tokens[order], nodes[order], wholes[order]
-        first = np.ones(len(tokens), dtype=bool)
-        first[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
-        tokens, nodes, wholes = tokens[first], nodes[first], wholes[first]
-        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.empty(0, np.int64)
-        counts = np.diff(np.append(starts, len(tokens)))
-        freq = np.minimum(counts, COMMON)
-        freq[np.isin(tokens[starts], marks)] = COMMON
-        every = np.repeat(freq, counts)
-        more = every >= 2
-        return _by_node(nodes[more], wholes[more], tokens[more], every[more].astype(np.uint8), parts)
+def _slices(total: int) -> int:
+    """In how many runs of their range ``total`` scattered numbers are worked on, about SLICE at a time."""
+    return max(1, -(-total // SLICE))
 
-    return run
+
+def _counted(tokens: np.ndarray, nodes: np.ndarray, wholes: np.ndarray, marks: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Of all entries of some tokens: for every token in two documents or more, its documents and its capped frequency."""
+    order = np.lexsort((nodes, tokens))  # copies of a document in several lots count once
+    tokens, nodes, wholes = tokens[order], nodes[order], wholes[order]
+    first = np.ones(len(tokens), dtype=bool)
+    first[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
+    tokens, nodes, wholes = tokens[first], nodes[first], wholes[first]
+    starts = _starts(tokens)
+    counts = np.diff(np.append(starts, len(tokens)))
+    freq = np.minimum(counts, COMMON)
+    freq[np.isin(tokens[starts], marks)] = COMMON
+    every = np.repeat(freq, counts)
+    more = every >= 2
+    return _by_node(nodes[more], wholes[more], tokens[more], every[more].astype(np.uint8), parts)
 
 
-def _common(parts: int):
+def _frequencies(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One token range. What lots tell of common tokens goes on at once; the rest is held sorted and counted slice by slice."""
+        tokens, owners, nodes, wholes, marks = [], [], [], [], []
         for batch in batches:
-            for row in batch.to_pylist():
-                tokens, owners = _unpack(row["tokens"]), np.frombuffer(row["owners"], dtype=np.uint16)
-                nodes, wholes = np.frombuffer(row["nodes"], dtype=np.int64)[owners], np.frombuffer(row["wholes"], dtype=np.int32)[owners]
-                yield from _by_node(nodes, wholes, tokens, np.full(len(tokens), COMMON, dtype=np.uint8), parts).to_batches()
+            cols = [_column(batch, c, k) for c, k in (("owners", np.uint16), ("nodes", np.int64), ("wholes", np.int32), ("marks", np.uint64))]
+            for told, packed, own, n, w, m in zip(batch.column("told").to_pylist(), batch.column("tokens"), *cols, strict=True):
+                t = _unpack(packed.as_buffer())
+                if told:
+                    for i in range(0, len(t), SLICE):
+                        o = own[i : i + SLICE]
+                        yield _by_node(n[o], w[o], t[i : i + SLICE], np.full(len(o), COMMON, dtype=np.uint8), parts)
+                else:
+                    tokens.append(t)
+                    owners.append(own.copy())
+                    nodes.append(n.copy())
+                    wholes.append(w.copy())
+                    marks.append(m)
+        if not tokens:
+            return
+        marks = np.unique(np.concatenate(marks))
+        held = [t for t in tokens if len(t)]
+        if not held:
+            return
+        low, high = min(int(t[0]) for t in held), max(int(t[-1]) for t in held)
+        runs = _slices(sum(map(len, tokens)))
+        done = [0] * len(tokens)
+        for k in range(1, runs + 1):
+            edge = np.uint64(low + (high - low) * k // runs)
+            ends = [int(np.searchsorted(t, edge, side="right")) for t in tokens]
+            some = [np.concatenate(x) for x in (
+                [t[i:j] for t, i, j in zip(tokens, done, ends, strict=True)],
+                [n[o[i:j]] for n, o, i, j in zip(nodes, owners, done, ends, strict=True)],
+                [w[o[i:j]] for w, o, i, j in zip(wholes, owners, done, ends, strict=True)],
+            )]
+            done = ends
+            yield _counted(*some, marks, parts)
 
     return run
 
@@ -246,84 +302,111 @@ def _common(parts: int):
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one range of nodes: the shared tokens of each node, with their frequencies. Nodes whose prefix
     holds none of them have no candidates and end here."""
-    rows = [row for batch in batches for row in batch.to_pylist()]
-    nodes, wholes = (np.concatenate([np.repeat(np.frombuffer(r[c], dtype=d), np.frombuffer(r["sizes"], dtype=np.int64)) for r in rows]) for c, d in (("nodes", np.int64), ("wholes", np.int32)))
-    tokens = np.concatenate([np.frombuffer(r["tokens"], dtype=np.uint64) for r in rows])
-    freqs = np.concatenate([np.frombuffer(r["freqs"], dtype=np.uint8) for r in rows])
-    rows.clear()
-    order = np.lexsort((tokens, nodes))
-    nodes, wholes, tokens, freqs = nodes[order], wholes[order], tokens[order], freqs[order]
-    first = np.ones(len(nodes), dtype=bool)  # copies of a node in several lots tell a common token again
-    first[1:] = (nodes[1:] != nodes[:-1]) | (tokens[1:] != tokens[:-1])
-    nodes, wholes, tokens, freqs = nodes[first], wholes[first], tokens[first], freqs[first]
-    starts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]])) if len(nodes) else np.empty(0, np.int64)
-    ends = np.append(starts[1:], len(nodes)) if len(nodes) else starts
-    able = _free(wholes[starts].astype(np.int64), ends - starts) > 0
-    starts, ends = starts[able], ends[able]
-    for k in range(0, len(starts), 4096):
-        span = list(zip(starts[k : k + 4096], ends[k : k + 4096], strict=True))
-        made = [pa.array([x[i:j].tobytes() for i, j in span], pa.binary()) for x in (tokens, freqs)]
-        at = starts[k : k + 4096]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(wholes[at].astype(np.int64)), *made], names=["node", "n_shingles", "tokens", "freqs"])
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        cols = [_column(batch, c, k) for c, k in (("nodes", np.int64), ("wholes", np.int32), ("sizes", np.int64), ("tokens", np.uint64), ("freqs", np.uint8))]
+        for n, w, size, t, f in zip(*cols, strict=True):
+            if len(n):
+                held.append((mix(n.view(np.uint64)), n, w, np.concatenate([[0], np.cumsum(size)]), t, f))
+    if not held:
+        return
+    low, high = min(int(x[0][0]) for x in held), max(int(x[0][-1]) for x in held)
+    runs = _slices(sum(len(x[4]) for x in held))
+    done = [0] * len(held)
+    for k in range(1, runs + 1):
+        edge = np.uint64(low + (high - low) * k // runs)
+        ends = [int(np.searchsorted(x[0], edge, side="right")) for x in held]
+        some = [(x, i, j) for x, i, j in zip(held, done, ends, strict=True) if j > i]
+        done = ends
+        if not some:
+            continue
+        nodes, wholes = (np.concatenate([np.repeat(x[c][i:j], np.diff(x[3][i : j + 1])) for x, i, j in some]) for c in (1, 2))
+        tokens, freqs = (np.concatenate([x[c][x[3][i] : x[3][j]] for x, i, j in some]) for c in (4, 5))
+        order = np.lexsort((tokens, nodes))
+        nodes, wholes, tokens, freqs = nodes[order], wholes[order], tokens[order], freqs[order]
+        first = np.ones(len(nodes), dtype=bool)  # copies of a node in several lots tell a common token again
+        first[1:] = (nodes[1:] != nodes[:-1]) | (tokens[1:] != tokens[:-1])
+        nodes, wholes, tokens, freqs = nodes[first], wholes[first], tokens[first], freqs[first]
+        starts = _starts(nodes)
+        stops = np.append(starts[1:], len(nodes))
+        able = _free(wholes[starts].astype(np.int64), stops - starts) > 0
+        starts, stops = starts[able], stops[able]
+        for at in range(0, len(starts), 512):
+            span = list(zip(starts[at : at + 512], stops[at : at + 512], strict=True))
+            made = [pa.array([x[i:j].tobytes() for i, j in span], pa.binary()) for x in (tokens, freqs)]
+            here = starts[at : at + 512]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[here]), pa.array(wholes[here].astype(np.int64)), *made], schema=_LISTS)
 
 
 def shared_tokens(docs: DataFrame, text: str, total: int, salt: int) -> DataFrame:
-    """Per node: the tokens that another node has too, sorted, with their capped frequencies."""
-    parts = max(1, min(1 << 20, -(-total // TOKENS)))
+    """Per node: the tokens that another node has too, sorted, with their capped frequencies.
+
+    ``docs`` should come from a table: a task that is run again must deal the same lots."""
+    parts = max(1, min(1 << 24, -(-total // TOKENS)))
     dealt = docs.select(text).mapInArrow(_parted(parts, salt), PARTS)
-    lots = dealt.where("part >= 0").groupBy("part").applyInArrow(_frequencies(parts), LOTS).unionByName(
-        # Common tokens are told by each lot that sees them so.
-        dealt.where("part < 0").mapInArrow(_common(parts), LOTS)
-    )
+    return dealt.groupBy("part").applyInArrow(_frequencies(parts), LOTS).groupBy("part").applyInArrow(_lists, LISTS)
 
-    def whole(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(_lists(iter(table.to_batches())), schema=pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("tokens", pa.binary()), ("freqs", pa.binary())]))
 
-    return lots.groupBy("part").applyInArrow(whole, LISTS)
+def prefix(tokens: np.ndarray, freqs: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """The shared tokens in the prefix of a set of n tokens under the order (capped frequency, hash with this seed)."""
+    free = _free(n, len(tokens))
+    return tokens[np.lexsort((mix(tokens, seed), freqs))[:free]] if free > 0 else tokens[:0]
 
 
 def _prefixes(seed: int):
-    """Prefix tokens of each document under the order (capped frequency, hash with this seed)."""
+    """Prefix tokens of each document under one order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out_node, out_token, out_group = [], [], []
-            for row in batch.to_pylist():
-                tokens = np.frombuffer(row["tokens"], dtype=np.uint64)
-                free = _free(row["n_shingles"], len(tokens))
-                if free > 0:
-                    order = np.lexsort((mix(tokens, seed), np.frombuffer(row["freqs"], dtype=np.uint8)))[:free]
-                    out_token.append(tokens[order].view(np.int64))
-                    out_node += [row["node"]] * len(order)
-                    out_group += [row["grp"]] * len(order)
-            token = np.concatenate(out_token) if out_token else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(out_node, pa.int64()), pa.array(out_group, pa.int64()), pa.array(token)], names=["node", "grp", "token"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                rows = zip(_column(batch, "tokens", np.uint64), _column(batch, "freqs", np.uint8), batch.column("n_shingles").to_pylist(), strict=True)
+                found = [prefix(t, f, n, seed) for t, f, n in rows]
+                lens = [len(x) for x in found]
+                token = np.concatenate(found).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(batch.column(c), lens), pa.int64()) for c in ("node", "grp")), pa.array(token)], names=["node", "grp", "token"])
 
     return run
 
 
 def _candidates(nodes: DataFrame, seed: int) -> DataFrame:
     """Nodes with a group each: sets of nodes that hold every pair which this order, and those before, admit."""
-    entries = nodes.mapInArrow(_prefixes(seed), "node long, grp long, token long")
+    entries = nodes.select("node", "n_shingles", "tokens", "freqs", "grp").mapInArrow(_prefixes(seed), "node long, grp long, token long")
     least = entries.groupBy("grp", "token").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     edges = entries.join(least, ["grp", "token"]).select(F.col("node").alias("a"), "b").where("a != b")
     found = components(edges)
     return nodes.drop("grp").join(found.withColumnRenamed("root", "grp"), "node")
 
 
+class Postings:
+    """Token lists turned round: how many tokens each list shares with list x."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        self.m, lens = len(lists), [len(x) for x in lists]
+        self.at = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+        _, self.ids = np.unique(np.concatenate(lists), return_inverse=True)
+        order = np.argsort(self.ids, kind="stable")
+        self.by = np.repeat(np.arange(self.m, dtype=np.int32), lens)[order]
+        self.starts = np.searchsorted(self.ids[order], np.arange(self.ids.max() + 2 if len(self.ids) else 1))
+
+    def shared(self, x: int) -> np.ndarray:
+        own = self.ids[self.at[x] : self.at[x + 1]]
+        low = self.starts[own]
+        width = self.starts[own + 1] - low
+        flat = np.repeat(low - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum()) if len(own) else own
+        return np.bincount(self.by[flat], minlength=self.m)
+
+
 def _verified(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Links of similarity PERCENT or more between two blocks (or inside one), as a forest."""
-    rows = table.to_pylist()
+    """Links of similarity PERCENT or more between two blocks (or inside one), as a forest. Pairs that share no prefix token
+    under one of the orders are no candidates."""
     first, second = key[1].as_py(), key[2].as_py()
-    m = len(rows)
-    lists = [np.frombuffer(r["tokens"], dtype=np.uint64) for r in rows]
-    lens = np.array([len(x) for x in lists])
-    _, ids = np.unique(np.concatenate(lists), return_inverse=True)
-    docs = np.repeat(np.arange(m), lens)
-    order = np.argsort(ids, kind="stable")
-    by, starts = docs[order], np.searchsorted(ids[order], np.arange(ids.max() + 2 if len(ids) else 1))
-    sizes = np.array([r["n_shingles"] for r in rows])
-    blocks = np.array([r["block"] for r in rows])
+    batch = table.combine_chunks().to_batches()[0]
+    m = batch.num_rows
+    lists, freqs = _column(batch, "tokens", np.uint64), _column(batch, "freqs", np.uint8)
+    sizes, blocks, names = (batch.column(c).to_numpy() for c in ("n_shingles", "block", "node"))
+    filters = [Postings([prefix(t, f, n, seed) for t, f, n in zip(lists, freqs, sizes.tolist(), strict=True)]) for seed in ORDERS]
+    whole = Postings(lists)
     parent = list(range(m))
 
     def root(x):
@@ -333,43 +416,99 @@ def _verified(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return x
 
     links = []
-    at = 0
     for x in range(m):
-        own = ids[at : at + lens[x]]
-        at += lens[x]
         if first != second and blocks[x] != first:
             continue
-        lo, hi = starts[own], starts[own + 1]
-        width = hi - lo
-        flat = np.repeat(lo - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
-        both = np.bincount(by[flat], minlength=m)
-        ok = 100 * both >= PERCENT * (sizes[x] + sizes - both)
-        ok[x] = False
-        ok &= blocks == second if first != second else np.arange(m) > x
-        for y in np.flatnonzero(ok):
-            p, q = root(x), root(int(y))
-            if p != q:
-                parent[p] = q
-                links.append((rows[x]["node"], rows[int(y)]["node"]))
+        ok = blocks == second if first != second else np.arange(m) > x
+        for order in filters:
+            ok &= order.shared(x) > 0
+            if not ok.any():
+                break
+        else:
+            both = whole.shared(x)
+            ok &= 100 * both >= PERCENT * (sizes[x] + sizes - both)
+            for y in np.flatnonzero(ok):
+                p, q = root(x), root(int(y))
+                if p != q:
+                    parent[p] = q
+                    links.append((int(names[x]), int(names[y])))
     return pa.table([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
 
+SETTLED = "node long, n_shingles long, tokens binary, freqs binary, grp long, kind int"
+
+
+def _near_pivot(kind: int):
+    """Sets of kind 0 that are similar to the pivot of their group get this kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, pivots = _column(batch, "tokens", np.uint64), _column(batch, "pivot", np.uint64)
+            sizes, others, kinds = (batch.column(c).to_pylist() for c in ("n_shingles", "pivot_size", "kind"))
+            for i, (x, p) in enumerate(zip(lists, pivots, strict=True)):
+                if kinds[i] == 0:
+                    both = len(np.intersect1d(x, p, assume_unique=True))
+                    if 100 * both >= PERCENT * (sizes[i] + others[i] - both):
+                        kinds[i] = kind
+            cols = [batch.column(c) for c in ("node", "n_shingles", "tokens", "freqs", "grp")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(kinds, pa.int32()), batch.column("pivot_node")], names=["node", "n_shingles", "tokens", "freqs", "grp", "kind", "pivot_node"])
+
+    return run
+
+
+def _weight() -> tuple:
+    return F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("tokens") / 8).alias("volume")
+
+
+def _settled(sets: DataFrame, rounds: int = 2) -> tuple[DataFrame, list[DataFrame]]:
+    """Groups of more than a block: those near a pivot are linked with it and need no comparison among themselves.
+
+    Returns the sets with their ``kind`` (0: near no pivot) and the links found."""
+    sets, links = sets.withColumn("kind", F.lit(0)), []
+    big = saved(sets.groupBy("grp").agg(*_weight()).where((F.col("n") > BLOCK) | (F.col("volume") > BLOCK_TOKENS)).select("grp"), "large")
+    if big.isEmpty():
+        return sets, links
+    for kind in range(1, rounds + 1):
+        chosen = F.max_by(F.struct("node", "n_shingles", "tokens"), F.struct(F.xxhash64("node"), "node"))
+        pivots = sets.where("kind = 0").join(big, "grp", "left_semi").groupBy("grp").agg(chosen.alias("p"))
+        pivots = saved(pivots.select("grp", F.col("p.node").alias("pivot_node"), F.col("p.n_shingles").alias("pivot_size"), F.col("p.tokens").alias("pivot")), "pivots")
+        # A join of a hot group with its one pivot, which adaptive execution splits.
+        told = sets.join(pivots, "grp").mapInArrow(_near_pivot(kind), f"{SETTLED}, pivot_node long")
+        told = saved(told, "settled")
+        links.append(told.where(f"kind = {kind} and node != pivot_node").select(F.col("node").alias("a"), F.col("pivot_node").alias("b")))
+        sets = sets.join(pivots.select("grp"), "grp", "left_anti").select(told.columns[:-1]).unionByName(told.drop("pivot_node"))
+    return saved(sets, "kinds"), links
+
+
 def links(docs: DataFrame, text: str, total: int, salt: int) -> DataFrame:
     """Links between different sets that join every two similar ones, directly or by way of others."""
     lists = shared_tokens(docs, text, total, salt)
     sets = saved(lists.withColumn("grp", F.lit(0).cast("long")), "sets")
-    for seed in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
+    for seed in ORDERS:
         sets = saved(_candidates(sets, seed), "candidates")
-    sized = sets.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sets, found = _settled(sets)
+    sized = sets.groupBy("grp", "kind").agg(*_weight())
+    count = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("volume") / BLOCK_TOKENS)).cast("long")
+    kinds = sized.groupBy("grp").agg(F.collect_list(F.struct("kind", count.alias("blocks"))).alias("kinds"))  # three entries at most
+    code = lambda kind, block: F.shiftleft(kind.cast("long"), 40) + block
+    own = F.filter("kinds", lambda k: k["kind"] == F.col("kind"))[0]["blocks"]
+    # Blocks of one pivot's sets meet only blocks of other kinds.
+    others = F.flatten(F.transform(
+        F.filter("kinds", lambda k: (k["kind"] != F.col("kind")) | (F.col("kind") == 0)),
+        lambda k: F.transform(F.sequence(F.lit(0).cast("long"), k["blocks"] - 1), lambda b: code(k["kind"], b)),
+    ))
     blocked = (
-        sets.join(sized, "grp")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        sets.join(kinds, "grp")
+        .withColumn("block", code(F.col("kind"), F.pmod(F.xxhash64("node"), own)))
+        .withColumn("other", F.explode(others))
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-        .select("grp", "i", "j", "node", "block", "n_shingles", "tokens")
+        .select("grp", "i", "j", "node", "block", "n_shingles", "tokens", "freqs")
         .repartition("grp", "i", "j")  # else a plan that has dealt by group already keeps all blocks of it in one task
     )
-    return blocked.groupBy("grp", "i", "j").applyInArrow(_verified, "a long, b long")
+    checked = blocked.groupBy("grp", "i", "j").applyInArrow(_verified, "a long, b long")
+    for more in found:
+        checked = checked.unionByName(more)
+    return checked
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -398,12 +537,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when one of each component stays: that with the least key (one of equal rows)."""
-    from pyspark.sql import Window
-
     found = join(docs, key, text).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    # Rows that share the key of a representative are told apart by their order in the row.
+    # Rows that share the key of a representative are told apart by their texts.
+    nth = spare("nth", docs)
     w = Window.partitionBy(key).orderBy(text)
-    kept = docs.join(found, key, "left_semi").withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    kept = docs.join(found, key, "left_semi").withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1)
     return kept.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
 
 
