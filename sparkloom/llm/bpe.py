@@ -4,11 +4,11 @@ Compiling. The automaton starts with one state that loops on every base symbol.
 (a, b) -> c, in order of rank, is one gadget: where an a-arc leads to a state with a b-arc, the
 state is split into one that a reaches, which loses its b-arc, and the old one; and a c-arc runs
 from before a to after b. Since every arc of one token leads to the same state, a state is named
-by the token last read, and the gadgets are kept as arrays (the parts of each token, the rank at
-which it was made, the arc that each merge takes away) instead of a full table of states times
-tokens. ``arc(x, t)`` reads one entry of the transition table out of the gadgets: the state after x
-is a copy of the state after the right part of x as it was when x was made, and an arc t
-was laid along the arc of the left part of t when t was made. Entries that were read are kept.
+by the token last read. The state after c is a copy of the state after b as it was when c was made, and a c-arc
+was laid along the a-arcs when c was made; so a merge takes the arc t from the state after x if x
+ended with its left part, and t began with its right part, when its turn came. Tokens that lose to the same
+merges as states are one state, and likewise as arcs; what is left is the transition table, one bit for each pair of
+classes (20 MB for 49 000 tokens). It is made once, on the driver, and broadcast; encoding only reads it.
 
 A word has exactly one path of arcs that spells it; its tokens are the encoding. Decoding emits
 the arc labels of the ids.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words whose encoding a worker remembers at a time; more are encoded anew.
-REMEMBERED = 150_000
+REMEMBERED = 120_000
 #: Rows that are encoded before they are handed on.
 ROWS = 512
 #: Texts of only these characters are split here; the rest go through the library's own normaliser and splitter.
@@ -56,35 +57,31 @@ class Automaton:
     """The compiled merges: arrays over tokens, one entry for each gadget."""
 
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
-        self.ids, self.suffix, n = vocab, suffix, max(vocab.values(), default=-1) + 1
+        self.suffix, n = suffix, max(vocab.values(), default=-1) + 1
         self.n = n
-        self.left, self.right, self.born = [-1] * n, [-1] * n, [-1] * n
-        self.live = [False] * n  # whether any arc carries the token
-        self.cut: dict[int, int] = {}  # x * n + t -> rank of the merge that takes arc t from the state after x
-        self.table: dict[int, bool] = {}
-        made = set()
+        left, right, born = [-1] * n, [-1] * n, [-1] * n
+        live = [False] * n  # whether any arc carries the token
+        cut: dict[int, int] = {}  # x * n + t -> rank of the merge that takes arc t from the state after x
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
-        for a, b in pairs:
-            made.add(a + b)
+        made = {a + b for a, b in pairs}
         for token, i in vocab.items():
-            self.live[i] = token not in made
+            live[i] = token not in made
         for rank, (a, b) in enumerate(pairs):
-            self._gadget(rank, vocab[a], vocab[b], vocab[a + b])
+            a, b, c = vocab[a], vocab[b], vocab[a + b]
+            if born[c] >= 0:
+                raise ValueError(f"two merges make the token {c}")
+            if live[a] and live[b] and self._walk(a, b, rank, cut, born, left, right):
+                left[c], right[c], born[c], live[c] = a, b, rank, True
+                cut[a * n + b] = rank
         self.label = [""] * n
         for token, i in vocab.items():
             self.label[i] = token
-        self._lay()
+        self._tabulate(cut, born, left, right)
+        self._lay(vocab, live)
 
-    def _gadget(self, rank: int, a: int, b: int, c: int) -> None:
-        if self.born[c] >= 0:
-            raise ValueError(f"two merges make the token {c}")
-        if self.live[a] and self.live[b] and self._walk(a, b, rank):
-            self.left[c], self.right[c], self.born[c], self.live[c] = a, b, rank, True
-            self.cut[a * self.n + b] = rank
-
-    def _walk(self, x: int, t: int, before: int) -> bool:
+    def _walk(self, x: int, t: int, before: int, cut: dict, born: list, left: list, right: list) -> bool:
         """Whether the state after x has an arc t once all merges ranked under ``before`` are built in."""
-        n, cut, born, left, right = self.n, self.cut, self.born, self.left, self.right
+        n = self.n
         while True:
             r = cut.get(x * n + t)
             if r is not None and r < before:
@@ -99,22 +96,55 @@ class Automaton:
             else:
                 x, t, before = right[x], left[t], bx
 
+    def _losses(self, cuts: dict[int, list[int]], born: list, inner: list, ahead: int) -> tuple[array, list[tuple[int, ...]]]:
+        """Class of each token, and of each class the merges that it can lose to: those that have, as their part, the piece of the
+        token that stood there when their turn came. ``ahead`` is 1 if the merge that made the next larger piece counts too."""
+        number: dict[tuple[int, ...], int] = {}
+        of = array("i", [0]) * self.n
+        for x in range(self.n):
+            lost, y, until = [], x, 1 << 40
+            while y >= 0:
+                lost += [r for r in cuts.get(y, ()) if born[y] < r < until]
+                y, until = inner[y], born[y] + ahead
+            of[x] = number.setdefault(tuple(sorted(lost)), len(number))
+        return of, list(number)
+
+    def _tabulate(self, cut: dict, born: list, left: list, right: list) -> None:
+        """The transition table: ``table[row[x] + (column[t] >> 3)] >> (column[t] & 7) & 1`` is 1 if the state after x has an arc t."""
+        as_left: dict[int, list[int]] = {}
+        as_right: dict[int, list[int]] = {}
+        for key, rank in cut.items():
+            as_left.setdefault(key // self.n, []).append(rank)
+            as_right.setdefault(key % self.n, []).append(rank)
+        states, of_state = self._losses(as_left, born, right, 0)
+        self.column, of_arc = self._losses(as_right, born, left, 1)
+        losing: dict[int, list[int]] = {}
+        for k, lost in enumerate(of_arc):
+            for r in lost:
+                losing.setdefault(r, []).append(k)
+        arcs = {r: np.array(k) for r, k in losing.items()}
+        width = -(-len(of_arc) // 8)
+        table = np.empty((len(of_state), width), dtype=np.uint8)
+        for k, lost in enumerate(of_state):
+            there = np.ones(width * 8, dtype=np.uint8)
+            for r in lost:
+                there[arcs[r]] = 0
+            table[k] = np.packbits(there, bitorder="little")
+        self.table = table.tobytes()
+        self.row = array("q", [k * width for k in states])
+
     def arc(self, x: int, t: int) -> bool:
-        k = x * self.n + t
-        found = self.table.get(k)
-        if found is None:
-            if len(self.table) > 2_000_000:
-                self.table.clear()
-            found = self.table[k] = self.live[t] and self._walk(x, t, len(self.label) + len(self.cut) + 1)
-        return found
+        """Whether the state after x has an arc t; both are tokens that some arc carries."""
+        c = self.column[t]
+        return bool(self.table[self.row[x] + (c >> 3)] >> (c & 7) & 1)
 
-    def _lay(self) -> None:
+    def _lay(self, vocab: dict[str, int], live: list[bool]) -> None:
         """The labels of live arcs as a transition table over bytes: next node, and the token that ends there."""
         back = {c: b for b, c in enumerate(byte_alphabet())}
         self.step: dict[int, int] = {}
-        self.inner, self.final = [-1], [-1]  # token inside a word, token that ends one
-        for token, i in self.ids.items():
-            if not self.live[i]:
+        self.inner, self.final = array("i", [-1]), array("i", [-1])  # token inside a word, token that ends one
+        for token, i in vocab.items():
+            if not live[i]:
                 continue
             last = bool(self.suffix) and token.endswith(self.suffix)
             node = 0
@@ -136,10 +166,10 @@ class Automaton:
         Longest arcs are tried first. A prefix has one path at most, so a position from which no
         arc leads on is dead for good, and each position is left at most once.
         """
-        n, step, inner, final, table, size, arc = len(raw), self.step, self.inner, self.final, self.table, self.n, self.arc
+        n, step, inner, final, table, column = len(raw), self.step, self.inner, self.final, self.table, self.column
         path: list[int] = []
         ends = [0]
-        dead, limit, last = 0, n, -1
+        dead, limit, row = 0, n, -1
         while ends[-1] < n:
             node, i, found = 0, ends[-1], []
             while i < limit:
@@ -153,10 +183,10 @@ class Automaton:
             while found:
                 end, t = found.pop()
                 if not dead >> end & 1:
-                    if last < 0:
+                    if row < 0:
                         break
-                    ok = table.get(last * size + t)
-                    if ok or ok is None and arc(last, t):
+                    c = column[t]
+                    if table[row + (c >> 3)] >> (c & 7) & 1:
                         break
             else:
                 if not path:
@@ -164,11 +194,11 @@ class Automaton:
                 path.pop()
                 end = ends.pop()
                 dead |= 1 << end
-                limit, last = end - 1, path[-1] if path else -1
+                limit, row = end - 1, self.row[path[-1]] if path else -1
                 continue
             path.append(t)
             ends.append(end)
-            limit, last = n, t
+            limit, row = n, self.row[t]
         return path
 
 
