@@ -1,15 +1,16 @@
 """Line dedup: lines that recur across documents go, except in the document with the largest id.
 
-Every text is split at newlines; a line's key is the line without blanks at both ends and with A-Z
-lowered. Keys of ``MIN_POINTS`` code points or more are hashed (two independent 64-bit hashes), documents
+Every text is split at newlines and exploded by position; a line's key is the line without blanks at both ends and with A-Z
+lowered. Keys of ``MIN_POINTS`` code points or more are hashed (two independent 64-bit hashes), distinct documents
 are counted per hash, and lines over the threshold are dropped where the document is not the largest
 holder. Texts are put together again by position.
 
-Only hashes travel: a document sends each of its keys once, counts are combined before the
-exchange, and texts move once, to meet the list of what they lose.
+Only hashes and positions travel, and counts are combined before the exchange; texts move once, to meet the list of
+positions that they lose. Hashes over the threshold are written down before they are joined back, so a hash that
+very many documents hold is a skewed join of two exchanges, which adaptive execution splits.
 
-Defined results: null and empty texts are one empty line; every row is a document, and rows that
-share an id share what they lose; a null id is a document below all others; an empty table gives an
+Defined results: null and empty texts are one empty line; rows that share an id are one document, and so are all rows with
+a null id, which is below all others; so a line never goes from all its holders. An empty table gives an
 empty table; columns other than key and text pass through unread.
 """
 
@@ -18,49 +19,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, blanks_lit, saved
+from .common import LOWER, UPPER, blanks_lit, saved, spare
 
 MIN_POINTS, MIN_DOCS = 20, 3
+ADDED = ("n_lines", "n_dropped", "kept_text")
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _hash(line: Column) -> Column:
-    """The hash of a line's key, null where the key is too short to count."""
-    bare = F.btrim(line, blanks_lit())
-    key = F.translate(bare, UPPER, LOWER)
-    pair = F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("g"))
-    return F.when(F.char_length(bare) >= MIN_POINTS, pair)
-
-
 def dropped(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``_k`` (a key of ``docs``) and ``_gone`` (the hashes that it loses), for documents that lose any."""
-    hashes = F.array_distinct(F.transform(_lines(F.col(text)), _hash))
+    """``k`` (a key of ``docs``), ``t`` (the hash of a text under it) and ``gone`` (the positions that it loses), where any are lost.
+
+    ``t`` keeps the rows of one id apart, so no list holds more than the lines of one text."""
+    line = F.btrim("line", blanks_lit())
+    bare = F.translate(line, UPPER, LOWER)
+    exploded = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.posexplode(_lines(F.col(text))).alias("pos", "line"))
     # Used twice below; the texts are cut into lines once, and the hashes wait in the shared folder.
-    held = saved(docs.select(F.col(key).alias("_k"), F.explode(hashes).alias("_hash")).where("_hash is not null"), "lines")
-    # Most hashes have one holder; they end here. What remains is joined back; a hash that very many
-    # documents hold is a skewed key of that join, which adaptive execution splits.
-    often = held.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.max("_k").alias("_last")).where(F.col("_n") >= MIN_DOCS)
+    held = saved(exploded.where(F.char_length(line) >= MIN_POINTS).select("k", "t", "pos", F.xxhash64(bare).alias("h"), F.xxhash64(F.lit(1), bare).alias("g")), "lines")
+    holders = F.count_distinct("k") + F.max(F.col("k").isNull().cast("int"))
+    often = saved(held.groupBy("h", "g").agg(holders.alias("n"), F.max("k").alias("last")).where(F.col("n") >= MIN_DOCS).select("h", "g", "last"), "often")
     return (
-        held.join(often.select("_hash", "_last"), "_hash")
-        .where(F.col("_k").isNull() | (F.col("_k") < F.col("_last")))
-        .groupBy("_k").agg(F.collect_set("_hash").alias("_gone"))
+        held.join(often, ["h", "g"])
+        .where(F.col("k").isNull() | (F.col("k") < F.col("last")))
+        .groupBy("k", "t").agg(F.collect_set("pos").alias("gone"))
     )
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text`` (in place of columns of these names)."""
-    added = ("n_lines", "n_dropped", "kept_text")
-    joined = docs.join(dropped(docs, key, text), F.col(key).eqNullSafe(F.col("_k")), "left")
-    lines = _lines(F.col(text))
-    stays = F.filter(lines, lambda line: ~F.coalesce(F.array_contains(F.col("_gone"), _hash(line)), F.lit(False)))
-    return joined.withColumn("_kept", F.when(F.col("_gone").isNull(), lines).otherwise(stays)).select(
-        *[c for c in docs.columns if c not in added],
-        F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size("_kept")).cast("long").alias("n_dropped"),
-        F.array_join("_kept", "\n").alias("kept_text"),
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """Every row of ``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text``, or what ``added`` names them (in place of columns of these names)."""
+    k, t, gone, lines = (spare(c, docs) for c in ("k", "t", "gone", "lines"))
+    lost = dropped(docs, key, text).select(F.col("k").alias(k), F.col("t").alias(t), F.col("gone").alias(gone))
+    joined = docs.join(lost, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(t)), "left").withColumn(lines, _lines(F.col(text)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    names = {a.lower() for a in added}
+    return joined.select(
+        *[F.col(c) for c in docs.columns if c.lower() not in names],
+        F.size(lines).cast("long").alias(added[0]),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias(added[1]),
+        F.when(F.col(gone).isNull(), F.coalesce(text, F.lit(""))).otherwise(kept).alias(added[2]),
     )
 
 
