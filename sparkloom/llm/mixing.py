@@ -14,12 +14,13 @@ is due when the demand reaches c, take j counting the words of the j passes befo
 gives the training position. ``takes`` gives every copy its own and range-sorts the copies by it; ``mix`` has
 one row per document, with the position of its first take.
 
-A source with a third of all rows is no single window: its row is cut into 1024 buckets of the digest,
-word sums of whole buckets are added up first, and each bucket is ordered by itself.
+A source with a third of all rows is no single window: its row is cut into buckets of the digest's first bits, about
+``BUCKET`` rows each, word sums of whole buckets are added up first, and each bucket is ordered by itself. Sources may be many:
+they are ranked range by range, and the level at which the mix is full is found by sums over all sources.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source; ids
 may repeat or be null (rows with equal ids stand in the order of their texts' hash; equal rows are alike, so
-reruns agree); other columns pass through; an empty table gives an empty table. All sizes 0: all targets 0.
+reruns agree); other columns pass through, but for those named as an added one; an empty table gives an empty table. All sizes 0: all targets 0.
 """
 
 from __future__ import annotations
@@ -27,36 +28,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import saved, spare, word_count
 
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Knots (time, rate) per weight in turn: the heaviest fade out, the lightest fade in.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
+#: Rows of a source, if it had all, in one window.
+BUCKET = 50_000
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, most=MOST) -> DataFrame:
-    """Per source (``_src``, null allowed): ``source_size``, ``target`` and ``_turn``. Sources are few beside documents."""
-    total = Window.partitionBy()
-    turn = Window.orderBy(F.col("_src").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.col("_turn") + 1)
-    sources = (
-        sized.groupBy("_src").agg(F.sum("size").alias("source_size"))
-        .withColumn("_turn", ((F.row_number().over(turn) - 1) % len(weights)).cast("int"))
-        .withColumn("_w", w)
-        .withColumn("_cap", (F.col("source_size") * most).cast("double"))
-    )
-    # Filled from the source that is full first. Once level * weight stays under the cap of the next, all later ones are under theirs.
-    fill = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("_src").asc_nulls_last())
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(total).cast("double") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
-    sharing = F.sum("_w").over(total) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))
-    return (
-        sources.withColumn("_level", left / sharing)
-        .withColumn("_at", F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level")))
-        .withColumn("_first", F.first("_at", ignorenulls=True).over(fill.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("target", F.when(F.col("_first").isNull(), F.col("_cap")).otherwise(F.col("_first") * F.col("_w")))
-        .select("_src", "source_size", "target", "_turn")
+    """Per source of a table with ``src`` (null allowed) and ``size``: ``source_size``, ``target`` and ``turn``."""
+    by_name = F.col("src").asc_nulls_last()
+    ranged = saved(sized.groupBy("src").agg(F.sum("size").alias("source_size")).repartitionByRange(by_name).withColumn("range", F.spark_partition_id()), "sources")
+    # One row for each range of sources, as many as the shuffle has partitions.
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    turn = (F.row_number().over(Window.partitionBy("range").orderBy(by_name)) + F.col("ahead") - 1) % len(weights)
+    sources = saved(
+        ranged.join(F.broadcast(ahead), "range").withColumn("turn", turn.cast("int"))
+        .withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.col("turn") + 1))
+        .select("src", "source_size", "turn", "weight", (F.col("source_size") * most).cast("double").alias("cap")), "sources",
     )
+    # What full sources leave over is shared again among the others, until no further one is full; only sums come to the driver.
+    level, full = 0.0, -1
+    while True:
+        is_full = F.lit(level) * F.col("weight") > F.col("cap")
+        total, capped, sharing, now = sources.agg(
+            F.sum("source_size").cast("double"), F.sum(F.when(is_full, F.col("cap")).otherwise(0.0)), F.sum(F.when(is_full, 0.0).otherwise(F.col("weight"))), F.sum(is_full.cast("long"))
+        ).first()
+        if now == full or not sharing:
+            break
+        level, full = (total - capped) / sharing, now
+    share = F.lit(level) * F.col("weight")
+    return sources.select("src", "source_size", F.when(share > F.col("cap"), F.col("cap")).otherwise(share).alias("target"), "turn")
 
 
 def _due(share: Column, knots) -> Column:
@@ -76,93 +81,98 @@ def _due(share: Column, knots) -> Column:
     return due
 
 
-def _position(begin: Column, schedules) -> Column:
+def _position(begin: Column, target: Column, turn: Column, schedules) -> Column:
     """Training time at which a copy that begins after ``begin`` words of its source is due."""
-    share = F.when(F.col("target") > 0, begin / F.col("target")).otherwise(0.0)
+    share = F.when(target > 0, begin / target).otherwise(0.0)
     due = _due(share, schedules[-1])
     for k in range(len(schedules) - 1):
-        due = F.when(F.col("_turn") % len(schedules) == k, _due(share, schedules[k])).otherwise(due)
+        due = F.when(turn % len(schedules) == k, _due(share, schedules[k])).otherwise(due)
     return due
 
 
-def _placed(docs: DataFrame, added: tuple[str, ...], key: str, text: str, source: str, weights, most) -> DataFrame:
-    """Every row, without columns named as in ``added``, with ``size``, ``source_size``, ``target``, ``_turn``, ``_start`` (words of its source
-    before it in one pass), ``_whole`` (whole passes) and ``_last`` (its words in the pass after those)."""
-    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    sized = (
-        docs.select(*[c for c in docs.columns if c not in added], word_count(F.col(text)).alias("size"))
-        .withColumn("_src", F.col(source))
-        .withColumn("_digest", digest)
-        .withColumn("_bucket", F.floor(F.conv(F.substring("_digest", 1, 3), 16, 10).cast("int") / 4).cast("int"))
-        .withColumn("_tie", F.xxhash64(text))
-    )
-    light = (
-        docs.select(F.col(source).alias("_src"), digest.alias("_digest"), word_count(F.col(text)).alias("size"))
-        .withColumn("_bucket", F.floor(F.conv(F.substring("_digest", 1, 3), 16, 10).cast("int") / 4).cast("int"))
-        .groupBy("_src", "_bucket").agg(F.sum("size").alias("size"))
-    )
-    goal = targets(light, weights, most)
-    ahead = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        light.withColumn("_ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0))).select("_src", "_bucket", "_ahead")
-        .join(goal.withColumnRenamed("_src", "_s"), F.col("_src").eqNullSafe(F.col("_s"))).drop("_s")
-        .select(F.col("_src").alias("_s"), F.col("_bucket").alias("_b"), "_ahead", "source_size", "target", "_turn")
-    )
-    row = Window.partitionBy("_src", "_bucket").orderBy("_digest", "_tie", "size")
-    placed = (
-        sized.withColumn("_inside", F.sum("size").over(row.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-        .join(offsets, F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")), "left")
-    )
-    start = F.col("_ahead") + F.col("_inside")
-    whole = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long")
-    rest = F.floor("target").cast("long") - whole * F.col("source_size")
-    last = F.greatest(F.lit(0), F.least(F.col("size"), rest - start)).cast("long")
-    return placed.select(
-        *[c for c in docs.columns if c not in added],
-        "size", "source_size", "target", "_turn", start.alias("_start"), whole.alias("_whole"), last.alias("_last"),
-    )
+class _Placed:
+    """Every row of ``docs`` with its place in its source, under column names that no input column has."""
+
+    def __init__(self, docs: DataFrame, key: str, text: str, source: str, size: str | None, weights, most):
+        self.columns = docs.columns
+        made = ("size", "src", "digest", "bucket", "tie", "inside", "s", "b", "ahead", "source_size", "target", "turn", "take")
+        n = {c: spare(c, docs) for c in made}
+        self.name = n
+        words = word_count(F.col(text)) if size is None else F.col(size).cast("long")
+        bits = max(0, min(40, (docs.count() // BUCKET).bit_length()))
+        digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")))
+        bucket = F.shiftright(F.conv(F.substring(digest, 1, 10), 16, 10).cast("long"), 40 - bits)
+        sized = docs.select(
+            "*", words.alias(n["size"]), F.col(source).alias(n["src"]), digest.alias(n["digest"]), bucket.alias(n["bucket"]),
+            (F.xxhash64(text) if size is None else words).alias(n["tie"]),
+        )
+        light = docs.select(F.col(source).alias("src"), bucket.alias("bucket"), words.alias("size")).groupBy("src", "bucket").agg(F.sum("size").alias("size"))
+        light = saved(light, "buckets")
+        goal = targets(light, weights, most).withColumnRenamed("src", "s")
+        ahead = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = (
+            light.withColumn("ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
+            .join(goal, F.col("src").eqNullSafe(F.col("s")))
+            .select(F.col("src").alias(n["s"]), F.col("bucket").alias(n["b"]), *[F.col(c).alias(n[c]) for c in ("ahead", "source_size", "target", "turn")])
+        )
+        row = Window.partitionBy(n["src"], n["bucket"]).orderBy(n["digest"], n["tie"], n["size"])
+        self.rows = (
+            sized.withColumn(n["inside"], F.sum(n["size"]).over(row.rowsBetween(Window.unboundedPreceding, 0)) - F.col(n["size"]))
+            .join(offsets, F.col(n["src"]).eqNullSafe(F.col(n["s"])) & (F.col(n["bucket"]) == F.col(n["b"])), "left")
+        )
+        self.size, self.source_size, self.target, self.turn = (F.col(n[c]) for c in ("size", "source_size", "target", "turn"))
+        #: Words of its source before the row in one pass; whole passes; the row's words in the pass after those.
+        self.start = F.col(n["ahead"]) + F.col(n["inside"])
+        self.whole = F.when(self.source_size > 0, F.floor(F.floor(self.target) / self.source_size)).otherwise(0).cast("long")
+        rest = F.floor(self.target).cast("long") - self.whole * self.source_size
+        self.last = F.greatest(F.lit(0), F.least(self.size, rest - self.start)).cast("long")
 
+    def others(self, added) -> list[str]:
+        names = {c.lower() for c in added}
+        return [c for c in self.columns if c.lower() not in names]
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, most=MOST, schedules=SCHEDULES, range_sorted: bool = True) -> DataFrame:
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", size: str | None = None, weights=WEIGHTS, most=MOST, schedules=SCHEDULES, range_sorted: bool = True) -> DataFrame:
     """Every row with ``size``, ``source_size``, ``target``, ``taken`` (words), ``copies`` (whole takes), ``part``
-    (words of a last, partial take) and ``position`` (of its first take: 0..1 of the training run)."""
-    added = ("size", "source_size", "target", "taken", "copies", "part", "position")
-    size, whole, last = F.col("size"), F.col("_whole"), F.col("_last")
-    out = _placed(docs, added, key, text, source, weights, most).select(
-        *[c for c in docs.columns if c not in added],
-        "size", "source_size", "target",
-        (whole * size + last).alias("taken"),
-        (whole + F.when((last == size) & (size > 0), 1).otherwise(0)).alias("copies"),
-        F.when(last < size, last).otherwise(F.lit(0)).cast("long").alias("part"),
-        F.when(F.col("target") > F.col("_start"), _position(F.col("_start"), schedules)).alias("position"),
+    (words of a last, partial take) and ``position`` (of its first take: 0..1 of the training run). ``size`` names a column with the words of
+    every row, where they are known already; ``text`` is not read then."""
+    p = _Placed(docs, key, text, source, size, weights, most)
+    out = p.rows.select(
+        *p.others(("size", "source_size", "target", "taken", "copies", "part", "position")),
+        p.size.alias("size"), p.source_size.alias("source_size"), p.target.alias("target"),
+        (p.whole * p.size + p.last).alias("taken"),
+        (p.whole + F.when((p.last == p.size) & (p.size > 0), 1).otherwise(0)).alias("copies"),
+        F.when(p.last < p.size, p.last).otherwise(F.lit(0)).cast("long").alias("part"),
+        F.when(p.target > p.start, _position(p.start, p.target, p.turn, schedules)).alias("position"),
     )
     return out.orderBy(F.col("position").asc_nulls_last(), key) if range_sorted else out
 
 
-def takes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, most=MOST, schedules=SCHEDULES, least: float = 0.0) -> DataFrame:
+def takes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, most=MOST, schedules=SCHEDULES, least: float = 0.0, described: bool = True) -> DataFrame:
     """One row per take, range-sorted by its own ``position``, with ``size``, ``source_size``, ``target``, ``take`` (from 0) and
-    ``words`` (``size``, or less where the target is reached inside the document). Partial takes below ``least`` of the size are left out."""
-    added = ("size", "source_size", "target", "take", "words", "position")
-    size, whole, last = F.col("size"), F.col("_whole"), F.col("_last")
-    n = whole + ((last > 0) & (last >= least * size)).cast("long")
-    words = F.when(F.col("take") < whole, size).otherwise(last)
-    return (
-        _placed(docs, added, key, text, source, weights, most)
-        .withColumn("take", F.explode(F.when((size > 0) & (n > 0), F.sequence(F.lit(0).cast("long"), n - 1))))
-        .select(
-            *[c for c in docs.columns if c not in added],
-            "size", "source_size", "target", "take", words.alias("words"),
-            _position(F.col("_start") + F.col("take") * F.col("source_size"), schedules).alias("position"),
-        )
-        .orderBy("position", key, "take")
-    )
+    ``words`` (``size``, or less where the target is reached inside the document). Partial takes below ``least`` of the size are left out.
+    Without ``described`` only the columns of ``docs``, in that order."""
+    p = _Placed(docs, key, text, source, None, weights, most)
+    n = p.whole + ((p.last > 0) & (p.last >= least * p.size)).cast("long")
+    take = F.col(p.name["take"])
+    position = _position(p.start + take * p.source_size, p.target, p.turn, schedules)
+    exploded = p.rows.withColumn(p.name["take"], F.explode(F.when((p.size > 0) & (n > 0), F.sequence(F.lit(0).cast("long"), n - 1))))
+    if not described:
+        return exploded.orderBy(position, key, take).select(*docs.columns)
+    words = F.when(take < p.whole, p.size).otherwise(p.last)
+    return exploded.select(
+        *p.others(("size", "source_size", "target", "take", "words", "position")),
+        p.size.alias("size"), p.source_size.alias("source_size"), p.target.alias("target"), take.alias("take"), words.alias("words"), position.alias("position"),
+    ).orderBy("position", key, "take")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    # The text is counted where it is read and does not travel, since no column of the result needs it.
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    # The text is counted where it is read, once, and does not travel, since no column of the result needs it.
+    docs = table(spark, sf_dir, "documents")
+    sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
+    return mix(sized, size="size").select("doc_id", "size", "source_size", "target", "taken", "copies", "part", F.round("position", 9).alias("position"))
 
 
 ORACLE = r"""
@@ -171,6 +181,7 @@ WITH sized AS (
     md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest FROM documents),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn,
     [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM sized GROUP BY source),
 caps AS (SELECT *, CAST(source_size * 3 AS DOUBLE) AS cap FROM sources),
 levels AS (
@@ -179,15 +190,18 @@ levels AS (
   FROM caps WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 cut AS (SELECT min(nth) AS nth FROM levels WHERE lv * w <= cap),
 goals AS (
-  SELECT l.source, l.source_size, CASE WHEN l.nth < c.nth THEN l.cap ELSE f.lv * l.w END AS target
+  SELECT l.source, l.source_size, l.turn, CASE WHEN l.nth < c.nth THEN l.cap ELSE f.lv * l.w END AS target
   FROM levels l CROSS JOIN cut c JOIN levels f ON f.nth = c.nth),
 placed AS (
-  SELECT s.doc_id, s.size, g.source_size, g.target,
+  SELECT s.doc_id, s.size, g.source_size, g.target, g.turn,
     CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.digest) AS BIGINT) - s.size AS start
   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
 whole AS (
-  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(floor(target) / source_size) AS BIGINT) ELSE 0 END AS k FROM placed)
-SELECT doc_id, size, source_size, target,
-  CAST(k * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - k * source_size - start)) AS BIGINT) AS taken
-FROM whole
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(floor(target) / source_size) AS BIGINT) ELSE 0 END AS k,
+    CASE WHEN target > 0 THEN start / target ELSE 0 END AS share, [1.5, 1.0, 0.5][turn + 1]::DOUBLE AS r, [-1.0, 0.0, 1.0][turn + 1]::DOUBLE AS slope FROM placed),
+lasts AS (SELECT *, CAST(greatest(0, least(size, CAST(floor(target) AS BIGINT) - k * source_size - start)) AS BIGINT) AS last FROM whole)
+SELECT doc_id, size, source_size, target, CAST(k * size + last AS BIGINT) AS taken,
+  CAST(k + CASE WHEN last = size AND size > 0 THEN 1 ELSE 0 END AS BIGINT) AS copies, CASE WHEN last < size THEN last ELSE 0 END AS part,
+  CASE WHEN target > start THEN round(CASE WHEN share <= 1 THEN 2 * share / (sqrt(greatest(r * r + 2 * slope * share, 0)) + r) ELSE 1 END, 9) END AS position
+FROM lasts
 """
