@@ -5,7 +5,7 @@ by Spark's own text writer with the record separator as line separator. Its comm
 the archives whole when an executor is lost, and any file system that Spark writes to will do.
 
 Reading: archives come in by the binaryFile source, plain or gzipped (a member for each record, or
-for many), one file per row. Each record is checked (version line, lengths, separators, block and payload
+for many), one file per row; that source takes files of up to 2 GB. Records leave the task in batches of ``BATCH`` bytes. Each record is checked (version line, lengths, separators, block and payload
 digest, the gzip checksum). After a failed check the reader searches for the next version line or gzip member, goes
 on from the first that passes, and logs the bytes in between as a gap. Of a gzip member that breaks off or fails its
 checksum the records that came out before and pass their own checks are kept.
@@ -34,8 +34,9 @@ RECORDS_PER_FILE = 1000
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:page:"
-MOST_HEADER = 1 << 16
-START = re.compile(rb"WARC/1\.|\x1f\x8b\x08")
+BATCH = 16 << 20
+VERSION = re.compile(rb"WARC/[01]\.\d+\r\n")
+START = re.compile(rb"WARC/[01]\.|\x1f\x8b\x08")
 
 
 def with_kinds(pages: DataFrame, key: str, page: str) -> DataFrame:
@@ -95,20 +96,24 @@ def _digest_ok(named: str, data: bytes) -> bool:
 
 def _record(data: bytes, at: int) -> tuple[int, dict, bytes]:
     """(end, header fields, block) of the record that starts at ``at``; raises Damaged."""
-    if not re.compile(rb"WARC/1\.\d\r\n").match(data, at):
+    version = VERSION.match(data, at)
+    if not version:
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + MOST_HEADER)
-    if stop < 0:
-        raise Damaged("header without end")
-    fields = {}
-    for line in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]:
-        name, colon, value = line.partition(":")
+    fields, start = {}, version.end()
+    while True:  # line by line, so a false start ends at its first line that is none, however far the next record is
+        end = data.find(b"\r\n", start)
+        if end < 0:
+            raise Damaged("header without end")
+        if end == start:
+            break
+        name, colon, value = data[start:end].decode("utf-8", "replace").partition(":")
         if not colon:
             raise Damaged("header line without colon")
         fields[name.strip().lower()] = value.strip()
+        start = end + 2
     if not fields.get("content-length", "").isascii() or not fields.get("content-length", "").isdigit():
         raise Damaged("no content length")
-    begin, size = stop + 4, int(fields["content-length"])
+    begin, size = start + 2, int(fields["content-length"])
     if begin + size > len(data):
         raise Damaged("block is cut off")
     if data[begin + size : begin + size + 4] != b"\r\n\r\n":
@@ -122,14 +127,19 @@ def _record(data: bytes, at: int) -> tuple[int, dict, bytes]:
 
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
-    """(what comes out of the gzip member at ``at``, the byte after what was read, what went wrong)."""
+    """(all that comes out of the gzip member at ``at``, the byte after what was read, what went wrong)."""
     unzip, out, step = zlib.decompressobj(31), [], 1 << 16
     for i in range(at, len(data), step):
-        part = data[i : i + step]
+        part, before = data[i : i + step], unzip.copy()
         try:
             out.append(unzip.decompress(part))
         except zlib.error as e:
-            return b"".join(out), min(i + 1, len(data)) if i > at else at + 1, f"gzip: {str(e)[-40:]}"
+            # Once more byte by byte: what stands before the damage comes out.
+            for k in range(len(part)):
+                try:
+                    out.append(before.decompress(part[k : k + 1]))
+                except zlib.error:
+                    return b"".join(out), i + k, f"gzip: {str(e)[-40:]}"
         if unzip.eof:
             return b"".join(out), i + len(part) - len(unzip.unused_data), None
     return b"".join(out), len(data), "gzip member is cut off"
@@ -182,7 +192,7 @@ def salvage(data: bytes, nested: bool = False) -> Iterator[tuple]:
             continue
         if lost is None:
             lost, why = found[-1][2] if found else at, failed
-        after = START.search(data, max(at + 1, lost))
+        after = START.search(data, max(at + 1, found[-1][2] if found else 0))
         at = after.start() if after else n
     if lost is not None:
         yield "gap", lost, n, why, None, None
@@ -212,12 +222,21 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!_.]*").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows):
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, READ, strict=True)], schema=READ)
+
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = [_told(name.as_py(), row, payloads) for row in salvage(content.as_py() or b"")]
-                for i in range(0, len(rows), RECORDS_PER_FILE):
-                    cols = list(zip(*rows[i : i + RECORDS_PER_FILE], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, READ, strict=True)], schema=READ)
+                rows, held = [], 0
+                for row in salvage(content.as_py() or b""):
+                    rows.append(_told(name.as_py(), row, payloads))
+                    held += 500 + len(rows[-1][-1] or b"")
+                    if held >= BATCH:
+                        yield made(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield made(rows)
 
     kinds = {pa.string(): "string", pa.int64(): "long", pa.binary(): "binary"}
     return files.mapInArrow(run, ", ".join(f"`{f.name}` {kinds[f.type]}" for f in READ))
