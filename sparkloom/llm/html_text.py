@@ -11,10 +11,14 @@ than the article around it. Where every other part of the parent is at the thres
 sections), the parent is taken instead, as often as that holds.
 
 Elements that never hold article text (scripts, navigation, ...; by tag or ARIA role) are taken out of the tree
-beforehand, and so are headers, footers and asides. A form, or an element whose class or id names such a part, is
-taken out unless it can be a wrapper of the article: at most ``LINKED`` of its characters are in links, and it holds a
-main element or h1 (the first article where the page has neither) or, where no main or article stands outside it, ``BULK``
-of the page's text. Bulk alone does not keep comments. Names after has-, no-, with- or before -enabled and the like state what the page has and name no part.
+beforehand, and so are footers, asides and headers, but for the header of an article that holds a heading. A form, or an element
+with a class or an id that names such a part, is taken out unless it can be a wrapper of the article: at most ``LINKED`` of its
+characters are in links, and it holds a main element or h1 (the first article where the page has neither) or, where no main or
+article stands outside it, ``BULK`` of the page's text. Bulk alone does not keep comments. A class or id names a part if all its words
+do, or say where or what kind of box it is (``related-posts``, ``sidebar-left``, but not ``related-work`` or ``side-effects``).
+
+The page is read in one pass that never goes back: tags end at the first > outside quoted values, at the first > at all once
+quotes do not pair up, and without any > the rest is text.
 
 Defined results: a null or empty page, or one without text, gives an empty text; broken markup is read
 leniently (a missing end tag ends with its parent, a stray end tag is dropped); repeated rows answer
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
 FURNITURE = frozenset(
-    "script style noscript template iframe noembed noframes svg math object canvas audio video head title nav header footer aside button select "
+    "script style noscript template iframe noembed noframes svg math object canvas audio video head title nav footer aside button select "
     "textarea input option label fieldset dialog menu".split()
 )
 BLOCKS = frozenset(
@@ -43,20 +47,27 @@ BLOCKS = frozenset(
     "main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption br".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert form toolbar".split())
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|advertisement|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|footer|header|masthead|comments?|comment-?list|disqus|respond|replies|share|sharing|social|related|"
-    r"recommended|pagination|pager|tags|copyright|skip-?link)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words that name furniture, and words that stand beside them.
+PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promos promotion banner cookie cookies consent gdpr notice popup modal newsletter subscribe signup login nav navbar "
+    "navigation menu breadcrumb breadcrumbs sidebar side widget widgets footer header masthead comment comments commentlist disqus respond replies share sharing social related recommended pagination pager "
+    "tags copyright skiplink".split()
 )
-STATES = re.compile(r"(?<![^\s_-])(?:(?:has|have|no|with|without)[_-][a-z]+(?:[_-]?list|[_-]?link)?|[a-z]+[_-](?:enabled|disabled|on|off))(?![^\s_-])", re.IGNORECASE)
-COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|disqus|respond|replies)(?:$|[\s_-])", re.IGNORECASE)
+BESIDE = frozenset(
+    "site page main left right top bottom box block container wrapper wrap inner outer list links link bar area section primary secondary global button buttons item items post posts story stories articles form "
+    "panel slot unit media icons icon global fixed sticky mobile desktop thread cloud skip".split()
+) - {"main", "post"}
+WORDS = re.compile(r"[a-z]+")
+COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A wrapper holds at least BULK of the page's characters, and at most LINKED of its own are in links.
 BULK, LINKED = 0.5, 0.5
 #: A start tag of these ends an open element of those (before it was closed).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag, without going back: a quote opens a value only after =, and only if it is closed.
+REST = re.compile(r"(?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+>")
 ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 
 
@@ -71,11 +82,17 @@ class Node:
         self.tag, self.kids, self.out, self.named = tag, [], out, named
 
 
+def names_part(name: str) -> bool:
+    """Whether a class or id as a whole names page furniture."""
+    words = WORDS.findall(name)
+    return any(w in PARTS for w in words) and all(w in PARTS or w in BESIDE for w in words)
+
+
 def _furniture(tag: str, attrs: str) -> tuple[bool, str]:
     """Whether the element is out at all events, and what names it as furniture."""
     if tag in FURNITURE:
         return True, ""
-    named = "form" if tag == "form" else ""
+    named = tag if tag in ("form", "header") else ""
     if not attrs or tag in ("html", "body", "main", "article"):
         return False, named
     for name, a, b, c in ATTR.findall(attrs):
@@ -84,8 +101,8 @@ def _furniture(tag: str, attrs: str) -> tuple[bool, str]:
             return True, ""
         if name == "role" and value.lower() in ROLES:
             return True, ""
-        if name in ("class", "id") and NAMED.search(value) and NAMED.search(value := STATES.sub(" ", value)):
-            named += f" {value}"
+        if name in ("class", "id"):
+            named += "".join(f" {one}" for one in value.lower().split() if names_part(one))
     return False, named
 
 
@@ -96,7 +113,12 @@ def prune(root: Node) -> None:
         return
     heads = {id(x) for x in nodes if x.tag in ("main", "h1")} or {id(x) for x in [x for x in nodes if x.tag == "article"][:1]}
     proper = sum(x.tag in ("main", "article") for x in nodes)
-    holds, inner = set(), {}
+    own = {id(root)}  # what stands in an article or main element
+    for x in nodes:
+        for k in x.kids:
+            if type(k) is Node and (x.tag in ("main", "article") or id(x) in own and x is not root):
+                own.add(id(k))
+    holds, inner, headed = set(), {}, set()
     for x in reversed(nodes):
         x.chars = x.link_chars = 0
         inner[id(x)] = (x.tag in ("main", "article")) + sum(inner[id(k)] for k in x.kids if type(k) is Node and not k.out)
@@ -108,66 +130,116 @@ def prune(root: Node) -> None:
                 x.link_chars += k.chars if k.tag == "a" else k.link_chars
                 if id(k) in heads or id(k) in holds:
                     holds.add(id(x))
+                if k.tag in HEADINGS or id(k) in headed:
+                    headed.add(id(x))
     for x in nodes:
-        if x.named:
-            head = id(x) in heads or id(x) in holds
-            bulk = x.chars >= BULK * root.chars and inner[id(x)] == proper and not COMMENTS.search(x.named)
-            x.out = not (head or bulk) or x.link_chars > LINKED * x.chars
+        if x.tag == "header":
+            keep = inner[id(x)] > 0 or id(x) in own and id(x) in headed
+        elif x.named:
+            bulk = x.chars >= BULK * root.chars and inner[id(x)] == proper and not COMMENTS.intersection(WORDS.findall(x.named))
+            keep = id(x) in heads or id(x) in holds or bulk
+        else:
+            continue
+        x.out = not keep or x.link_chars > LINKED * x.chars
+
+
+class Stack:
+    """The open elements, with what is open inside the innermost block and inside the innermost list or table."""
+
+    LISTS = frozenset(("ul", "ol", "dl", "table", "select", "menu"))
+
+    def __init__(self, root: Node):
+        self.nodes, self.open = [root], {}
+        self.blocks, self.in_block, self.in_list = [], [{}], [{}]
+
+    def push(self, node: Node) -> None:
+        tag = node.tag
+        self.nodes.append(node)
+        self.open[tag] = self.open.get(tag, 0) + 1
+        if tag in self.LISTS:
+            self.in_list.append({})
+        else:
+            self.in_list[-1][tag] = self.in_list[-1].get(tag, 0) + 1
+        if tag in BLOCKS:
+            self.blocks.append(len(self.nodes) - 1)
+            self.in_block.append({})
+        else:
+            self.in_block[-1][tag] = self.in_block[-1].get(tag, 0) + 1
+
+    def close(self, tags) -> None:
+        """Close elements up to the innermost of these tags, which is open."""
+        while True:
+            tag = self.nodes.pop().tag
+            self.open[tag] -= 1
+            if tag in BLOCKS:
+                self.blocks.pop()
+                self.in_block.pop()
+            else:
+                self.in_block[-1][tag] -= 1
+            if tag in self.LISTS:
+                self.in_list.pop()
+            else:
+                self.in_list[-1][tag] -= 1
+            if tag in tags:
+                return
 
 
 def parse(page: str) -> Node:
     """The element tree; text is kept as strings among the children."""
     root = Node("html")
-    stack, at, n = [root], 0, len(page)
+    stack, at, n = Stack(root), 0, len(page)
+    nodes, last, paired = stack.nodes, page.rfind(">"), True
     while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            stack[-1].kids.append(page[at:])
+        start = page.find("<", at)
+        if start < 0 or last < start:
+            nodes[-1].kids.append(page[at:])
             break
-        if m.start() > at:
-            stack[-1].kids.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].kids.append(m[0][9:].removesuffix("]]>"))
+        if start > at:
+            nodes[-1].kids.append(page[at:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = n if end < 0 else end + 3
+            continue
+        if page.startswith("<![CDATA[", start):
+            end = page.find("]]>", start)
+            end = n if end < 0 else end
+            nodes[-1].kids.append(page[start + 9 : end])
+            at = end + 3
+            continue
+        if page.startswith(("<!", "<?"), start):
+            at = page.find(">", start) + 1
+            continue
+        m = NAME.match(page, start + 1)
+        if m is None:
+            nodes[-1].kids.append("<")
+            at = start + 1
             continue
-        tag, top = m[2].lower(), len(stack)
+        rest = REST.match(page, m.end()) if paired else None
+        paired = rest is not None
+        at = rest.end() if rest else page.find(">", m.end()) + 1
+        attrs = page[m.end() : at - 1]
+        tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
-                continue
-            for k in range(top - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                # An inline end tag doesn't close the blocks around it.
-                if stack[k].tag in BLOCKS and tag not in BLOCKS:
-                    break
+            # A stray end tag is dropped; an inline one doesn't close the blocks around it.
+            if stack.open.get(tag) and (tag in BLOCKS or stack.in_block[-1].get(tag)):
+                stack.close((tag,))
             continue
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+        if tag in ("html", "body") and stack.open.get(tag):
             continue
         if tag in ENDS:
-            for k in range(top - 1, 0, -1):
-                if stack[k].tag in ENDS[tag]:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("ul", "ol", "dl", "table", "select", "menu"):
-                    break
-        elif tag in ENDS_P:
-            for k in range(top - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
-        node = Node(tag, *_furniture(tag, m[3]))
-        stack[-1].kids.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+            if any(stack.in_list[-1].get(t) for t in ENDS[tag]):
+                stack.close(ENDS[tag])
+        elif tag in ENDS_P and stack.blocks and nodes[stack.blocks[-1]].tag == "p":
+            stack.close(("p",))
+        node = Node(tag, *_furniture(tag, attrs))
+        nodes[-1].kids.append(node)
+        if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}\s*+>", re.IGNORECASE).search(page, at)
             at = end.end() if end else n
             continue
-        stack.append(node)
+        stack.push(node)
     prune(root)
     return root
 
