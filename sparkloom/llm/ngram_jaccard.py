@@ -34,7 +34,7 @@ WIDTH, PERCENT = 5, 80
 #: Document frequencies from here on count as one: such tokens are ordered by hash alone.
 COMMON = 64
 #: Documents and tokens sorted together before the shuffle, tokens dealt to one group after it, tokens of a group worked on at a time.
-DOCS, LOT, TOKENS, SLICE = 1 << 15, 1_000_000, 3_000_000, 500_000
+DOCS, LOT, TOKENS, SLICE = 1 << 15, 1_000_000, 2_000_000, 250_000
 #: Documents and tokens in one block of verification.
 BLOCK, BLOCK_TOKENS = 256, 200_000
 #: Bytes of a text that are hashed at a time.
