@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, line_dedup, mixing, ngram_jaccard, quality_rules
-from sparkloom.llm.common import saved, table
+from sparkloom.llm.common import saved, spare, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that recur across documents go; every document stays."""
-    done = line_dedup.dedup(docs).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast("long"))
-    return done.select(*docs.columns)
+    n_lines, n_dropped, kept = (spare(c, docs) for c in line_dedup.ADDED)
+    done = line_dedup.dedup(docs, added=(n_lines, n_dropped, kept))
+    new = {"text": F.col(kept), "n_chars": F.char_length(kept).cast("long")}
+    return done.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, every copy at its own place in training order; a last, partial take counts if it is half the words or more."""
-    return mixing.takes(docs, least=0.5).select(*docs.columns)
+    return mixing.takes(docs, least=0.5, described=False)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
