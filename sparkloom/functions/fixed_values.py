@@ -192,4 +192,5 @@ RECORD_KIND_TERMS = {
 }
 OPENING = "Based on the retrieved sources, here is information consistent with your question."
 INSUFFICIENT = "INSUFFICIENT_EVIDENCE"
+ABSTAIN = "The retrieved sources do not support an answer."
 DOSE = r"(\d+(?:\.\d+)?)\s*(mg|mcg|units?)\b"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import numbers, sentences, tokens
+from ..functions.text import collapse, numbers, sentences, tokens
 
 MARKER = r"\[(S\d+(?:\s*,\s*S\d+)*)\]"
 
@@ -84,6 +84,20 @@ def check_answers(answers: DataFrame, evidence: DataFrame, query_key: str) -> Da
     return found.select(query_key, "kept_text", "counted", "supported", rate.alias("grounding_rate"), ((F.col("counted") > 0) & (F.col("counted") == F.col("supported"))).alias("passed"))
 
 
+def citations(answers: DataFrame, evidence: DataFrame, query_key: str, most: int = 280) -> DataFrame:
+    """(query_key, nth, key, title, snippet) of the sources that an answer cites, in the order in which they are first named."""
+    s = check_sentences(answers, evidence, query_key).select(query_key, "pos", F.posexplode("keys").alias("i", "key"))
+    first = s.groupBy(query_key, "key").agg(F.min(F.struct("pos", "i")).alias("at"))
+    known = first.join(evidence.select(query_key, "key", "title", F.substring(collapse(F.col("text")), 1, most).alias("snippet")), [query_key, "key"])
+    return known.select(query_key, F.row_number().over(Window.partitionBy(query_key).orderBy("at")).alias("nth"), "key", "title", "snippet")
+
+
+def abstain_text(reason: Column, conflicts: Column) -> Column:
+    """What is said instead of an answer; ``conflicts`` is an array of (drug, dose, noted)."""
+    told = F.transform(conflicts, lambda c: F.concat(c["drug"], F.lit(": record "), c["dose"], F.lit(", note "), c["noted"]))
+    return F.concat_ws(" ", F.lit(V.ABSTAIN), F.concat(F.lit("Reason: "), reason, F.lit(".")), F.when(F.size(told) > 0, F.concat(F.lit("Conflicts: "), F.array_join(told, "; "), F.lit("."))))
+
+
 def candidates(questions: DataFrame, evidence: DataFrame, query_key: str) -> DataFrame:
     """Scored sentences of the evidence. questions: query_key, question. evidence: query_key, key, origin, title, text, order (from 0)."""
     q = questions.select(query_key, F.filter(F.array_distinct(tokens(F.col("question"))), lambda t: ~t.isin(*V.QUESTION_NOISE)).alias("_q"))

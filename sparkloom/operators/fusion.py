@@ -48,6 +48,11 @@ def rerank(rows: DataFrame, key: str, query_key: str, k: int, alpha: float = 0.5
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_q", "_body", "_section", "_max")
 
 
+def keep_order(rows: DataFrame, query_key: str, k: int) -> DataFrame:
+    """The reranker that changes nothing: the first k rows, numbered anew."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy("rank"))).where(F.col("rank") <= k)
+
+
 def diversify(rows: DataFrame, key: str, query_key: str, namespace: str, k: int) -> DataFrame:
     """The best row of each namespace stays; the rest is filled by rank up to k; order by rank."""
     first = F.row_number().over(Window.partitionBy(query_key, namespace).orderBy("rank", key)) == 1

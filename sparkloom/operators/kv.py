@@ -28,12 +28,17 @@ def count_prefixes(kv: DataFrame, depth: int, now: float) -> DataFrame:
     return kv.where(live(now)).groupBy(F.substring_index("key", ":", depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def applied(log: DataFrame) -> DataFrame:
+    """The operations of batches that happen: one with a put without value does not happen at all."""
+    bad = log.where((F.col("op") == "put") & F.col("value").isNull()).select("batch_id").distinct()
+    return log.join(bad, "batch_id", "left_anti")
+
+
 def resolve(log: DataFrame, now: float) -> DataFrame:
     """State after the log (batch_id, seq, op, key, value, ttl_s, at): the last operation on a key counts, a batch with a put
     without value does not happen at all, a put without ttl clears an earlier one."""
-    bad = log.where((F.col("op") == "put") & F.col("value").isNull()).select("batch_id").distinct()
     last = (
-        log.join(bad, "batch_id", "left_anti")
+        applied(log)
         .groupBy("key").agg(F.max_by(F.struct("op", "value", "ttl_s", "at"), "seq").alias("o"))
         .where("o.op = 'put'")
         .select("key", F.col("o.value").alias("value"), (F.col("o.at") + F.col("o.ttl_s")).alias("expires_at"))
@@ -42,11 +47,11 @@ def resolve(log: DataFrame, now: float) -> DataFrame:
 
 
 def deleted(log: DataFrame) -> DataFrame:
-    """For every delete, whether a live key was there: the operation before it on its key was a put that hadn't expired."""
+    """For every delete of a batch that happens, whether a live key was there: the operation before it on its key was a put that hadn't expired."""
     w = Window.partitionBy("key").orderBy("seq")
     before = F.lag(F.struct("op", "ttl_s", "at")).over(w)
     return (
-        log.withColumn("b", before).where("op = 'delete'")
+        applied(log).withColumn("b", before).where("op = 'delete'")
         .select("seq", "key", F.coalesce((F.col("b.op") == "put") & (F.col("b.ttl_s").isNull() | (F.col("b.at") + F.col("b.ttl_s") > F.col("at"))), F.lit(False)).alias("existed"))
     )
 

@@ -5,38 +5,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.fixed_values import STOP_WORDS, SYNONYMS
+from ..functions.text import raw_tokens, stem, tokens
 
 K1, B = 1.2, 0.75
 
 
-def term_counts(docs: DataFrame, key: str, text: str = "text", tokenize=tokens) -> DataFrame:
-    """(key, term, tf, length): one row for each document and term."""
-    toks = docs.select(key, tokenize(F.col(text)).alias("_t")).select(key, F.size("_t").alias("length"), F.explode("_t").alias("term"))
-    return toks.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+def _spelled(spark) -> DataFrame:
+    """Words that don't stand for themselves: stop words for nothing, synonyms for their words. Two hundred rows at most."""
+    def stemmed(w: str) -> str:
+        if len(w) > 4 and w.endswith("ies"):
+            return w[:-3] + "y"
+        return w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w
+
+    rows = {w: [] for w in STOP_WORDS} | {t: [stemmed(w) for w in words.split(" ") if w not in STOP_WORDS] for t, words in SYNONYMS.items()}
+    return spark.createDataFrame(list(rows.items()), "token string, terms array<string>")
+
+
+def token_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, term): one row for each token, as ``tokens`` makes them. Texts are split once; words are looked up by a join with a
+    small constant table and stemmed as plain columns, inside generated code."""
+    raw = docs.select(key, F.explode(raw_tokens(F.col(text))).alias("token"))
+    looked = raw.join(F.broadcast(_spelled(docs.sparkSession)), "token", "left")
+    return looked.select(key, F.explode(F.coalesce("terms", F.array(stem(F.col("token"))))).alias("term"))
+
+
+def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, term, tf): one row for each document and term."""
+    return token_rows(docs, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def asked_terms(queries: DataFrame, query_key: str) -> DataFrame:
+    """(query_key, term, times) of queries with ``text``."""
+    return term_counts(queries, query_key).withColumnRenamed("tf", "times")
+
+
+def postings(docs: DataFrame, terms: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, length, term, tf) of the ``terms`` that are asked for, in one pass over the texts: all other tokens of a document
+    only count for its length, before the first exchange. Documents without any of them have one row with a null term."""
+    hit = token_rows(docs, key, text).join(terms.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left")
+    counted = hit.groupBy(key, F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+    found = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))
+    per = counted.groupBy(key).agg(F.sum("tf").alias("length"), found.alias("found"))
+    return per.select(key, "length", F.inline_outer("found"))
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, text: str = "text", tokenize=tokens) -> DataFrame:
-    """The k best documents of each query with a score above 0: (query_key, key, score, rank).
-
-    The terms of the queries are joined in before anything is counted, so only postings of asked terms are shuffled."""
-    toks = docs.select(key, tokenize(F.col(text)).alias("_t"))
-    stats = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("avgdl"))
-    asked = queries.select(query_key, F.explode(tokenize(F.col("text"))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("times"))
-    postings = (
-        toks.select(key, F.size("_t").alias("length"), F.explode("_t").alias("term"))
-        .join(asked.select("term").distinct(), "term", "left_semi")
-        .groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-    )
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)))
-    scored = (
-        postings.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("w", idf(F.col("n"), F.col("df")) * weight)
-        .join(asked, "term").groupBy(query_key, key).agg(F.sum(F.col("w") * F.col("times")).alias("score")).where("score > 0")
-    )
-    w = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), key)
+def bm25_scores(found: DataFrame, n: int, asked: DataFrame, key: str, query_key: str) -> DataFrame:
+    """(query_key, key, score) from ``postings`` of a collection of ``n`` documents."""
+    # Every document has one row at least; its length counts once.
+    own = F.row_number().over(Window.partitionBy(key).orderBy("term")) == 1
+    total = found.withColumn("own", own).agg(F.sum(F.when(F.col("own"), F.col("length"))).cast("double").alias("words"))
+    df = found.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighted = asked.join(df, "term").select(query_key, "term", (F.col("times") * idf(F.lit(float(n)), F.col("df"))).alias("w"))
+    mean = F.when(F.col("words") > 0, F.col("words") / n).otherwise(1.0)
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+    rows = found.where("term is not null").crossJoin(F.broadcast(total)).select(key, "term", part.alias("part"))  # one row
+    return rows.join(weighted, "term").groupBy(query_key, key).agg(F.sum(F.col("part") * F.col("w")).alias("score")).where("score > 0")
+
+
+def best(scored: DataFrame, key: str, query_key: str, k: int, digits: int = 9) -> DataFrame:
+    w = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", digits)), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, text: str = "text") -> DataFrame:
+    """The k best documents of each query with a score above 0: (query_key, key, score, rank)."""
+    asked = asked_terms(queries, query_key)
+    return best(bm25_scores(postings(docs, asked, key, text), docs.count(), asked, key, query_key), key, query_key, k)
+
+
+def coverage_scores(found: DataFrame, asked: DataFrame, key: str, query_key: str) -> DataFrame:
+    """How many of a query's terms a document holds, from the same ``postings``."""
+    return found.where("term is not null").join(asked.select(query_key, "term"), "term").groupBy(query_key, key).agg(F.count(F.lit(1)).cast("double").alias("score"))

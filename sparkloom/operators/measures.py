@@ -116,10 +116,25 @@ def recent(df: DataFrame, at: str, tie: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(at), F.desc(tie)).limit(n)
 
 
+def nested_counts(rows: DataFrame, kind: Column, *arrays: str) -> DataFrame:
+    """(kind, n, items): rows of each kind and the elements of their arrays."""
+    items = F.lit(0)
+    for a in arrays:
+        items = items + F.coalesce(F.size(a), F.lit(0))
+    return rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(items).alias("items"))
+
+
+def joined_strictly(rows: DataFrame, names: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows with their names; a row without one fails the job that reads it."""
+    joined = rows.join(names, key, "left")
+    missing = F.raise_error(F.concat(F.lit(f"no {value} for "), F.col(key).cast("string")))
+    return joined.withColumn(value, F.when(F.col(value).isNull(), missing.cast("string")).otherwise(F.col(value)))
+
+
 def ring_load(keys: DataFrame, key: str, nodes: int, virtual: int = 64) -> DataFrame:
     """Keys per node of a consistent-hash ring with virtual nodes: the owner is the next point clockwise.
 
-    The ring is small (nodes x virtual points) and travels as one array literal; its search is a bisection in the expression."""
+    The ring is small (nodes x virtual points) and travels as one array; every key passes over it."""
     spark = keys.sparkSession
     points = spark.range(nodes * virtual).select((F.col("id") % nodes).alias("node"), F.xxhash64(F.lit("point"), "id").alias("p"))
     ring = points.agg(F.array_sort(F.collect_list(F.struct("p", "node"))).alias("ring"))

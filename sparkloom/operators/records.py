@@ -75,12 +75,19 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, tie: str, values
     return both.select(key, at, *cols, F.col("_last._at").alias("as_of"), *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
-def named_in(texts: DataFrame, names: DataFrame, text: str, name: str, most_names: int = 10_000) -> DataFrame:
-    """Pairs of texts and the names that stand in them as whole words, in any case. Names are a small list and checked to be."""
-    if names.limit(most_names + 1).count() > most_names:
-        raise ValueError(f"more than {most_names} names: join on words instead")
-    word = F.concat(F.lit(r"(?i)\b"), F.regexp_replace(name, r"([\\.\[\]{}()*+?^$|])", r"\\$1"), F.lit(r"\b"))
-    return texts.join(F.broadcast(names), F.regexp_like(text, word))
+def named_in(texts: DataFrame, names: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """(key, name): texts and the names that stand in them as whole words, in any case.
+
+    Texts meet names on the first word of a name, so the work follows the words of the texts, however many names there are;
+    names of several words are then looked for in the text itself."""
+    word = r"\w+"
+    first = names.select(name, F.regexp_extract(F.lower(name), word, 0).alias("_w")).where("_w <> ''")
+    words = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0)))).alias("_w"))
+    met = words.join(first, "_w").select(key, name)
+    single = F.col(name).rlike(r"^\w+$")
+    whole = F.concat(F.lit(r"(?i)\b"), F.regexp_replace(name, r"([\\.\[\]{}()*+?^$|])", r"\\$1"), F.lit(r"\b"))
+    longer = met.where(~single).join(texts.select(key, text), key).where(F.regexp_like(text, whole)).select(key, name)
+    return met.where(single).unionByName(longer).distinct()
 
 
 def explode_subject(subjects: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .records import lab_flag
-from .vectors import dot
 
 
 def add_labs(kv: DataFrame, labs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -28,9 +29,34 @@ def add_labs(kv: DataFrame, labs: DataFrame, known: DataFrame) -> tuple[DataFram
     return kv.join(new.select("key"), "key", "left_anti").unionByName(new), tags, rejected
 
 
-def semantic_hits(asked: DataFrame, cached: DataFrame, least: float) -> DataFrame:
+def semantic_hits(asked: DataFrame, cached: DataFrame, least: float, block: int = 4096) -> DataFrame:
     """(qid, cached_id, score): the nearest cached question of the same bucket at ``least`` or more. An equi-join on the bucket,
-    so a bucket (scope, version, options) never leaks into another."""
-    near = asked.join(cached.select("bucket", F.col("id").alias("cached_id"), F.col("embedding").alias("_e")), "bucket")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "cached_id")
-    return near.withColumn("score", dot(F.col("embedding"), F.col("_e"))).where(F.col("score") >= least).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("qid", "cached_id", "score")
+    so a bucket (scope, version, options) never leaks into another.
+
+    Cached questions are dealt in blocks of their bucket, so a hot bucket is many groups; a block is compared with the
+    bucket's questions as one product of matrices and answers with one row for each at most."""
+    sizes = cached.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    # One row for each bucket; hot buckets are skewed keys of these joins, which adaptive execution splits.
+    dealt = cached.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "embedding").toDF("bucket", "block", "id", "embedding")
+    sent = asked.join(sizes, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "qid", "embedding").toDF("bucket", "block", "qid", "embedding")
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, questions: pa.Table) -> pa.Table:
+        kept = pa.table([questions["qid"].slice(0, 0), rows["id"].slice(0, 0), pa.array([], pa.float64())], names=["qid", "cached_id", "score"])
+        if rows.num_rows and questions.num_rows:
+            rows = rows.sort_by("id")
+            matrix = lambda t: np.array(t["embedding"].to_pylist(), dtype=np.float64)
+            x, out = matrix(rows), []
+            for at in range(0, questions.num_rows, 1024):
+                part = questions.slice(at, 1024)
+                scores = matrix(part) @ x.T
+                near = scores.argmax(axis=1)  # the smallest id of equals
+                top = scores[np.arange(len(near)), near]
+                ok = np.flatnonzero(top >= least)
+                out.append(pa.table([part["qid"].take(pa.array(ok)), rows["id"].take(pa.array(near[ok])), pa.array(top[ok])], names=["qid", "cached_id", "score"]))
+            kept = pa.concat_tables(out)
+        return kept
+
+    kinds = f"qid {asked.schema['qid'].dataType.simpleString()}, cached_id {cached.schema['id'].dataType.simpleString()}, score double"
+    found = dealt.groupBy("bucket", "block").cogroup(sent.groupBy("bucket", "block")).applyInArrow(run, kinds)
+    best = F.max_by(F.struct("cached_id", "score"), F.struct("score", -F.col("cached_id")))
+    return found.groupBy("qid").agg(best.alias("b")).select("qid", "b.cached_id", "b.score")

@@ -43,9 +43,9 @@ for _name, (_spec, _sql) in _CASES.items():
 
 
 # --- text ----------------------------------------------------------------------------------------
-@query("tokenize_counts", f"SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '{text.TOKEN}')) AS BIGINT) AS n FROM documents WHERE lang = 'en'")
+@query("tokenize_counts", f"SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '{text.TOKEN}')) AS BIGINT) AS n FROM documents")
 def tokenize_counts(spark, d):
-    return read(spark, d, "documents").where("lang = 'en'").select("doc_id", F.size(text.raw_tokens(F.col("text"))).cast("long").alias("n"))
+    return read(spark, d, "documents").select("doc_id", F.size(text.raw_tokens(F.col("text"))).cast("long").alias("n"))
 
 
 _STEM = "CASE WHEN length(w) > 4 AND ends_with(w, 'ies') THEN left(w, length(w) - 3) || 'y' WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, length(w) - 1) ELSE w END"
@@ -60,17 +60,16 @@ def tokens_sql(col: str, table: str, keys: str, where: str = "true") -> str:
     )
 
 
-@query("doc_freq", f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM {tokens_sql('text', 'documents', 'doc_id', chr(108) + 'ang = ' + chr(39) + 'en' + chr(39))} GROUP BY 1 HAVING df >= 5")
+@query("doc_freq", f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM {tokens_sql('text', 'documents', 'doc_id')} GROUP BY 1")
 def doc_freq(spark, d):
     from ..operators.lexical import term_counts
 
-    t = term_counts(read(spark, d, "documents").where("lang = 'en'"), "doc_id")
-    return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).where("df >= 5")
+    return term_counts(read(spark, d, "documents"), "doc_id").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
-@query("sentence_split", r"SELECT doc_id, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars FROM (SELECT doc_id, regexp_replace(unnest(string_split(regexp_replace(regexp_replace(text, '\n+', chr(1), 'g'), '([.!?])[ \t\r\f\v]+([A-Z0-9•*-])', '\1' || chr(1) || '\2', 'g'), chr(1))), '^\s+|\s+$', '', 'g') AS s FROM documents WHERE lang = 'en') WHERE s <> '' GROUP BY 1")
+@query("sentence_split", r"SELECT doc_id, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars FROM (SELECT doc_id, regexp_replace(unnest(string_split(regexp_replace(regexp_replace(text, '\n+', chr(1), 'g'), '([.!?])[ \t\r\f\v]+([A-Z0-9•*-])', '\1' || chr(1) || '\2', 'g'), chr(1))), '^\s+|\s+$', '', 'g') AS s FROM documents) WHERE s <> '' GROUP BY 1")
 def sentence_split(spark, d):
-    s = read(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode(text.sentences(F.col("text"))).alias("s"))
+    s = read(spark, d, "documents").select("doc_id", F.explode(text.sentences(F.col("text"))).alias("s"))
     return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("s")).alias("chars"))
 
 
@@ -79,9 +78,9 @@ def word_sets(spark, d):
     return read(spark, d, "benchmark").select("item_id", F.size(text.word_set(F.col("text"))).cast("long").alias("n"))
 
 
-@query("vocabulary_distinct", "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9-]+')) AS word FROM (SELECT text FROM documents WHERE lang = 'en' UNION ALL SELECT text FROM benchmark)")
+@query("vocabulary_distinct", "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9-]+')) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark)")
 def vocabulary_distinct(spark, d):
-    both = read(spark, d, "documents").where("lang = 'en'").select("text").unionByName(read(spark, d, "benchmark").select("text"))
+    both = read(spark, d, "documents").select("text").unionByName(read(spark, d, "benchmark").select("text"))
     return both.select(F.explode(text.word_set(F.col("text"))).alias("word")).distinct()
 
 
@@ -153,7 +152,7 @@ def chunk_coverage(spark, d):
 
 # --- routing and safety --------------------------------------------------------------------------------
 def _questions(spark, d):
-    """User turns made into questions by phrases from the catalogues, chosen by their numbers."""
+    """User turns in full, each behind a question with names from the catalogues, so that both the names and the turn's own words are met."""
     drugs, conds, labs = (F.array(*[F.lit(x) for x in xs]) for xs in (V.DRUGS, list(V.CONDITIONS), list(V.LABS)))
     forms = F.array(*[F.lit(x) for x in FORMS])
     i = F.col("conv_id") * 8 + F.col("turn")
@@ -162,7 +161,7 @@ def _questions(spark, d):
     for mark, value in (("{d}", pick(drugs, 7)), ("{c}", pick(conds, 5)), ("{l}", pick(labs, 3)), ("{p}", F.format_string("P%04d", (i % 50).cast("int")))):
         q = F.replace(q, F.lit(mark), value)
     scope = F.when(i % 3 == 0, F.format_string("P%04d", (i % 50).cast("int")))
-    return read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", q.alias("query"), scope.alias("scope"))
+    return read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(q, F.lit(" "), F.coalesce("text", F.lit(""))).alias("query"), scope.alias("scope"))
 
 
 FORMS = (
@@ -181,7 +180,7 @@ def _pick(xs, k: int) -> str:
 
 
 QUESTIONS = (
-    f"(SELECT conv_id, turn, replace(replace(replace(replace({_pick(FORMS, 1)}, '{{d}}', {_pick(V.DRUGS, 7)}), '{{c}}', {_pick(list(V.CONDITIONS), 5)}), '{{l}}', {_pick(list(V.LABS), 3)}), '{{p}}', printf('P%04d', (conv_id * 8 + turn) % 50)) AS query,"
+    f"(SELECT conv_id, turn, replace(replace(replace(replace({_pick(FORMS, 1)}, '{{d}}', {_pick(V.DRUGS, 7)}), '{{c}}', {_pick(list(V.CONDITIONS), 5)}), '{{l}}', {_pick(list(V.LABS), 3)}), '{{p}}', printf('P%04d', (conv_id * 8 + turn) % 50)) || ' ' || coalesce(text, '') AS query,"
     " CASE WHEN (conv_id * 8 + turn) % 3 = 0 THEN printf('P%04d', (conv_id * 8 + turn) % 50) END AS scope FROM conversations WHERE role = 'user')"
 )
 
@@ -307,10 +306,10 @@ def request_validation(spark, d):
     return read(spark, d, "documents").select("doc_id", routing.request_problem(F.col("text"), scope, k).alias("problem"))
 
 
-@query("name_mention_theta_join", r"SELECT doc_id, word AS name FROM documents, (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '\b[a-z]{9,12}\b')) AS word FROM benchmark) ORDER BY 1 LIMIT 20) WHERE lang = 'en' AND regexp_matches(text, '(?i)\b' || word || '\b')")
+@query("name_mention_theta_join", r"SELECT doc_id, word AS name FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\w+')) AS word FROM documents) JOIN (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\b[a-z]{9,12}\b')) AS word FROM benchmark) USING (word)")
 def name_mention_theta_join(spark, d):
-    names = read(spark, d, "benchmark").select(F.explode(text.found(F.lower("text"), r"\b[a-z]{9,12}\b")).alias("name")).distinct().orderBy("name").limit(20)
-    return records.named_in(read(spark, d, "documents").where("lang = 'en'").select("doc_id", "text"), names, "text", "name").select("doc_id", "name")
+    names = read(spark, d, "benchmark").select(F.explode(text.found(F.lower("text"), r"(?<![a-z0-9_])[a-z]{9,12}(?![a-z0-9_])")).alias("name")).distinct()
+    return records.named_in(read(spark, d, "documents").select("doc_id", "text"), names, "doc_id", "text", "name")
 
 
 # --- answers --------------------------------------------------------------------------------------------
@@ -318,29 +317,50 @@ _KEYS = "(conv_id * 8 + turn)"
 
 
 def _cited_answers(spark, d):
-    """Assistant turns with markers put behind their sentences by position: every fifth names a source that isn't there."""
-    c = read(spark, d, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 8 + F.col("turn")).alias("qid"), "text")
-    marked = F.regexp_replace(F.regexp_replace(F.substring("text", 1, 400), r"[\[\]\n]", " "), r"\. ([A-Z])", " [S1]. $1")
-    return c.select("qid", F.when(F.col("qid") % 5 == 0, F.replace(marked, F.lit("[S1]"), F.lit("[S9]"))).otherwise(marked).alias("answer"))
-
-
-@query(
-    "citation_check",
-    r"""WITH a AS (SELECT conv_id * 8 + turn AS qid, regexp_replace(regexp_replace(substr(text, 1, 400), '[\[\]\n]', ' ', 'g'), '\. ([A-Z])', '.' || chr(1) || '\1', 'g') AS t FROM conversations WHERE role = 'assistant'),
-    s AS (SELECT qid, unnest(string_split(t, chr(1))) AS s, unnest(range(len(string_split(t, chr(1))))) AS p, len(string_split(t, chr(1))) AS n FROM a)
-    SELECT qid, count(*) AS counted, count(*) FILTER (WHERE p < n - 1 AND qid % 5 <> 0) AS supported FROM s WHERE regexp_matches(s, '\w') GROUP BY 1""",
+    """(answers, evidence): whole assistant turns with markers put behind their sentences by position, every fifth naming a source that
+    isn't there; S1 is the user turn before it."""
+    talk = read(spark, d, "conversations")
+    before = talk.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("said"))
+    c = talk.where("role = 'assistant'").join(before, ["conv_id", "turn"], "left").select((F.col("conv_id") * 8 + F.col("turn")).alias("qid"), "text", F.coalesce("said", F.lit("")).alias("said"))
+    marked = F.regexp_replace(F.regexp_replace("text", r"[\[\]\n]", " "), r"\. ([A-Z])", " [S1]. $1")
+    told = c.select("qid", F.when(F.col("qid") % 5 == 0, F.replace(marked, F.lit("[S1]"), F.lit("[S9]"))).otherwise(marked).alias("answer"))
+    return told, c.select("qid", F.lit("S1").alias("key"), F.col("said").alias("text"), F.lit("t").alias("title"))
+
+
+_NUMBERS = (
+    r"list_transform(list_transform(regexp_extract_all({0}, '(?:^|[^A-Za-z])(\d{{4}}-\d{{2}}-\d{{2}}|\d+(?:[.,]\d+)?)', 1), lambda n: replace(n, ',', '')),"
+    r" lambda n: CASE WHEN contains(n, '.') AND NOT contains(n, '-') THEN coalesce(nullif(rtrim(rtrim(n, '0'), '.'), ''), '0') ELSE n END)"
 )
+CHECKED = rf"""(WITH a AS (SELECT c.conv_id * 8 + c.turn AS qid, regexp_replace(regexp_replace(c.text, '[\[\]\n]', ' ', 'g'), '\. ([A-Z])', ' [S1]. \1', 'g') AS t, coalesce(u.text, '') AS said
+      FROM conversations c LEFT JOIN conversations u ON u.conv_id = c.conv_id AND u.turn = c.turn - 1 AND u.role = 'user' WHERE c.role = 'assistant'),
+    s AS (SELECT qid, said, list_filter(list_transform(string_split(regexp_replace(trim(CASE WHEN qid % 5 = 0 THEN replace(t, '[S1]', '[S9]') ELSE t END), '([.!?])\s+([A-Z0-9•*-])', '\1' || chr(1) || '\2', 'g'), chr(1)),
+      lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS xs FROM a),
+    x AS (SELECT qid, said, unnest(xs) AS sentence, unnest(range(len(xs))) AS pos FROM s),
+    y AS (SELECT *, trim(regexp_replace(sentence, '\[S\d+\]', '', 'g')) AS body FROM x)
+    SELECT qid, pos, sentence, CASE WHEN contains(sentence, '[S9]') THEN 'invalid_key' WHEN NOT contains(sentence, '[S1]') THEN CASE WHEN regexp_matches(body, '(?i){_re(V.EXEMPT)}') AND len({_NUMBERS.format("body")}) = 0 THEN 'exempt' ELSE 'uncited' END
+      WHEN NOT list_has_all({_NUMBERS.format("said")}, {_NUMBERS.format("body")}) THEN 'number' ELSE 'supported' END AS status
+    FROM y WHERE NOT regexp_matches(body, '^[\W_]*$'))"""
+
+
+@query("citation_check", f"SELECT qid, count(*) FILTER (WHERE status <> 'exempt') AS counted, count(*) FILTER (WHERE status = 'supported') AS supported FROM {CHECKED} GROUP BY 1")
 def citation_check(spark, d):
-    a = _cited_answers(spark, d)
-    evidence = a.select("qid", F.lit("S1").alias("key"), F.lit("none").alias("text"), F.lit("t").alias("title"))
-    return answers.check_answers(a, evidence, "qid").select("qid", "counted", "supported")
+    return answers.check_answers(*_cited_answers(spark, d), "qid").select("qid", "counted", "supported")
 
 
-@query("citation_sentences")
+@query("citation_sentences", f"SELECT qid, CAST(pos AS INTEGER) AS pos, status, sha256(sentence) AS sentence FROM {CHECKED}")
 def citation_sentences(spark, d):
-    a = _cited_answers(spark, d)
-    evidence = a.select("qid", F.lit("S1").alias("key"), F.lit("none").alias("text"), F.lit("t").alias("title"))
-    return answers.check_sentences(a, evidence, "qid").select("qid", "pos", "status", F.sha2("sentence", 256).alias("sentence"))
+    return answers.check_sentences(*_cited_answers(spark, d), "qid").select("qid", "pos", "status", F.sha2("sentence", 256).alias("sentence"))
+
+
+@query(
+    "citations_in_order",
+    r"""WITH s AS (SELECT qid, pos, regexp_extract_all(sentence, '\[(S\d+)\]', 1) AS ks FROM """ + CHECKED + r"""), k AS (SELECT qid, pos, unnest(ks) AS key, unnest(range(len(ks))) AS i FROM s),
+    f AS (SELECT qid, key FROM k QUALIFY row_number() OVER (PARTITION BY qid, key ORDER BY pos, i) = 1)
+    SELECT c.conv_id * 8 + c.turn AS qid, CAST(1 AS INTEGER) AS nth, key, 't' AS title, left(trim(regexp_replace(coalesce(u.text, ''), '\s+', ' ', 'g')), 280) AS snippet
+    FROM f JOIN conversations c ON f.qid = c.conv_id * 8 + c.turn AND c.role = 'assistant' LEFT JOIN conversations u ON u.conv_id = c.conv_id AND u.turn = c.turn - 1 AND u.role = 'user' WHERE key = 'S1'""",
+)
+def citations_in_order(spark, d):
+    return answers.citations(*_cited_answers(spark, d), "qid")
 
 
 @query(
@@ -381,11 +401,13 @@ def dose_conflict(spark, d):
 
 
 def _qa(spark, d):
-    """Every benchmark item asks; its evidence are the first ten English documents by number offset."""
-    b = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 200).alias("question"))
-    docs = read(spark, d, "documents").where("lang = 'en'").select("doc_id", "text", (F.col("doc_id") % 40).alias("slot"))
-    e = b.join(docs, F.col("qid") % 40 == F.col("slot")).select("qid", "doc_id", F.col("text"), F.lit("").alias("title"), F.when(F.col("doc_id") % 3 == 0, "kv").otherwise("vector").alias("origin"))
-    e = answers.number_evidence(e, "qid", "origin", "doc_id")
+    """Every benchmark item asks with its whole text; its evidence are the ten documents that BM25 finds, in full."""
+    from .retrieval_queries import _bm25
+
+    b = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    top = _bm25(spark, d, 10).select(F.col("item_id").alias("qid"), "doc_id", "rank")
+    e = top.join(read(spark, d, "documents").select("doc_id", "text"), "doc_id").select("qid", "doc_id", "rank", "text", F.lit("").alias("title"), F.when(F.col("doc_id") % 3 == 0, "kv").otherwise("vector").alias("origin"))
+    e = answers.number_evidence(e, "qid", "origin", "rank")
     return b, e.withColumn("order", F.substr("key", F.lit(2)).cast("int") - 1)
 
 

@@ -124,19 +124,18 @@ def audit_hash(spark, d):
     return read(spark, d, "customer").select("c_custkey", files.salted_hash("salt", F.col("c_name")).alias("who"))
 
 
-@query("manifest_check", "SELECT CAST(doc_id AS BIGINT) AS doc_id, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'ok' END AS status FROM documents")
+@query("manifest_check", "SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'changed' WHEN doc_id % 11 = 0 THEN 'no_licence' ELSE 'ok' END AS status FROM documents")
 def manifest_check(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("found"))
-    listed = docs.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit("0")).otherwise(F.col("found")).alias("sha256"))
-    there = docs.where("doc_id % 7 > 0")
-    return listed.join(there, "doc_id", "left").select("doc_id", F.when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("sha256"), "changed").otherwise("ok").alias("status"))
+    docs = read(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("name"), F.sha2("text", 256).alias("found"))
+    listed = docs.select("name", F.when(F.col("doc_id") % 5 == 0, F.lit("0")).otherwise(F.col("found")).alias("sha256"), F.when(F.col("doc_id") % 11 > 0, "public domain").alias("licence"))
+    return files.compare_manifest(listed, docs.where("doc_id % 7 > 0").select("name", "found"))
 
 
-@query("exact_cache_key", "SELECT conv_id, turn, 'ans:' || CASE WHEN conv_id % 2 = 0 THEN 'P' || lpad(CAST(conv_id AS VARCHAR), 6, '0') ELSE 'global' END || ':' || substr(sha256(concat_ws(chr(1), lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), CASE WHEN conv_id % 2 = 0 THEN 'P' || lpad(CAST(conv_id AS VARCHAR), 6, '0') ELSE '' END, '', 'drug_labels,guidelines', 'k=5', '1000003')), 1, 32) AS key FROM conversations WHERE role = 'system'")
+@query("exact_cache_key", "SELECT conv_id, turn, 'ans:' || CASE WHEN conv_id % 2 = 0 THEN 'P' || lpad(CAST(conv_id AS VARCHAR), 6, '0') ELSE 'global' END || ':' || substr(sha256(concat_ws(chr(1), lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), CASE WHEN conv_id % 2 = 0 THEN 'P' || lpad(CAST(conv_id AS VARCHAR), 6, '0') ELSE '' END, '', 'drug_labels,guidelines', 'k=5', '1000003')), 1, 32) AS key FROM conversations")
 def exact_cache_key(spark, d):
     scope = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("P"), F.lpad(F.col("conv_id").cast("string"), 6, "0")))
     key = routing.cache_key(F.col("text"), scope, F.lit(None).cast("string"), F.array(F.lit("guidelines"), F.lit("drug_labels")), F.lit("k=5"), F.lit(1000003))
-    return read(spark, d, "conversations").where("role = 'system'").select("conv_id", "turn", key.alias("key"))
+    return read(spark, d, "conversations").select("conv_id", "turn", key.alias("key"))
 
 
 def _at(c="ts"):
@@ -145,12 +144,15 @@ def _at(c="ts"):
 
 @query(
     "singleflight_dedupe",
-    """WITH g AS (SELECT event_id, user_id, ts, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) AS gap FROM events)
-    SELECT event_id, user_id, CAST(sum(CASE WHEN gap IS NULL OR gap > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) AS BIGINT) AS flight, gap IS NULL OR gap > 3600 AS leader FROM g""",
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts) AS a FROM events),
+    l AS (SELECT user_id, min(a) AS since, 1 AS flight FROM e GROUP BY 1
+      UNION ALL SELECT l.user_id, (SELECT min(a) FROM e WHERE e.user_id = l.user_id AND e.a > l.since + 3600), flight + 1 FROM l WHERE l.since IS NOT NULL),
+    f AS (SELECT e.*, l.since, CAST(l.flight AS BIGINT) AS flight FROM e ASOF JOIN (SELECT * FROM l WHERE since IS NOT NULL) l ON e.user_id = l.user_id AND e.a >= l.since)
+    SELECT event_id, user_id, flight, row_number() OVER (PARTITION BY user_id, flight ORDER BY a, event_id) = 1 AS leader FROM f""",
 )
 def singleflight_dedupe(spark, d):
     e = read(spark, d, "events").select("event_id", "user_id", _at().alias("at"))
-    return state.single_flight(e, "user_id", "at", "event_id", 3600.0).select("event_id", "user_id", F.col("flight").cast("long").alias("flight"), "leader")
+    return state.single_flight(e, "user_id", "at", "event_id", 3600.0)
 
 
 def _cache_log(spark, d):

@@ -36,11 +36,11 @@ def dense_topk_per_namespace(spark, d):
     return vectors.top_k(e, e.where("vec_id = 2").select("embedding"), 5, "vec_id", namespace="label").select("label", "vec_id", F.round("score", ROUNDED).alias("score"), "rank")
 
 
-QUERIES_SQL = "(SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id < 32)"
+QUERIES_SQL = "(SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id % 100 = 0)"
 
 
 def _queries(spark, d):
-    return _vectors(spark, d).where("vec_id < 32").select(F.col("vec_id").alias("qid"), "embedding")
+    return _vectors(spark, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
 @query("dense_multiquery_topk", f"SELECT q.qid, e.vec_id, {DOT} AS score, CAST(row_number() OVER (PARTITION BY q.qid ORDER BY {DOT} DESC, e.vec_id) AS INTEGER) AS rank FROM embeddings e, {QUERIES_SQL} q QUALIFY rank <= 10")
@@ -50,15 +50,15 @@ def dense_multiquery_topk(spark, d):
 
 @query(
     "retrieval_recall_mrr",
-    f"""WITH r AS (SELECT q.qid, q.label AS ql, e.vec_id, e.label, row_number() OVER (PARTITION BY q.qid ORDER BY {DOT} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT vec_id AS qid, embedding, label FROM embeddings WHERE vec_id < 32) q WHERE e.vec_id <> q.qid QUALIFY rank <= 10),
-    n AS (SELECT q.vec_id AS qid, count(*) AS total FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id < 32 GROUP BY 1)
+    f"""WITH r AS (SELECT q.qid, q.label AS ql, e.vec_id, e.label, row_number() OVER (PARTITION BY q.qid ORDER BY {DOT} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT vec_id AS qid, embedding, label FROM embeddings WHERE vec_id % 100 = 0) q WHERE e.vec_id <> q.qid QUALIFY rank <= 10),
+    n AS (SELECT q.vec_id AS qid, count(*) AS total FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1)
     SELECT qid, round(coalesce(1.0 / min(rank) FILTER (WHERE label = ql), 0.0), 6) AS rr, {", ".join(f"round(count(*) FILTER (WHERE label = ql AND rank <= {k}) / CAST(any_value(total) AS DOUBLE), 6) AS recall_{k}" for k in (1, 3, 5, 10))} FROM n LEFT JOIN r USING (qid) GROUP BY 1""",
 )
 def retrieval_recall_mrr(spark, d):
     e = _vectors(spark, d)
     top = vectors.many_top_k(e, _queries(spark, d), 11, "vec_id").where("qid <> vec_id")
     top = measures.ranked(top.drop("rank"), ["qid"], [F.desc("score"), F.col("vec_id")]).where("rank <= 10")
-    same = e.where("vec_id < 32").select(F.col("vec_id").alias("qid"), "label").join(e.select("vec_id", "label"), "label").where("qid <> vec_id").select("qid", "vec_id")
+    same = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label").join(e.select("vec_id", "label"), "label").where("qid <> vec_id").select("qid", "vec_id")
     return measures.retrieval(top, same, "qid", "vec_id")
 
 
@@ -77,16 +77,23 @@ def ann_ivf_all_cells(spark, d):
     return vectors.ivf_search(_vectors(spark, d), _queries(spark, d), 5, 8, 8, key="vec_id").select("qid", "vec_id", F.round("score", ROUNDED).alias("score"), "rank")
 
 
-DOC_TOKENS = tokens_sql("text", "documents", "doc_id", "lang = 'en'")
-ASK_TOKENS = tokens_sql("text", "benchmark", "item_id", "true")
-BM25 = f"""(WITH t AS (SELECT doc_id, term, count(*) AS tf FROM {DOC_TOKENS} GROUP BY ALL), l AS (SELECT doc_id, CAST(coalesce(sum(tf), 0) AS DOUBLE) AS len FROM (SELECT doc_id FROM documents WHERE lang = 'en') LEFT JOIN t USING (doc_id) GROUP BY 1),
+DOC_TOKENS = tokens_sql("text", "documents", "doc_id")
+ASK_TOKENS = tokens_sql("text", "benchmark", "item_id")
+BM25 = f"""(WITH t AS (SELECT doc_id, term, count(*) AS tf FROM {DOC_TOKENS} GROUP BY ALL), l AS (SELECT doc_id, CAST(coalesce(sum(tf), 0) AS DOUBLE) AS len FROM documents LEFT JOIN t USING (doc_id) GROUP BY 1),
     s AS (SELECT count(*) AS n, avg(len) AS avgdl FROM l), df AS (SELECT term, count(*) AS df FROM t GROUP BY 1), a AS (SELECT item_id, term, count(*) AS times FROM {ASK_TOKENS} GROUP BY ALL)
     SELECT item_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS score FROM a JOIN t USING (term) JOIN df USING (term) JOIN l USING (doc_id), s GROUP BY 1, 2)"""
 
 
+def _postings(spark, d):
+    """(asked terms, postings, number of documents) of the benchmark's items against all documents."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    asked = lexical.asked_terms(read(spark, d, "benchmark"), "item_id")
+    return asked, lexical.postings(docs, asked, "doc_id"), docs.count()
+
+
 def _bm25(spark, d, k):
-    docs = read(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
-    return lexical.bm25(docs, read(spark, d, "benchmark"), "doc_id", "item_id", k)
+    asked, found, n = _postings(spark, d)
+    return lexical.best(lexical.bm25_scores(found, n, asked, "doc_id", "item_id"), "doc_id", "item_id", k)
 
 
 @query("bm25_topk", f"SELECT item_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM {BM25} QUALIFY rank <= 10")
@@ -94,14 +101,6 @@ def bm25_topk(spark, d):
     return _bm25(spark, d, 10).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _coverage(spark, d, k=24):
-    """Second ranking: how many of the question's words a document holds."""
-    docs = read(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode(F.array_distinct(lexical.tokens(F.col("text")))).alias("term"))
-    asked = read(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(lexical.tokens(F.col("text")))).alias("term"))
-    hits = docs.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    return measures.ranked(hits, ["item_id"], [F.desc("score"), F.col("doc_id")]).where(F.col("rank") <= k)
-
-
 COVER = f"(SELECT item_id, doc_id, count(*) AS score FROM (SELECT DISTINCT doc_id, term FROM {DOC_TOKENS}) JOIN (SELECT DISTINCT item_id, term FROM {ASK_TOKENS}) USING (term) GROUP BY 1, 2)"
 
 
@@ -113,7 +112,10 @@ COVER = f"(SELECT item_id, doc_id, count(*) AS score FROM (SELECT DISTINCT doc_i
     SELECT item_id, doc_id, round(fused, 9) AS fused, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(fused, 12) DESC, doc_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10""",
 )
 def rrf_fusion(spark, d):
-    f = fusion.rrf([_bm25(spark, d, 24), _coverage(spark, d)], "doc_id", "item_id", 10)
+    # Both lists read the same postings; their exchange is made once.
+    asked, found, n = _postings(spark, d)
+    lists = [lexical.bm25_scores(found, n, asked, "doc_id", "item_id"), lexical.coverage_scores(found, asked, "doc_id", "item_id")]
+    f = fusion.rrf([lexical.best(x, "doc_id", "item_id", 24) for x in lists], "doc_id", "item_id", 10)
     return f.select("item_id", "doc_id", F.round("fused", 9).alias("fused"), "rank")
 
 
@@ -127,14 +129,15 @@ def lexical_rerank(spark, d):
 
 @query(
     "lexical_overlap",
-    f"""WITH d AS (SELECT doc_id, list(DISTINCT term) AS t FROM {DOC_TOKENS} GROUP BY 1), q AS (SELECT item_id, list(DISTINCT term) AS t FROM {ASK_TOKENS} GROUP BY 1)
-    SELECT item_id, doc_id, round(len(list_intersect(q.t, d.t)) / CAST(len(q.t) AS DOUBLE), 6) AS overlap FROM d, q WHERE doc_id % 40 = item_id""",
+    f"""WITH q AS (SELECT item_id, count(DISTINCT term) AS n FROM {ASK_TOKENS} GROUP BY 1), o AS (SELECT item_id, doc_id, score / CAST(n AS DOUBLE) AS o FROM {COVER} JOIN q USING (item_id))
+    SELECT item_id, doc_id, round(o, 6) AS overlap FROM o QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(o, 9) DESC, doc_id) <= 20""",
 )
 def lexical_overlap(spark, d):
-    docs = read(spark, d, "documents").where("lang = 'en'").select("doc_id", lexical.tokens(F.col("text")).alias("t")).where("size(t) > 0")
-    q = read(spark, d, "benchmark").select("item_id", F.array_distinct(lexical.tokens(F.col("text"))).alias("q")).where("size(q) > 0")
-    both = docs.join(q, F.col("doc_id") % 40 == F.col("item_id"))
-    return both.select("item_id", "doc_id", F.round(F.size(F.array_intersect("q", "t")) / F.size("q"), 6).alias("overlap"))
+    """The twenty documents that hold the largest share of an item's terms."""
+    asked, found, _ = _postings(spark, d)
+    size = asked.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    share = lexical.coverage_scores(found, asked, "doc_id", "item_id").join(size, "item_id").select("item_id", "doc_id", (F.col("score") / F.col("n")).alias("score"))
+    return lexical.best(share, "doc_id", "item_id", 20).select("item_id", "doc_id", F.round("score", 6).alias("overlap"))
 
 
 @query(
@@ -162,7 +165,7 @@ def lifecycle_batch(spark, d):
     from .language_queries import _questions
 
     q = _questions(spark, d).select((F.col("conv_id") * 8 + F.col("turn")).alias("qid"), "query", "scope")
-    passages = read(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("id"), F.lit("guidelines").alias("namespace"), F.col("source").alias("title"), "text")
+    passages = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("guidelines").alias("namespace"), F.col("source").alias("title"), "text")
     lab = F.get(F.array(*[F.lit(x) for x in LABS]), (F.col("c_custkey") % len(LABS)).cast("int"))
     facts = read(spark, d, "customer").select(F.format_string("P%04d", (F.col("c_custkey") % 50).cast("int")).alias("subject"), F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.concat(lab, F.lit(" reading was "), F.col("c_acctbal").cast("string"), F.lit(" at the last visit.")).alias("text"))
     return run_batch(q, facts, passages)

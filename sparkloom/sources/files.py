@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,20 +46,16 @@ def read_icd(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim(line) != "").select(icd_dotted(F.substring(line, 1, 8)).alias("code"), F.trim(F.substr(line, F.lit(9))).alias("name"))
 
 
-def best_label(labels: DataFrame, drug: str, order: list[Column]) -> DataFrame:
-    w = Window.partitionBy(drug).orderBy(*order)
-    return labels.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def compare_manifest(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """Per listed file (name, sha256, licence) against what is there (name, found): ok, missing, changed, or no_licence."""
+    joined = manifest.join(found, "name", "left")
+    return joined.select("name", F.when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("sha256"), "changed").when(F.coalesce(F.trim("licence"), F.lit("")) == "", "no_licence").otherwise("ok").alias("status"))
 
 
 def verify_manifest(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
-    """Per listed file (name, sha256, licence): ok, missing, changed, or no_licence."""
+    """The manifest against the files of a folder."""
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
-    joined = manifest.join(files, "name", "left")
-    return joined.select("name", F.when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("sha256"), "changed").when(F.coalesce(F.trim("licence"), F.lit("")) == "", "no_licence").otherwise("ok").alias("status"))
-
-
-def fingerprint(*parts: Column) -> Column:
-    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 24)
+    return compare_manifest(manifest, files)
 
 
 def salted_hash(salt: str, value: Column) -> Column:

@@ -10,7 +10,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -51,16 +51,32 @@ class Cache:
         return "cleared"
 
 
+def _in_order(log: DataFrame, key: str, order: list[str], schema: str, begin, step) -> DataFrame:
+    """Folds the rows of every key in order: each task gets its keys sorted, reads them batch by batch and holds one key's state
+    only, however many rows a key has."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.split()[0] for f in schema.split(", ")]
+        now = state = None
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                k = getattr(r, key)
+                if state is None or k != now:
+                    now, state = k, begin()
+                out.append(step(state, r))
+            yield pd.DataFrame(out, columns=names)
+
+    return log.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 def lru_replay(log: DataFrame, capacity: int) -> DataFrame:
     """Outcome of every operation of a log (shard, seq, op, key, tags, ttl, at), shard by shard in order of ``seq``."""
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        cache, out = Cache(capacity), []
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            out.append((r.shard, r.seq, cache.step(r.op, r.key, r.tags, r.ttl, r.at), len(cache.rows)))
-        return pd.DataFrame(out, columns=["shard", "seq", "outcome", "size"])
+    def step(cache: Cache, r) -> tuple:
+        return r.shard, r.seq, cache.step(r.op, r.key, r.tags, r.ttl, r.at), len(cache.rows)
 
-    return log.groupBy("shard").applyInPandas(replay, LRU_OUT)
+    return _in_order(log, "shard", ["seq"], LRU_OUT, lambda: Cache(capacity), step)
 
 
 class CacheProcessor(StatefulProcessor):
@@ -96,27 +112,28 @@ def token_bucket(log: DataFrame, per_minute: float, burst: float | None = None)
     """(user, seq, allowed, wait): a bucket per user refills at rate/60 a second up to ``burst``."""
     size = max(5.0, per_minute / 4) if burst is None else burst
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        level, last, out = size, None, []
-        for r in pdf.sort_values(["at", "seq"]).itertuples(index=False):
-            level = min(size, level + (0.0 if last is None else (r.at - last) * per_minute / 60))
-            last = r.at
-            ok = level >= 1
-            level -= ok
-            out.append((r.user, r.seq, bool(ok), 0.0 if ok else (1 - level) * 60 / per_minute))
-        return pd.DataFrame(out, columns=["user", "seq", "allowed", "wait"])
+    def step(state: dict, r) -> tuple:
+        level = min(size, state["level"] + (0.0 if state["last"] is None else (r.at - state["last"]) * per_minute / 60))
+        ok = level >= 1
+        state.update(level=level - ok, last=r.at)
+        return r.user, r.seq, bool(ok), 0.0 if ok else (1 - level) * 60 / per_minute
 
-    return log.groupBy("user").applyInPandas(replay, "user string, seq long, allowed boolean, wait double")
+    return _in_order(log, "user", ["at", "seq"], "user string, seq long, allowed boolean, wait double", lambda: {"level": size, "last": None}, step)
 
 
 def single_flight(calls: DataFrame, key: str, at: str, tie: str, window_s: float) -> DataFrame:
-    """Who leads: within ``window_s`` of a leader's call, callers of its key share its result.
-
-    A call leads if it comes later than the window after the call before it began; chains of close calls follow their first."""
-    w = Window.partitionBy(key).orderBy(at, tie)
-    gap = F.col(at).cast("double") - F.lag(F.col(at).cast("double")).over(w)
-    led = calls.withColumn("_new", (gap.isNull() | (gap > window_s)).cast("int")).withColumn("flight", F.sum("_new").over(w))
-    return led.withColumn("leader", F.col("_new") == 1).drop("_new")
+    """(key, tie, flight, leader): within ``window_s`` of a leader's call, callers of its key share its result; the next later call leads
+    again."""
+
+    def step(state: dict, r) -> tuple:
+        leads = state["since"] is None or getattr(r, at) - state["since"] > window_s
+        if leads:
+            state.update(since=getattr(r, at), flight=state["flight"] + 1)
+        return getattr(r, key), getattr(r, tie), state["flight"], leads
+
+    kinds = {f.name: f.dataType.simpleString() for f in calls.schema}
+    schema = f"{key} {kinds[key]}, {tie} {kinds[tie]}, flight long, leader boolean"
+    return _in_order(calls.select(key, tie, at), key, [at, tie], schema, lambda: {"since": None, "flight": 0}, step)
 
 
 def windowed_counts(events: DataFrame, at: str, by: str, size: str, late: str, slide: str | None = None) -> DataFrame:
