@@ -2,23 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import hash_features, tokens
+from .text import tokens
+
+#: Weights of the kinds of features: words, padded trigrams of words of five letters or more, pairs of words.
+WORD, TRIGRAM, PAIR = 1.0, 0.25, 0.7
+_SEED = 42
+
+
+def vector(words: list[str], dim: int, known: dict[str, tuple]) -> np.ndarray:
+    """The embedding of a list of words; ``known`` remembers the hashes of words and their trigrams."""
+    import xxhash
+
+    h = lambda s: xxhash.xxh64_intdigest(s, _SEED)
+    hashes, weights = [], []
+    for w in words:
+        own = known.get(w)
+        if own is None:
+            padded = f"#{w}#"
+            grams = [h(f"c:{padded[i : i + 3]}") for i in range(len(w))] if len(w) >= 5 else []
+            own = known[w] = ([h(f"w:{w}"), *grams], [WORD] + [TRIGRAM] * len(grams))
+        hashes += own[0]
+        weights += own[1]
+    pairs = [h(f"b:{a}_{b}") for a, b in zip(words, words[1:], strict=False)]
+    out = np.zeros(dim)
+    if hashes:
+        features, where = np.unique(np.array(hashes + pairs, dtype=np.uint64), return_inverse=True)
+        tf = np.bincount(where, weights + [PAIR] * len(pairs))
+        weight = np.where(tf >= 1, 1 + np.log(np.maximum(tf, 1)), tf)
+        sign = np.where(features >> np.uint64(63), 1.0, -1.0)
+        out = np.bincount((features % np.uint64(dim)).astype(np.intp), sign * weight, dim)
+        norm = np.linalg.norm(out)
+        out = out / norm if norm > 0 else out
+    return out.astype(np.float32)
 
 
 def hashing_embedding(docs: DataFrame, key: str, text: str, dim: int = 384) -> DataFrame:
     """(key, embedding array<float>). Hashes are XXH64 with Spark's seed, read as unsigned: the dimension is its remainder, the
-    sign its top bit. Features are counted per document before the hash, and per dimension in one aggregate."""
-    words = docs.select(key, tokens(F.col(text)).alias("_w"))
-    f = words.select(key, F.explode(hash_features(F.col("_w"))).alias("f")).groupBy(key, "f.feature").agg(F.sum("f.weight").alias("tf"))
-    h = F.xxhash64("feature")
-    lift = (1 << 64) % dim
-    idx = F.pmod(F.pmod(h, F.lit(dim)) + F.when(h < 0, lift).otherwise(0), F.lit(dim)).cast("int")
-    weight = F.when(F.col("tf") >= 1, 1 + F.log("tf")).otherwise(F.col("tf"))
-    cells = f.groupBy(key, idx.alias("i")).agg(F.sum(F.when(h < 0, weight).otherwise(-weight)).alias("v"))
-    row = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)).cast("float"))
-    zero = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.lit(0.0).cast("float"))
-    return docs.select(key).join(row.select(key, vector.alias("v")), key, "left").select(key, F.coalesce("v", zero).alias("embedding"))
+    sign its top bit. Tokens come from the JVM; a document never leaves its task. A null text is embedded like an empty one."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple] = {}
+        for batch in batches:
+            if len(known) > 100_000:
+                known.clear()
+            made = [vector(w.as_py() or [], dim, known) for w in batch.column(1)]
+            flat = pa.array(np.concatenate(made) if made else np.empty(0, np.float32))
+            offsets = pa.array(np.arange(0, (len(made) + 1) * dim, dim, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=[key, "embedding"])
+
+    return docs.select(key, tokens(F.col(text)).alias("words")).mapInArrow(run, f"`{key}` {kind}, embedding array<float>")

@@ -32,16 +32,18 @@ def fuzzy_drugs(normalized: Column, cutoff: float = 0.88) -> Column:
     return match(normalized)
 
 
-def unknown_words(asked: DataFrame, vocabulary: DataFrame, key: str, cutoff: float = 0.85, least: int = 6, most_words: int = 200_000) -> DataFrame:
+def unknown_words(asked: DataFrame, vocabulary: DataFrame, key: str, cutoff: float = 0.85, least: int = 6) -> DataFrame:
     """(key, word) of long words that neither stand in the vocabulary (word) nor nearly do.
 
-    An anti join takes out what is known; the rest is compared within words of the same first letter and a similar length only,
-    which words of that similarity nearly always share, so no word meets the whole vocabulary."""
+    An anti join takes out what is known. Two words of the cutoff or more leave at most ``u = (1 - cutoff) * (both lengths)`` letters
+    unmatched, and what matches is in at most u + 1 runs, so they share a pair of letters at places no more than u apart: what is left meets the vocabulary on such
+    pairs only, whatever letters the words begin with."""
     left = asked.where(F.length("word") >= least).join(vocabulary, "word", "left_anti")
-    bucket = F.concat(F.substring("word", 1, 1), F.lit(":"))
-    lengths = F.sequence(F.length("word") - 3, F.length("word") + 3)
-    words = left.select("word").distinct().select("word", F.explode(F.transform(lengths, lambda n: F.concat(bucket, n.cast("string")))).alias("b"))
-    known = vocabulary.where(F.length("word") >= least - 3).select(F.col("word").alias("other"), F.concat(F.substring("word", 1, 1), F.lit(":"), F.length("word").cast("string")).alias("b"))
+    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substr(w, i, F.lit(2)))
+    words = left.select("word").distinct().select("word", F.posexplode(pairs(F.col("word"))).alias("at", "pair"))
+    long_enough = F.length("word") >= int(least * cutoff / (2 - cutoff))  # shorter ones can't reach the cutoff
+    known = vocabulary.where(long_enough & (F.length("word") > 1)).select("word").distinct().select(F.col("word").alias("other"), F.posexplode(pairs(F.col("word"))).alias("other_at", "pair"))
+    unmatched = (1 - cutoff) * (F.length("word") + F.length("other")) + 1e-9
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -55,7 +57,8 @@ def unknown_words(asked: DataFrame, vocabulary: DataFrame, key: str, cutoff: flo
             out.append(matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff and matcher.ratio() >= cutoff)
         return pd.Series(out)
 
-    # Edit distance bounds the ratio: most pairs end in the JVM.
-    close = words.join(known, "b").where(F.levenshtein("word", "other") <= 2 * (1 - cutoff) * F.greatest(F.length("word"), F.length("other")) + 1)
+    # Edit distance is at most the number of unmatched letters: most pairs end in the JVM.
+    near = (F.abs(F.length("word") - F.length("other")) <= unmatched) & (F.abs(F.col("at") - F.col("other_at")) <= unmatched) & (F.levenshtein("word", "other") <= unmatched)
+    close = words.join(known, "pair").where(near).select("word", "other").distinct()
     typos = close.where(similar(F.col("word"), F.col("other"))).select("word").distinct()
     return left.join(typos, "word", "left_anti").select(key, "word")

@@ -53,19 +53,29 @@ LEXICON = {
 }
 
 
-def gazetteer(kind: str) -> str:
+def brand_lexicon(brands: dict[str, str]) -> dict[str, str]:
+    """Brand name -> drug, of names of four letters or more without digits. A catalogue, read by the driver."""
+    return {b.lower(): d for b, d in brands.items() if len(b) >= 4 and not any(c.isdigit() for c in b)}
+
+
+def lexicon(kind: str, brands: dict[str, str] | None = None) -> dict[str, str]:
+    """Surface form -> canonical key; own names win over brands."""
+    return (brand_lexicon(brands) if brands and kind == "drugs" else {}) | LEXICON[kind]
+
+
+def gazetteer(kind: str, brands: dict[str, str] | None = None) -> str:
     """One alternation of all surface forms, longest first, so that the longest match wins."""
-    return r"\b(" + "|".join(re.escape(s) for s in sorted(LEXICON[kind], key=len, reverse=True)) + r")\b"
+    return r"\b(" + "|".join(re.escape(s) for s in sorted(lexicon(kind, brands), key=len, reverse=True)) + r")\b"
 
 
 def _sorted_set(xs: Column) -> Column:
     return F.array_sort(F.array_distinct(xs))
 
 
-def mentioned(kind: str, normalized: Column) -> Column:
+def mentioned(kind: str, normalized: Column, brands: dict[str, str] | None = None) -> Column:
     """Sorted canonical keys of one kind that a normalised query names."""
-    named = F.create_map(*[F.lit(x) for pair in LEXICON[kind].items() for x in pair])
-    keys = _sorted_set(F.transform(found(normalized, gazetteer(kind), 1), lambda s: F.element_at(named, s)))
+    named = F.create_map(*[F.lit(x) for pair in lexicon(kind, brands).items() for x in pair])
+    keys = _sorted_set(F.transform(found(normalized, gazetteer(kind, brands), 1), lambda s: F.element_at(named, s)))
     if kind != "labs":
         return keys
     both = F.array_contains(keys, "systolic blood pressure") & normalized.contains("blood pressure") & ~normalized.contains("systolic")
@@ -112,28 +122,36 @@ def time_range(normalized: Column, today: dt.date) -> Column:
     )
 
 
-def negated(kind: str, normalized: Column) -> Column:
-    """Keys of one kind with a negation in the 40 characters before them and at most four words between."""
-    named = F.create_map(*[F.lit(x) for pair in LEXICON[kind].items() for x in pair])
-    # The text before each mention: cut at the mentions, rebuild the running prefix, look at its end.
-    spans = found(normalized, gazetteer(kind), 1)
-    parts = F.split(normalized, gazetteer(kind), -1)
-    prefix = lambda i: F.concat(
-        F.array_join(F.transform(F.sequence(F.lit(0), i), lambda j: F.concat(F.when(j > 0, F.coalesce(F.get(spans, j - 1), F.lit(""))).otherwise(F.lit("")), F.get(parts, j))), "")
-    )
-    def hit(s: Column, i: Column) -> Column:
-        window = F.right(prefix(i), F.lit(40))
-        gap = F.regexp_extract(window, r"(?s).*" + V.NEGATION + r"(.*)$", 2)
-        return F.when(has(window, V.NEGATION) & (F.size(F.filter(F.split(F.trim(gap), r"\s+"), lambda w: w != "")) <= 4), F.element_at(named, s))
+def negated(kind: str, normalized: Column, brands: dict[str, str] | None = None) -> Column:
+    """Keys of one kind with a negation in the 40 characters before them and at most four words between.
+
+    A lookbehind of fixed reach cannot hold the words between, so each mention is found with what stands before it: the
+    text is cut behind every mention, and the pieces up to 40 characters back are looked at."""
+    named = F.create_map(*[F.lit(x) for pair in lexicon(kind, brands).items() for x in pair])
+    marked = F.regexp_replace(normalized, gazetteer(kind, brands), "\u0001$1\u0002")
+    pieces = F.split(marked, "\u0002", -1)  # every piece but the last ends with a mention
+    # What stands before a mention is its own piece and, if that is short, the ends of those before.
+    before = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p, i: F.struct(
+        F.split_part(p, F.lit("\u0001"), F.lit(2)).alias("s"),
+        F.right(F.concat(F.array_join(F.transform(F.slice(pieces, F.greatest(i - 5, F.lit(1)), F.least(i, F.lit(6))), lambda q: F.right(F.replace(q, F.lit("\u0001"), F.lit("")), F.lit(40))), ""), F.split_part(p, F.lit("\u0001"), F.lit(1))), F.lit(40)).alias("w"),
+    ))
+
+    def hit(x: Column) -> Column:
+        gap = F.regexp_extract(x["w"], r"(?s).*" + V.NEGATION + r"(.*)$", 2)
+        return F.when(has(x["w"], V.NEGATION) & (F.size(F.filter(F.split(F.trim(gap), r"\s+"), lambda w: w != "")) <= 4), F.element_at(named, x["s"]))
 
-    return _sorted_set(F.filter(F.transform(spans, hit), lambda k: k.isNotNull()))
+    return _sorted_set(F.filter(F.transform(before, hit), lambda k: k.isNotNull()))
 
 
-def entities(query: Column, normalized: Column, today: dt.date) -> Column:
+def entities(query: Column, normalized: Column, today: dt.date, known_codes: list[str] | None = None, brands: dict[str, str] | None = None, near_drugs: Column | None = None) -> Column:
+    """What a query names. ``known_codes`` count as codes in any context, ``brands`` as their drugs, and ``near_drugs`` (names that are
+    nearly spelled, see ``fuzzy``) join the drugs."""
+    drugs = mentioned("drugs", normalized, brands)
     return F.struct(
-        patient_ids(query).alias("patient_ids"), icd_codes(query).alias("icd10_codes"), rxcuis(query).alias("rxnorm_codes"),
-        mentioned("drugs", normalized).alias("drugs"), mentioned("labs", normalized).alias("labs"), mentioned("conditions", normalized).alias("conditions"),
+        patient_ids(query).alias("patient_ids"), icd_codes(query, known_codes).alias("icd10_codes"), rxcuis(query).alias("rxnorm_codes"),
+        (drugs if near_drugs is None else _sorted_set(F.array_union(drugs, near_drugs))).alias("drugs"), mentioned("labs", normalized).alias("labs"), mentioned("conditions", normalized).alias("conditions"),
         time_range(normalized, today).alias("time_range"), record_types(normalized).alias("record_types"), has(normalized, V.DOSAGE).alias("dosage_intent"),
+        _sorted_set(F.array_union(negated("drugs", normalized, brands), negated("conditions", normalized))).alias("negated_terms"),
     )
 
 

@@ -129,17 +129,43 @@ def hashing_embed(spark, d):
     return hashing_embedding(read(spark, d, "documents"), "doc_id", "text", 384)
 
 
-@query("hash_embed_features", f"SELECT doc_id, count(*) AS words FROM {tokens_sql('text', 'documents', 'doc_id', 'true')} GROUP BY 1")
+_WORDS_LIST = (
+    f"list_transform(list_filter(flatten(list_transform(regexp_extract_all(lower(text), '{text.TOKEN}'), lambda t: string_split(coalesce({_SYN}[t], t), ' '))), lambda w: w NOT IN ({_STOP})), lambda w: {_STEM})"
+)
+
+
+@query(
+    "hash_embed_features",
+    f"""WITH w AS (SELECT doc_id, {_WORDS_LIST} AS w FROM documents), f AS (SELECT doc_id, list_transform(w, lambda x: 'w:' || x) AS ws,
+      flatten(list_transform(list_filter(w, lambda x: length(x) >= 5), lambda x: list_transform(range(1, length(x) + 1), lambda i: 'c:' || substr('#' || x || '#', CAST(i AS BIGINT), 3)))) AS cs,
+      list_transform(range(1, len(w)), lambda i: 'b:' || w[i] || '_' || w[i + 1]) AS bs FROM w)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS words, CAST(len(cs) AS BIGINT) AS trigrams, CAST(len(bs) AS BIGINT) AS pairs, CAST(len(list_distinct(ws || cs || bs)) AS BIGINT) AS features,
+      CAST(round(100 * (len(ws) + 0.25 * len(cs) + 0.7 * len(bs))) AS BIGINT) AS weight FROM f WHERE len(ws) > 0""",
+)
 def hash_embed_features(spark, d):
+    """Features of the embedder by kind, before they are hashed."""
     words = read(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("w"))
-    f = words.select("doc_id", F.explode(text.hash_features(F.col("w"))).alias("f")).where(F.col("f.feature").startswith("w:"))
-    return f.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"))
+    f = words.select("doc_id", F.explode(text.hash_features(F.col("w"))).alias("f")).select("doc_id", "f.*")
+    per = f.groupBy("doc_id", "feature").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    n = lambda k: F.sum(F.when(F.col("feature").startswith(k), F.col("n")).otherwise(0))
+    return per.groupBy("doc_id").agg(n("w:").alias("words"), n("c:").alias("trigrams"), n("b:").alias("pairs"), F.count(F.lit(1)).alias("features"), F.round(100 * F.sum("weight")).cast("long").alias("weight"))
 
 
 # --- chunking ----------------------------------------------------------------------------------------
-@query("chunk_sections")
+@query(
+    "chunk_sections",
+    r"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\n+', chr(1), 'g'), '([.!?])\s+([A-Z0-9\[(-])', '\1' || chr(1) || '\2', 'g'), chr(1)),
+      lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents),
+    q AS (SELECT doc_id, s, list_transform(s, lambda x: len(regexp_extract_all(x, '\S+'))) AS n FROM p),
+    c AS (SELECT doc_id, 1 AS i, 0 AS chunk, 1 AS first, n[1] AS open FROM q WHERE len(s) > 0
+      UNION ALL SELECT c.doc_id, i + 1, CASE WHEN open + n[i + 1] > 120 THEN chunk + 1 ELSE chunk END, CASE WHEN open + n[i + 1] > 120 THEN i ELSE first END, CASE WHEN open + n[i + 1] > 120 THEN n[i] + n[i + 1] ELSE open + n[i + 1] END
+      FROM c JOIN q ON c.doc_id = q.doc_id WHERE i < len(s)),
+    e AS (SELECT doc_id, chunk, first, max(i) AS last FROM c GROUP BY ALL), t AS (SELECT doc_id, chunk, array_to_string(s[first:last], ' ') AS text FROM e JOIN q USING (doc_id))
+    SELECT doc_id, doc_id || '#note#' || chunk AS chunk_id, 'note' AS section, sha256(text) AS digest FROM t QUALIFY text IS DISTINCT FROM lag(text) OVER (PARTITION BY doc_id ORDER BY chunk) OR lead(chunk) OVER (PARTITION BY doc_id ORDER BY chunk) IS NOT NULL""",
+)
 def chunk_sections(spark, d):
-    return chunking.chunks(read(spark, d, "documents"), "doc_id", "text", 120)
+    """The documents have no section headers, so each is one section, ``note``."""
+    return chunking.chunks(read(spark, d, "documents"), "doc_id", "text", 120).select("doc_id", "chunk_id", "section", F.sha2("text", 256).alias("digest"))
 
 
 @query("chunk_coverage", r"SELECT doc_id, CAST(len(string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) AS BIGINT) AS words FROM documents WHERE trim(text) <> ''")

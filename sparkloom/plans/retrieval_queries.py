@@ -119,10 +119,18 @@ def rrf_fusion(spark, d):
     return f.select("item_id", "doc_id", F.round("fused", 9).alias("fused"), "rank")
 
 
-@query("lexical_rerank")
+@query(
+    "lexical_rerank",
+    f"""WITH top AS (SELECT item_id, doc_id, score FROM {BM25} QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) <= 24),
+    q AS (SELECT item_id, list(DISTINCT term) AS q FROM {ASK_TOKENS} GROUP BY 1), b AS (SELECT doc_id, list(term) AS b FROM {tokens_sql("concat_ws(' ', source, text)", "documents", "doc_id")} GROUP BY 1),
+    s AS (SELECT doc_id, list(term) AS s FROM {tokens_sql("coalesce(source, '')", "documents", "doc_id")} GROUP BY 1),
+    x AS (SELECT item_id, doc_id, score, round(0.5 * score / CASE WHEN max(score) OVER (PARTITION BY item_id) = 0 THEN 1 ELSE max(score) OVER (PARTITION BY item_id) END + 0.5 * (0.6 * len(list_intersect(q, list_distinct(b))) / len(q)
+      + 0.25 * least(len(list_filter(b, lambda t: list_contains(q, t))) / sqrt(len(b) + 1.0), 1.0) + CASE WHEN list_has_any(coalesce(s, []), q) THEN 0.15 ELSE 0.0 END), 6) AS rerank_score FROM top JOIN q USING (item_id) JOIN b USING (doc_id) LEFT JOIN s USING (doc_id))
+    SELECT item_id, doc_id, rerank_score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY rerank_score DESC, score DESC, doc_id) AS INTEGER) AS rank FROM x QUALIFY rank <= 10""",
+)
 def lexical_rerank(spark, d):
     """The lexical reranker over the first 24 of BM25."""
-    top = _bm25(spark, d, 24).drop("rank").join(read(spark, d, "documents").select("doc_id", "text", F.col("source").alias("section")), "doc_id")
+    top = _bm25(spark, d, 24).drop("rank").join(read(spark, d, "documents").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("section")), "doc_id")
     rows = top.join(read(spark, d, "benchmark").select("item_id", F.col("text").alias("question")), "item_id")
     return fusion.rerank(rows, "doc_id", "item_id", 10).select("item_id", "doc_id", "rerank_score", "rank")
 
@@ -200,17 +208,17 @@ def write_through(spark, d):
 
 @query("fuzzy_drug_match")
 def fuzzy_drug_match(spark, d):
-    """Questions with a letter of their drug left out: the near match finds it again."""
+    """Whole user turns, each with a drug's name that lacks a letter put before it: the near match finds it again."""
     from ..functions import fixed_values as V
     from ..functions.fuzzy import fuzzy_drugs
 
     names = F.array(*[F.lit(x) for x in V.DRUGS if " " not in x and len(x) >= 9])
-    i = F.col("doc_id")
+    i = F.col("conv_id") * 8 + F.col("turn")
     drug = F.get(names, (i % F.size(names)).cast("int"))
     cut = (i % (F.length(drug) - 4)).cast("int") + 3
     typo = F.concat(F.substr(drug, F.lit(1), cut - 1), F.substr(drug, cut + 1))
-    docs = read(spark, d, "documents").select("doc_id", drug.alias("drug"), F.concat(F.lit("how much "), typo, F.lit(" is usual")).alias("q"))
-    return docs.select("doc_id", "drug", F.array_join(fuzzy_drugs(F.col("q")), "|").alias("found"))
+    talk = read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", drug.alias("drug"), F.lower(F.concat(typo, F.lit(" "), F.coalesce("text", F.lit("")))).alias("q"))
+    return talk.select("conv_id", "turn", "drug", F.array_join(fuzzy_drugs(F.col("q")), "|").alias("found"))
 
 
 @query("unknown_subject")
