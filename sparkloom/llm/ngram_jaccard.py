@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -120,27 +121,45 @@ def _nodes(key: str, salt: int):
     return run
 
 
-def _pack(tokens: np.ndarray) -> bytes:
-    """Sorted tokens as byte planes of their differences, compressed."""
+def _press(x: np.ndarray) -> bytes:
+    """An array as compressed byte planes."""
     import zstandard
 
-    d = np.diff(tokens, prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()) if len(x) else b""
 
 
-def _unpack(packed: bytes) -> np.ndarray:
+def _spread(pressed, kind) -> np.ndarray:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    if not len(pressed):
+        return np.empty(0, dtype=kind)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(pressed), dtype=np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _pack(tokens: np.ndarray) -> bytes:
+    """Sorted tokens by their differences."""
+    return _press(np.diff(tokens, prepend=np.uint64(0)))
+
+
+def _unpack(packed) -> np.ndarray:
+    return np.cumsum(_spread(packed, np.uint64), dtype=np.uint64)
 
 
-PARTS = "part int, told boolean, tokens binary, owners binary, nodes binary, wholes binary, marks binary"
-LOTS = "part int, nodes binary, wholes binary, sizes binary, tokens binary, freqs binary"
+PARTS = "part int, lot long, home boolean, tokens binary, owners binary, nodes binary, wholes binary, marks binary"
+LOTS = "lot long, tokens binary, owners binary, freqs binary, nodes binary, wholes binary"
 LISTS = "node long, n_shingles long, tokens binary, freqs binary"
+_PARTS = pa.schema([("part", pa.int32()), ("lot", pa.int64()), ("home", pa.bool_()), *[(c, pa.binary()) for c in ("tokens", "owners", "nodes", "wholes", "marks")]])
+_LOTS = pa.schema([("lot", pa.int64()), *[(c, pa.binary()) for c in ("tokens", "owners", "freqs", "nodes", "wholes")]])
 _LISTS = pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("tokens", pa.binary()), ("freqs", pa.binary())])
 
 
+def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 64) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+
 def _free(n, shared):
     """Prefix places of a set of n tokens that are left for its ``shared`` ones; those of it alone come first in every order."""
     return shared - -(-PERCENT * n // 100) + 1
@@ -161,10 +180,11 @@ def _column(batch: pa.RecordBatch, name: str, kind) -> list[np.ndarray]:
 
 
 def _parted(parts: int, salt: int):
-    """Tokens with their documents, dealt out by token range, a row for each lot and range that the lot has tokens of. A token
-    that is common in one lot is known to be common everywhere: its documents are told at once (``told``) and a mark goes to its range."""
+    """Tokens with the documents that hold them, dealt out by token range, a row for each lot of documents and range that the lot has
+    tokens of. Documents are numbered within their lot; what the numbers stand for stays in the lot's home row, which passes the
+    ranges by. A token that is common in one lot is known to be common everywhere: it stays in the home row too, and a mark goes to its range."""
 
-    def lot(sets: dict[int, np.ndarray]) -> Iterator[tuple]:
+    def lot(number: int, sets: dict[int, np.ndarray]) -> Iterator[tuple]:
         nodes = np.fromiter(sets, dtype=np.int64, count=len(sets))
         wholes = np.array([len(s) for s in sets.values()], dtype=np.int32)
         tokens = np.concatenate(list(sets.values()))
@@ -176,35 +196,19 @@ def _parted(parts: int, salt: int):
         starts = _starts(tokens)
         counts = np.diff(np.append(starts, len(tokens)))
         marks = tokens[starts[counts >= COMMON]]
-        if len(marks):
-            common = np.repeat(counts >= COMMON, counts)
-            yield int(nodes[0]) % parts, True, _pack(tokens[common]), owners[common].tobytes(), nodes.tobytes(), wholes.tobytes(), b""
-            tokens, owners = tokens[~common], owners[~common]
+        common = np.repeat(counts >= COMMON, counts)
+        yield number % parts, number, True, _pack(tokens[common]), _press(owners[common]), _press(nodes), _press(wholes), b""
+        tokens, owners = tokens[~common], owners[~common]
         of_token, of_mark = _range_of(tokens, parts), _range_of(marks, parts)
         for p in np.union1d(of_token, of_mark):
             i, j = np.searchsorted(of_token, [p, p + np.uint64(1)])
-            own, back = np.unique(owners[i:j], return_inverse=True)
             a, b = np.searchsorted(of_mark, [p, p + np.uint64(1)])
-            yield int(p), False, _pack(tokens[i:j]), back.astype(np.uint16).tobytes(), nodes[own].tobytes(), wholes[own].tobytes(), marks[a:b].tobytes()
+            yield int(p), number, False, _pack(tokens[i:j]), _press(owners[i:j]), b"", b"", marks[a:b].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, held = {}, 0
-        kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
-
-        def out():
-            rows = []
-            for row in lot(sets):
-                rows.append(row)
-                if len(rows) == 64:
-                    yield rows
-                    rows = []
-            if rows:
-                yield rows
-
-        def made():
-            for rows in out():
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "told", "tokens", "owners", "nodes", "wholes", "marks"])
+        from pyspark import TaskContext
 
+        number, sets, held = TaskContext.get().partitionId() << 32, {}, 0
         for batch in batches:
             for t in batch.column(0):
                 s = set_of(t.as_py())
@@ -212,139 +216,102 @@ def _parted(parts: int, salt: int):
                     held += len(s)
                     sets[node_of(s, salt)[0]] = s
                     if len(sets) >= DOCS or held >= LOT:
-                        yield from made()
-                        held = 0
+                        yield from _batches(lot(number, sets), _PARTS)
+                        number, held = number + 1, 0
         if sets:
-            yield from made()
+            yield from _batches(lot(number, sets), _PARTS)
 
     return run
 
 
-def _by_node(nodes: np.ndarray, wholes: np.ndarray, tokens: np.ndarray, freqs: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Entries in any order, as one row for each range of nodes; nodes stand in the order of their scattered numbers."""
-    where = mix(nodes.view(np.uint64))
-    order = np.argsort(where, kind="stable")
-    nodes, wholes, tokens, freqs, where = nodes[order], wholes[order], tokens[order], freqs[order], where[order]
-    starts = _starts(where)
-    ends = np.append(starts[1:], len(nodes)) if len(nodes) else starts
-    part = _range_of(where[starts], parts).astype(np.int64)
-    rows = []
-    for p in np.unique(part):
-        i, j = np.searchsorted(part, [p, p + 1])
-        at, span = starts[i:j], slice(starts[i], ends[j - 1])
-        rows.append((int(p), nodes[at].tobytes(), wholes[at].tobytes(), (ends[i:j] - at).tobytes(), tokens[span].tobytes(), freqs[span].tobytes()))
-    cols = list(zip(*rows, strict=True)) or [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "nodes", "wholes", "sizes", "tokens", "freqs"])
-
-
-def _slices(total: int) -> int:
-    """In how many runs of their range ``total`` scattered numbers are worked on, about SLICE at a time."""
-    return max(1, -(-total // SLICE))
-
-
-def _counted(tokens: np.ndarray, nodes: np.ndarray, wholes: np.ndarray, marks: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Of all entries of some tokens: for every token in two documents or more, its documents and its capped frequency."""
-    order = np.lexsort((nodes, tokens))  # copies of a document in several lots count once
-    tokens, nodes, wholes = tokens[order], nodes[order], wholes[order]
-    first = np.ones(len(tokens), dtype=bool)
-    first[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
-    tokens, nodes, wholes = tokens[first], nodes[first], wholes[first]
-    starts = _starts(tokens)
-    counts = np.diff(np.append(starts, len(tokens)))
-    freq = np.minimum(counts, COMMON)
-    freq[np.isin(tokens[starts], marks)] = COMMON
-    every = np.repeat(freq, counts)
-    more = every >= 2
-    return _by_node(nodes[more], wholes[more], tokens[more], every[more].astype(np.uint8), parts)
-
-
-def _frequencies(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One token range. What lots tell of common tokens goes on at once; the rest is held sorted and counted slice by slice."""
-        tokens, owners, nodes, wholes, marks = [], [], [], [], []
-        for batch in batches:
-            cols = [_column(batch, c, k) for c, k in (("owners", np.uint16), ("nodes", np.int64), ("wholes", np.int32), ("marks", np.uint64))]
-            for told, packed, own, n, w, m in zip(batch.column("told").to_pylist(), batch.column("tokens"), *cols, strict=True):
-                t = _unpack(packed.as_buffer())
-                if told:
-                    for i in range(0, len(t), SLICE):
-                        o = own[i : i + SLICE]
-                        yield _by_node(n[o], w[o], t[i : i + SLICE], np.full(len(o), COMMON, dtype=np.uint8), parts)
-                else:
-                    tokens.append(t)
-                    owners.append(own.copy())
-                    nodes.append(n.copy())
-                    wholes.append(w.copy())
-                    marks.append(m)
-        if not tokens:
-            return
-        marks = np.unique(np.concatenate(marks))
-        held = [t for t in tokens if len(t)]
-        if not held:
-            return
-        low, high = min(int(t[0]) for t in held), max(int(t[-1]) for t in held)
-        runs = _slices(sum(map(len, tokens)))
-        done = [0] * len(tokens)
-        for k in range(1, runs + 1):
-            edge = np.uint64(low + (high - low) * k // runs)
-            ends = [int(np.searchsorted(t, edge, side="right")) for t in tokens]
-            some = [np.concatenate(x) for x in (
-                [t[i:j] for t, i, j in zip(tokens, done, ends, strict=True)],
-                [n[o[i:j]] for n, o, i, j in zip(nodes, owners, done, ends, strict=True)],
-                [w[o[i:j]] for w, o, i, j in zip(wholes, owners, done, ends, strict=True)],
-            )]
-            done = ends
-            yield _counted(*some, marks, parts)
-
-    return run
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One token range: for every token that two documents or more hold, who holds it, lot by lot, with its capped frequency.
 
-
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one range of nodes: the shared tokens of each node, with their frequencies. Nodes whose prefix
-    holds none of them have no candidates and end here."""
-    held: list[tuple[np.ndarray, ...]] = []
+    The tokens are held packed in their lots' order and counted slice by slice. Copies of a document in several lots count as
+    several; any frequencies give a right order as long as all documents see the same."""
+    lots, tokens, owners, marks = [], [], [], []
     for batch in batches:
-        cols = [_column(batch, c, k) for c, k in (("nodes", np.int64), ("wholes", np.int32), ("sizes", np.int64), ("tokens", np.uint64), ("freqs", np.uint8))]
-        for n, w, size, t, f in zip(*cols, strict=True):
-            if len(n):
-                held.append((mix(n.view(np.uint64)), n, w, np.concatenate([[0], np.cumsum(size)]), t, f))
+        cols = [batch.column(c) for c in ("lot", "home", "tokens", "owners", "nodes", "wholes", "marks")]
+        for lot, home, packed, own, nodes, wholes, mark in zip(*cols, strict=True):
+            if home.as_py():
+                yield pa.RecordBatch.from_arrays([pa.array([x.as_py()], f.type) for x, f in zip((lot, packed, own, pa.scalar(b""), nodes, wholes), _LOTS, strict=True)], schema=_LOTS)
+            else:
+                lots.append(lot.as_py())
+                tokens.append(_unpack(packed.as_buffer()))
+                owners.append(_spread(own.as_buffer(), np.uint16))
+                marks.append(np.frombuffer(mark.as_py(), dtype=np.uint64))
+    held = [t for t in tokens if len(t)]
     if not held:
         return
-    low, high = min(int(x[0][0]) for x in held), max(int(x[0][-1]) for x in held)
-    runs = _slices(sum(len(x[4]) for x in held))
-    done = [0] * len(held)
+    marks = np.unique(np.concatenate(marks))
+    low, high = min(int(t[0]) for t in held), max(int(t[-1]) for t in held)
+    runs = max(1, -(-sum(map(len, tokens)) // SLICE))
+    done, found = [0] * len(tokens), [[] for _ in lots]
     for k in range(1, runs + 1):
         edge = np.uint64(low + (high - low) * k // runs)
-        ends = [int(np.searchsorted(x[0], edge, side="right")) for x in held]
-        some = [(x, i, j) for x, i, j in zip(held, done, ends, strict=True) if j > i]
+        ends = [int(np.searchsorted(t, edge, side="right")) for t in tokens]
+        some = np.concatenate([t[i:j] for t, i, j in zip(tokens, done, ends, strict=True)])
+        order = np.argsort(some, kind="stable")
+        starts = _starts(some[order])
+        counts = np.diff(np.append(starts, len(some)))
+        freq = np.minimum(counts, COMMON).astype(np.uint8)
+        freq[np.isin(some[order[starts]], marks)] = COMMON
+        freqs = np.empty(len(some), dtype=np.uint8)
+        freqs[order] = np.repeat(freq, counts)
+        at = 0
+        for n, (i, j) in enumerate(zip(done, ends, strict=True)):
+            f = freqs[at : at + j - i]
+            at += j - i
+            more = f >= 2
+            if more.any():
+                found[n].append((tokens[n][i:j][more], owners[n][i:j][more], f[more]))
         done = ends
-        if not some:
-            continue
-        nodes, wholes = (np.concatenate([np.repeat(x[c][i:j], np.diff(x[3][i : j + 1])) for x, i, j in some]) for c in (1, 2))
-        tokens, freqs = (np.concatenate([x[c][x[3][i] : x[3][j]] for x, i, j in some]) for c in (4, 5))
-        order = np.lexsort((tokens, nodes))
-        nodes, wholes, tokens, freqs = nodes[order], wholes[order], tokens[order], freqs[order]
-        first = np.ones(len(nodes), dtype=bool)  # copies of a node in several lots tell a common token again
-        first[1:] = (nodes[1:] != nodes[:-1]) | (tokens[1:] != tokens[:-1])
-        nodes, wholes, tokens, freqs = nodes[first], wholes[first], tokens[first], freqs[first]
-        starts = _starts(nodes)
-        stops = np.append(starts[1:], len(nodes))
-        able = _free(wholes[starts].astype(np.int64), stops - starts) > 0
-        starts, stops = starts[able], stops[able]
-        for at in range(0, len(starts), 512):
-            span = list(zip(starts[at : at + 512], stops[at : at + 512], strict=True))
-            made = [pa.array([x[i:j].tobytes() for i, j in span], pa.binary()) for x in (tokens, freqs)]
-            here = starts[at : at + 512]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[here]), pa.array(wholes[here].astype(np.int64)), *made], schema=_LISTS)
+
+    def rows() -> Iterator[tuple]:
+        for lot, some in zip(lots, found, strict=True):
+            if some:
+                t, o, f = (np.concatenate(x) for x in zip(*some, strict=True))
+                yield lot, _pack(t), _press(o), _press(f), b"", b""
+
+    yield from _batches(rows(), _LOTS)
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One lot, from its home row and all ranges: the shared tokens of each node, with their frequencies. Nodes whose prefix
+    holds none of them have no candidates and end here."""
+    tokens, owners, freqs, nodes, wholes = [], [], [], None, None
+    for batch in batches:
+        for packed, own, f, n, w in zip(*[batch.column(c) for c in ("tokens", "owners", "freqs", "nodes", "wholes")], strict=True):
+            tokens.append(_unpack(packed.as_buffer()))
+            owners.append(_spread(own.as_buffer(), np.uint16))
+            if len(n.as_buffer()):
+                nodes, wholes = _spread(n.as_buffer(), np.int64), _spread(w.as_buffer(), np.int32).astype(np.int64)
+                freqs.append(np.full(len(tokens[-1]), COMMON, dtype=np.uint8))
+            else:
+                freqs.append(_spread(f.as_buffer(), np.uint8))
+    tokens, owners, freqs = map(np.concatenate, (tokens, owners, freqs))
+    order = np.lexsort((tokens, owners))
+    tokens, owners, freqs = tokens[order], owners[order], freqs[order]
+    starts = _starts(owners)
+    stops = np.append(starts[1:], len(owners)) if len(owners) else starts
+    who = owners[starts]
+    able = _free(wholes[who], stops - starts) > 0
+
+    def rows() -> Iterator[tuple]:
+        for x, i, j in zip(who[able], starts[able], stops[able], strict=True):
+            yield int(nodes[x]), int(wholes[x]), tokens[i:j].tobytes(), freqs[i:j].tobytes()
+
+    yield from _batches(rows(), _LISTS, 512)
 
 
 def shared_tokens(docs: DataFrame, text: str, total: int, salt: int) -> DataFrame:
-    """Per node: the tokens that another node has too, sorted, with their capped frequencies.
+    """Per node: the tokens that another document holds too, sorted, with their capped frequencies.
 
     ``docs`` should come from a table: a task that is run again must deal the same lots."""
     parts = max(1, min(1 << 24, -(-total // TOKENS)))
     dealt = docs.select(text).mapInArrow(_parted(parts, salt), PARTS)
-    return dealt.groupBy("part").applyInArrow(_frequencies(parts), LOTS).groupBy("part").applyInArrow(_lists, LISTS)
+    lists = dealt.groupBy("part").applyInArrow(_frequencies, LOTS).groupBy("lot").applyInArrow(_lists, LISTS)
+    return lists.dropDuplicates(["node"])  # copies of a document in several lots
 
 
 def prefix(tokens: np.ndarray, freqs: np.ndarray, n: int, seed: int) -> np.ndarray:
