@@ -38,6 +38,8 @@ COMMON = 64
 DOCS, LOT, TOKENS, SLICE = 1 << 15, 1_000_000, 2_000_000, 250_000
 #: Documents and tokens in one block of verification.
 BLOCK, BLOCK_TOKENS = 256, 200_000
+#: Nodes, and sets with shared tokens, for one file of a table about them: small tables are written as few files.
+NODES_FILE, SETS_FILE = 50_000, 5_000
 #: Bytes of a text that are hashed at a time.
 STRETCH = 1 << 16
 #: The global token orders: rare tokens first, ties by the hash with this seed.
@@ -336,12 +338,12 @@ def _prefixes(seed: int):
     return run
 
 
-def _candidates(nodes: DataFrame, seed: int) -> DataFrame:
+def _candidates(nodes: DataFrame, seed: int, parts: int) -> DataFrame:
     """Nodes with a group each: sets of nodes that hold every pair which this order, and those before, admit."""
     entries = nodes.select("node", "n_shingles", "tokens", "freqs", "grp").mapInArrow(_prefixes(seed), "node long, grp long, token long")
     least = entries.groupBy("grp", "token").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     edges = entries.join(least, ["grp", "token"]).select(F.col("node").alias("a"), "b").where("a != b")
-    found = components(edges)
+    found = components(edges, parts)
     return nodes.drop("grp").join(found.withColumnRenamed("root", "grp"), "node")
 
 
@@ -427,18 +429,20 @@ def _weight() -> tuple:
     return F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("tokens") / 8).alias("volume")
 
 
-def _settled(sets: DataFrame, rounds: int = 2) -> tuple[DataFrame, list[DataFrame]]:
+def _settled(sets: DataFrame, parts: int, rounds: int = 2) -> tuple[DataFrame, list[DataFrame]]:
     """Groups of more than a block: those near a pivot are linked with it and need no comparison among themselves.
 
     Returns the sets with their ``kind`` (0: near no pivot) and the links found."""
     sets, links = sets.withColumn("kind", F.lit(0)), []
-    big = saved(sets.groupBy("grp").agg(*_weight()).where((F.col("n") > BLOCK) | (F.col("volume") > BLOCK_TOKENS)).select("grp"), "large")
+    big = sets.groupBy("grp").agg(*_weight()).where((F.col("n") > BLOCK) | (F.col("volume") > BLOCK_TOKENS)).select("grp")
+    big = saved(big.coalesce(parts), "large")  # far fewer than sets
     if big.isEmpty():
         return sets, links
     for kind in range(1, rounds + 1):
         chosen = F.max_by(F.struct("node", "n_shingles", "tokens"), F.struct(F.xxhash64("node"), "node"))
         pivots = sets.where("kind = 0").join(big, "grp", "left_semi").groupBy("grp").agg(chosen.alias("p"))
-        pivots = saved(pivots.select("grp", F.col("p.node").alias("pivot_node"), F.col("p.n_shingles").alias("pivot_size"), F.col("p.tokens").alias("pivot")), "pivots")
+        pivots = pivots.select("grp", F.col("p.node").alias("pivot_node"), F.col("p.n_shingles").alias("pivot_size"), F.col("p.tokens").alias("pivot"))
+        pivots = saved(pivots.coalesce(parts), "pivots")
         # A join of a hot group with its one pivot, which adaptive execution splits.
         told = sets.join(pivots, "grp").mapInArrow(_near_pivot(kind), f"{SETTLED}, pivot_node long")
         told = saved(told, "settled")
@@ -447,13 +451,14 @@ def _settled(sets: DataFrame, rounds: int = 2) -> tuple[DataFrame, list[DataFram
     return saved(sets, "kinds"), links
 
 
-def links(docs: DataFrame, text: str, total: int, salt: int) -> DataFrame:
-    """Links between different sets that join every two similar ones, directly or by way of others."""
+def links(docs: DataFrame, text: str, total: int, salt: int) -> tuple[DataFrame, int]:
+    """Links between different sets that join every two similar ones, directly or by way of others; and the files that tables about them need."""
     lists = shared_tokens(docs, text, total, salt)
     sets = saved(lists.withColumn("grp", F.lit(0).cast("long")), "sets")
+    parts = max(1, -(-sets.count() // SETS_FILE))
     for seed in ORDERS:
-        sets = saved(_candidates(sets, seed), "candidates")
-    sets, found = _settled(sets)
+        sets = saved(_candidates(sets, seed, parts).coalesce(parts), "candidates")
+    sets, found = _settled(sets, parts)
     sized = sets.groupBy("grp", "kind").agg(*_weight())
     count = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("volume") / BLOCK_TOKENS)).cast("long")
     kinds = sized.groupBy("grp").agg(F.collect_list(F.struct("kind", count.alias("blocks"))).alias("kinds"))  # three entries at most
@@ -475,7 +480,7 @@ def links(docs: DataFrame, text: str, total: int, salt: int) -> DataFrame:
     checked = blocked.groupBy("grp", "i", "j").applyInArrow(_verified, "a long, b long")
     for more in found:
         checked = checked.unionByName(more)
-    return checked
+    return checked, parts
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -483,15 +488,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
     for salt in range(256):
         rows = saved(docs.select(key, text).mapInArrow(_nodes(key, salt), f"`{key}` {kind}, n_shingles long, node long, checked long"), "nodes")
-        own = saved(
-            rows.where("node is not null").groupBy("node")
-            .agg(F.min(key).alias("low"), F.max("n_shingles").alias("n_shingles"), F.min("checked").alias("c0"), F.max("checked").alias("c1")), "own"
-        )
+        own = rows.where("node is not null").groupBy("node").agg(F.min(key).alias("low"), F.max("n_shingles").alias("n_shingles"), F.min("checked").alias("c0"), F.max("checked").alias("c1"))
+        own = saved(own.coalesce(max(1, -(-rows.count() // NODES_FILE))), "own")
         if own.where("c0 != c1").isEmpty():
             break  # else two sets have one number; number them anew
     total = own.agg(F.sum("n_shingles")).first()[0]
     if total is not None:
-        found = components(links(docs, text, total, salt))
+        found = components(*links(docs, text, total, salt))
         reach = own.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
         lowest = reach.groupBy("root").agg(F.min("low").alias("component_id"))
         own = reach.join(lowest, "root").select("node", "component_id")
