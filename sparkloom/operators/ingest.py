@@ -69,6 +69,7 @@ def load_if_changed(spark: SparkSession, path: str, found: str, build: Callable[
 
 
 def embed_upsert(table: DataFrame, passages: DataFrame, embed: Callable[[DataFrame], DataFrame], key: str = "id") -> DataFrame:
-    """The vector table with the passages' rows put in; ``embed`` maps (key, text) to (key, embedding) batch by batch."""
-    new = passages.drop("text").join(embed(passages.select(key, "text")), key).withColumn("seq", F.lit(0))
-    return upsert(table, new, key)
+    """The vector table with the passages' rows put in; ``embed`` maps (key, text) to (key, embedding) batch by batch. The texts
+    stay if the table has a column for them."""
+    new = (passages if "text" in table.columns else passages.drop("text")).join(embed(passages.select(key, "text")), key).withColumn("seq", F.lit(0))
+    return upsert(table, new.select(*table.columns, "seq"), key)

@@ -12,12 +12,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions import routing
+from ..functions import fuzzy, routing
+from ..functions.text import found
 from . import answers, lexical
 
 
-def run_batch(questions: DataFrame, facts: DataFrame, passages: DataFrame, today: dt.date = dt.date(2026, 10, 1), k: int = 5, min_score: float = 1.0, min_rate: float = 0.6) -> DataFrame:
-    """questions: qid, query, scope. facts: subject, id, title, text. passages: id, namespace, title, text.
+def facts_for(asked: DataFrame, facts: DataFrame, k: int) -> DataFrame:
+    """asked: qid, subject, q. The k facts of a question's subject that hold most of its terms, with ``nth``; facts without any come last,
+    by id. One equi-join on subject and term, so a subject with many facts meets only the questions about it."""
+    terms = lexical.token_rows(asked.select("qid", F.col("q").alias("text")), "qid").distinct().join(asked.select("qid", "subject"), "qid")
+    words = lexical.token_rows(facts.select(F.struct("subject", "id").alias("fact"), F.concat_ws(" ", "title", "text").alias("text")), "fact").distinct()
+    shared = words.select("fact.subject", "fact.id", "term").join(terms, ["subject", "term"]).groupBy("qid", "id").agg(F.count(F.lit(1)).alias("shared"))
+    rows = asked.select("qid", "subject").join(facts, "subject").join(shared, ["qid", "id"], "left")
+    w = Window.partitionBy("qid").orderBy(F.desc(F.coalesce("shared", F.lit(0))), "id")
+    return rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)
+
+
+def run_batch(
+    questions: DataFrame, facts: DataFrame, passages: DataFrame, today: dt.date = dt.date(2026, 10, 1), k: int = 5, min_score: float = 1.0, min_rate: float = 0.6,
+    meds: DataFrame | None = None, notes: DataFrame | None = None, vocabulary: DataFrame | None = None,
+) -> DataFrame:
+    """questions: qid, query, scope. facts: subject, id, title, text. passages: id, namespace, title, text. With meds (subject, drug, dose) and
+    notes (subject, text) conflicting doses are found, with a vocabulary (word) questions about unknown things.
 
     Returns qid, status (red_flag, out_of_scope, violation, abstained, answered), route, reason, answer, grounding_rate."""
     q = questions.withColumn("q", routing.normalize(F.col("query")))
@@ -34,20 +50,29 @@ def run_batch(questions: DataFrame, facts: DataFrame, passages: DataFrame, today
     )
     q = q.select(
         "qid", "query", "q", status.alias("status"), F.col("r.route").alias("route"), F.coalesce("safe.category", "s.violation").alias("why"), F.col("s.scope").alias("subject"),
-        F.col("e.dosage_intent").alias("dosage"), F.size("e.drugs").alias("drugs"),
-    ).persist()  # read by every later stage; the rules above are costly per question
+        F.col("e.dosage_intent").alias("dosage"), F.size("e.drugs").alias("drugs"), F.col("e.drugs").alias("named"),
+        (F.size("e.drugs") + F.size("e.icd10_codes") + F.size("e.rxnorm_codes") + F.size("e.patient_ids") > 0).alias("known"),
+    ).persist()  # read by every later stage; the rules above are costly per question. Spark drops it when it is garbage or space is short
     open_ = q.where("status IS NULL")
     # Equal questions are retrieved once.
     once = open_.where("route <> 'KV'").groupBy(F.col("q").alias("text")).agg(F.min("qid").alias("lead"))
     top = lexical.bm25(passages, once, "id", "lead", k).join(passages, "id")
     hits = open_.where("route <> 'KV'").join(once, F.col("q") == F.col("text")).select("qid", "lead").join(top, "lead").select("qid", "id", "title", "text", F.col("score"), F.lit("vector").alias("origin"), F.col("rank").alias("nth"))
-    newest = Window.partitionBy("qid").orderBy("id")
-    rows = open_.where("route <> 'VECTOR'").join(facts, "subject").withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= k).select("qid", "id", "title", "text", F.lit(None).cast("double").alias("score"), F.lit("kv").alias("origin"), "nth")
+    rows = facts_for(open_.where("route <> 'VECTOR'").select("qid", "subject", "q"), facts, k).select("qid", "id", "title", "text", F.lit(None).cast("double").alias("score"), F.lit("kv").alias("origin"), "nth")
     evidence = answers.number_evidence(rows.unionByName(hits), "qid", "origin", "nth").withColumn("order", F.substr("key", F.lit(2)).cast("int") - 1)
-    counts = evidence.groupBy("qid").agg(F.count_if(F.col("origin") == "kv").alias("records"), F.count_if(F.col("score") >= min_score).alias("strong"), F.count_if(F.col("origin") != "kv").alias("chunks"))
+    counts = evidence.groupBy("qid").agg(F.count_if(F.col("origin") == "kv").alias("records"), F.count_if(F.col("score") >= min_score).alias("strong"), F.count_if(F.col("origin") != "kv").alias("chunks"), F.count_if((F.col("origin") == "kv") & F.col("title").startswith("medication")).alias("med_records"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    judged = open_.join(counts, "qid", "left").withColumn(
-        "reason", answers.sufficiency(F.col("route"), zero("records"), zero("strong"), zero("chunks"), F.col("dosage"), F.col("drugs"), F.lit(0), zero("strong"), F.lit(0), F.lit(0))
+    judged = open_.join(counts, "qid", "left")
+    if meds is not None and notes is not None:
+        clashes = answers.dose_conflicts(meds, notes, "subject").select(F.col("subject").alias("_s"), F.col("drug").alias("_d")).distinct()
+        told_twice = open_.select("qid", "subject", F.explode("named").alias("drug")).join(clashes, (F.col("subject") == F.col("_s")) & (F.col("drug") == F.col("_d"))).groupBy("qid").agg(F.count(F.lit(1)).alias("conflicts"))
+        judged = judged.join(told_twice, "qid", "left")
+    if vocabulary is not None:
+        asked = open_.where("not known").select("qid", F.explode(F.array_distinct(found(F.col("q"), "[a-z][a-z0-9-]{5,}"))).alias("word"))
+        judged = judged.join(fuzzy.unknown_words(asked, vocabulary, "qid").groupBy("qid").agg(F.count(F.lit(1)).alias("unknown")), "qid", "left")
+    extra = {c: zero(c) if c in judged.columns else F.lit(0) for c in ("conflicts", "unknown")}
+    judged = judged.withColumn(
+        "reason", answers.sufficiency(F.col("route"), zero("records"), zero("strong"), zero("chunks"), F.col("dosage"), F.col("drugs"), zero("med_records"), zero("strong"), extra["conflicts"], extra["unknown"])
     )
     able = judged.where("reason = 'ok'").select("qid", F.col("q").alias("question"))
     told = answers.compose(able, evidence, "qid")

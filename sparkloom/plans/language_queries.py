@@ -16,7 +16,7 @@ from .base import query, read
 TODAY = dt.date(2026, 10, 1)
 
 
-def _re(p: str) -> str:
+def sql_text(p: str) -> str:
     return p.replace("'", "''")
 
 
@@ -129,14 +129,14 @@ def hashing_embed(spark, d):
     return hashing_embedding(read(spark, d, "documents"), "doc_id", "text", 384)
 
 
-_WORDS_LIST = (
+WORDS_LIST = (
     f"list_transform(list_filter(flatten(list_transform(regexp_extract_all(lower(text), '{text.TOKEN}'), lambda t: string_split(coalesce({_SYN}[t], t), ' '))), lambda w: w NOT IN ({_STOP})), lambda w: {_STEM})"
 )
 
 
 @query(
     "hash_embed_features",
-    f"""WITH w AS (SELECT doc_id, {_WORDS_LIST} AS w FROM documents), f AS (SELECT doc_id, list_transform(w, lambda x: 'w:' || x) AS ws,
+    f"""WITH w AS (SELECT doc_id, {WORDS_LIST} AS w FROM documents), f AS (SELECT doc_id, list_transform(w, lambda x: 'w:' || x) AS ws,
       flatten(list_transform(list_filter(w, lambda x: length(x) >= 5), lambda x: list_transform(range(1, length(x) + 1), lambda i: 'c:' || substr('#' || x || '#', CAST(i AS BIGINT), 3)))) AS cs,
       list_transform(range(1, len(w)), lambda i: 'b:' || w[i] || '_' || w[i + 1]) AS bs FROM w)
     SELECT doc_id, CAST(len(ws) AS BIGINT) AS words, CAST(len(cs) AS BIGINT) AS trigrams, CAST(len(bs) AS BIGINT) AS pairs, CAST(len(list_distinct(ws || cs || bs)) AS BIGINT) AS features,
@@ -198,7 +198,7 @@ FORMS = (
 
 
 def _list(xs) -> str:
-    return "[" + ", ".join("'" + _re(x) + "'" for x in xs) + "]"
+    return "[" + ", ".join("'" + sql_text(x) + "'" for x in xs) + "]"
 
 
 def _pick(xs, k: int) -> str:
@@ -215,7 +215,7 @@ def _norm_sql(col: str = "query") -> str:
     x = f"trim(regexp_replace({col}, '\\s+', ' ', 'g'))"
     for p, r, case in V.REWRITES:
         p = p.replace(r"(?!\s*cholesterol)", "")  # RE2 has no lookahead; the made questions hold no upper-case LDL
-        x = f"regexp_replace({x}, '{_re(p)}', '{r}', '{'g' if case else 'gi'}')"
+        x = f"regexp_replace({x}, '{sql_text(p)}', '{r}', '{'g' if case else 'gi'}')"
     return f"lower({x})"
 
 
@@ -228,16 +228,16 @@ def normalize_query(spark, d):
 
 
 def _found_sql(kind: str) -> str:
-    table = "MAP {" + ", ".join(f"'{_re(a)}': '{_re(b)}'" for a, b in routing.LEXICON[kind].items()) + "}"
+    table = "MAP {" + ", ".join(f"'{sql_text(a)}': '{sql_text(b)}'" for a, b in routing.LEXICON[kind].items()) + "}"
     pattern = r"\b(" + "|".join(re.sub(r"\\([ -])", r"\1", re.escape(s)) for s in sorted(routing.LEXICON[kind], key=len, reverse=True)) + r")\b"
-    return f"array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(q, '{_re(pattern)}', 1), lambda x: {table}[x]))), '|')"
+    return f"array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(q, '{sql_text(pattern)}', 1), lambda x: {table}[x]))), '|')"
 
 
 _LABS_SQL = _found_sql("labs")
-ENTITIES = f"""(SELECT *, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(query, '{_re(V.PATIENT_ID)}', 1), lambda x: 'P' || x))), '|') AS ids,
+ENTITIES = f"""(SELECT *, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(query, '{sql_text(V.PATIENT_ID)}', 1), lambda x: 'P' || x))), '|') AS ids,
     array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(query, '{V.ICD_CODE}', 1), lambda c: contains(c, '.') OR regexp_matches(query, '{V.ICD_CONTEXT}')))), '|') AS icd,
     array_to_string(list_sort(list_distinct(regexp_extract_all(query, '{V.RXCUI}', 1))), '|') AS rx, {_found_sql("drugs")} AS drugs, {_LABS_SQL} AS labs0, {_found_sql("conditions")} AS conditions,
-    coalesce(array_to_string([{", ".join(f"CASE WHEN regexp_matches(q, '{_re(p)}') THEN '{k}' END" for k, p in sorted(V.RECORD_TYPES.items()))}], '|'), '') AS types, regexp_matches(q, '{V.DOSAGE}') AS dosage FROM {NORMED})"""
+    coalesce(array_to_string([{", ".join(f"CASE WHEN regexp_matches(q, '{sql_text(p)}') THEN '{k}' END" for k, p in sorted(V.RECORD_TYPES.items()))}], '|'), '') AS types, regexp_matches(q, '{V.DOSAGE}') AS dosage FROM {NORMED})"""
 ENTITIES = f"(SELECT * EXCLUDE (labs0), CASE WHEN contains('|' || labs0 || '|', '|systolic blood pressure|') AND contains(q, 'blood pressure') AND NOT contains(q, 'systolic') AND NOT contains(labs0, 'diastolic') THEN array_to_string(list_sort(string_split(labs0, '|') || ['diastolic blood pressure']), '|') ELSE labs0 END AS labs FROM {ENTITIES})"
 
 
@@ -291,7 +291,7 @@ def namespace_plan(spark, d):
 
 
 def _flag_sql() -> str:
-    hits = {c: " OR ".join(f"regexp_matches(c, '(?i){_re(p)}')" for p in ps) for c, ps in V.RED_FLAGS.items()}
+    hits = {c: " OR ".join(f"regexp_matches(c, '(?i){sql_text(p)}')" for p in ps) for c, ps in V.RED_FLAGS.items()}
     order = ["self_harm", *[c for c in hits if c != "self_harm"]]
     return "CASE " + " ".join(f"WHEN {hits[c]} THEN '{c}'" for c in order) + " END"
 
@@ -305,8 +305,8 @@ _NAMES = sorted({*V.DRUGS, *V.LABS, *V.CONDITIONS, *(a for _, al in V.CONDITIONS
     f"""WITH f AS (SELECT *, {_flag_sql()} AS flag FROM {_CLEAN})
     SELECT conv_id, turn, CASE WHEN flag IS NOT NULL THEN CASE WHEN framed THEN 'ok' ELSE 'red_flag' END WHEN scope IS NULL AND NOT clinical THEN 'out_of_scope' ELSE 'ok' END AS verdict,
     CASE WHEN flag IS NOT NULL THEN CASE WHEN framed THEN 'record_query_on_red_flag_topic' ELSE flag END WHEN scope IS NULL AND NOT clinical THEN 'non_clinical' END AS category FROM (
-    SELECT *, regexp_matches(c, '(?i){_re(V.RECORD_FRAME)}') AND NOT regexp_matches(c, '(?i){_re(V.FIRST_PERSON)}') AND NOT regexp_matches(c, '(?i){V.URGENT}') AS framed,
-    regexp_matches(c, '(?i){_re(V.MEDICAL_HINT)}') OR regexp_matches(c, '(?i)\\b({"|".join(_re(n) for n in _NAMES)})\\b') AS clinical FROM f)""",
+    SELECT *, regexp_matches(c, '(?i){sql_text(V.RECORD_FRAME)}') AND NOT regexp_matches(c, '(?i){sql_text(V.FIRST_PERSON)}') AND NOT regexp_matches(c, '(?i){V.URGENT}') AS framed,
+    regexp_matches(c, '(?i){sql_text(V.MEDICAL_HINT)}') OR regexp_matches(c, '(?i)\\b({"|".join(sql_text(n) for n in _NAMES)})\\b') AS clinical FROM f)""",
 )
 def redflag_precheck(spark, d):
     p = routing.precheck(F.col("query"), F.col("scope").isNotNull())
@@ -353,7 +353,7 @@ def _cited_answers(spark, d):
     return told, c.select("qid", F.lit("S1").alias("key"), F.col("said").alias("text"), F.lit("t").alias("title"))
 
 
-_NUMBERS = (
+NUMBERS = (
     r"list_transform(list_transform(regexp_extract_all({0}, '(?:^|[^A-Za-z])(\d{{4}}-\d{{2}}-\d{{2}}|\d+(?:[.,]\d+)?)', 1), lambda n: replace(n, ',', '')),"
     r" lambda n: CASE WHEN contains(n, '.') AND NOT contains(n, '-') THEN coalesce(nullif(rtrim(rtrim(n, '0'), '.'), ''), '0') ELSE n END)"
 )
@@ -363,8 +363,8 @@ CHECKED = rf"""(WITH a AS (SELECT c.conv_id * 8 + c.turn AS qid, regexp_replace(
       lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS xs FROM a),
     x AS (SELECT qid, said, unnest(xs) AS sentence, unnest(range(len(xs))) AS pos FROM s),
     y AS (SELECT *, trim(regexp_replace(sentence, '\[S\d+\]', '', 'g')) AS body FROM x)
-    SELECT qid, pos, sentence, CASE WHEN contains(sentence, '[S9]') THEN 'invalid_key' WHEN NOT contains(sentence, '[S1]') THEN CASE WHEN regexp_matches(body, '(?i){_re(V.EXEMPT)}') AND len({_NUMBERS.format("body")}) = 0 THEN 'exempt' ELSE 'uncited' END
-      WHEN NOT list_has_all({_NUMBERS.format("said")}, {_NUMBERS.format("body")}) THEN 'number' ELSE 'supported' END AS status
+    SELECT qid, pos, sentence, CASE WHEN contains(sentence, '[S9]') THEN 'invalid_key' WHEN NOT contains(sentence, '[S1]') THEN CASE WHEN regexp_matches(body, '(?i){sql_text(V.EXEMPT)}') AND len({NUMBERS.format("body")}) = 0 THEN 'exempt' ELSE 'uncited' END
+      WHEN NOT list_has_all({NUMBERS.format("said")}, {NUMBERS.format("body")}) THEN 'number' ELSE 'supported' END AS status
     FROM y WHERE NOT regexp_matches(body, '^[\W_]*$'))"""
 
 
@@ -424,28 +424,3 @@ def dose_conflict(spark, d):
     meds = o.where("k % 2 = 0").select("k", F.lit("metformin").alias("drug"), F.lit("500 mg").alias("dose")).distinct()
     notes = o.select("k", F.concat(F.lit("Metformin "), (F.col("o_orderkey") % 3 * 250 + 500).cast("string"), F.lit(" mg twice daily")).alias("text"))
     return answers.dose_conflicts(meds, notes, "k")
-
-
-def _qa(spark, d):
-    """Every benchmark item asks with its whole text; its evidence are the ten documents that BM25 finds, in full."""
-    from .retrieval_queries import _bm25
-
-    b = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    top = _bm25(spark, d, 10).select(F.col("item_id").alias("qid"), "doc_id", "rank")
-    e = top.join(read(spark, d, "documents").select("doc_id", "text"), "doc_id").select("qid", "doc_id", "rank", "text", F.lit("").alias("title"), F.when(F.col("doc_id") % 3 == 0, "kv").otherwise("vector").alias("origin"))
-    e = answers.number_evidence(e, "qid", "origin", "rank")
-    return b, e.withColumn("order", F.substr("key", F.lit(2)).cast("int") - 1)
-
-
-@query("extractive_answer")
-def extractive_answer(spark, d):
-    b, e = _qa(spark, d)
-    return answers.compose(b, e, "qid")
-
-
-@query("answer_and_check")
-def answer_and_check(spark, d):
-    """Composed answers quote their sources, so the check supports every sentence but the opening."""
-    b, e = _qa(spark, d)
-    told = answers.compose(b, e, "qid").where(F.col("answer") != V.INSUFFICIENT)
-    return answers.check_answers(told, e.select("qid", "key", "text", "title"), "qid").select("qid", "counted", "supported", "grounding_rate", "passed")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
 from ..functions.fixed_values import LABS
-from ..operators import fusion, lexical, measures, vectors
+from ..operators import answers, fusion, lexical, measures, vectors
 from .base import query, read
-from .language_queries import tokens_sql
+from .language_queries import NUMBERS, WORDS_LIST, sql_text, tokens_sql
 
 DOT = "round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)"
 ROUNDED = 6
@@ -209,7 +210,6 @@ def write_through(spark, d):
 @query("fuzzy_drug_match")
 def fuzzy_drug_match(spark, d):
     """Whole user turns, each with a drug's name that lacks a letter put before it: the near match finds it again."""
-    from ..functions import fixed_values as V
     from ..functions.fuzzy import fuzzy_drugs
 
     names = F.array(*[F.lit(x) for x in V.DRUGS if " " not in x and len(x) >= 9])
@@ -230,3 +230,63 @@ def unknown_subject(spark, d):
     asked = read(spark, d, "conversations").where("role = 'user'").select("conv_id", F.explode(F.array_distinct(text.found(F.lower("text"), "[a-z][a-z0-9-]{5,}"))).alias("word"))
     known = read(spark, d, "documents").select(F.explode(text.word_set(F.col("text"))).alias("word")).distinct()
     return unknown_words(asked, known, "conv_id")
+
+
+# --- answers over retrieved evidence ---------------------------------------------------------------
+def _qa(spark, d):
+    """Every benchmark item asks with its whole text; its evidence are the ten documents that BM25 finds, in full."""
+    b = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    top = _bm25(spark, d, 10).select(F.col("item_id").alias("qid"), "doc_id", "rank")
+    e = top.join(read(spark, d, "documents").select("doc_id", "text"), "doc_id").select("qid", "doc_id", "rank", "text", F.lit("").alias("title"), F.when(F.col("doc_id") % 3 == 0, "kv").otherwise("vector").alias("origin"))
+    e = answers.number_evidence(e, "qid", "origin", "rank")
+    return b, e.withColumn("order", F.substr("key", F.lit(2)).cast("int") - 1)
+
+
+def _words(col: str) -> str:
+    return WORDS_LIST.replace("lower(text)", f"lower({col})")
+
+
+def _composed() -> str:
+    """SQL of (qid, answer) and of the evidence e (qid, key, text), for the queries below."""
+    noise = ", ".join(f"'{w}'" for w in V.QUESTION_NOISE)
+    return rf"""top AS (SELECT item_id AS qid, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {BM25} QUALIFY rank <= 10),
+    e AS (SELECT qid, 'S' || row_number() OVER w AS key, row_number() OVER w - 1 AS ord, doc_id % 3 = 0 AS kv, text FROM top JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY qid ORDER BY CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END, rank)),
+    q AS (SELECT item_id AS qid, list_filter(list_distinct({_words("text")}), lambda t: t NOT IN ({noise})) AS q FROM benchmark),
+    s AS (SELECT qid, key, ord, kv, unnest(list_transform(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\n+', chr(1), 'g'), '([.!?])[ \t\r\f\v]+([A-Z0-9•*-])', '\1' || chr(1) || '\2', 'g'), chr(1)),
+      lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), lambda x: trim(x, ' -•'))) AS sentence FROM e),
+    o AS (SELECT s.*, len(string_split_regex(sentence, '\s+')) AS words, len(list_intersect(q, list_distinct({_words("sentence")}))) / CAST(greatest(len(q), 1) AS DOUBLE) AS o FROM s JOIN q USING (qid)),
+    r AS (SELECT qid, key, ord, sentence, -round(o + CASE WHEN kv THEN 0.25 ELSE 0.0 END - 0.01 * ord - 0.001 * words, 9) AS s FROM o WHERE words >= 3 AND o > 0),
+    n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s, ord, key, sentence) AS i FROM r),
+    g AS (SELECT item_id AS qid, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(o BIGINT, s DOUBLE, k VARCHAR, t VARCHAR)[]) AS acc FROM benchmark
+      UNION ALL SELECT g.qid, n.i, CASE WHEN len(list_filter(acc, lambda y: y.t = sentence)) > 0 OR len(list_filter(acc, lambda y: y.k = key)) >= 2 THEN acc ELSE list_append(acc, {{'o': ord, 's': s, 'k': key, 't': sentence}}) END
+      FROM g JOIN n ON g.qid = n.qid AND n.i = g.i + 1 WHERE len(acc) < 6),
+    p AS (SELECT qid, list_sort(arg_max(acc, i)) AS acc FROM g GROUP BY 1),
+    a AS (SELECT qid, CASE WHEN len(acc) = 0 AND qid NOT IN (SELECT qid FROM n) THEN '{V.INSUFFICIENT}' ELSE '{V.OPENING}' || ' ' || array_to_string(list_transform(acc, lambda x: CASE WHEN right(x.t, 1) IN ('.', '!', '?') THEN left(x.t, length(x.t) - 1) || ' [' || x.k || ']' || right(x.t, 1) ELSE x.t || ' [' || x.k || '].' END), ' ') END AS answer FROM p)"""
+
+
+_COMPOSED = _composed()
+
+
+@query("extractive_answer", f"WITH RECURSIVE {_COMPOSED} SELECT qid, answer FROM a")
+def extractive_answer(spark, d):
+    b, e = _qa(spark, d)
+    return answers.compose(b, e, "qid")
+
+
+@query(
+    "answer_and_check",
+    rf"""WITH RECURSIVE {_COMPOSED},
+    m AS (SELECT qid, regexp_replace(regexp_replace(trim(answer), '([.!?])\s*((?:\[S\d+\]\s*)+)', ' \2' || chr(1) || '\1', 'g'), '\s*' || chr(1), '', 'g') AS t FROM a WHERE answer <> '{V.INSUFFICIENT}'),
+    c AS (SELECT qid, unnest(list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, '\n+', chr(1), 'g'), '([.!?])[ \t\r\f\v]+([A-Z0-9•*-])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) AS sentence FROM m),
+    b AS (SELECT qid, sentence, trim(regexp_replace(sentence, '\[S\d+\]', '', 'g')) AS body, list_distinct(regexp_extract_all(sentence, '\[(S\d+)\]', 1)) AS ks, row_number() OVER () AS id FROM c),
+    h AS (SELECT id, list_distinct(flatten(list({NUMBERS.format("e.text")}))) AS has FROM (SELECT id, qid, unnest(ks) AS key FROM b) k JOIN e USING (qid, key) GROUP BY id),
+    z AS (SELECT b.qid, CASE WHEN len(ks) = 0 THEN CASE WHEN regexp_matches(body, '(?i){sql_text(V.EXEMPT)}') AND len({NUMBERS.format("body")}) = 0 THEN 'exempt' ELSE 'uncited' END WHEN NOT list_has_all(coalesce(has, []), {NUMBERS.format("body")}) THEN 'number' ELSE 'supported' END AS status
+      FROM b LEFT JOIN h USING (id) WHERE NOT regexp_matches(body, '^[\W_]*$'))
+    SELECT qid, count(*) FILTER (WHERE status <> 'exempt') AS counted, count(*) FILTER (WHERE status = 'supported') AS supported,
+      CASE WHEN counted > 0 THEN round(supported / counted, 4) ELSE 0.0 END AS grounding_rate, counted > 0 AND counted = supported AS passed FROM z GROUP BY 1""",
+)
+def answer_and_check(spark, d):
+    """Composed answers quote their sources, so the check supports every sentence but the opening."""
+    b, e = _qa(spark, d)
+    told = answers.compose(b, e, "qid").where(F.col("answer") != V.INSUFFICIENT)
+    return answers.check_answers(told, e.select("qid", "key", "text", "title"), "qid").select("qid", "counted", "supported", "grounding_rate", "passed")
