@@ -131,15 +131,20 @@ def joined_strictly(rows: DataFrame, names: DataFrame, key: str, value: str) ->
     return joined.withColumn(value, F.when(F.col(value).isNull(), missing.cast("string")).otherwise(F.col(value)))
 
 
+def _place(text: Column) -> Column:
+    """A place on the ring: the first sixty bits of the MD5 digest."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def ring_load(keys: DataFrame, key: str, nodes: int, virtual: int = 64) -> DataFrame:
     """Keys per node of a consistent-hash ring with virtual nodes: the owner is the next point clockwise.
 
     The ring is small (nodes x virtual points) and travels as one array; every key passes over it."""
     spark = keys.sparkSession
-    points = spark.range(nodes * virtual).select((F.col("id") % nodes).alias("node"), F.xxhash64(F.lit("point"), "id").alias("p"))
+    points = spark.range(nodes * virtual).select((F.col("id") % nodes).alias("node"), _place(F.concat(F.lit("point:"), F.col("id").cast("string"))).alias("p"))
     ring = points.agg(F.array_sort(F.collect_list(F.struct("p", "node"))).alias("ring"))
     owner = F.coalesce(F.get(F.filter("ring", lambda x: x["p"] >= F.col("h")), F.lit(0)), F.get("ring", F.lit(0)))["node"]
-    return keys.select(F.xxhash64(key).alias("h")).crossJoin(F.broadcast(ring)).groupBy(owner.alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    return keys.select(_place(F.col(key).cast("string")).alias("h")).crossJoin(F.broadcast(ring)).groupBy(owner.alias("node")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def overlap(found: DataFrame, truth: DataFrame, query_key: str, key: str) -> DataFrame:

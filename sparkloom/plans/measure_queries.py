@@ -178,10 +178,16 @@ def lru_stats(spark, d):
     return out.groupBy("shard").agg(*[count(o) for o in ("hit", "miss", "expired", "evicted")])
 
 
-@query("token_bucket")
+@query(
+    "token_bucket",
+    """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS user, event_id AS seq, epoch(ts) AS a, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) AS i FROM events),
+    r AS (SELECT user, seq, a, i, CAST(2.0 AS DOUBLE) AS level FROM e WHERE i = 1
+      UNION ALL SELECT e.user, e.seq, e.a, e.i, least(2.0, r.level - CASE WHEN r.level >= 1 THEN 1 ELSE 0 END + (e.a - r.a) * 0.05 / 60) FROM r JOIN e ON e.user = r.user AND e.i = r.i + 1)
+    SELECT user, seq, level >= 1 AS allowed, CASE WHEN level >= 1 THEN 0.0 ELSE round((1 - level) * 60 / 0.05, 3) END AS wait FROM r""",
+)
 def token_bucket(spark, d):
     log = read(spark, d, "events").select(F.col("user_id").cast("string").alias("user"), F.col("event_id").alias("seq"), _at().alias("at"))
-    return state.token_bucket(log, per_minute=0.05, burst=2)
+    return state.token_bucket(log, per_minute=0.05, burst=2).withColumn("wait", F.round("wait", 3))
 
 
 @query("event_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
@@ -198,7 +204,14 @@ def answer_stream_pieces(spark, d):
     return p.groupBy("k").agg(F.count(F.lit(1)).alias("pieces"), F.max(F.length("piece")).cast("long").alias("longest")).select("k.conv_id", "k.turn", "pieces", "longest")
 
 
-@query("ring_load")
+_PLACE = "CAST('0x' || substr(md5({0}), 1, 15) AS BIGINT)"
+
+
+@query(
+    "ring_load",
+    f"""WITH p AS (SELECT id % 8 AS node, {_PLACE.format("'point:' || id")} AS p FROM range(512) t(id)), k AS (SELECT {_PLACE.format("CAST(o_orderkey AS VARCHAR)")} AS h FROM orders),
+    o AS (SELECT coalesce(p.node, (SELECT arg_min(node, p) FROM p)) AS node FROM k ASOF LEFT JOIN p ON k.h <= p.p) SELECT node, count(*) AS n FROM o GROUP BY 1""",
+)
 def ring_load(spark, d):
     return measures.ring_load(read(spark, d, "orders"), "o_orderkey", 8)
 
