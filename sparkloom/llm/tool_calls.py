@@ -85,8 +85,8 @@ def levels(calls: DataFrame) -> DataFrame:
     if not several.isEmpty():
         place = hung.unionByName(roots.select("id", F.col("id").alias("anchor"), F.lit(0).alias("far"))).unionByName(several.select("id", F.col("id").alias("anchor"), F.lit(0).alias("far")))
         steps = saved(edges.join(several, "id").join(place.withColumnRenamed("id", "dep"), "dep").select("id", "n", "anchor", "far"), "steps")
-        known, fresh = saved(roots, "levels"), None
-        while True:
+        known = saved(roots, "levels")
+        while True:  # each round writes only the calls that it gave a level
             ready = (
                 steps.join(known.withColumnRenamed("id", "anchor"), "anchor").groupBy("id", "n")
                 .agg(F.count(F.lit(1)).alias("have"), F.max(F.col("level") + F.col("far") + 1).alias("level")).where("have = n").select("id", "level")
@@ -94,7 +94,7 @@ def levels(calls: DataFrame) -> DataFrame:
             fresh = saved(ready.join(known.select("id"), "id", "left_anti"), "fresh")
             if fresh.isEmpty():
                 break
-            known = saved(known.unionByName(fresh), "levels")
+            known = known.unionByName(fresh)
     below = hung.join(known.withColumnRenamed("id", "anchor"), "anchor").select("id", (F.col("level") + F.col("far")).alias("level"))
     return calls.select("id").join(known.unionByName(below), "id", "left")
 
@@ -102,7 +102,7 @@ def levels(calls: DataFrame) -> DataFrame:
 def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """``calls``: id, seq, name, arguments (JSON text), after (array of ids). ``results``: id, seq, content.
 
-    Returns id, seq, name, level, problem, json.
+    Returns id, seq, name, level, problem, json in topological order: by level (none last), then by sequence and id.
     """
     def first(df, tie):
         w = Window.partitionBy("id").orderBy(F.col("seq").asc_nulls_last(), tie)
@@ -116,7 +116,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
     told = joined.withColumn("_args", parsed).withColumn("problem", problem(F.col("name"), F.col("_args"), schemas))
     is_object = F.schema_of_variant("_args").startswith("OBJECT")
     message = F.struct(F.when(is_object, F.col("_args")).alias("arguments"), F.col("id"), F.col("name"), F.col("content").alias("result"))
-    return told.select("id", "seq", "name", "level", "problem", F.to_json(message, {"ignoreNullFields": "false"}).alias("json"))
+    return told.select("id", "seq", "name", "level", "problem", F.to_json(message, {"ignoreNullFields": "false"}).alias("json")).orderBy(F.col("level").asc_nulls_last(), "seq", "id")
 
 
 def from_turns(talks: DataFrame) -> tuple[DataFrame, DataFrame]:
