@@ -197,6 +197,17 @@ def event_windows(spark, d):
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
+@query(
+    "event_sessions",
+    """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS stop, count(*) AS n FROM s GROUP BY user_id, k""",
+)
+def event_sessions(spark, d):
+    e = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    s = state.sessions(e, "ts", "user_id", "6 hours", "1 hour")
+    return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("stop"), "n")
+
+
 @query("answer_stream_pieces", r"SELECT conv_id, turn, count(*) AS pieces, max(length(p)) AS longest FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[^\s]+\s*')) AS p FROM conversations WHERE role = 'assistant') GROUP BY ALL")
 def answer_stream_pieces(spark, d):
     c = read(spark, d, "conversations").where("role = 'assistant'").select(F.struct("conv_id", "turn").alias("k"), F.col("text").alias("answer"))
