@@ -14,7 +14,7 @@ from html import unescape
 import numpy as np
 import pytest
 
-from sparkloom.llm import html_text, line_dedup, mixing, ngram_jaccard, quality_knn, warc
+from sparkloom.llm import html_text, line_dedup, mixing, ngram_jaccard, quality_knn, quality_rules, tool_calls, warc
 
 SF = "/root/testdata/sf0.001"
 CLASHES = ["_k", "_T", "_gone", "_lines", "_s", "_b", "_ahead", "_turn", "_src", "_Digest", "_bucket", "_inside", "_tie", "_nth", "_size", "_take", "k", "t", "h", "g", "pos", "line", "n", "last", "src", "node", "grp", "position"]
@@ -139,6 +139,16 @@ def test_groups_of_near_copies_around_pivots(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
 
 
+# --- tool calls --------------------------------------------------------------------------------
+def test_linked_calls_come_in_topological_order(spark):
+    rng = random.Random(4)
+    calls = [(str(i), 100 - i, "ask", None, [str(rng.randrange(i)) for _ in range(rng.randrange(3))] if i else []) for i in range(40)] + [("x", 0, "ask", None, ["x"])]
+    df = spark.createDataFrame(calls, "id string, seq long, name string, arguments string, after array<string>")
+    rows = tool_calls.link(df, df.limit(0).selectExpr("id", "seq", "name as content")).collect()
+    at = {r.id: k for k, r in enumerate(rows)}
+    assert all(at[d] < at[i] for i, _, _, _, after in calls for d in after if d != i) and rows[-1].id == "x" and rows[-1].level is None
+
+
 # --- quality classifier ------------------------------------------------------------------------
 def test_votes_against_brute_force():
     rng = np.random.default_rng(4)
@@ -156,6 +166,31 @@ def test_votes_against_brute_force():
         assert score == pytest.approx(want, abs=1e-5)
 
 
+# --- quality rules -----------------------------------------------------------------------------
+def test_verdicts_against_plain_compression(spark):
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    size = lambda x: len(zstandard.ZstdCompressor(level=quality_rules.LEVEL, write_content_size=False).compress(x))
+
+    def verdict(text: str) -> bool:
+        raw = text.encode()
+        outside = lambda x, table: not (lambda lo, hi: lo <= size(x) / len(x) <= hi)(*[(lo, hi) for least, lo, hi in table if len(x) >= least][-1])
+        chunks = []
+        if len(raw) >= 4096:
+            long = 4096 if len(raw) >= 8192 else len(raw) // 2
+            at = 0
+            while at < len(raw) - long:
+                chunks.append(raw[at : at + long])
+                at += long // 4
+            chunks.append(raw[-long:])
+        bad = sum(outside(c, quality_rules.CHUNK_BANDS) for c in chunks)
+        return not outside(raw, quality_rules.WHOLE_BANDS) and (bad == 0 or 8 * bad < len(chunks))
+
+    rows = docs.join(quality_rules.score(docs), "doc_id").where("text is not null and not base_failed").collect()
+    assert len(rows) > 500 and all(r.kept == verdict(r.text) for r in rows)
+
+
 # --- WARC --------------------------------------------------------------------------------------
 def record(i: int, body: bytes, version: str = "1.1", more: str = "") -> bytes:
     block = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(body) + body
