@@ -34,7 +34,7 @@ WEIGHTS, MOST = (5, 2, 1), 3
 #: Knots (time, rate) per weight in turn: the heaviest fade out, the lightest fade in.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
 #: Rows of a source, if it had all, in one window.
-BUCKET = 4_000
+BUCKET = 1_000
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, most=MOST) -> DataFrame:
