@@ -462,6 +462,7 @@ def links(docs: DataFrame, text: str, total: int, salt: int) -> tuple[DataFrame,
     sized = sets.groupBy("grp", "kind").agg(*_weight())
     count = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("volume") / BLOCK_TOKENS)).cast("long")
     kinds = sized.groupBy("grp").agg(F.collect_list(F.struct("kind", count.alias("blocks"))).alias("kinds"))  # three entries at most
+    kinds = saved(kinds.coalesce(parts), "blocks")  # of known size when the join is planned: no exchange of the sets where it is small
     code = lambda kind, block: F.shiftleft(kind.cast("long"), 40) + block
     own = F.filter("kinds", lambda k: k["kind"] == F.col("kind"))[0]["blocks"]
     # Blocks of one pivot's sets meet only blocks of other kinds.
