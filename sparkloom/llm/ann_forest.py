@@ -64,7 +64,7 @@ class Forest:
     """One block's trees, built."""
 
     def __init__(self, dims: int, ordered: np.ndarray, order: np.ndarray, bits: int = BITS):
-        self.bits, self.n, self.sorted, self.order = bits, order.shape[1], ordered, order
+        self.bits, self.n, self.sorted, self.order = bits, order.shape[1], ordered, order.astype(np.intp)
         self.projections = planes(dims + 1, len(ordered), bits)
 
     def candidates(self, queries: np.ndarray, share: float = SHARE, least: int = LEAST):
