@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.fixed_values import LABS
 from ..operators import answers, fusion, lexical, measures, vectors
-from .base import query, read
+from .base import query, read, spread
 from .language_queries import NUMBERS, WORDS_LIST, sql_text, tokens_sql
 
 DOT = "round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)"
@@ -87,7 +87,7 @@ BM25 = f"""(WITH t AS (SELECT doc_id, term, count(*) AS tf FROM {DOC_TOKENS} GRO
 
 def _postings(spark, d):
     """(asked terms, postings, number of documents) of the benchmark's items against all documents."""
-    docs = read(spark, d, "documents").select("doc_id", "text")
+    docs = spread(read(spark, d, "documents").select("doc_id", "text"))
     asked = lexical.asked_terms(read(spark, d, "benchmark"), "item_id")
     return asked, lexical.postings(docs, asked, "doc_id"), docs.count()
 
