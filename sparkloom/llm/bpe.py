@@ -316,6 +316,7 @@ def default_vocabulary() -> str:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plans.base import spread
     from .common import table
 
-    return apply(table(spark, sf_dir, "documents"), default_vocabulary(), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
+    return apply(spread(table(spark, sf_dir, "documents")), default_vocabulary(), columns=("n_tokens", "ids_sha256", "decoded_sha256"))

@@ -357,6 +357,7 @@ def text_of(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    from ..plans.base import spread
     from .common import table
 
-    return text_of(table(spark, sf_dir, "pages"))
+    return text_of(spread(table(spark, sf_dir, "pages")))

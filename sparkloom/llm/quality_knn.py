@@ -131,9 +131,10 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    from ..plans.base import spread
     from .common import table
 
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select(
         "doc_id", F.coalesce(fold_of(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")

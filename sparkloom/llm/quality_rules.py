@@ -151,6 +151,7 @@ def keep(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    from ..plans.base import spread
     from .common import table
 
-    return score(table(spark, sf_dir, "documents")).withColumn("ratio", F.round("ratio", 9))
+    return score(spread(table(spark, sf_dir, "documents"))).withColumn("ratio", F.round("ratio", 9))
