@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann_forest, bpe, html_text, line_dedup, mixing, ngram_jaccard, quality_knn, quality_rules, tool_calls, warc
+from . import ann_forest, bpe, divergence, html_text, lexical_search, line_dedup, mixing, ngram_jaccard, personal_data, quality_knn, quality_rules, tool_calls, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_warc": warc.query,
     "op9_quality_rules": quality_rules.query,
     "op10_html_text": html_text.query,
+    "op11_divergence": divergence.query,
+    "op12_lexical_search": lexical_search.query,
+    "op13_personal_data": personal_data.query,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op5_tool_calls": tool_calls.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_warc": warc.ORACLE,
+    "op11_divergence": divergence.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
 }
