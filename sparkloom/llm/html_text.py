@@ -68,7 +68,9 @@ ENDS_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption",
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 #: The rest of a tag, without going back: a quote opens a value only after =, and only if it is closed.
 REST = re.compile(r"(?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+>")
-ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+#: One attribute: its whole name, and a value if = follows. Taken one after the other from the left, so nothing inside a value is read as a name.
+ATTR = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
+ASKED = frozenset("class id role hidden aria-hidden style".split())
 
 
 #: Elements that count as nodes; all others are formatting of the block that they stand in.
@@ -97,6 +99,8 @@ def _furniture(tag: str, attrs: str) -> tuple[bool, str]:
         return False, named
     for name, a, b, c in ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
+        if name not in ASKED:
+            continue
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True, ""
         if name == "role" and value.lower() in ROLES:

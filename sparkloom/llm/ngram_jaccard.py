@@ -55,27 +55,21 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_BASE = np.uint64(0x5851F42D4C957F2D)
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-_UP = np.cumprod(np.full(2 * STRETCH, _BASE), dtype=np.uint64)
-_DOWN = np.cumprod(np.full(2 * STRETCH, np.uint64(pow(int(_BASE), -1, 1 << 64))), dtype=np.uint64)
-
-
 def _word_hashes(raw: np.ndarray) -> np.ndarray:
-    """A hash for each word: a polynomial of its bytes, taken from running sums, so it does not depend on where the word stands."""
-    n = len(raw)
-    up, down = _UP, _DOWN
-    if n > len(up):  # one word of more than a stretch
-        up = np.cumprod(np.full(n, _BASE), dtype=np.uint64)
-        down = np.cumprod(np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64))), dtype=np.uint64)
+    """A hash for each word: the sum of a number for each byte and its place in the word, scattered by ``mix``, so no two words are
+    alike by the algebra of a polynomial."""
     edge = np.diff(_BLANK[raw], prepend=True, append=True).nonzero()[0]
     start, end = edge[::2], edge[1::2]
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[raw] * up[:n], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    if not len(start):
+        return np.empty(0, dtype=np.uint64)
+    length = end - start
+    inside = ~_BLANK[raw]
+    first = np.cumsum(length) - length  # of each word among the bytes of all words
+    place = np.arange(int(length.sum())) - np.repeat(first, length)
+    return mix(np.add.reduceat(mix(raw[inside] + (place.astype(np.uint64) << np.uint64(8)), 0x9E3779B97F4A7C15), first) + length.astype(np.uint64))
 
 
 def set_of(text: str | None) -> np.ndarray:
@@ -118,7 +112,7 @@ def _nodes(key: str, salt: int):
                 nodes.append(node)
                 checks.append(check)
             made = [pa.array(x, pa.int64()) for x in (sizes, nodes, checks)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[key, "n_shingles", "node", "checked"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, batch.column(2), batch.column(3)], names=[key, "n_shingles", "node", "checked", "t0", "t1"])
 
     return run
 
@@ -484,36 +478,48 @@ def links(docs: DataFrame, text: str, total: int, salt: int) -> tuple[DataFrame,
     return checked, parts
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_shingles`` and ``component_id`` (the least key reachable by links) of every row."""
+def _digests(text: str) -> tuple:
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def _rooted(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with their ``node`` and the digests of their text, and the nodes with their ``root``, least key and first row."""
     kind = docs.schema[key].dataType.simpleString()
     for salt in range(256):
-        rows = saved(docs.select(key, text).mapInArrow(_nodes(key, salt), f"`{key}` {kind}, n_shingles long, node long, checked long"), "nodes")
-        own = rows.where("node is not null").groupBy("node").agg(F.min(key).alias("low"), F.max("n_shingles").alias("n_shingles"), F.min("checked").alias("c0"), F.max("checked").alias("c1"))
+        rows = saved(docs.select(key, text, *_digests(text)).mapInArrow(_nodes(key, salt), f"`{key}` {kind}, n_shingles long, node long, checked long, t0 long, t1 long"), "nodes")
+        first = F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("k"), "t0", "t1"))
+        own = rows.where("node is not null").groupBy("node").agg(F.min(key).alias("low"), F.max("n_shingles").alias("n_shingles"), F.min("checked").alias("c0"), F.max("checked").alias("c1"), first.alias("first"))
         own = saved(own.coalesce(max(1, -(-rows.count() // NODES_FILE))), "own")
         if own.where("c0 != c1").isEmpty():
             break  # else two sets have one number; number them anew
     total = own.agg(F.sum("n_shingles")).first()[0]
-    if total is not None:
-        found = components(*links(docs, text, total, salt))
-        reach = own.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        lowest = reach.groupBy("root").agg(F.min("low").alias("component_id"))
-        own = reach.join(lowest, "root").select("node", "component_id")
-    else:
-        own = own.select("node", F.col("low").alias("component_id"))
+    if total is None:
+        return rows, own.select("node", F.col("node").alias("root"), "low", "first")
+    found = components(*links(docs, text, total, salt))
+    return rows, own.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low", "first")
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``n_shingles`` and ``component_id`` (the least key reachable by links) of every row."""
+    rows, reach = _rooted(docs, key, text)
+    own = reach.join(reach.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
     return rows.join(own, "node", "left").select(
         key, "n_shingles", F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when one of each component stays: that with the least key (one of equal rows)."""
-    found = join(docs, key, text).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    # Rows that share the key of a representative are told apart by their texts.
-    nth = spare("nth", docs)
-    w = Window.partitionBy(key).orderBy(text)
-    kept = docs.join(found, key, "left_semi").withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1)
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    """The rows of ``docs`` that stay when one of each component stays: that with the least key (null is the greatest), of several texts
+    under it that with the least digest, and of equal rows one. Rows are told apart by key and text, so unlike texts under one key all
+    stay. Texts without words link with nothing: all their rows stay."""
+    _, reach = _rooted(docs, key, text)
+    k, t0, t1, nth = (spare(c, docs) for c in ("k", "t0", "t1", "nth"))
+    chosen = reach.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.k").alias(k), F.col("first.t0").alias(t0), F.col("first.t1").alias(t1))
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same = F.col(key).eqNullSafe(F.col(k)) & (_digests(text)[0] == F.col(t0)) & (_digests(text)[1] == F.col(t1))
+    w = Window.partitionBy(key, t0, t1).orderBy(F.lit(0))
+    met = docs.where(worded).join(chosen, same).withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1)
+    return met.select(*docs.columns).unionByName(docs.where(~worded))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

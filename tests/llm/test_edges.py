@@ -318,3 +318,76 @@ def test_names_inside_an_article():
         "<section class='related-work'><p>Others did it.</p></section><div class='related-posts'><a href=x>More</a></div><div class='ad'>Buy</div></article><header>Site</header></body>"
     )
     assert html_text.extract(page).split("\n") == ["Head", "By somebody", "Some text that goes on for long.", "Nausea and more.", "Others did it."]
+
+
+# --- attribute values, repeated ids, word hashes -------------------------------------------------
+def test_attribute_values_are_not_names():
+    body = "".join(f"<p>Paragraph {k} with enough of its own words to be the article of this page.</p>" for k in range(4))
+    for piece in (
+        '<p>See <a href="/films/hidden-figures">Hidden Figures</a> today.</p>', '<p title="a hidden gem">A gem of a place.</p>', '<p data-hidden="false">Shown to all.</p>', '<p data-id="sidebar" data-role="form">Kept as well.</p>',
+        "<p data-x='class=\"ad\"'>Quoted in quotes.</p>", '<p title="style=display:none">No style.</p>', "<p data-note=aria-hidden=true>Unquoted.</p>", '<p alt = "id=nav" lang = "en">Spaced out.</p>',
+    ):
+        for page in (f"<html><body><article><h1>T</h1>{body}{piece}</article></body></html>", f'<html><body><div title="Hidden costs" data-class="nav"><h1>T</h1>{body}{piece}</div></body></html>'):
+            text = html_text.extract(page)
+            assert re.sub(r"<[^>]*>", "", piece) in text and text.count("Paragraph") == 4, piece
+    for piece in ('<p hidden>Gone</p>', '<p HIDDEN="">Gone</p>', "<p aria-hidden = 'true'>Gone</p>", '<p style="color: red; display : none">Gone</p>', "<div role=navigation>Gone</div>", '<div class=sidebar>Gone</div>'):
+        assert "Gone" not in html_text.extract(f"<html><body><article><h1>T</h1>{body}{piece}</article></body></html>"), piece
+    began = time.time()
+    html_text.parse("<div " + " " * 300_000 + ">x</div><p " + "a=' " * 100_000 + ">y</p><p " + "= " * 100_000 + ">z")
+    assert time.time() - began < 5
+
+
+def brute_kept(rows):
+    """Rows that stay: of each group of linked (id, text) rows the first by id (null last); equal rows count once; which text of an id stays in a tie is left open."""
+    sets = [frozenset(zip(*[w[i:] for i in range(5)])) if len(w) >= 5 else frozenset([tuple(w)] if w else []) for w in ((t or "").lower().split() for _, t in rows)]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+    kept = [i for i, (k, _) in enumerate(rows)]
+    blank = Counter(rows[i] for i in kept if not sets[i])
+    groups = defaultdict(list)
+    for i in kept:
+        if sets[i]:
+            groups[group[i]].append(rows[i])
+    return blank, [{r for r in g if (r[0] is None, r[0] or 0) == min((k is None, k or 0) for k, _ in g)} for g in groups.values()]
+
+
+def test_repeated_ids_with_unlike_texts_all_stay(spark):
+    rng = random.Random(12)
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    a, b, z, q = (text(k) for k in "abzq")
+    near = a.rsplit(" ", 1)[0] + " other"
+    fixed = [(1, a), (1, b), (3, a), (3, z), (5, q)]
+    got = ngram_jaccard.representatives(spark.createDataFrame(fixed, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, a), (1, b), (3, z), (5, q)]
+    rows = [*fixed, (1, a), (7, near), (None, near), (None, "lone text of a row without any id"), (2, None), (2, ""), (2, ""), (None, " "), (5, "x"), (6, "x")]
+    rows += [(rng.choice([1, 4, 8, None]), text(rng.randrange(6))) for _ in range(20)]
+    docs = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, _k string, _t0 int")
+    out = [(r.doc_id, r.text) for r in ngram_jaccard.representatives(docs).collect()]
+    blank, groups = brute_kept(rows)
+    assert Counter(r for r in out if not (r[1] or "").split()) == blank
+    worded = [r for r in out if (r[1] or "").split()]
+    assert len(worded) == len(groups) and all(sum(r in g for r in worded) == 1 for g in groups)
+
+
+def test_pipeline_keeps_unlike_texts_of_one_id(spark):
+    import corpus_pipeline as p
+
+    parts = "the stone ri ver an ka lo mi ter es sun and wood ing of den far a bel con du".split()
+    words = lambda k: " ".join("".join(random.Random(k * 1000 + i).choices(parts, k=2)) for i in range(150))
+    rows = [(1, words(1)), (1, words(3)), (3, words(1)), (3, words(5)), (5, words(7)), (5, words(7))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in p.STAGES[:3]:
+        docs = stage(spark, docs, SF)
+    assert Counter((r.doc_id, r.text) for r in docs.collect()) == Counter({(1, words(1)), (1, words(3)), (3, words(5)), (5, words(7))})
+
+
+def test_words_alike_under_polynomials_differ():
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = thue.translate({97: 98, 98: 97})
+    assert set(ngram_jaccard.set_of(thue)).isdisjoint(ngram_jaccard.set_of(other))
+    assert len(ngram_jaccard.set_of(thue + " " + other)) == 1
+    words = ["".join(x) for n in range(1, 5) for x in __import__("itertools").product("abcd", repeat=n)]
+    assert len({int(ngram_jaccard.set_of(w)[0]) for w in words}) == len(words)
