@@ -172,9 +172,10 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     counted = saved(counts(docs, text, lang, source), "counts")
     known = counted.where(F.col("term") != "").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("df").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term", "total")
     known = saved(known, "terms")
-    langs = known.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("lang_n"))
+    langs = saved(known.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("lang_n")), "langs")  # of known size when it is joined
     tiled = known.join(langs, "lang").withColumn("tile", F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / width)))
     place = Window.partitionBy("lang", "tile").orderBy(F.col("total").desc(), "term")
+    tiled = tiled.repartition("lang", "tile")  # else rows dealt by language already would stay so
     tiled = saved(tiled.withColumn("col", F.row_number().over(place) - 1), "tiled")
     cells = saved(counted.select("lang", "source", "term", "n").join(tiled, ["lang", "term"]), "cells")
 
