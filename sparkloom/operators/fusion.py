@@ -44,7 +44,7 @@ def rerank(rows: DataFrame, key: str, query_key: str, k: int, alpha: float = 0.5
     })
     lexical = lexical_score(F.col("_q"), F.col("_body"), F.col("_section"))
     scored = split.withColumn("rerank_score", F.when(F.size("_q") > 0, F.round(alpha * F.col("score") / F.col("_max") + (1 - alpha) * lexical, 6)))
-    w = Window.partitionBy(query_key).orderBy(F.desc_nulls_last("rerank_score"), F.desc("score"), key)
+    w = Window.partitionBy(query_key).orderBy(F.desc_nulls_last("rerank_score"), F.desc(F.round("score", 9)), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_q", "_body", "_section", "_max")
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import STOP_WORDS, SYNONYMS
-from ..functions.text import raw_tokens, stem, tokens
+from ..functions.text import raw_tokens, stem
+from ..sources.shared import saved
 
 K1, B = 1.2, 0.75
 
@@ -40,31 +41,37 @@ def asked_terms(queries: DataFrame, query_key: str) -> DataFrame:
     return term_counts(queries, query_key).withColumnRenamed("tf", "times")
 
 
-def postings(docs: DataFrame, terms: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, length, term, tf) of the ``terms`` that are asked for, in one pass over the texts: all other tokens of a document
-    only count for its length, before the first exchange. Documents without any of them have one row with a null term."""
-    hit = token_rows(docs, key, text).join(terms.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left")
-    counted = hit.groupBy(key, F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+def postings(docs: DataFrame, terms: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each document: key, the columns to ``keep``, length, and ``found``, its (term, tf) among the ``terms`` that are asked for.
+
+    The texts are read once and the rows written, since statistics and scores read them again. All other tokens of a
+    document only count for its length, before the first exchange. A null text is empty."""
+    rows = token_rows(docs, key, text).join(terms.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left")
+    counted = rows.groupBy(key, F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count(F.lit(1)).alias("tf"))
     found = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))
     per = counted.groupBy(key).agg(F.sum("tf").alias("length"), found.alias("found"))
-    return per.select(key, "length", F.inline_outer("found"))
+    if keep:
+        per = docs.select(key, *keep).join(per, key, "left").withColumns({"length": F.coalesce("length", F.lit(0)), "found": F.coalesce("found", F.array().cast(per.schema["found"].dataType))})
+    return saved(per, "postings")
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def part(tf: Column, length: Column, mean: Column) -> Column:
+    """What a term that occurs ``tf`` times adds, before its weight."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
 def bm25_scores(found: DataFrame, n: int, asked: DataFrame, key: str, query_key: str) -> DataFrame:
     """(query_key, key, score) from ``postings`` of a collection of ``n`` documents."""
-    # Every document has one row at least; its length counts once.
-    own = F.row_number().over(Window.partitionBy(key).orderBy("term")) == 1
-    total = found.withColumn("own", own).agg(F.sum(F.when(F.col("own"), F.col("length"))).cast("double").alias("words"))
-    df = found.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    words = found.agg(F.sum("length").cast("double")).first()[0] or 0.0  # of the written table: one number
+    rows = found.select(key, "length", F.inline("found"))
+    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = asked.join(df, "term").select(query_key, "term", (F.col("times") * idf(F.lit(float(n)), F.col("df"))).alias("w"))
-    mean = F.when(F.col("words") > 0, F.col("words") / n).otherwise(1.0)
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    rows = found.where("term is not null").crossJoin(F.broadcast(total)).select(key, "term", part.alias("part"))  # one row
-    return rows.join(weighted, "term").groupBy(query_key, key).agg(F.sum(F.col("part") * F.col("w")).alias("score")).where("score > 0")
+    scored = rows.select(key, "term", part(F.col("tf"), F.col("length"), F.lit(words / n if words else 1.0)).alias("part")).join(weighted, "term")
+    return scored.groupBy(query_key, key).agg(F.sum(F.col("part") * F.col("w")).alias("score")).where("score > 0")
 
 
 def best(scored: DataFrame, key: str, query_key: str, k: int, digits: int = 9) -> DataFrame:
@@ -80,4 +87,4 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, k: int,
 
 def coverage_scores(found: DataFrame, asked: DataFrame, key: str, query_key: str) -> DataFrame:
     """How many of a query's terms a document holds, from the same ``postings``."""
-    return found.where("term is not null").join(asked.select(query_key, "term"), "term").groupBy(query_key, key).agg(F.count(F.lit(1)).cast("double").alias("score"))
+    return found.select(key, F.inline("found")).join(asked.select(query_key, "term"), "term").groupBy(query_key, key).agg(F.count(F.lit(1)).cast("double").alias("score"))

@@ -113,7 +113,7 @@ COVER = f"(SELECT item_id, doc_id, count(*) AS score FROM (SELECT DISTINCT doc_i
     SELECT item_id, doc_id, round(fused, 9) AS fused, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(fused, 12) DESC, doc_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10""",
 )
 def rrf_fusion(spark, d):
-    # Both lists read the same postings; their exchange is made once.
+    # Both lists read the same written postings.
     asked, found, n = _postings(spark, d)
     lists = [lexical.bm25_scores(found, n, asked, "doc_id", "item_id"), lexical.coverage_scores(found, asked, "doc_id", "item_id")]
     f = fusion.rrf([lexical.best(x, "doc_id", "item_id", 24) for x in lists], "doc_id", "item_id", 10)
@@ -127,7 +127,7 @@ def rrf_fusion(spark, d):
     s AS (SELECT doc_id, list(term) AS s FROM {tokens_sql("coalesce(source, '')", "documents", "doc_id")} GROUP BY 1),
     x AS (SELECT item_id, doc_id, score, round(0.5 * score / CASE WHEN max(score) OVER (PARTITION BY item_id) = 0 THEN 1 ELSE max(score) OVER (PARTITION BY item_id) END + 0.5 * (0.6 * len(list_intersect(q, list_distinct(b))) / len(q)
       + 0.25 * least(len(list_filter(b, lambda t: list_contains(q, t))) / sqrt(len(b) + 1.0), 1.0) + CASE WHEN list_has_any(coalesce(s, []), q) THEN 0.15 ELSE 0.0 END), 6) AS rerank_score FROM top JOIN q USING (item_id) JOIN b USING (doc_id) LEFT JOIN s USING (doc_id))
-    SELECT item_id, doc_id, rerank_score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY rerank_score DESC, score DESC, doc_id) AS INTEGER) AS rank FROM x QUALIFY rank <= 10""",
+    SELECT item_id, doc_id, rerank_score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY rerank_score DESC, round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM x QUALIFY rank <= 10""",
 )
 def lexical_rerank(spark, d):
     """The lexical reranker over the first 24 of BM25."""
