@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.embed import hashing_embedding
-from .operators import fusion, ingest, kv, lexical, lifecycle, lookup, vectors
+from .operators import fusion, ingest, kv, lexical, lifecycle, lookup, scoped, vectors
 
 Embedder = Callable[[DataFrame, str, str], DataFrame]
 Reranker = Callable[[DataFrame, str, str, int], DataFrame]
@@ -115,7 +115,17 @@ class Engine:
 
     def query(self, questions: DataFrame, k: int = 5, **rules) -> DataFrame:
         """Answers for (qid, query, scope); ``rules`` as in ``lifecycle.run_batch``."""
-        return lifecycle.run_batch(questions, self.facts, self.passages.rows.select("id", "namespace", "title", "text"), self.today, k, **rules)
+        return lifecycle.run_batch(questions, self.facts, self.passages.rows.drop("embedding"), self.today, k, **rules)
+
+    def scoped_search(self, questions: DataFrame, k: int = 5, hybrid: bool = True, filters: dict[str, dict] | None = None) -> tuple[DataFrame, DataFrame]:
+        """(hits, report) for (qid, text, scope, namespaces, drugs, start, stop), each question under its own filter. Asking for notes without a subject is refused."""
+        if not questions.where(F.array_contains("namespaces", scoped.NOTES) & F.col("scope").isNull()).isEmpty():
+            raise ValueError("searching patient_notes requires a scope")
+        asked = questions.join(self.embed(questions.select("qid", "text"), "qid", "text"), "qid")
+        rows = self.passages.rows
+        for c, kind in (("owner", "string"), ("drug", "string"), ("date_num", "long")):
+            rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast(kind))
+        return scoped.retrieve(asked, rows, k, hybrid=hybrid, rerank=self.rerank, filters=filters)
 
     def search(self, questions: DataFrame, k: int = 5, spec: dict | None = None, hybrid: bool = True, reranked: bool = True) -> DataFrame:
         """The k best passages for (qid, text): by vectors and, if ``hybrid``, words, fused; then reranked."""
@@ -131,7 +141,9 @@ class Engine:
     def source(self, asked: DataFrame) -> DataFrame:
         """What source ids (source_id) name."""
         parts = F.transform(F.sort_array(F.collect_list(F.struct("id", "text"))), lambda x: x["text"])  # the passages of one document
-        documents = self.passages.rows.groupBy(F.split_part("id", F.lit("#"), F.lit(1)).alias("doc_id")).agg(F.array_join(parts, "\n").alias("text"))
+        wanted = asked.where(F.col("source_id").startswith("vec:")).select(F.split_part(F.substr("source_id", F.lit(5)), F.lit("#"), F.lit(1)).alias("_doc")).distinct()
+        rows = self.passages.rows.join(wanted, F.split_part("id", F.lit("#"), F.lit(1)) == F.col("_doc"), "left_semi")
+        documents = rows.groupBy(F.split_part("id", F.lit("#"), F.lit(1)).alias("doc_id")).agg(F.array_join(parts, "\n").alias("text"))
         return lookup.resolve_sources(asked, self.records.rows, documents)
 
     def ingest(self, passages: DataFrame, rows: DataFrame) -> Engine:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import kv_queries, language_queries, lookup_queries, measure_queries, retrieval_queries  # noqa: F401  (they register)
+from . import kv_queries, language_queries, lookup_queries, measure_queries, retrieval_queries, scoped_queries  # noqa: F401  (they register)
 from .base import ORACLES, QUERIES  # noqa: F401

@@ -167,19 +167,6 @@ def scope_filter(spark, d):
     return fusion.in_scope(rows, "owner", F.lit(3))[1]
 
 
-@query("lifecycle_batch")
-def lifecycle_batch(spark, d):
-    """A batch of questions through safety, routing, scope, retrieval, sufficiency, answer and citation check."""
-    from ..operators.lifecycle import run_batch
-    from .language_queries import _questions
-
-    q = _questions(spark, d).select((F.col("conv_id") * 8 + F.col("turn")).alias("qid"), "query", "scope")
-    passages = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("guidelines").alias("namespace"), F.col("source").alias("title"), "text")
-    lab = F.get(F.array(*[F.lit(x) for x in LABS]), (F.col("c_custkey") % len(LABS)).cast("int"))
-    facts = read(spark, d, "customer").select(F.format_string("P%04d", (F.col("c_custkey") % 50).cast("int")).alias("subject"), F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.concat(lab, F.lit(" reading was "), F.col("c_acctbal").cast("string"), F.lit(" at the last visit.")).alias("text"))
-    return run_batch(q, facts, passages)
-
-
 @query(
     "semantic_cache",
     """WITH s AS (SELECT q.vec_id AS qid, c.vec_id AS cached_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id % 10 = 0 AND c.vec_id % 10 > 0)
