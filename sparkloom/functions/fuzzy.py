@@ -1,52 +1,68 @@
-"""Near-miss matching by sequence similarity, for which Spark has no expression: Arrow batches through Pandas UDFs."""
+"""Near-miss matching by sequence similarity.
+
+Candidates come from a join: words of n and m letters whose similarity ``2 * matched / (n + m)`` is the cutoff or more differ by at most
+``d = (1 - cutoff) * (n + m)`` deletions and insertions. A deletion takes two of a word's letter pairs (with a mark at both ends), an insertion one, so of the pairs
+in any one order, rarest first here, the first ``2 * deletions + insertions + 1`` of both words hold a common one, at places no more than d apart. Only these
+meet, under the pair and the other word's length. What they propose is compared exactly, in Arrow batches, for which Spark has no expression.
+"""
 
 from __future__ import annotations
 
 import difflib
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .routing import LEXICON
+from ..sources.shared import saved
 
 
-def fuzzy_drugs(normalized: Column, cutoff: float = 0.88) -> Column:
-    """Drugs that a word of six letters or more nearly spells; exact names are the gazetteer's."""
-    names = [s for s in LEXICON["drugs"] if " " not in s and len(s) >= 6]
-    exact = re.compile(r"\b(" + "|".join(map(re.escape, sorted(LEXICON["drugs"], key=len, reverse=True))) + r")\b")
+def _apart(n: Column, m: Column, cutoff: float) -> Column:
+    """Deletions and insertions at most between words of n and m letters; their number has the parity of n + m."""
+    d = F.floor((1 - cutoff) * (n + m) + 1e-9)
+    return d - (n + m - d) % 2
 
-    @F.pandas_udf("array<string>")
-    def match(texts: pd.Series) -> pd.Series:
-        known: dict[str, str | None] = {}
 
-        def near(word: str) -> str | None:
-            if word not in known:
-                close = difflib.get_close_matches(word, names, n=1, cutoff=cutoff)
-                known[word] = close[0] if close and close[0] != word else None
-            return known[word]
+def _needed(n: Column, m: Column, d: Column) -> Column:
+    """Length of the prefix of a word of n letters against one of m."""
+    return 2 * ((d + n - m) / 2).cast("int") + ((d + m - n) / 2).cast("int") + 1
 
-        return texts.map(lambda t: sorted({near(w) for w in re.findall("[a-z]{6,}", exact.sub(" ", t or ""))} - {None}))
 
-    return match(normalized)
+def _grams(words: DataFrame) -> DataFrame:
+    """word, n, gram, at."""
+    marked = F.concat(F.lit("\u0001"), F.col("word"), F.lit("\u0002"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substr(marked, i, F.lit(2)))
+    return words.select("word", F.length("word").alias("n"), F.posexplode(pairs).alias("at", "gram"))
 
 
-def unknown_words(asked: DataFrame, vocabulary: DataFrame, key: str, cutoff: float = 0.85, least: int = 6) -> DataFrame:
-    """(key, word) of long words that neither stand in the vocabulary (word) nor nearly do.
-
-    An anti join takes out what is known. Two words of the cutoff or more leave at most ``u = (1 - cutoff) * (both lengths)`` letters
-    unmatched, and what matches is in at most u + 1 runs, so they share a pair of letters at places no more than u apart: what is left meets the vocabulary on such
-    pairs only, whatever letters the words begin with."""
-    left = asked.where(F.length("word") >= least).join(vocabulary, "word", "left_anti")
-    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substr(w, i, F.lit(2)))
-    words = left.select("word").distinct().select("word", F.posexplode(pairs(F.col("word"))).alias("at", "pair"))
-    long_enough = F.length("word") >= int(least * cutoff / (2 - cutoff))  # shorter ones can't reach the cutoff
-    known = vocabulary.where(long_enough & (F.length("word") > 1)).select("word").distinct().select(F.col("word").alias("other"), F.posexplode(pairs(F.col("word"))).alias("other_at", "pair"))
-    unmatched = (1 - cutoff) * (F.length("word") + F.length("other")) + 1e-9
-
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+def _ordered(grams: DataFrame, often: DataFrame) -> DataFrame:
+    """The same with ``nth``, the place of a pair among its word's, rarest first."""
+    rated = grams.join(often, "gram", "left")
+    one = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram", "at")
+    return rated.groupBy("word", "n").agg(F.array_sort(F.collect_list(one)).alias("g")).select("word", "n", F.posexplode("g").alias("nth", "x")).select("word", "n", (F.col("nth") + 1).alias("nth"), "x.gram", "x.at")
+
+
+def candidates(words: DataFrame, others: DataFrame, cutoff: float) -> DataFrame:
+    """(word, other): pairs of two tables of distinct words (word) that may reach the cutoff; every pair that does is among them."""
+    theirs = saved(_grams(others), "grams")
+    often = saved(theirs.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "often")
+    wide, narrow = (2 - cutoff) / cutoff, cutoff / (2 - cutoff)
+    n, m = F.col("n"), F.col("m")
+    asked = _ordered(_grams(words), often).withColumn("m", F.explode(F.sequence(F.greatest(F.ceil(n * narrow - 1e-9), F.lit(1)).cast("int"), F.floor(n * wide + 1e-9).cast("int")))).withColumn("d", _apart(n, m, cutoff))
+    asked = asked.where((F.col("d") >= F.abs(n - m)) & (F.col("nth") <= _needed(n, m, F.col("d"))))
+    # No partner asks for more of a word's pairs than the shortest one does.
+    known = _ordered(theirs, often).where(F.col("nth") <= 4 * n * (1 - cutoff) / (2 - cutoff) + 2)
+    known = known.select(F.col("word").alias("other"), F.col("n").alias("m"), "gram", F.col("nth").alias("other_nth"), F.col("at").alias("other_at"))
+    met = asked.join(known, ["gram", "m"]).where((F.abs(F.col("at") - F.col("other_at")) <= F.col("d")) & (F.col("other_nth") <= _needed(m, n, F.col("d"))))
+    # Insertions and deletions bound the edit distance: most pairs that are not near end here, in the JVM.
+    return met.where(F.levenshtein("word", "other") <= F.col("d")).select("word", "other").distinct()
+
+
+def ratio(a: Column, b: Column, cutoff: float) -> Column:
+    """Similarity of two words, or null below the cutoff."""
+
+    @F.pandas_udf("double")
+    def compare(a: pd.Series, b: pd.Series) -> pd.Series:
         out, last = [], None
         matcher = difflib.SequenceMatcher()
         for x, y in zip(a, b, strict=True):
@@ -54,11 +70,32 @@ def unknown_words(asked: DataFrame, vocabulary: DataFrame, key: str, cutoff: flo
                 matcher.set_seq2(x)
                 last = x
             matcher.set_seq1(y)
-            out.append(matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff and matcher.ratio() >= cutoff)
-        return pd.Series(out)
+            near = matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff
+            r = matcher.ratio() if near else 0.0
+            out.append(r if r >= cutoff else None)
+        return pd.Series(out, dtype="float64")
 
-    # Edit distance is at most the number of unmatched letters: most pairs end in the JVM.
-    near = (F.abs(F.length("word") - F.length("other")) <= unmatched) & (F.abs(F.col("at") - F.col("other_at")) <= unmatched) & (F.levenshtein("word", "other") <= unmatched)
-    close = words.join(known, "pair").where(near).select("word", "other").distinct()
-    typos = close.where(similar(F.col("word"), F.col("other"))).select("word").distinct()
+    return compare(a, b)
+
+
+def near_pairs(words: DataFrame, others: DataFrame, cutoff: float) -> DataFrame:
+    """(word, other, ratio): all pairs of words (word) of two tables whose similarity is the cutoff or more."""
+    pairs = candidates(words.where("word <> ''").select("word").distinct(), others.where("word <> ''").select("word").distinct(), cutoff)
+    return pairs.withColumn("ratio", ratio(F.col("word"), F.col("other"), cutoff)).where("ratio is not null")
+
+
+def near_names(asked: DataFrame, names: DataFrame, key: str, cutoff: float = 0.88, least: int = 6) -> DataFrame:
+    """(key, word, name) of the words (key, word) of ``least`` letters or more that nearly spell a name (name) of one word and as many letters: the most
+    similar one, of equally similar ones the last. Words that are names, or a part of them, are no near misses."""
+    singles = names.where(~F.col("name").contains(" ") & (F.length("name") >= least)).select(F.col("name").alias("word")).distinct()
+    parts = names.select(F.explode(F.split("name", "[^a-z]+")).alias("word")).distinct()
+    left = asked.where(F.length("word") >= least).join(parts, "word", "left_anti")
+    best = near_pairs(left, singles, cutoff).groupBy("word").agg(F.max(F.struct("ratio", "other")).alias("b"))
+    return left.join(best, "word").select(key, "word", F.col("b.other").alias("name"))
+
+
+def unknown_words(asked: DataFrame, vocabulary: DataFrame, key: str, cutoff: float = 0.85, least: int = 6) -> DataFrame:
+    """(key, word) of long words that neither stand in the vocabulary (word) nor nearly do. An anti join takes out what is known."""
+    left = saved(asked.where(F.length("word") >= least).join(vocabulary, "word", "left_anti").select(key, "word"), "unknown")
+    typos = near_pairs(left, vocabulary.where(F.length("word") >= int(least * cutoff / (2 - cutoff))), cutoff).select("word").distinct()
     return left.join(typos, "word", "left_anti").select(key, "word")

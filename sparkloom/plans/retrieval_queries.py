@@ -194,31 +194,6 @@ def write_through(spark, d):
     return counts.unionByName(rejected.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected").alias("kind"), "n"))
 
 
-@query("fuzzy_drug_match")
-def fuzzy_drug_match(spark, d):
-    """Whole user turns, each with a drug's name that lacks a letter put before it: the near match finds it again."""
-    from ..functions.fuzzy import fuzzy_drugs
-
-    names = F.array(*[F.lit(x) for x in V.DRUGS if " " not in x and len(x) >= 9])
-    i = F.col("conv_id") * 8 + F.col("turn")
-    drug = F.get(names, (i % F.size(names)).cast("int"))
-    cut = (i % (F.length(drug) - 4)).cast("int") + 3
-    typo = F.concat(F.substr(drug, F.lit(1), cut - 1), F.substr(drug, cut + 1))
-    talk = read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", drug.alias("drug"), F.lower(F.concat(typo, F.lit(" "), F.coalesce("text", F.lit("")))).alias("q"))
-    return talk.select("conv_id", "turn", "drug", F.array_join(fuzzy_drugs(F.col("q")), "|").alias("found"))
-
-
-@query("unknown_subject")
-def unknown_subject(spark, d):
-    """Words of questions that no document knows, and nearly none spells."""
-    from ..functions import text
-    from ..functions.fuzzy import unknown_words
-
-    asked = read(spark, d, "conversations").where("role = 'user'").select("conv_id", F.explode(F.array_distinct(text.found(F.lower("text"), "[a-z][a-z0-9-]{5,}"))).alias("word"))
-    known = read(spark, d, "documents").select(F.explode(text.word_set(F.col("text"))).alias("word")).distinct()
-    return unknown_words(asked, known, "conv_id")
-
-
 # --- answers over retrieved evidence ---------------------------------------------------------------
 def _qa(spark, d):
     """Every benchmark item asks with its whole text; its evidence are the ten documents that BM25 finds, in full."""

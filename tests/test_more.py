@@ -71,7 +71,9 @@ def test_brands_known_codes_and_near_names(spark):
     e = lambda q, **kw: one(spark, q, lambda c: routing.entities(c, F.lower(c), TODAY, **kw))
     assert e("does glucophage help", brands=brands).drugs == ["metformin"] and e("does glucophage help").drugs == []
     assert e("I10 again", known_codes=["I10"]).icd10_codes == ["I10"] and e("I10 again").icd10_codes == [] and e("I10 code").icd10_codes == ["I10"]
-    near = e("how much metfornin and aspirin", near_drugs=fuzzy.fuzzy_drugs(F.lit("how much metfornin and aspirin")))
+    words = spark.createDataFrame([(1, w) for w in "how much metfornin and aspirin".split()], "k long, word string")
+    spelled = [r.name for r in fuzzy.near_names(words, spark.createDataFrame([("aspirin",), ("metformin",), ("ferrous sulfate",)], "name string"), "k").collect()]
+    near = e("how much metfornin and aspirin", near_drugs=F.array(*[F.lit(x) for x in spelled]))
     assert near.drugs == ["aspirin", "metformin"]
     assert e("no asthma but she takes a daily dose of warfarin").negated_terms == ["asthma"]
 
