@@ -1,11 +1,10 @@
 """Quality rules: word, line and symbol counts, and zstandard compression bands.
 
-A text is compressed whole and, from ``CHUNK`` bytes on, in overlapping chunks of ``CHUNK`` bytes or
-of half the text if that is less; the last chunk ends with the text, so every byte is in one. Compressed
-size over raw size is small for repetitive text and large for random text. What is normal depends on the
-length, so the limits of texts and of chunks are looked up by length; a text outside its band is rejected,
-and so is one with ``CHUNK_SHARE`` or more of its chunks outside theirs, which half a text of noise or
-filler reaches wherever it stands. A text below ``CHUNK`` bytes is judged as a whole only.
+A text is compressed whole and in overlapping chunks of ``CHUNK`` bytes, or of half the text if that is less, but of ``LEAST`` bytes
+at least; the last chunk ends with the text, so every byte is in one. Compressed size over raw size is small for repetitive text and large for
+random text. What is normal depends on the length, so the limits of texts and of chunks are looked up by length; a text
+outside its band is rejected, and so is one with ``CHUNK_SHARE`` or more of its chunks outside theirs, which half a text of noise or filler
+reaches wherever it stands. A text of ``LEAST`` bytes or fewer is its own only chunk.
 
 Defined results: a null text has no words and fails the base rule; an empty text likewise;
 repeated rows are judged row by row; other columns of the input are not touched; an empty
@@ -22,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 4096
+CHUNK, LEAST = 4096, 128
 LEVEL = 3
 #: (raw bytes from, least ratio, greatest ratio) for whole texts.
 WHOLE_BANDS = ((0, 0.10, 1.30), (128, 0.25, 0.92), (512, 0.25, 0.80), (2048, 0.25, 0.72), (8192, 0.22, 0.66), (65536, 0.20, 0.62))
 #: The same for one chunk. Chunks begin every quarter of a chunk; of half a text of noise at least one chunk in eight is all noise.
-CHUNK_BANDS = ((2048, 0.12, 0.72), (4096, 0.12, 0.70))
+CHUNK_BANDS = ((128, 0.25, 0.98), (192, 0.20, 0.90), (256, 0.16, 0.86), (384, 0.14, 0.82), (512, 0.12, 0.78), (768, 0.12, 0.75), (1024, 0.12, 0.72), (4096, 0.12, 0.70))
 CHUNK_SHARE = 1 / 8
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -88,8 +87,8 @@ def bands(raw: bytes, compress) -> tuple[float, int, int, bool]:
     ratio = len(compress(raw)) / len(raw)
     low, high = limits(WHOLE_BANDS, len(raw))
     outside = n = 0
-    if len(raw) >= CHUNK:
-        long = min(CHUNK, len(raw) // 2)
+    if len(raw) > LEAST:
+        long = max(min(CHUNK, len(raw) // 2), LEAST)
         least, most = limits(CHUNK_BANDS, long)
         for at in (*range(0, len(raw) - long, long // 4), len(raw) - long):
             n += 1

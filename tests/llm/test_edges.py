@@ -177,8 +177,8 @@ def test_verdicts_against_plain_compression(spark):
         raw = text.encode()
         outside = lambda x, table: not (lambda lo, hi: lo <= size(x) / len(x) <= hi)(*[(lo, hi) for least, lo, hi in table if len(x) >= least][-1])
         chunks = []
-        if len(raw) >= 4096:
-            long = 4096 if len(raw) >= 8192 else len(raw) // 2
+        if len(raw) > 128:
+            long = 4096 if len(raw) >= 8192 else len(raw) // 2 if len(raw) >= 256 else 128
             at = 0
             while at < len(raw) - long:
                 chunks.append(raw[at : at + long])

@@ -423,11 +423,13 @@ def test_half_a_text_of_noise_or_filler_goes():
     compress = __import__("zstandard").ZstdCompressor(level=quality_rules.LEVEL, write_content_size=False).compress
     within = lambda raw: quality_rules.bands(raw, compress)[3]
     assert not within(prose(4150) + noise(4000))
-    for n in (4096, 4200, 6000, 8191, 8192, 10_000, 12_288, 20_000, 40_000):
+    for n in (512, 600, 900, 1024, 1500, 2048, 3000, 4095, 4096, 4200, 6000, 8191, 8192, 10_000, 12_288, 20_000, 40_000):
         assert within(prose(n))
         for bad in (noise(n // 2), (b"buy it now and save " * n)[: n // 2]):
             assert not within(prose(n - n // 2) + bad) and not within(bad + prose(n - n // 2))
             assert not within(prose(n // 8) + bad + prose(n - n // 2 - n // 8))
+    for n in (1, 60, 128, 129, 200, 255, 256, 400):
+        assert within(prose(n)), n
     # All bytes are in a chunk: what follows the last full step counts.
     assert quality_rules.bands(prose(9000) + noise(4096), compress)[1] > 0
     assert within(prose(60_000) + noise(4096))
