@@ -99,15 +99,16 @@ def ablation(runs: dict[str, DataFrame], metrics: list[tuple[str, str]]) -> Data
     return rows.groupBy("config").agg(*[F.max(F.when((F.col("block") == b) & (F.col("metric") == m), F.col("value"))).alias(f"{b}_{m}") for b, m in metrics])
 
 
-def snapshot(requests: DataFrame, stages: str = "stages", retrieval: tuple[str, ...] = ("kv", "vector", "lexical", "rerank")) -> DataFrame:
+def snapshot(requests: DataFrame, stages: str = "stages", retrieval: tuple[str, ...] = ("kv", "vector", "lexical", "rerank"), approximate: bool = False) -> DataFrame:
     """(part, name, n, mean, p50, p95, p99): latencies by route, by cache result, by stage, and of the retrieval stages together.
 
-    ``stages`` is a map from stage to milliseconds. One explode and one aggregate; percentiles are approximate in bounded memory."""
+    ``stages`` is a map from stage to milliseconds. One explode and one aggregate. Percentiles are exact, from all values of a group; with ``approximate`` they
+    need bounded memory (``latency`` has sketches that can be merged as well)."""
     low = F.aggregate(F.array(*[F.coalesce(F.element_at(stages, s), F.lit(0.0)) for s in retrieval]), F.lit(0.0), lambda a, x: a + x)
     entry = lambda part, name, ms: F.struct(F.lit(part).alias("part"), name.alias("name"), ms.cast("double").alias("ms"))
     each = F.transform(F.map_entries(stages), lambda e: entry("stage", e["key"], e["value"]))
     rows = F.concat(F.array(entry("route", F.col("route"), F.col("total_ms")), entry("cache", F.col("cache"), F.col("total_ms")), entry("retrieval", F.col("route"), low)), each)
-    return measures.percentiles(requests.select(F.inline(rows)), "ms", ["part", "name"])
+    return measures.percentiles(requests.select(F.inline(rows)), "ms", ["part", "name"], approximate)
 
 
 def latency_map(spans: DataFrame, key: str) -> DataFrame:

@@ -33,10 +33,13 @@ def gazetteer_catalogue(spark, d):
 
 
 # --- words that nearly spell others ------------------------------------------------------------------
-@query("fuzzy_drug_match")
+_LONG = [x for x in V.DRUGS if " " not in x and len(x) >= 9]
+
+
+@query("fuzzy_drug_match", f"SELECT conv_id, turn, {_LONG}[(conv_id * 8 + turn) % {len(_LONG)} + 1] AS drug, drug AS found FROM conversations WHERE role = 'user'")
 def fuzzy_drug_match(spark, d):
     """Whole user turns, each with a drug's name that lacks a letter put before it: the near match finds it again."""
-    names = F.array(*[F.lit(x) for x in V.DRUGS if " " not in x and len(x) >= 9])
+    names = F.array(*[F.lit(x) for x in _LONG])
     i = F.col("conv_id") * 8 + F.col("turn")
     drug = F.get(names, (i % F.size(names)).cast("int"))
     cut = (i % (F.length(drug) - 4)).cast("int") + 3

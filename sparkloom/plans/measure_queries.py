@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import routing
-from ..operators import measures
+from ..operators import latency, measures
 from ..sources import files
 from ..streaming import state
 from .base import query, read
@@ -18,6 +18,25 @@ def metrics_percentiles(spark, d):
     return measures.percentiles(read(spark, d, "events"), "value", ["event_type"])
 
 
+@query("latency_windows", "SELECT event_type, CAST(h AS TIMESTAMP) AS last, count(*) AS n, round(sum(value), 2) AS total, true AS p50_ok, true AS p95_ok, true AS p99_ok FROM (SELECT DISTINCT event_type, date_trunc('hour', ts) AS h FROM events WHERE value IS NOT NULL) JOIN (SELECT event_type, value, date_trunc('hour', ts) AS s FROM events WHERE value IS NOT NULL) USING (event_type) WHERE s BETWEEN h - INTERVAL 23 HOUR AND h GROUP BY ALL")
+def latency_windows(spark, d):
+    """A day's quantiles at the end of every hour, merged from hourly sketches; each must be within the sketch's rank error of the day's values."""
+    e = read(spark, d, "events").select("event_type", "ts", "value").where("value is not null")
+    told = latency.windows(latency.slices(e, "ts", "value", ["event_type"], "1 hour"), ["event_type"], 24, 3600)
+    hours = F.explode(F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.timestamp_seconds(F.unix_timestamp(F.date_trunc("hour", "ts")) + i * 3600)))
+    both = told.join(e.select("event_type", "value", hours.alias("last")), ["event_type", "last"])
+    names = list(zip(latency.QUANTILES, ("p50", "p95", "p99"), strict=True))
+    counts = [F.count_if(F.col("value") < F.col(c)).alias(f"{c}_below") for _, c in names] + [F.count_if(F.col("value") <= F.col(c)).alias(f"{c}_upto") for _, c in names]
+    checked = both.groupBy("event_type", "last", "n", F.round("total", 2).alias("total")).agg(*counts)
+    ok = [(latency.off_rank(F.col(f"{c}_below"), F.col(f"{c}_upto"), F.col("n"), q) <= latency.rank_error()).alias(f"{c}_ok") for q, c in names]
+    return checked.select("event_type", "last", "n", "total", *ok)
+
+
+@query("latency_recent", f"SELECT event_type, count(value) AS n, round(avg(value), 3) AS mean, {PCT} FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 500) GROUP BY 1")
+def latency_recent(spark, d):
+    return latency.recent_percentiles(read(spark, d, "events"), "ts", "event_id", "value", ["event_type"], 500)
+
+
 _LE = "CASE " + " ".join(f"WHEN value <= {b} THEN {b}" for b in measures.BUCKETS) + " ELSE -1 END"
 
 
