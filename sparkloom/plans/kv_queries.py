@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import kv, records
+from ..operators import intervals, kv, records
 from .base import query, read
 
 NOW = 1_750_000_000.0
@@ -198,6 +198,21 @@ def interval_join_active(spark, d):
     return records.active_on(visits, spans, "k", "o_orderdate", "a", "b").select("o_orderkey", "event_id")
 
 
+@query(
+    "points_in_spans",
+    """SELECT s.event_id AS span_id, count(*) AS n, min(p.event_id) AS first_id, CAST(sum(p.event_id) AS BIGINT) AS total FROM events p JOIN (SELECT event_id, ts AS a, CASE WHEN event_id % 50 > 0 THEN ts + to_milliseconds(CAST(event_id % 400 * 600000 AS BIGINT)) END AS b FROM events WHERE event_type = 'signup') s
+    ON p.event_type = 'purchase' AND a <= p.ts AND (b IS NULL OR b > p.ts) GROUP BY 1""",
+)
+def points_in_spans(spark, d):
+    """The purchases in the span that every signup opens, one span in fifty without an end; no key to join on."""
+    e = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    points = e.where("event_type = 'purchase'").select(F.col("event_id").alias("id"), "ts")
+    stop = F.when(F.col("event_id") % 50 > 0, F.timestamp_micros(F.unix_micros("ts") + F.col("event_id") % 400 * 600_000_000))
+    spans = e.where("event_type = 'signup'").select(F.col("event_id").alias("span_id"), F.col("ts").alias("a"), stop.alias("b"))
+    met = intervals.points_in_spans(points, spans, "ts", "a", "b", width=7200.0)
+    return met.groupBy("span_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.sum("id").alias("total"))
+
+
 @query(
     "asof_latest",
     """SELECT a.event_id, b.ts AS as_of, b.value FROM (SELECT * FROM events WHERE event_type = 'purchase') a LEFT JOIN LATERAL
