@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 
 
 def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
@@ -13,7 +13,9 @@ def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     ``parts`` is the number of files that the tables of a round need at most; the links themselves are computed as they come.
 
     Every round is written to the shared folder, so a lost executor costs one round at most, and the
-    driver sees only the number of labels that changed. Rounds grow with the diameter of the links.
+    driver sees only whether labels changed; earlier rounds are removed. Rounds grow with the diameter of the links.
+
+    Null ends link nothing; repeated links and links of a node with itself add nothing; no links give no rows.
     """
     def kept(df: DataFrame, name: str) -> DataFrame:
         return saved(df if parts is None else df.coalesce(parts), name)
@@ -22,7 +24,8 @@ def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     edges = saved(edges.select("a", "b"), "edges")
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = kept(both.where("a != b").distinct(), "links")
-    labels = kept(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "labels")
+    forget(edges)
+    last = labels = kept(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "labels")
     while True:
         heard = (
             links.join(labels.select(F.col("node").alias("b"), "root"), "b")
@@ -34,5 +37,8 @@ def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
             moved.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("next", "root")).alias("root")), "labels"
         )
         labels = step.select("node", "root")
+        forget(last)  # the next round reads this one only
+        last = step
         if step.where("root != was").isEmpty():
+            forget(links)
             return labels

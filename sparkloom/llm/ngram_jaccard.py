@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, spare
+from .common import forget, saved, spare
 from .components import components
 
 WIDTH, PERCENT = 5, 80
@@ -423,15 +423,15 @@ def _weight() -> tuple:
     return F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("tokens") / 8).alias("volume")
 
 
-def _settled(sets: DataFrame, parts: int, rounds: int = 2) -> tuple[DataFrame, list[DataFrame]]:
+def _settled(sets: DataFrame, parts: int, rounds: int = 2) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
     """Groups of more than a block: those near a pivot are linked with it and need no comparison among themselves.
 
-    Returns the sets with their ``kind`` (0: near no pivot) and the links found."""
-    sets, links = sets.withColumn("kind", F.lit(0)), []
+    Returns the sets with their ``kind`` (0: near no pivot), the links found, and the tables that these read."""
+    sets, links, used = sets.withColumn("kind", F.lit(0)), [], []
     big = sets.groupBy("grp").agg(*_weight()).where((F.col("n") > BLOCK) | (F.col("volume") > BLOCK_TOKENS)).select("grp")
     big = saved(big.coalesce(parts), "large")  # far fewer than sets
     if big.isEmpty():
-        return sets, links
+        return sets, links, used
     for kind in range(1, rounds + 1):
         chosen = F.max_by(F.struct("node", "n_shingles", "tokens"), F.struct(F.xxhash64("node"), "node"))
         pivots = sets.where("kind = 0").join(big, "grp", "left_semi").groupBy("grp").agg(chosen.alias("p"))
@@ -440,23 +440,30 @@ def _settled(sets: DataFrame, parts: int, rounds: int = 2) -> tuple[DataFrame, l
         # A join of a hot group with its one pivot, which adaptive execution splits.
         told = sets.join(pivots, "grp").mapInArrow(_near_pivot(kind), f"{SETTLED}, pivot_node long")
         told = saved(told, "settled")
+        used += [told, pivots]
         links.append(told.where(f"kind = {kind} and node != pivot_node").select(F.col("node").alias("a"), F.col("pivot_node").alias("b")))
         sets = sets.join(pivots.select("grp"), "grp", "left_anti").select(told.columns[:-1]).unionByName(told.drop("pivot_node"))
-    return saved(sets, "kinds"), links
+    sets = saved(sets, "kinds")
+    return sets, links, [*used, big, sets]
 
 
-def links(docs: DataFrame, text: str, total: int, salt: int) -> tuple[DataFrame, int]:
-    """Links between different sets that join every two similar ones, directly or by way of others; and the files that tables about them need."""
+def links(docs: DataFrame, text: str, total: int, salt: int) -> tuple[DataFrame, int, list[DataFrame]]:
+    """Links between different sets that join every two similar ones, directly or by way of others; the files that tables about them need; and the
+    tables that the links read, of no use once they are written."""
     lists = shared_tokens(docs, text, total, salt)
     sets = saved(lists.withColumn("grp", F.lit(0).cast("long")), "sets")
     parts = max(1, -(-sets.count() // SETS_FILE))
     for seed in ORDERS:
-        sets = saved(_candidates(sets, seed, parts).coalesce(parts), "candidates")
-    sets, found = _settled(sets, parts)
+        fewer = saved(_candidates(sets, seed, parts).coalesce(parts), "candidates")
+        forget(sets)
+        sets = fewer
+    used = [sets]
+    sets, found, more = _settled(sets, parts)
+    used += more
     sized = sets.groupBy("grp", "kind").agg(*_weight())
     count = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("volume") / BLOCK_TOKENS)).cast("long")
     kinds = sized.groupBy("grp").agg(F.collect_list(F.struct("kind", count.alias("blocks"))).alias("kinds"))  # three entries at most
-    kinds = saved(kinds.coalesce(parts), "blocks")  # of known size when the join is planned: no exchange of the sets where it is small
+    used.append(kinds := saved(kinds.coalesce(parts), "blocks"))  # of known size when the join is planned: no exchange of the sets where it is small
     code = lambda kind, block: F.shiftleft(kind.cast("long"), 40) + block
     own = F.filter("kinds", lambda k: k["kind"] == F.col("kind"))[0]["blocks"]
     # Blocks of one pivot's sets meet only blocks of other kinds.
@@ -475,7 +482,7 @@ def links(docs: DataFrame, text: str, total: int, salt: int) -> tuple[DataFrame,
     checked = blocked.groupBy("grp", "i", "j").applyInArrow(_verified, "a long, b long")
     for more in found:
         checked = checked.unionByName(more)
-    return checked, parts
+    return checked, parts, used
 
 
 def _digests(text: str) -> tuple:
@@ -495,7 +502,9 @@ def _rooted(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     total = own.agg(F.sum("n_shingles")).first()[0]
     if total is None:
         return rows, own.select("node", F.col("node").alias("root"), "low", "first")
-    found = components(*links(docs, text, total, salt))
+    linked, parts, used = links(docs, text, total, salt)
+    found = components(linked, parts)
+    forget(*used)
     return rows, own.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low", "first")
 
 
