@@ -194,3 +194,9 @@ OPENING = "Based on the retrieved sources, here is information consistent with y
 INSUFFICIENT = "INSUFFICIENT_EVIDENCE"
 ABSTAIN = "The retrieved sources do not support an answer."
 DOSE = r"(\d+(?:\.\d+)?)\s*(mg|mcg|units?)\b"
+
+# --- salt and hydrate words of drug names, which do not count when names are compared ----------------
+SALTS = (
+    "hydrochloride", "hcl", "sodium", "potassium", "calcium", "besylate", "succinate", "tartrate", "sulfate", "maleate", "mesylate", "bromide", "propionate", "magnesium", "monohydrate", "dihydrate", "anhydrous",
+    "hyclate", "citrate", "fumarate",
+)

@@ -149,3 +149,24 @@ def clinic_questions(spark, d):
 def lifecycle_batch(spark, d):
     """A batch of questions through safety, routing, scope, records by what is named, passages under each question's filter, sufficiency, answer and citation check."""
     return lifecycle.run_batch(clinic_questions(spark, d), None, clinic_passages(spark, d), records=clinic_records(spark, d))
+
+
+@query(
+    "stored_vectors",
+    """WITH t AS (SELECT vec_id AS id, label AS space, CASE WHEN vec_id % 50 = 0 THEN list_reverse(embedding) ELSE embedding END AS v FROM embeddings WHERE vec_id % 70 <> 1),
+    s AS (SELECT id, space, round(list_dot_product(CAST(v AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])), 6) AS score FROM t WHERE space IN (3, 7))
+    SELECT 'n' || space AS namespace, id, score FROM s QUALIFY row_number() OVER (PARTITION BY space ORDER BY score DESC, id) <= 10""",
+)
+def stored_vectors(spark, d):
+    """The vectors as a stored table: one in fifty is replaced, one in seventy taken out, then two namespaces are searched."""
+    from ..operators import vectors
+    from ..sources.shared import shared_dir
+    from ..sources.vector_store import StoredVectors
+
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("n"), F.col("label").cast("string")).alias("namespace"), "embedding")
+    store = StoredVectors(spark, shared_dir(spark, "vectors"))
+    store.create(rows, {"embedder": "given", "dim": 64})
+    store.upsert(rows.where("id % 50 = 0").withColumn("embedding", F.reverse("embedding")))
+    store.delete(rows.where("id % 70 = 1").select("id", "namespace"))
+    found = vectors.top_k(store.rows(["n3", "n7"]), rows.where("id = 0").select("embedding"), 10, "id", namespace="namespace")
+    return found.select("namespace", "id", F.round("score", 6).alias("score"))
