@@ -50,7 +50,7 @@ def attach_markers(text: Column) -> Column:
 
 def cited(sentence: Column) -> Column:
     groups = F.regexp_extract_all(sentence, F.lit(MARKER), F.lit(1))
-    return F.transform(F.split(F.array_join(groups, ","), r"\s*,\s*"), F.trim)
+    return F.transform(F.split(F.array_join(groups, ","), r"\s*,\s*"), lambda k: F.trim(k))
 
 
 def check_sentences(answers: DataFrame, evidence: DataFrame, query_key: str) -> DataFrame:

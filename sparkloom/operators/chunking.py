@@ -57,7 +57,7 @@ def label_body(text: Column) -> Column:
 
 def topic_sections(summary: Column) -> Column:
     """Question headings (up to 14 words, ending in ?) open sections; what comes first is ``Summary``."""
-    paragraphs = F.filter(F.transform(F.split(summary, "\n"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(summary, "\n"), lambda p: F.trim(p)), lambda p: p != "")
     heading = lambda p: p.endswith("?") & (F.size(F.split(p, r"\s+")) <= 14)
     marked = F.array_join(F.transform(paragraphs, lambda p: F.when(heading(p), F.concat(F.lit("\u0001"), p, F.lit("\u0002"))).otherwise(F.concat(p, F.lit("\n")))), "")
     pieces = F.split(F.when(marked.startswith("\u0001"), F.substr(marked, F.lit(2))).otherwise(F.concat(F.lit("Summary\u0002"), marked)), "\u0001", -1)

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import catalogue_queries, kv_queries, language_queries, lookup_queries, measure_queries, retrieval_queries, scoped_queries, stream_queries  # noqa: F401  (they register)
+from . import catalogue_queries, kv_queries, language_queries, lookup_queries, measure_queries, retrieval_queries, scoped_queries, sql_queries, stream_queries  # noqa: F401  (they register)
 from .base import ORACLES, QUERIES  # noqa: F401
