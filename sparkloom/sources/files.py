@@ -1,4 +1,4 @@
-"""Readers and writers: JSON lines, XML topics, fixed-width codes, manifests, text charts, audit logs."""
+"""Readers and writers: JSON lines, XML topics, fixed-width codes, manifests, audit logs."""
 
 from __future__ import annotations
 
@@ -68,13 +68,3 @@ def append_audit(rows: DataFrame, path: str, salt: str, hidden: list[str]) -> No
 
 def audit_tail(spark: SparkSession, path: str, schema: str, at: str, n: int) -> DataFrame:
     return spark.read.schema(schema).json(path).orderBy(F.desc(at)).limit(n)
-
-
-def chart_lines(labs: DataFrame) -> DataFrame:
-    """A text chart per subject and lab: one padded line per value, oldest first."""
-    line = F.concat(F.rpad("date", 12, " "), F.lpad(F.format_number("value", 1), 10, " "), F.lit("  "), F.rpad("flag", 8, " "))
-    return labs.groupBy("patient_id", "lab").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("date", line.alias("l")))), lambda x: x["l"]), "\n").alias("chart"))
-
-
-def write_charts(charts: DataFrame, path: str) -> None:
-    charts.select("patient_id", F.concat_ws("\n", "lab", "chart").alias("value")).write.partitionBy("patient_id").text(path)
