@@ -11,7 +11,7 @@ from ..functions import fixed_values as V
 from ..functions import routing, text
 from ..functions.filters import apply_filter
 from ..operators import answers, chunking, records
-from .base import query, read
+from .base import query, read, spread
 
 TODAY = dt.date(2026, 10, 1)
 
@@ -187,7 +187,7 @@ def _questions(spark, d):
     for mark, value in (("{d}", pick(drugs, 7)), ("{c}", pick(conds, 5)), ("{l}", pick(labs, 3)), ("{p}", F.format_string("P%04d", (i % 50).cast("int")))):
         q = F.replace(q, F.lit(mark), value)
     scope = F.when(i % 3 == 0, F.format_string("P%04d", (i % 50).cast("int")))
-    return read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(q, F.lit(" "), F.coalesce("text", F.lit(""))).alias("query"), scope.alias("scope"))
+    return spread(read(spark, d, "conversations").where("role = 'user'")).select("conv_id", "turn", F.concat(q, F.lit(" "), F.coalesce("text", F.lit(""))).alias("query"), scope.alias("scope"))
 
 
 FORMS = (
