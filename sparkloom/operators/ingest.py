@@ -50,11 +50,23 @@ def first_identifier(answer: Column) -> Column:
     return F.get(F.from_json(F.get_json_object(answer, "$.idGroup.rxnormId"), "array<string>"), F.lit(0))
 
 
+#: Hex digits by which digests are put together, level by level: no level joins more than a few hundred, whatever the number of inputs.
+FINGERPRINT_LEVELS = (5, 3, 1, 0)
+
+
+def fingerprint_row(parts: DataFrame, name: str, digest: str, *settings: str) -> DataFrame:
+    """(fingerprint): 24 hex digits of all listed inputs and the settings, as a tree of digests: inputs by the first digits of their own, these groups by fewer, up to one. Null
+    digests count as empty; no inputs have the fingerprint of an empty list."""
+    level = parts.select(F.sha2(F.concat_ws("=", name, digest), 256).alias("h"))
+    level = level.withColumn("p", F.col("h"))
+    for n in FINGERPRINT_LEVELS:
+        joined = F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("h")
+        level = level.groupBy(F.substring("p", 1, n).alias("p")).agg(joined) if n else level.agg(joined)
+    return level.select(F.substring(F.sha2(F.concat_ws("|", "h", *[F.lit(s) for s in settings]), 256), 1, 24).alias("fingerprint"))
+
+
 def fingerprint(parts: DataFrame, name: str, digest: str, *settings: str) -> str:
-    """24 hex digits of all listed inputs and the settings; one small aggregate over a manifest."""
-    listed = F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", name, digest))), "\n")
-    whole = F.concat_ws("|", listed, *[F.lit(s) for s in settings])
-    return parts.agg(F.substring(F.sha2(whole, 256), 1, 24)).first()[0]
+    return fingerprint_row(parts, name, digest, *settings).first()[0]
 
 
 def load_if_changed(spark: SparkSession, path: str, found: str, build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:

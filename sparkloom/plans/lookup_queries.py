@@ -310,13 +310,19 @@ def first_identifiers(spark, d):
     return read(spark, d, "part").select("p_partkey", ingest.first_identifier(answer).alias("rxcui"))
 
 
-@query("input_fingerprint", "SELECT substr(sha256(string_agg(d, chr(10) ORDER BY d) || '|hashing|120'), 1, 24) AS fingerprint FROM (SELECT CAST(doc_id AS VARCHAR) || '=' || sha256(coalesce(text, '')) AS d FROM documents)")
+def _fingerprint_sql(rows: str) -> str:
+    levels = f"l AS (SELECT sha256(d) AS h FROM {rows}), l9 AS (SELECT h AS p, h FROM l)"
+    last = "l9"
+    for n in ingest.FINGERPRINT_LEVELS:
+        levels += f", l{n} AS (SELECT substr(p, 1, {n}) AS p, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM {last} GROUP BY 1)"
+        last = f"l{n}"
+    return f"WITH {levels} SELECT substr(sha256(h || '|hashing|120'), 1, 24) AS fingerprint FROM {last}"
+
+
+@query("input_fingerprint", _fingerprint_sql("(SELECT CAST(doc_id AS VARCHAR) || '=' || sha256(coalesce(text, '')) AS d FROM documents)"))
 def input_fingerprint(spark, d):
-    parts = read(spark, d, "documents").groupBy(F.col("source")).agg(F.lit(0).alias("unused")).limit(0)
-    del parts
     listed = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    found = ingest.fingerprint(listed, "name", "digest", "hashing", "120")
-    return spark.range(1).select(F.lit(found).alias("fingerprint"))
+    return ingest.fingerprint_row(listed, "name", "digest", "hashing", "120")
 
 
 @query("embed_upsert", "SELECT vec_id AS id, vec_id % 3 = 0 AS fresh FROM embeddings UNION SELECT doc_id, true FROM documents WHERE doc_id % 3 = 0 OR doc_id NOT IN (SELECT vec_id FROM embeddings)")

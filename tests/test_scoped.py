@@ -125,3 +125,14 @@ def test_lifecycle_reads_records_and_passages_of_the_subject_only(spark):
     assert "n1" in evidence[2] and "n2" not in evidence[2] and told[2].status == "answered"
     assert "l1" in evidence[3] and "l2" not in evidence[3] and told[3].status == "answered"
     assert told[4].status == "violation" and not evidence[4]
+
+
+def test_many_queries_come_in_lots(spark):
+    from sparkloom.operators import vectors
+
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(80)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>")
+    q = v.select(F.col("id").alias("qid"), "embedding")
+    one = {tuple(r) for r in vectors.many_top_k(v, q, 3).select("qid", "id", "rank").collect()}
+    assert {tuple(r) for r in vectors.many_top_k(v, q, 3, lot=7).select("qid", "id", "rank").collect()} == one and len(one) == 240
