@@ -35,7 +35,7 @@ def spare(name: str, *frames: DataFrame) -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (tests, notebooks) a folder below the warehouse is used and set.
+    Where the setting is absent on one machine (tests, notebooks) a folder below the warehouse is used and set.
     """
     import uuid
 
@@ -44,13 +44,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Make sure checkpoint() has a folder and return it."""
+    """Make sure checkpoint() has a folder and return it. A cluster needs the setting: the warehouse may be a folder of one machine."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(configured)
