@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``. Between stages the rows are written as Parquet and read again.
+
+Defined results: null, empty and very short texts fail the quality rules and go; texts of any length are read whole in every stage; equal texts of several ids are near
+copies, of which the smallest id stays (a null id is the greatest), and of equal rows one; unlike texts of one id all stay; ties of the mix are broken by a digest of the id and
+the text, so reruns agree; other columns, whatever their names, pass through to the last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
