@@ -8,7 +8,7 @@ from ..functions import fixed_values as V
 from ..functions.text import slug
 from ..operators import lifecycle, scoped
 from .base import query, read, spread
-from .language_queries import _questions
+from .language_queries import _NAMES, _SIG2, TODAY, _flag_sql, _questions, sql_text
 from .retrieval_queries import ASK_TOKENS, DOC_TOKENS, DOT
 
 SPACES = ("guidelines", "patient_notes", "drug_labels")
@@ -170,3 +170,23 @@ def stored_vectors(spark, d):
     store.delete(rows.where("id % 70 = 1").select("id", "namespace"))
     found = vectors.top_k(store.rows(["n3", "n7"]), rows.where("id = 0").select("embedding"), 10, "id", namespace="namespace")
     return found.select("namespace", "id", F.round("score", 6).alias("score"))
+
+
+_GATED = f"""(SELECT *, {_flag_sql()} AS flag FROM (SELECT *, trim(regexp_replace(query, '\\s+', ' ', 'g')) AS c, coalesce(scope, CASE WHEN ids <> '' THEN split_part(ids, '|', 1) END) AS pick, coalesce(scope IS NOT NULL AND (types <> '' OR regexp_matches(query, '(?i){sql_text(V.PATIENT_REFERENCE)}')), false) AS about FROM {_SIG2}))"""
+
+
+@query(
+    "lifecycle_gates",
+    f"""WITH g AS (SELECT *, regexp_matches(c, '(?i){sql_text(V.RECORD_FRAME)}') AND NOT regexp_matches(c, '(?i){sql_text(V.FIRST_PERSON)}') AND NOT regexp_matches(c, '(?i){V.URGENT}') AS framed,
+      regexp_matches(query, '(?i){sql_text(V.MEDICAL_HINT)}') OR regexp_matches(query, '(?i)\\b({"|".join(sql_text(n) for n in _NAMES)})\\b') AS clinical, (drugs || labs || conditions || ids || icd || rx) <> '' AS named,
+      contains(ids, '|') OR (scope IS NOT NULL AND ids <> '' AND ids <> scope) OR (pick IS NOT NULL AND CAST(substr(pick, 2) AS INTEGER) >= 50) AS off FROM {_GATED}),
+    h AS (SELECT *, CASE WHEN NOT off THEN pick END AS subject FROM g)
+    SELECT conv_id * 8 + turn AS qid, CASE WHEN flag IS NOT NULL AND NOT framed THEN 'red_flag' WHEN NOT named AND NOT about AND NOT clinical THEN 'out_of_scope' WHEN off THEN 'violation' END AS status, subject,
+      CASE WHEN s AND (k OR n) THEN 'HYBRID' WHEN s THEN 'KV' WHEN n THEN 'VECTOR' WHEN k AND patient THEN 'HYBRID' WHEN k OR drugs <> '' OR conditions <> '' THEN 'VECTOR' WHEN patient THEN 'HYBRID' ELSE 'VECTOR' END AS route,
+      CASE WHEN subject IS NOT NULL AND notes AND NOT (know OR drugish) THEN 'patient_notes' ELSE array_to_string([CASE WHEN subject IS NULL AND NOT (drugs <> '' OR drugish) THEN 'drug_labels' END, CASE WHEN subject IS NOT NULL THEN 'patient_notes' END,
+        CASE WHEN drugs <> '' OR drugish THEN 'drug_labels' END, CASE WHEN conditions <> '' OR drugs = '' OR subject IS NULL THEN 'guidelines' END], '|') END AS spaces FROM h""",
+)
+def lifecycle_gates(spark, d):
+    """What the lifecycle decides before it looks anything up: the questions that end early, and subject, route and namespaces of all."""
+    known = clinic_records(spark, d).select(F.split_part("key", F.lit(":"), F.lit(2)).alias("subject"))
+    return lifecycle.routed(clinic_questions(spark, d), known, TODAY).select("qid", "status", "subject", "route", F.array_join("spaces", "|").alias("spaces"))
