@@ -17,7 +17,7 @@ from ..functions import fixed_values as V
 from ..functions import fuzzy, routing
 from ..functions.text import found
 from ..sources.shared import saved
-from . import answers, lexical, lookup, scoped
+from . import answers, gazetteer, lexical, lookup, scoped
 
 
 def facts_for(asked: DataFrame, facts: DataFrame, k: int) -> DataFrame:
@@ -42,10 +42,12 @@ class Run:
     final: DataFrame
 
 
-def routed(questions: DataFrame, known: DataFrame, today: dt.date) -> DataFrame:
-    """Safety, entities, route, scope and namespaces of every question; known: subject."""
+def routed(questions: DataFrame, known: DataFrame, today: dt.date, names: DataFrame | None = None) -> DataFrame:
+    """Safety, entities, route, scope and namespaces of every question; known: subject; names: a catalogue (kind, surface, canonical) beside the constant lists."""
     q = questions.withColumn("q", routing.normalize(F.col("query")))
     q = q.withColumn("e", routing.entities(F.col("query"), F.col("q"), today)).withColumn("safe", routing.precheck(F.col("query"), F.lit(True)))
+    if names is not None:
+        q = gazetteer.with_catalogue(q, names)
     q = q.withColumn("r", routing.route(F.col("q"), F.col("e"), F.col("scope")))
     named = F.size("e.drugs") + F.size("e.labs") + F.size("e.conditions") + F.size("e.patient_ids") + F.size("e.icd10_codes") + F.size("e.rxnorm_codes")
     about = F.col("scope").isNotNull() & (routing.has(F.col("query"), f"(?i){V.PATIENT_REFERENCE}") | (F.size("e.record_types") > 0))
@@ -65,14 +67,14 @@ def routed(questions: DataFrame, known: DataFrame, today: dt.date) -> DataFrame:
 
 def run(
     questions: DataFrame, facts: DataFrame | None, passages: DataFrame, today: dt.date = dt.date(2026, 10, 1), k: int = 5, min_score: float = 1.0, min_rate: float = 0.6,
-    meds: DataFrame | None = None, notes: DataFrame | None = None, vocabulary: DataFrame | None = None, records: DataFrame | None = None, embed: Callable | None = None,
+    meds: DataFrame | None = None, notes: DataFrame | None = None, vocabulary: DataFrame | None = None, records: DataFrame | None = None, embed: Callable | None = None, names: DataFrame | None = None,
 ) -> Run:
     """questions: qid, query, scope. Structured evidence comes from ``records`` (key, value), looked up by what a question names, or, without them, from ``facts`` (subject, id,
     title, text). passages: id, namespace, title, text and, as far as they have them, owner, drug, date_num, embedding; each question searches the namespaces of its plan
     under its own subject, drugs and dates, by words and, with ``embed``, by vectors. With meds (subject, drug, dose) and notes (subject, text) conflicting doses are found,
-    with a vocabulary (word) questions about unknown things."""
+    with a vocabulary (word) questions about unknown things. ``names`` (kind: drugs, labs or conditions; surface, in lower case; canonical) adds a catalogue of any size to the names known."""
     known = facts.select("subject") if records is None else lookup.with_record(records).where("subject is not null").select("subject")
-    q = routed(questions, known, today)
+    q = routed(questions, known, today, names)
     open_ = q.where("status IS NULL")
 
     kinds = {"owner": "string", "drug": "string", "date_num": "long"}

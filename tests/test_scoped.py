@@ -125,6 +125,11 @@ def test_lifecycle_reads_records_and_passages_of_the_subject_only(spark):
     assert "n1" in evidence[2] and "n2" not in evidence[2] and told[2].status == "answered"
     assert "l1" in evidence[3] and "l2" not in evidence[3] and told[3].status == "answered"
     assert told[4].status == "violation" and not evidence[4]
+    # A brand of a catalogue table stands for its drug.
+    brand = spark.createDataFrame([(5, "What are the warnings for Elomax Forte?", None)], "qid long, query string, scope string")
+    names = spark.createDataFrame([("drugs", "elomax forte", "apixaban"), ("drugs", "elomax", "warfarin")], "kind string, surface string, canonical string")
+    run = lifecycle.run(brand, None, passages, records=records, min_score=0.01, names=names)
+    assert run.questions.first().drugs == ["apixaban"] and {r.id for r in run.evidence.collect()} == {"l1"}
 
 
 def test_many_queries_come_in_lots(spark):
