@@ -14,7 +14,7 @@ they are short. So a number that a pattern missed because of what stands around
 number that is whole elsewhere in the document, is found; base spans always stay.
 
 Weights are learned from the base spans of the table itself by pseudo-likelihood, on about ``DOCS`` documents chosen by hash, and of
-these at most ``TOKENS`` words of each label with the smallest hash, weighted back to the shares they were drawn from. Every document is
+these at most ``TOKENS`` words of each label with the smallest hash, weighted back to the shares they were drawn from. A text that many documents hold counts once. Every document is
 read whole and judged by itself, where it stands; nothing is shuffled but the sample.
 
 Defined results: a null or empty text has no spans; repeated rows are judged row by row and null ids pass through; other columns are
@@ -273,7 +273,7 @@ def learn(docs: DataFrame, text: str = "text", sample: int = DOCS, tokens: int =
     hashed = docs.select(F.xxhash64(text).alias("salt"), F.col(text).alias("text"))
     every = max(1, docs.count() // sample)
     words = hashed.where(F.pmod(F.xxhash64("salt"), F.lit(every)) == 0).mapInArrow(_sampled, "label int, h long, feats array<int>, before int, after int, equal array<int>, alike array<int>")
-    words = saved(words, "words")
+    words = saved(words.dropDuplicates(["h"]), "words")  # a text that very many documents hold counts once
     counts = {r.label: r.n for r in words.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = ("h", "feats", "before", "after", "equal", "alike")
     rows = [tuple(r) for k in sorted(counts) for r in words.where(F.col("label") == k).orderBy(*order).limit(tokens).select("label", "feats", "before", "after", "equal", "alike").collect()]
