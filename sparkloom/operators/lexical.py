@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,32 +64,101 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def part(tf: Column, length: Column, mean: Column) -> Column:
-    """What a term that occurs ``tf`` times adds, before its weight."""
+def part(tf, length, mean):
+    """What a term that occurs ``tf`` times adds, before its weight: of columns or of arrays."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def bm25_scores(found: DataFrame, n: int, asked: DataFrame, key: str, query_key: str) -> DataFrame:
-    """(query_key, key, score) from ``postings`` of a collection of ``n`` documents."""
-    words = found.agg(F.sum("length").cast("double")).first()[0] or 0.0  # of the written table: one number
-    rows = found.select(key, "length", F.inline("found"))
-    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = asked.join(df, "term").select(query_key, "term", (F.col("times") * idf(F.lit(float(n)), F.col("df"))).alias("w"))
-    scored = rows.select(key, "term", part(F.col("tf"), F.col("length"), F.lit(words / n if words else 1.0)).alias("part")).join(weighted, "term")
-    return scored.groupBy(query_key, key).agg(F.sum(F.col("part") * F.col("w")).alias("score")).where("score > 0")
-
-
 def best(scored: DataFrame, key: str, query_key: str, k: int, digits: int = 9) -> DataFrame:
     w = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", digits)), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: (query, term) pairs that are broadcast together; cells of one block of scores.
+LOT, CELLS = 200_000, 2_000_000
+
+
+class _Asked:
+    """The weighted terms of a lot of queries, by term."""
+
+    def __init__(self, rows: pa.Table, query_key: str):
+        names = rows[query_key].combine_chunks()
+        self.names = names.unique()
+        query = pc.index_in(names, value_set=self.names).to_numpy(zero_copy_only=False)
+        terms = rows["term"].combine_chunks()
+        self.terms = terms.unique()
+        term = pc.index_in(terms, value_set=self.terms).to_numpy(zero_copy_only=False)
+        order = np.argsort(term, kind="stable")
+        self.at = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        self.query, self.weight = query[order], rows["w"].to_numpy()[order]
+
+    def scores(self, found: pa.Array, length: np.ndarray, mean: float | None) -> np.ndarray:
+        """Documents by queries; without ``mean`` every term counts as one."""
+        doc = np.repeat(np.arange(len(found)), pc.list_value_length(found).fill_null(0).to_numpy(zero_copy_only=False))
+        flat = found.flatten()
+        term = pc.index_in(flat.field("term"), value_set=self.terms).fill_null(-1).to_numpy(zero_copy_only=False)
+        tf = flat.field("tf").to_numpy(zero_copy_only=False).astype(np.float64)
+        known = term >= 0
+        doc, term, tf = doc[known], term[known], tf[known]
+        gain = np.ones(len(tf)) if mean is None else part(tf, length[doc], mean)
+        many = self.at[term + 1] - self.at[term]
+        ends = np.cumsum(many)
+        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many, many) + np.repeat(self.at[term], many)
+        cell = np.repeat(doc, many) * len(self.names) + self.query[at]
+        return np.bincount(cell, np.repeat(gain, many) * self.weight[at], len(found) * len(self.names)).reshape(len(found), -1)
+
+
+def _best_blocks(sent, mean: float | None, k: int, key: str, query_key: str, digits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: _Asked = sent.value
+        step = max(1, CELLS // max(1, len(asked.names)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                scores = asked.scores(batch.column(2), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64), mean)
+                n, near = min(k, batch.num_rows), 0.6 * 10.0**-digits
+                edge = np.partition(scores, batch.num_rows - n, axis=0)[batch.num_rows - n]
+                row, query = np.nonzero((scores >= edge - 2 * near) & (scores > 0))  # with all that tie with the last when rounded
+                yield pa.RecordBatch.from_arrays([asked.names.take(pa.array(query)), batch.column(0).take(pa.array(row)), pa.array(scores[row, query])], names=[query_key, key, "score"])
+
+    return run
+
+
+def best_of(found: DataFrame, weighted: DataFrame, mean: float | None, key: str, query_key: str, k: int, digits: int = 9, lot: int = LOT) -> DataFrame:
+    """(query_key, key, score, rank): the k best documents of each query, from ``postings`` and weighted terms (query_key, term, w), block by block: a task
+    keeps k rows for each query and block, where a join would make a row for each term that a document shares with a query.
+    Queries come in lots of about ``lot`` terms, by a hash."""
+    weighted = saved(weighted.select(query_key, "term", F.col("w").cast("double").alias("w")), "weighted")
+    lots = max(1, -(-weighted.count() // lot))
+    kinds = f"`{query_key}` {weighted.schema[query_key].dataType.simpleString()}, `{key}` {found.schema[key].dataType.simpleString()}, score double"
+    out = None
+    for i in range(lots):
+        rows = weighted.where(F.pmod(F.xxhash64(query_key), F.lit(lots)) == i).toArrow()
+        if rows.num_rows:
+            sent = found.sparkSession.sparkContext.broadcast(_Asked(rows, query_key))
+            part_ = found.select(key, "length", "found").mapInArrow(_best_blocks(sent, mean, k, key, query_key, digits), kinds)
+            out = part_ if out is None else out.unionByName(part_)
+    return best(found.sparkSession.createDataFrame([], kinds) if out is None else out, key, query_key, k, digits)
+
+
+def weights(found: DataFrame, n: int, asked: DataFrame, query_key: str) -> DataFrame:
+    """(query_key, term, w) of the terms that some document holds."""
+    df = found.select(F.inline("found")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return asked.join(df, "term").select(query_key, "term", (F.col("times") * idf(F.lit(float(n)), F.col("df"))).alias("w"))
+
+
+def bm25_best(found: DataFrame, n: int, asked: DataFrame, key: str, query_key: str, k: int) -> DataFrame:
+    """The k best documents of each query with a score above 0, from ``postings`` of ``n`` documents."""
+    words = found.agg(F.sum("length").cast("double")).first()[0] or 0.0
+    return best_of(found, weights(found, n, asked, query_key), words / n if words else 1.0, key, query_key, k)
+
+
+def coverage_best(found: DataFrame, asked: DataFrame, key: str, query_key: str, k: int) -> DataFrame:
+    """The k documents of each query that hold most of its terms."""
+    return best_of(found, asked.select(query_key, "term", F.lit(1.0).alias("w")), None, key, query_key, k)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, text: str = "text") -> DataFrame:
     """The k best documents of each query with a score above 0: (query_key, key, score, rank)."""
     asked = asked_terms(queries, query_key)
-    return best(bm25_scores(postings(docs, asked, key, text), docs.count(), asked, key, query_key), key, query_key, k)
-
-
-def coverage_scores(found: DataFrame, asked: DataFrame, key: str, query_key: str) -> DataFrame:
-    """How many of a query's terms a document holds, from the same ``postings``."""
-    return found.select(key, F.inline("found")).join(asked.select(query_key, "term"), "term").groupBy(query_key, key).agg(F.count(F.lit(1)).cast("double").alias("score"))
+    return bm25_best(postings(docs, asked, key, text), docs.count(), asked, key, query_key, k)

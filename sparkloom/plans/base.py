@@ -22,7 +22,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows dealt out to all cores if the files give fewer tasks than there are; tables of many splits stay as they are."""
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """The rows dealt out to all cores, by a key if it is given, if the files give fewer tasks than there are; tables of many splits stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key) if key else df.repartition(cores)

@@ -87,14 +87,14 @@ BM25 = f"""(WITH t AS (SELECT doc_id, term, count(*) AS tf FROM {DOC_TOKENS} GRO
 
 def _postings(spark, d):
     """(asked terms, postings, number of documents) of the benchmark's items against all documents."""
-    docs = spread(read(spark, d, "documents").select("doc_id", "text"))
+    docs = spread(read(spark, d, "documents").select("doc_id", "text"), "doc_id")  # dealt by document, counts need no further exchange
     asked = lexical.asked_terms(read(spark, d, "benchmark"), "item_id")
     return asked, lexical.postings(docs, asked, "doc_id"), docs.count()
 
 
 def _bm25(spark, d, k):
     asked, found, n = _postings(spark, d)
-    return lexical.best(lexical.bm25_scores(found, n, asked, "doc_id", "item_id"), "doc_id", "item_id", k)
+    return lexical.bm25_best(found, n, asked, "doc_id", "item_id", k)
 
 
 @query("bm25_topk", f"SELECT item_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM {BM25} QUALIFY rank <= 10")
@@ -115,8 +115,8 @@ COVER = f"(SELECT item_id, doc_id, count(*) AS score FROM (SELECT DISTINCT doc_i
 def rrf_fusion(spark, d):
     # Both lists read the same written postings.
     asked, found, n = _postings(spark, d)
-    lists = [lexical.bm25_scores(found, n, asked, "doc_id", "item_id"), lexical.coverage_scores(found, asked, "doc_id", "item_id")]
-    f = fusion.rrf([lexical.best(x, "doc_id", "item_id", 24) for x in lists], "doc_id", "item_id", 10)
+    lists = [lexical.bm25_best(found, n, asked, "doc_id", "item_id", 24), lexical.coverage_best(found, asked, "doc_id", "item_id", 24)]
+    f = fusion.rrf(lists, "doc_id", "item_id", 10)
     return f.select("item_id", "doc_id", F.round("fused", 9).alias("fused"), "rank")
 
 
@@ -145,8 +145,8 @@ def lexical_overlap(spark, d):
     """The twenty documents that hold the largest share of an item's terms."""
     asked, found, _ = _postings(spark, d)
     size = asked.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    share = lexical.coverage_scores(found, asked, "doc_id", "item_id").join(size, "item_id").select("item_id", "doc_id", (F.col("score") / F.col("n")).alias("score"))
-    return lexical.best(share, "doc_id", "item_id", 20).select("item_id", "doc_id", F.round("score", 6).alias("overlap"))
+    most = lexical.coverage_best(found, asked, "doc_id", "item_id", 20)
+    return most.join(size, "item_id").select("item_id", "doc_id", F.round(F.col("score") / F.col("n"), 6).alias("overlap"))
 
 
 @query(
