@@ -46,6 +46,7 @@ def routed(questions: DataFrame, known: DataFrame, today: dt.date, names: DataFr
     """Safety, entities, route, scope and namespaces of every question; known: subject; names: a catalogue (kind, surface, canonical) beside the constant lists."""
     q = questions.withColumn("q", routing.normalize(F.col("query")))
     q = q.withColumn("e", routing.entities(F.col("query"), F.col("q"), today)).withColumn("safe", routing.precheck(F.col("query"), F.lit(True)))
+    q = saved(q.select("qid", "query", "scope", "q", "e", "safe"), "entities")  # else every use of an entity below would compute it again
     if names is not None:
         q = gazetteer.with_catalogue(q, names)
     q = q.withColumn("r", routing.route(F.col("q"), F.col("e"), F.col("scope")))
