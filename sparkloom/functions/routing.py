@@ -13,18 +13,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import collapse, found
+from .text import ascii_edges, collapse, found
 
 
 def has(text: Column, pattern: str) -> Column:
-    return F.coalesce(text.rlike(pattern), F.lit(False))
+    return F.coalesce(text.rlike(ascii_edges(pattern)), F.lit(False))
 
 
 def normalize(query: Column) -> Column:
     """White space joined, abbreviations written out in order, then lower case."""
     text = collapse(query)
     for pattern, words, case in V.REWRITES:
-        text = F.regexp_replace(text, pattern if case else f"(?i){pattern}", words)
+        text = F.regexp_replace(text, ascii_edges(pattern if case else f"(?i){pattern}"), words)
     return F.lower(text)
 
 
@@ -32,7 +32,7 @@ def expansions(query: Column) -> Column:
     """The words that each applicable rewrite put in, in order."""
     text, out = collapse(query), []
     for pattern, words, case in V.REWRITES:
-        p = pattern if case else f"(?i){pattern}"
+        p = ascii_edges(pattern if case else f"(?i){pattern}")
         out.append(F.when(has(text, p), F.concat(F.regexp_extract(text, p, 0), F.lit(f" → {words}"))))
         text = F.regexp_replace(text, p, words)
     return F.filter(F.array(*out), lambda x: x.isNotNull())
@@ -104,7 +104,7 @@ def record_types(normalized: Column) -> Column:
 def time_range(normalized: Column, today: dt.date) -> Column:
     """struct(text, start, end, latest_only): last N units, since a year, in a year, this year, or the latest."""
     day = F.lit(today)
-    match = lambda p, g: F.nullif(F.regexp_extract(normalized, p, g), F.lit(""))
+    match = lambda p, g: F.nullif(F.regexp_extract(normalized, ascii_edges(p), g), F.lit(""))
     words = F.create_map(*[F.lit(x) for pair in V.NUMBER_WORDS.items() for x in pair])
     units = F.create_map(*[F.lit(x) for pair in V.UNIT_DAYS.items() for x in pair])
     n = F.coalesce(match(V.RELATIVE, 1).try_cast("int"), F.element_at(words, F.coalesce(match(V.RELATIVE, 1), F.lit("one"))), F.lit(1))
@@ -128,7 +128,7 @@ def negated(kind: str, normalized: Column, brands: dict[str, str] | None = None)
     A lookbehind of fixed reach cannot hold the words between, so each mention is found with what stands before it: the
     text is cut behind every mention, and the pieces up to 40 characters back are looked at."""
     named = F.create_map(*[F.lit(x) for pair in lexicon(kind, brands).items() for x in pair])
-    marked = F.regexp_replace(normalized, gazetteer(kind, brands), "\u0001$1\u0002")
+    marked = F.regexp_replace(normalized, ascii_edges(gazetteer(kind, brands)), "\u0001$1\u0002")
     pieces = F.split(marked, "\u0002", -1)  # every piece but the last ends with a mention
     # What stands before a mention is its own piece and, if that is short, the ends of those before.
     before = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p, i: F.struct(
@@ -137,7 +137,7 @@ def negated(kind: str, normalized: Column, brands: dict[str, str] | None = None)
     ))
 
     def hit(x: Column) -> Column:
-        gap = F.regexp_extract(x["w"], r"(?s).*" + V.NEGATION + r"(.*)$", 2)
+        gap = F.regexp_extract(x["w"], ascii_edges(r"(?s).*" + V.NEGATION + r"(.*)$"), 2)
         return F.when(has(x["w"], V.NEGATION) & (F.size(F.filter(F.split(F.trim(gap), r"\s+"), lambda w: w != "")) <= 4), F.element_at(named, x["s"]))
 
     return _sorted_set(F.filter(F.transform(before, hit), lambda k: k.isNotNull()))

@@ -275,3 +275,9 @@ def test_entry_contract(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 80
+
+
+# --- word boundaries ------------------------------------------------------------------------------------
+def test_precheck_knows_ascii_words_only(spark):
+    p = one(spark, routing.precheck(F.lit("history of overdose documented for P0001 ié"), F.lit(True)).alias("p")).p
+    assert (p.verdict, p.category) == ("red_flag", "overdose")  # "i" before "é" is a word for the SQL
