@@ -281,3 +281,9 @@ def test_entry_contract(spark):
 def test_precheck_knows_ascii_words_only(spark):
     p = one(spark, routing.precheck(F.lit("history of overdose documented for P0001 ié"), F.lit(True)).alias("p")).p
     assert (p.verdict, p.category) == ("red_flag", "overdose")  # "i" before "é" is a word for the SQL
+
+
+def test_route_knows_ascii_words_only(spark):
+    q = F.lit("what does the note say about chest pain doñes")
+    r = one(spark, routing.route(q, routing.entities(q, q, dt.date(2026, 10, 1)), F.lit(None).cast("string")).alias("r")).r
+    assert (r.route, r.confidence) == ("VECTOR", 0.88)
