@@ -141,3 +141,9 @@ def test_many_queries_come_in_lots(spark):
     q = v.select(F.col("id").alias("qid"), "embedding")
     one = {tuple(r) for r in vectors.many_top_k(v, q, 3).select("qid", "id", "rank").collect()}
     assert {tuple(r) for r in vectors.many_top_k(v, q, 3, lot=7).select("qid", "id", "rank").collect()} == one and len(one) == 240
+
+
+def test_gates_know_ascii_words_only(spark):
+    asked = spark.createDataFrame([(1, "history of overdose documented for P0001 ié", None)], "qid long, query string, scope string")
+    row = lifecycle.routed(asked, spark.createDataFrame([("P0001",)], "subject string"), dt.date(2026, 10, 1)).first()
+    assert (row.status, row.subject) == ("red_flag", "P0001")
