@@ -8,6 +8,8 @@ are salted: their points are dealt out, their spans go to every part.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +58,26 @@ def points_in_spans(points: DataFrame, spans: DataFrame, at: str, start: str, st
     sent = squared.join(sizes, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
     inside = (F.col("_level") >= 0) | ((F.col(start) <= F.col(at)) & (F.col(stop).isNull() | (F.col(stop) > F.col(at))))
     return dealt.join(sent, [*on, "_salt"]).where(inside).drop("_level", "_square", "_salt")
+
+
+def totals_in_spans(points: DataFrame, spans: DataFrame, at: str, start: str, stop: str, by: list[str], totals: dict[str, tuple[Callable[[Column], Column], Column]]) -> DataFrame:
+    """by, and for each of ``totals`` (name: function, column of the points) the total over all points in a span: start <= at, and no stop or a later one. The functions must
+    merge their own results (sum, min, max; a sum of ones counts). Spans without points give no row.
+
+    Pairs of points and spans are never rows: points are added up in the squares of a binary tree over microseconds, and a span reads at each level at most one square to the
+    left and one to the right, so both sides grow by the depth of the tree, however long spans are and however many points they hold."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    p = points.where(F.col(at).isNotNull()).select(micros(at).alias("_at"), *[c.alias(name) for name, (_, c) in totals.items()])
+    ends = p.agg(F.min("_at").alias("low"), F.max("_at").alias("high")).first()
+    low, size = ends.low or 0, (ends.high or 0) - (ends.low or 0) + 1
+    depth = size.bit_length()
+    spark = points.sparkSession
+    levels = F.broadcast(spark.range(depth + 1).select(F.col("id").cast("int").alias("_level")))
+    squares = p.crossJoin(levels).groupBy("_level", F.expr(f"shiftright(_at - {low}L, _level)").alias("_square")).agg(*[f(F.col(name)).alias(name) for name, (f, _) in totals.items()])
+    clip = lambda x: F.least(F.greatest(x - low, F.lit(0)), F.lit(size))
+    s = spans.where(F.col(start).isNotNull()).select(*by, clip(micros(start)).alias("_a"), F.when(F.col(stop).isNull(), size).otherwise(clip(micros(stop))).alias("_b")).where("_a < _b")
+    sides = F.broadcast(spark.range(2 * (depth + 1)).select(F.floor(F.col("id") / 2).cast("int").alias("_level"), (F.col("id") % 2 == 0).alias("_left")))
+    # The first whole square at a level, and the one behind the last; an odd first and an even last one have no whole square above them.
+    inner = s.crossJoin(sides).withColumns({"_from": F.expr("-shiftright(-_a, _level)"), "_to": F.expr("shiftright(_b, _level)")}).where("_from < _to and if(_left, _from, _to) % 2 = 1")
+    asked = inner.select(*by, "_level", F.expr("if(_left, _from, _to - 1)").alias("_square"))
+    return asked.join(squares, ["_level", "_square"]).groupBy(*by).agg(*[f(F.col(name)).alias(name) for name, (f, _) in totals.items()])

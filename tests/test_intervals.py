@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.operators import intervals
 
@@ -36,3 +37,30 @@ def test_a_span_of_many_bins_is_few_rows(spark):
     assert len(squares) <= 2 * 12
     bins = sorted(b for q in squares for b in range(q.square << q.level, (q.square + 1) << q.level))
     assert bins == list(range(1, 3000))
+
+
+def test_totals_in_spans_equal_the_pairs_without_making_them(spark):
+    rng = random.Random(6)
+    base = 1_700_000_000_000_000
+    ps = [(i, base + rng.choice([rng.randrange(50), rng.randrange(5_000_000)])) for i in range(300)] + [(300, None)]
+    ss = [(i, base - 10 + rng.choice([rng.randrange(80), rng.randrange(6_000_000)]), None if i % 9 == 0 else rng.choice([0, 1, 7, 2_000_000])) for i in range(200)] + [(200, None, 5)]
+    p = spark.createDataFrame(ps, "pid long, t long").select("pid", F.timestamp_micros("t").alias("at"))
+    s = spark.createDataFrame(ss, "sid long, t long, d long").select("sid", F.timestamp_micros("t").alias("a"), F.timestamp_micros(F.col("t") + F.col("d")).alias("b"))
+    totals = {"n": (F.sum, F.lit(1)), "least": (F.min, F.col("pid")), "most": (F.max, F.col("pid")), "total": (F.sum, F.col("pid"))}
+    want = []
+    for sid, a, d in ss:
+        xs = [i for i, t in ps if None not in (a, t) and a <= t and (d is None or t < a + d)]
+        want += [(sid, len(xs), min(xs), max(xs), sum(xs))] if xs else []
+    out = intervals.totals_in_spans(p, s, "at", "a", "b", ["sid"], totals)
+    assert sorted(tuple(r) for r in out.collect()) == want
+    assert intervals.totals_in_spans(p.limit(0), s, "at", "a", "b", ["sid"], totals).count() == 0
+
+
+def test_query_of_points_in_spans_makes_no_pairs(spark, tmp_path, monkeypatch):
+    from sparkloom.plans import registry
+
+    rows = [(i, "2024-01-01 00:00:00", "signup" if i % 2 else "purchase") for i in range(40)]
+    spark.createDataFrame(rows, "event_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(intervals, "points_in_spans", None)  # the operator that gives all pairs
+    out = registry.QUERIES["points_in_spans"](spark, str(tmp_path))
+    assert {(r.n, r.first_id, r.total) for r in out.collect()} == {(20, 0, 380)}
