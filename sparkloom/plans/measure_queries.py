@@ -23,10 +23,13 @@ def latency_windows(spark, d):
     """A day's quantiles at the end of every hour, merged from hourly sketches; each must be within the sketch's rank error of the day's values."""
     e = read(spark, d, "events").select("event_type", "ts", "value").where("value is not null")
     told = latency.windows(latency.slices(e, "ts", "value", ["event_type"], "1 hour"), ["event_type"], 24, 3600)
-    hours = F.explode(F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.timestamp_seconds(F.unix_timestamp(F.date_trunc("hour", "ts")) + i * 3600)))
-    both = told.join(e.select("event_type", "value", hours.alias("last")), ["event_type", "last"])
+    hours = F.explode(F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.timestamp_seconds(F.unix_timestamp("hour") + i * 3600)))
+    # Equal values of an hour count once. The windows are few rows, their values are not and must never be the broadcast side.
+    equal = e.groupBy("event_type", "value", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("times"))
+    both = equal.select("event_type", "value", "times", hours.alias("last")).join(F.broadcast(told), ["event_type", "last"])
     names = list(zip(latency.QUANTILES, ("p50", "p95", "p99"), strict=True))
-    counts = [F.count_if(F.col("value") < F.col(c)).alias(f"{c}_below") for _, c in names] + [F.count_if(F.col("value") <= F.col(c)).alias(f"{c}_upto") for _, c in names]
+    times = lambda test: F.sum(F.when(test, F.col("times")).otherwise(0))
+    counts = [times(F.col("value") < F.col(c)).alias(f"{c}_below") for _, c in names] + [times(F.col("value") <= F.col(c)).alias(f"{c}_upto") for _, c in names]
     checked = both.groupBy("event_type", "last", "n", F.round("total", 2).alias("total")).agg(*counts)
     ok = [(latency.off_rank(F.col(f"{c}_below"), F.col(f"{c}_upto"), F.col("n"), q) <= latency.rank_error()).alias(f"{c}_ok") for q, c in names]
     return checked.select("event_type", "last", "n", "total", *ok)

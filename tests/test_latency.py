@@ -62,3 +62,14 @@ def test_last_values_in_batch_and_stream(spark, tmp_path):
         assert sum(r.evicted for r in seen.values()) > 0
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_the_query_of_windows_broadcasts_windows_and_no_values(spark, tmp_path):
+    from sparkloom.plans import registry
+
+    rows = spark.range(3000).select("id", F.lit("view").alias("event_type"), F.timestamp_seconds(1_704_067_200 + F.col("id") * 60).cast("timestamp_ntz").alias("ts"), (F.col("id") % 7).cast("double").alias("value"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    out = registry.QUERIES["latency_windows"](spark, str(tmp_path))
+    assert out.count() == 50 and out.where("not (p50_ok and p95_ok and p99_ok)").count() == 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
