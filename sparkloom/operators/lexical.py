@@ -74,7 +74,7 @@ def best(scored: DataFrame, key: str, query_key: str, k: int, digits: int = 9) -
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: (query, term) pairs that are broadcast together; cells of one block of scores.
+#: (query, term) pairs that are broadcast together; cells and products of one block of scores.
 LOT, CELLS = 200_000, 2_000_000
 
 
@@ -92,8 +92,8 @@ class _Asked:
         self.at = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
         self.query, self.weight = query[order], rows["w"].to_numpy()[order]
 
-    def scores(self, found: pa.Array, length: np.ndarray, mean: float | None) -> np.ndarray:
-        """Documents by queries; without ``mean`` every term counts as one."""
+    def blocks(self, found: pa.Array, length: np.ndarray, mean: float | None) -> Iterator[tuple[int, np.ndarray]]:
+        """Documents by queries, as ``score_blocks``; without ``mean`` every term counts as one."""
         doc = np.repeat(np.arange(len(found)), pc.list_value_length(found).fill_null(0).to_numpy(zero_copy_only=False))
         flat = found.flatten()
         term = pc.index_in(flat.field("term"), value_set=self.terms).fill_null(-1).to_numpy(zero_copy_only=False)
@@ -101,25 +101,46 @@ class _Asked:
         known = term >= 0
         doc, term, tf = doc[known], term[known], tf[known]
         gain = np.ones(len(tf)) if mean is None else part(tf, length[doc], mean)
-        many = self.at[term + 1] - self.at[term]
-        ends = np.cumsum(many)
-        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many, many) + np.repeat(self.at[term], many)
-        cell = np.repeat(doc, many) * len(self.names) + self.query[at]
-        return np.bincount(cell, np.repeat(gain, many) * self.weight[at], len(found) * len(self.names)).reshape(len(found), -1)
+        return score_blocks(doc, term, gain, len(found), self.at, self.query, self.weight, len(self.names))
+
+
+def score_blocks(doc: np.ndarray, term: np.ndarray, gain: np.ndarray, docs: int, at: np.ndarray, query: np.ndarray, weight: np.ndarray, queries: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first document, scores of documents by queries), from postings in the order of documents and, from ``at`` to ``at`` of each term, its queries and their weights. A block has
+    about ``CELLS`` cells and products at most, however many queries share a term."""
+    many = at[term + 1] - at[term]
+    cost = np.cumsum(np.bincount(doc, many, docs) + queries)
+    first = 0
+    while first < docs:
+        last = max(first + 1, int(np.searchsorted(cost, (cost[first - 1] if first else 0) + CELLS, "right")))
+        a, b = np.searchsorted(doc, (first, last))
+        m = many[a:b]
+        ends = np.cumsum(m)
+        spot = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - m, m) + np.repeat(at[term[a:b]], m)
+        cell = np.repeat(doc[a:b] - first, m) * queries + query[spot]
+        yield first, np.bincount(cell, np.repeat(gain[a:b], m) * weight[spot], (last - first) * queries).reshape(last - first, queries).astype(np.float64, copy=False)  # of nothing it counts integers
+        first = last
+
+
+class Best:
+    """The k best scores that a task has seen for each query: what is below them, even rounded, is not passed on."""
+
+    def __init__(self, k: int, queries: int, digits: int):
+        self.k, self.near, self.held = k, 0.6 * 10.0**-digits, np.zeros((k, queries))
+
+    def of(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and queries of a block that may be among the best, with all that tie with the last when rounded."""
+        self.held = np.partition(np.concatenate([self.held, scores]), len(scores), axis=0)[len(scores) :]
+        return np.nonzero((scores >= self.held.min(axis=0) - 2 * self.near) & (scores > 0))
 
 
 def _best_blocks(sent, mean: float | None, k: int, key: str, query_key: str, digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: _Asked = sent.value
-        step = max(1, CELLS // max(1, len(asked.names)))
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                scores = asked.scores(batch.column(2), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64), mean)
-                n, near = min(k, batch.num_rows), 0.6 * 10.0**-digits
-                edge = np.partition(scores, batch.num_rows - n, axis=0)[batch.num_rows - n]
-                row, query = np.nonzero((scores >= edge - 2 * near) & (scores > 0))  # with all that tie with the last when rounded
-                yield pa.RecordBatch.from_arrays([asked.names.take(pa.array(query)), batch.column(0).take(pa.array(row)), pa.array(scores[row, query])], names=[query_key, key, "score"])
+        best_so_far = Best(k, len(asked.names), digits)
+        for batch in batches:
+            for first, scores in asked.blocks(batch.column(2), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64), mean):
+                row, query = best_so_far.of(scores)
+                yield pa.RecordBatch.from_arrays([asked.names.take(pa.array(query)), batch.column(0).take(pa.array(first + row)), pa.array(scores[row, query])], names=[query_key, key, "score"])
 
     return run
 

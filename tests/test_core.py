@@ -287,3 +287,20 @@ def test_route_knows_ascii_words_only(spark):
     q = F.lit("what does the note say about chest pain doñes")
     r = one(spark, routing.route(q, routing.entities(q, q, dt.date(2026, 10, 1)), F.lit(None).cast("string")).alias("r")).r
     assert (r.route, r.confidence) == ("VECTOR", 0.88)
+
+
+def test_score_blocks_are_bounded_by_products(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(lexical, "CELLS", 5000)
+    pairs = [(q, f"t{t}", 1.0) for q in range(40) for t in range(20)]
+    asked = lexical._Asked(pa.Table.from_pylist([{"qid": q, "term": t, "w": w} for q, t, w in pairs]), "qid")
+    found = pa.array([[{"term": f"t{t}", "tf": 1 + d % 3} for t in range(20)] for d in range(100)], pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())])))
+    got = list(asked.blocks(found, np.full(100, 20.0), 20.0))
+    assert max(len(s) for _, s in got) * 20 * 40 <= 5000 and sum(len(s) for _, s in got) == 100  # before: 100 documents, 80,000 products at once
+    for first, s in got:
+        for n, row in enumerate(s):
+            assert np.allclose(row, 20 * lexical.part(1 + (first + n) % 3, 20.0, 20.0))
+    nothing = pa.array([[], []], found.type)
+    assert [s.dtype for _, s in asked.blocks(nothing, np.zeros(2), 1.0)] == [np.float64]
