@@ -59,8 +59,8 @@ def retrieval_recall_mrr(spark, d):
     e = _vectors(spark, d)
     top = vectors.many_top_k(e, _queries(spark, d), 11, "vec_id").where("qid <> vec_id")
     top = measures.ranked(top.drop("rank"), ["qid"], [F.desc("score"), F.col("vec_id")]).where("rank <= 10")
-    same = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label").join(e.select("vec_id", "label"), "label").where("qid <> vec_id").select("qid", "vec_id")
-    return measures.retrieval(top, same, "qid", "vec_id")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label")
+    return measures.retrieval_by_label(top, e.select("vec_id", "label"), asked, "qid", "vec_id", "label")
 
 
 @query("ann_ivf_recall")

@@ -233,3 +233,15 @@ def test_cells_are_searched_in_blocks_without_rows_of_pairs(spark):
     assert {(r.qid, r.id, r["rank"]) for r in found.collect()} == exact and len(exact) == 150
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan
+
+
+def test_recall_by_label_counts_labels_and_makes_no_pairs(spark):
+    from sparkloom.operators import measures
+
+    rng = random.Random(9)
+    rows = spark.createDataFrame([(i, rng.choice([0, 1, 2, None])) for i in range(60)] + [(60, 9)], "id long, label long")
+    asked = rows.where("id % 10 = 0").select(F.col("id").alias("qid"), "label")
+    ranked = spark.createDataFrame([(q, i, n + 1) for q in range(0, 61, 10) for n, i in enumerate(rng.sample([x for x in range(61) if x != q], 10))], "qid long, id long, rank int")
+    pairs = asked.join(rows, "label").where("qid <> id").select("qid", "id")
+    by_label = measures.retrieval_by_label(ranked, rows, asked, "qid", "id", "label")
+    assert sorted(map(tuple, by_label.collect())) == sorted(map(tuple, measures.retrieval(ranked, pairs, "qid", "id").collect()))
