@@ -108,3 +108,10 @@ def test_candidates_are_few_and_names_found_again(spark):
     assert {(k, names[k]) for k, _ in typos} == got
     assert fuzzy.near_names(asked.limit(0), frame, "k").count() == fuzzy.near_names(asked, frame.limit(0), "k").count() == 0
     assert V.DRUGS
+
+
+def test_candidates_have_the_letters_in_common_that_the_cutoff_asks_for(spark):
+    # Other letters at both ends are an edit distance of two, as the cutoff allows, but leave eight of ten letters in common where nine are needed. All else that begins or ends so is frequent.
+    asked, others = ["kestrelano"], ["xestrelanu", "kenoko", "kekeno"]
+    got = fuzzy.candidates(spark.createDataFrame([(x,) for x in asked], "word string"), spark.createDataFrame([(x,) for x in others], "word string"), 0.85).collect()
+    assert got == []
