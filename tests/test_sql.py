@@ -54,3 +54,13 @@ def test_views_of_an_engine(spark):
         SELECT f.subject, v.version, count(DISTINCT t.term) AS shared, (SELECT count(*) FROM loom_records) AS alive FROM loom_facts f JOIN loom_versions v ON v.subject = f.subject,
           loom_tokens(TABLE(SELECT id, text FROM loom_passages)) t WHERE contains(lower(f.text), t.term) GROUP BY f.subject, v.version""").first()
     assert (row.subject, row.version, row.shared, row.alive) == ("P0001", 3, 1, 2)
+
+
+def test_tokens_of_a_batch_come_in_lots():
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(7000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array([text] * 9 + [None])], names=["id", "text"])
+    tables = list(sql.Tokens().eval(batch))
+    assert max(t.num_rows for t in tables) <= 20_000 and sum(t.num_rows for t in tables) == 63_000
+    assert pa.concat_tables(tables).slice(7000, 2).to_pylist() == [{"key": "1", "pos": 0, "term": "w0"}, {"key": "1", "pos": 1, "term": "w1"}]
