@@ -245,3 +245,9 @@ def test_recall_by_label_counts_labels_and_makes_no_pairs(spark):
     pairs = asked.join(rows, "label").where("qid <> id").select("qid", "id")
     by_label = measures.retrieval_by_label(ranked, rows, asked, "qid", "id", "label")
     assert sorted(map(tuple, by_label.collect())) == sorted(map(tuple, measures.retrieval(ranked, pairs, "qid", "id").collect()))
+
+
+def test_embedder_remembers_the_hashes_of_a_word_once():
+    known: dict = {}
+    embed.vector(["insulin", "dose", "insulin"], 64, known)
+    assert {w: (h.dtype.name, len(h)) for w, h in known.items()} == {"insulin": ("uint64", 8), "dose": ("uint64", 1)}
