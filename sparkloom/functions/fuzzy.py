@@ -92,8 +92,8 @@ def _rests(words: DataFrame, cutoff: float, kept: Callable[[np.ndarray], np.ndar
     return words.select("word").mapInArrow(run, "rest long, word string, n int, size int")
 
 
-def _among(rests: DataFrame, count: int) -> Callable[[np.ndarray], np.ndarray]:
-    """A test of hashes that is true for all of the rests and for few others. Its bitmap has 64 MB at most and is sent to the tasks."""
+def among(rests: DataFrame, count: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A test of hashes that is true for all of the rests (a column of hashes) and for few others. Its bitmap has 64 MB at most and is sent to the tasks."""
     bits = min(max(math.ceil(math.log2(max(count, 1) * _BITS_EACH)), 15), _BITS_MOST)
     slot = F.shiftrightunsigned("rest", 64 - bits) + 1
     pieces = rests.groupBy(F.bitmap_bucket_number(slot).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
@@ -112,7 +112,7 @@ def _among(rests: DataFrame, count: int) -> Callable[[np.ndarray], np.ndarray]:
 def _by_rests(words: DataFrame, others: DataFrame, cutoff: float) -> DataFrame:
     """(word, other): pairs with as many letters in common as the cutoff asks for, of words that can lose theirs in few ways."""
     asked = saved(_rests(words, cutoff), "rests")
-    known = _rests(others, cutoff, _among(asked, asked.count())).select("rest", F.col("word").alias("other"), F.col("n").alias("m"))
+    known = _rests(others, cutoff, among(asked, asked.count())).select("rest", F.col("word").alias("other"), F.col("n").alias("m"))
     n, m = F.col("n"), F.col("m")
     return asked.join(known, "rest").where(2 * F.col("size") == n + m - _apart(n, m, cutoff)).select("word", "other").distinct()
 

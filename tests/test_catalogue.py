@@ -8,6 +8,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,39 @@ def test_long_chain_of_overlapping_names(spark):
     assert Counter(r.canonical for r in got) == Counter(c for *_, c, _ in brute(texts, names))
 
 
+def test_texts_are_read_once_and_only_likely_names_leave_their_task(spark):
+    """Texts were read twice, and each of their words became two rows."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    words = " ".join(f"w{i}" for i in range(2000))
+    texts = spark.createDataFrame([(i, f"{words} red bolt no. {i} {words}") for i in range(20)], "key long, text string").mapInArrow(counted, "key long, text string")
+    names = [("parts", f"red bolt no. {i}", f"#{i}") for i in range(10)] + [("parts", "red bolt", "bolt")]
+    got = gazetteer.matches(texts, spark.createDataFrame(names, NAMES), "key")
+    assert sorted((r.key, r.canonical, r["at"], r.m) for r in got.collect()) == [(i, f"#{i}" if i < 10 else "bolt", 2000, 4 if i < 10 else 2) for i in range(20)]
+    assert read.value == 20
+
+
+def test_spots_of_lots_equal_those_of_single_texts(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(["a", "b", " ", "-", "\n", "é", "\U0001d54f", "_", "7", "😀"], k=rng.randrange(40))) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts)], names=["key", "text"])
+    spots = lambda: [tuple(r.values()) for b in gazetteer._spots([1, 2, 4], lambda h: h >= 0)([batch]) for r in b.to_pylist()]
+    want = set()
+    for key, x in enumerate(texts):
+        found = list(re.finditer(r"\w+", x))
+        ahead = int(bool(found) and found[0].start() > 0)
+        want |= {(key, i + ahead, m, x[found[i].start() : found[i + m - 1].end()]) for m in (1, 2, 4) for i in range(len(found) - m + 1)}
+    whole = spots()
+    assert len(whole) == len(want) and set(whole) == want
+    monkeypatch.setattr(gazetteer, "LOT", 50)
+    assert sorted(spots()) == sorted(whole)
+
+
 def test_catalogue_equals_the_small_lists(spark):
     names = [(kind, s, c) for kind, table in routing.LEXICON.items() for s, c in table.items()]
     rng = random.Random(1)
