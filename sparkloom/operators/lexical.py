@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.fixed_values import STOP_WORDS, SYNONYMS
+from ..functions.fuzzy import among
 from ..functions.text import raw_tokens, stem
 from ..sources.shared import saved
 
 K1, B = 1.2, 0.75
 
 
-def _spelled(spark) -> DataFrame:
-    """Words that don't stand for themselves: stop words for nothing, synonyms for their words. Two hundred rows at most."""
-    def stemmed(w: str) -> str:
-        if len(w) > 4 and w.endswith("ies"):
-            return w[:-3] + "y"
-        return w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w
+def _stemmed(w: str) -> str:
+    if len(w) > 4 and w.endswith("ies"):
+        return w[:-3] + "y"
+    return w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w
+
 
-    rows = {w: [] for w in STOP_WORDS} | {t: [stemmed(w) for w in words.split(" ") if w not in STOP_WORDS] for t, words in SYNONYMS.items()}
-    return spark.createDataFrame(list(rows.items()), "token string, terms array<string>")
+#: Words that don't stand for themselves: stop words for nothing, synonyms for their words. Two hundred at most.
+_SPELLED = {w: [] for w in STOP_WORDS} | {t: [_stemmed(w) for w in words.split(" ") if w not in STOP_WORDS] for t, words in SYNONYMS.items()}
+
+
+def _spelled(spark) -> DataFrame:
+    return spark.createDataFrame(list(_SPELLED.items()), "token string, terms array<string>")
 
 
 def token_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -41,6 +46,95 @@ def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return token_rows(docs, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+#: Bytes of texts that are counted together, unless one text has more.
+CUT = 1 << 23
+_KIND = np.array([1 if chr(i).isascii() and (chr(i).isdigit() or chr(i).islower()) else 2 if chr(i) in "./-" else 0 for i in range(256)], dtype=np.uint8)
+#: What stands for no term or for several, joined by spaces.
+_SEVERAL = frozenset(" ".join(terms) for terms in _SPELLED.values() if len(terms) != 1)
+
+
+def _cut(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The tokens of lower-case texts, and which text each is in: letters and digits, and a mark between two of them."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    begins, n = offsets[:-1] - offsets[0], int(offsets[-1] - offsets[0])
+    if not n:
+        return pa.array([], pa.large_string()), np.zeros(0, np.int64)
+    code = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    kind = _KIND[code]
+    new = np.zeros(n + 1, bool)
+    new[begins] = new[n] = True
+    letter = kind == 1
+    inside = (kind == 2) & ~new[:n] & ~new[1:]
+    inside[1:] &= letter[:-1]
+    inside[:-1] &= letter[1:]
+    inside |= letter
+    opens = inside & new[:n]
+    opens[1:] |= inside[1:] & ~inside[:-1]
+    starts = np.flatnonzero(opens)
+    data = code[inside]
+    places = np.append(np.cumsum(inside, dtype=np.int64)[starts] - 1, len(data))
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data)), np.searchsorted(begins, starts, "right") - 1
+
+
+def _terms(tokens: pa.LargeStringArray, text: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Different terms, and for each token's terms the number of the term and the text."""
+    coded = tokens.dictionary_encode()
+    spelled = [" ".join(_SPELLED[w]) if w in _SPELLED else _stemmed(w) for w in coded.dictionary.to_pylist()]
+    named = pa.array(spelled, pa.string()).dictionary_encode()
+    names = {x: i for i, x in enumerate(named.dictionary.to_pylist())}
+    term = named.indices.to_numpy()[coded.indices.to_numpy()]
+    several = _SEVERAL & names.keys()
+    plain = ~np.isin(term, [names[x] for x in several])
+    parts = [(term[plain], text[plain])]
+    for joined in several:
+        here = text[term == names[joined]]
+        parts += [(np.full(len(here), names.setdefault(t, len(names))), here) for t in joined.split()]
+    return list(names), np.concatenate([t for t, _ in parts]).astype(np.int64), np.concatenate([x for _, x in parts])
+
+
+def _counted(repeated: Callable[[np.ndarray], np.ndarray]) -> Callable:
+    """_key, term, df, tf: the counts of a lot of texts, added up; those of a text whose id ``repeated`` is true for stand alone, under its id."""
+
+    def counts(keys: pa.Array, alone: np.ndarray, texts: pa.LargeStringArray) -> Iterator[pa.RecordBatch]:
+        names, term, text = _terms(*_cut(texts))
+        pairs, tf = np.unique(text * len(names) + term, return_counts=True)
+        text, term = pairs // max(len(names), 1), pairs % max(len(names), 1)
+        own = alone[text]
+        known = keys.is_valid().to_numpy(zero_copy_only=False)[text]
+        df = np.bincount(term[~own & known], minlength=len(names))
+        sums = np.zeros(len(names), np.int64)
+        np.add.at(sums, term[~own], tf[~own])
+        names = pa.array(names, pa.string())
+        some, which = np.flatnonzero(sums), np.flatnonzero(own)
+        for key, t, d, n in ((pa.nulls(len(some), keys.type), some, df[some], sums[some]), (keys.take(pa.array(text[which])), term[which], np.ones(len(which), np.int64), tf[which])):
+            yield pa.RecordBatch.from_arrays([key, names.take(pa.array(t)), pa.array(d, pa.int64()), pa.array(n, pa.int64())], names=["_key", "term", "df", "tf"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alone = repeated(batch.column(1).to_numpy().view(np.uint64)) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            texts = batch.column(2).cast(pa.large_string())
+            ends = np.cumsum(pc.binary_length(texts).to_numpy())
+            begin = 0
+            while begin < len(ends):
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + CUT, "right")))
+                yield from counts(batch.column(0).slice(begin, end - begin), alone[begin:end], texts.slice(begin, end - begin))
+                begin = end
+
+    return run
+
+
+def term_frequencies(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(term, df, tf): in how many documents a term is, as ``tokens`` makes it, and how often. Terms are counted where texts are read, so a lot of texts gives a row for each of its
+    different terms, not for each of each document. Rows of one id are one document: only those of ids that are there more than once (or share a place of a bitmap with one) meet by id and term. A row without an id only adds to ``tf``."""
+    ids = docs.where(F.col(key).isNotNull()).groupBy(F.xxhash64(key).alias("rest")).agg(F.count(F.lit(1)).alias("n"))
+    twice = saved(ids.where("n > 1").select("rest"), "repeated_ids")
+    kept = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.xxhash64(key), F.lower(F.make_valid_utf8(F.col(text))))
+    schema = T.StructType([T.StructField("_key", docs.schema[key].dataType), T.StructField("term", T.StringType()), T.StructField("df", T.LongType()), T.StructField("tf", T.LongType())])
+    rows = kept.mapInArrow(_counted(among(twice, twice.count())), schema)
+    once = rows.groupBy("_key", "term").agg(F.when(F.col("_key").isNull(), F.sum("df")).otherwise(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return once.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+
+
 def asked_terms(queries: DataFrame, query_key: str) -> DataFrame:
     """(query_key, term, times) of queries with ``text``."""
     return term_counts(queries, query_key).withColumnRenamed("tf", "times")

@@ -5,15 +5,18 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
-from collections import OrderedDict
+import re
+from collections import Counter, OrderedDict
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import filters, routing, text
 from sparkloom.functions import fixed_values as V
 from sparkloom.operators import answers, chunking, fusion, kv, lexical, measures, records, vectors
-from sparkloom.plans.registry import QUERIES
+from sparkloom.plans.registry import ORACLES, QUERIES
 from sparkloom.sources import files
 from sparkloom.streaming import state
 
@@ -320,3 +323,38 @@ def test_feature_counts_are_those_of_each_row(spark, tmp_path):
 def test_route_reads_beyond_other_line_separators(spark):
     q = spark.createDataFrame([(f"is it {c} on",) for c in ("\u2028", "\u2029", "\u0085", "still")], "q string")
     assert [r[0] for r in q.select(routing.has(F.col("q"), V.LOOKUP)).collect()] == [True] * 4
+
+
+def test_doc_freq_of_repeated_and_missing_ids_equals_its_sql(spark, tmp_path):
+    """A row without an id was a document; a text's tokens each became a row."""
+    words = ["Labs", "lab", "htn", "a1c", "HbA1c", "hemoglobin", "type-2", "x..y", "a/b-c", "the", "ESS", "berries", "é", "3.5", "-", "ﬁ", "s", "bp."]
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(12)]) if i % 3 else 100 + i, rng.choice(["", ".", " "]) + " ".join(rng.choices(words, k=rng.randrange(9)))) for i in range(300)] + [(None, "nowhere"), (5, None), (None, None), (6, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in QUERIES["doc_freq"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.sql(ORACLES["doc_freq"]).fetchall())
+    assert ("nowhere", 0, 1) in got
+
+
+def test_texts_without_rows_or_tokens_have_no_terms(spark):
+    for rows in ([], [(1, "")], [(1, None), (2, "... -")]):
+        assert lexical.term_frequencies(spark.createDataFrame(rows, "id long, text string"), "id").count() == 0
+
+
+def test_terms_of_lots_of_texts_are_cut_as_by_the_pattern(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab7.-/ é_", k=rng.randrange(25))) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(range(400)), pa.array(texts)], names=["id", "hash", "text"])
+    found = [[t for t in re.findall(text.TOKEN, x) if t != "a"] for x in texts]  # a stop word
+    for most in (1 << 23, 100, 1):
+        monkeypatch.setattr(lexical, "CUT", most)
+        df, tf, rows = Counter(), Counter(), 0
+        for b in lexical._counted(lambda h: h < 0)([batch]):
+            for r in b.to_pylist():
+                df[r["term"]] += r["df"]
+                tf[r["term"]] += r["tf"]
+                rows += 1
+        assert tf == Counter(t for x in found for t in x) and df == Counter(t for x in found for t in set(x))
+        assert (most > 1000) == (rows == len(tf))  # one row for each term of a lot
