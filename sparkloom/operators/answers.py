@@ -54,14 +54,15 @@ def cited(sentence: Column) -> Column:
 
 
 def check_sentences(answers: DataFrame, evidence: DataFrame, query_key: str) -> DataFrame:
-    """One row per sentence of an answer: pos, sentence, status (supported, exempt, uncited, invalid_key, number). Evidence: query_key, key, text, title."""
+    """One row per sentence of an answer: pos, sentence, status (supported, exempt, uncited, invalid_key, number). Evidence: query_key, key and text, title or ``has``, the numbers in them."""
     sent = answers.select(query_key, F.posexplode(sentences(attach_markers(F.trim("answer")))).alias("pos", "sentence"))
     body = F.trim(F.regexp_replace("sentence", MARKER, ""))
     sent = (
         sent.withColumn("body", body).where(~F.col("body").rlike(r"^[\W_]*$"))
         .withColumn("keys", F.when(F.col("sentence").rlike(MARKER), cited(F.col("sentence"))).otherwise(F.array().cast("array<string>"))).withColumn("nums", numbers(F.col("body")))
     )
-    known = evidence.select(query_key, F.col("key"), F.array_union(numbers(F.col("text")), numbers(F.coalesce("title", F.lit("")))).alias("has"))
+    has = F.col("has") if "has" in evidence.columns else told_numbers(F.col("text"), F.col("title"))
+    known = evidence.select(query_key, F.col("key"), has.alias("has"))
     per = known.groupBy(query_key).agg(F.map_from_entries(F.collect_list(F.struct("key", "has"))).alias("known"))
     joined = sent.join(per, query_key, "left").withColumn("known", F.coalesce("known", F.create_map().cast("map<string,array<string>>")))
     bad = F.array_except("keys", F.map_keys("known"))
@@ -98,28 +99,45 @@ def abstain_text(reason: Column, conflicts: Column) -> Column:
     return F.concat_ws(" ", F.lit(V.ABSTAIN), F.concat(F.lit("Reason: "), reason, F.lit(".")), F.when(F.size(told) > 0, F.concat(F.lit("Conflicts: "), F.array_join(told, "; "), F.lit("."))))
 
 
-def candidates(questions: DataFrame, evidence: DataFrame, query_key: str) -> DataFrame:
-    """Scored sentences of the evidence. questions: query_key, question. evidence: query_key, key, origin, title, text, order (from 0)."""
-    q = questions.select(query_key, F.filter(F.array_distinct(tokens(F.col("question"))), lambda t: ~t.isin(*V.QUESTION_NOISE)).alias("_q"))
-    rows = evidence.join(q, query_key).withColumn("_title", F.array_distinct(tokens(F.coalesce("title", F.lit("")))))
+def told_numbers(text: Column, title: Column) -> Column:
+    return F.array_union(numbers(text), numbers(F.coalesce(title, F.lit(""))))
+
+
+def question_terms(questions: DataFrame, query_key: str) -> DataFrame:
+    """(query_key, _q): the different terms of a question that may choose a sentence. questions: query_key, question."""
+    return questions.select(query_key, F.filter(F.array_distinct(tokens(F.col("question"))), lambda t: ~t.isin(*V.QUESTION_NOISE)).alias("_q"))
+
+
+def scored_sentences(rows: DataFrame, most: int = 6, per_source: int = 2) -> DataFrame:
+    """rows: key, origin, title, text, order (from 0), ``_q`` as in ``question_terms``. ``best`` instead of text, title and ``_q``: of a source's different sentences that share a term the first
+    ``most + per_source`` by score, negative, so that they sort. No later one is ever told: of these ``most`` at most are told by others, so ``per_source`` are left, or the answer is full."""
+    rows = rows.withColumn("_title", F.array_distinct(tokens(F.coalesce("title", F.lit("")))))
     kind = F.lit(False)
     for name, terms in V.RECORD_KIND_TERMS.items():
         kind = kind | (F.array_contains("_title", name) & F.arrays_overlap("_q", F.array(*[F.lit(t) for t in terms.split()])))
     rows = rows.withColumn("_kind", (F.col("origin") == "kv") & kind)
-    s = rows.withColumn("sentence", F.explode(F.transform(sentences(F.col("text")), lambda x: F.btrim(x, F.lit(" -•"))))).withColumn("words", F.size(F.split("sentence", r"\s+"))).where("words >= 3")
-    shared = F.size(F.array_intersect("_q", F.array_union(tokens(F.col("sentence")), F.col("_title")))) / F.greatest(F.size("_q"), F.lit(1))
-    s = s.withColumn("_o", shared).where((F.col("_o") > 0) | F.col("_kind"))
-    score = F.when(F.col("_o") > 0, F.col("_o")).otherwise(0.5) + F.when(F.col("origin") == "kv", 0.25).otherwise(0.0) - 0.01 * F.col("order") - 0.001 * F.col("words")
-    return s.select(query_key, "key", "order", "sentence", F.round(score, 9).alias("score"))
+    trimmed = F.array_distinct(F.transform(sentences(F.col("text")), lambda x: F.btrim(x, F.lit(" -•"))))
+    # As one column of structs, since a filter would have each sentence's terms made twice.
+    size = lambda x: F.size(F.split(x, r"\s+"))
+    shared = lambda x: F.size(F.array_intersect("_q", F.array_union(tokens(x), F.col("_title")))) / F.greatest(F.size("_q"), F.lit(1))
+    rows = rows.withColumn("_all", F.transform(trimmed, lambda x: F.struct(x.alias("sentence"), size(x).alias("words"), shared(x).alias("o"))))
+    score = lambda x: F.when(x["o"] > 0, x["o"]).otherwise(0.5) + F.when(F.col("origin") == "kv", 0.25).otherwise(0.0) - 0.01 * F.col("order") - 0.001 * x["words"]
+    some = F.transform(F.filter("_all", lambda x: (x["words"] >= 3) & ((x["o"] > 0) | F.col("_kind"))), lambda x: F.struct((-F.round(score(x), 9)).alias("s"), x["sentence"].alias("sentence")))
+    return rows.withColumn("best", F.slice(F.array_sort(some), 1, most + per_source)).drop("_title", "_kind", "_all", "_q", "title", "text")
 
 
 def compose(questions: DataFrame, evidence: DataFrame, query_key: str, most: int = 6, per_source: int = 2) -> DataFrame:
-    """(query_key, answer). Best sentences first, two per source, none twice, six in all, told in source order.
+    """(query_key, answer) of questions (query_key, question) from evidence: query_key, key, origin, title, text, order."""
+    return composed(questions, scored_sentences(evidence.join(question_terms(questions, query_key), query_key), most, per_source), query_key, most, per_source)
+
+
+def composed(questions: DataFrame, scored: DataFrame, query_key: str, most: int = 6, per_source: int = 2) -> DataFrame:
+    """(query_key, answer) from ``scored_sentences``. Best sentences first, two per source, none twice, six in all, told in source order.
 
     The greedy choice depends on what was chosen before, so it folds over a query's candidates; evidence is capped
     at ten items a query, which bounds them."""
-    c = candidates(questions, evidence, query_key)
-    ranked = c.groupBy(query_key).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "order", "key", "sentence"))).alias("xs"))
+    c = scored.select(query_key, "key", "order", F.explode("best").alias("b")).select(query_key, "key", "order", "b.s", "b.sentence")
+    ranked = c.groupBy(query_key).agg(F.sort_array(F.collect_list(F.struct("s", "order", "key", "sentence"))).alias("xs"))
     none = F.filter("xs", lambda x: F.lit(False))
 
     def step(acc: Column, x: Column) -> Column:

@@ -27,25 +27,28 @@ def rrf(lists: list[DataFrame], key: str, query_key: str, k: int, by_raw: bool =
     return top
 
 
-def lexical_score(q: Column, body: Column, section: Column) -> Column:
-    """0.6 overlap + 0.25 density + 0.15 if a question word stands in the section title, of computed token columns."""
-    overlap = F.size(F.array_intersect(q, body)) / F.size(q)
-    density = F.size(F.filter(body, lambda t: F.array_contains(q, t))) / F.sqrt(F.size(body) + 1.0)
-    bonus = F.when(F.arrays_overlap(section, q), 0.15).otherwise(0.0)
-    return 0.6 * overlap + 0.25 * F.least(density, F.lit(1.0)) + bonus
+def lexical_score(asked: Column, shared: Column, hits: Column, size: Column, titled: Column) -> Column:
+    """0.6 overlap + 0.25 density + 0.15 if a question word stands in the section title: of the different question words and how many of them are there, how often, among how many words."""
+    bonus = F.when(titled, 0.15).otherwise(0.0)
+    return 0.6 * (shared / asked) + 0.25 * F.least(hits / F.sqrt(size + 1.0), F.lit(1.0)) + bonus
 
 
 def rerank(rows: DataFrame, key: str, query_key: str, k: int, alpha: float = 0.5) -> DataFrame:
-    """rows: query_key, key, question, section, text, score. Questions without words keep their order."""
+    """rows: query_key, key, score and question, section, text, or, counted before, ``asked``, ``shared``, ``hits``, ``size``, ``titled`` as in ``lexical_score``. Questions without words keep their order."""
+    split = rows
+    if "shared" not in rows.columns:
+        q, body, section = F.col("_q"), F.col("_body"), F.col("_section")
+        split = rows.withColumns({"_q": F.array_distinct(tokens(F.col("question"))), "_body": tokens(F.concat_ws(" ", "section", "text")), "_section": tokens(F.col("section"))})
+        split = split.withColumns({
+            "asked": F.size(q), "shared": F.size(F.array_intersect(q, body)), "hits": F.size(F.filter(body, lambda t: F.array_contains(q, t))), "size": F.size(body), "titled": F.arrays_overlap(section, q),
+        }).drop("_q", "_body", "_section")
+    lexical = lexical_score(*[F.col(c) for c in ("asked", "shared", "hits", "size", "titled")])
+    split = split.withColumn("_lexical", F.when(F.col("asked") > 0, lexical)).drop("asked", "shared", "hits", "size", "titled")  # before the windows: these need no texts
     best = F.max("score").over(Window.partitionBy(query_key))
-    split = rows.withColumns({
-        "_q": F.array_distinct(tokens(F.col("question"))), "_body": tokens(F.concat_ws(" ", "section", "text")), "_section": tokens(F.col("section")),
-        "_max": F.when(F.coalesce(best, F.lit(0.0)) == 0, 1.0).otherwise(best),
-    })
-    lexical = lexical_score(F.col("_q"), F.col("_body"), F.col("_section"))
-    scored = split.withColumn("rerank_score", F.when(F.size("_q") > 0, F.round(alpha * F.col("score") / F.col("_max") + (1 - alpha) * lexical, 6)))
+    split = split.withColumn("_max", F.when(F.coalesce(best, F.lit(0.0)) == 0, 1.0).otherwise(best))
+    scored = split.withColumn("rerank_score", F.when(F.col("_lexical").isNotNull(), F.round(alpha * F.col("score") / F.col("_max") + (1 - alpha) * F.col("_lexical"), 6)))
     w = Window.partitionBy(query_key).orderBy(F.desc_nulls_last("rerank_score"), F.desc(F.round("score", 9)), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_q", "_body", "_section", "_max")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_lexical", "_max")
 
 
 def keep_order(rows: DataFrame, query_key: str, k: int) -> DataFrame:

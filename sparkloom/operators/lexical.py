@@ -140,18 +140,92 @@ def asked_terms(queries: DataFrame, query_key: str) -> DataFrame:
     return term_counts(queries, query_key).withColumnRenamed("tf", "times")
 
 
-def postings(docs: DataFrame, terms: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each document: key, the columns to ``keep``, length, and ``found``, its (term, tf) among the ``terms`` that are asked for.
-
-    The texts are read once and the rows written, since statistics and scores read them again. All other tokens of a
-    document only count for its length, before the first exchange. A null text is empty."""
-    rows = token_rows(docs, key, text).join(terms.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left")
-    counted = rows.groupBy(key, F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count(F.lit(1)).alias("tf"))
-    found = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))
-    per = counted.groupBy(key).agg(F.sum("tf").alias("length"), found.alias("found"))
+#: Different asked terms that are sent to the tasks, so that only these are kept; with more, all terms are.
+SENT = 2_000_000
+
+
+def _posted(repeated: Callable[[np.ndarray], np.ndarray], sent, keep: int, beside: bool) -> Callable:
+    """Rows of key, hash of the key, texts (and titles), columns to keep: key, what is kept, length, found (and titled, size), and whether the key may stand in several rows."""
+
+    def of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        return _terms(*_cut(texts.fill_null("").cast(pa.large_string())))
+
+    def counts(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, term, text = of(batch.column(2))
+        length = np.bincount(text, minlength=batch.num_rows)
+        also, size = np.zeros(len(term), np.int64), length
+        if beside:
+            more, term2, text2 = of(batch.column(3))
+            at = {x: i for i, x in enumerate(names)}
+            code = np.array([at.setdefault(x, len(at)) for x in more], dtype=np.int64)
+            names, size = list(at), length + np.bincount(text2, minlength=batch.num_rows)
+            also = np.concatenate([also, np.ones(len(term2), np.int64)])
+            term, text = np.concatenate([term, code[term2]]), np.concatenate([text, text2])
+        terms = pa.array(names, pa.string())
+        order = pc.sort_indices(terms).to_numpy()  # postings of every document in one order, so copies have the same score to the last bit
+        terms, place = terms.take(pa.array(order)), np.empty(len(names), np.int64)
+        place[order] = np.arange(len(names))
+        term = place[term]
+        asked = np.ones(len(names), bool) if sent is None else pc.is_in(terms, value_set=sent.value).to_numpy(zero_copy_only=False)
+        kept = asked[term]
+        term, text, also = term[kept], text[kept], also[kept]
+        pairs, which = np.unique(text * max(len(names), 1) + term, return_inverse=True)
+        titled = np.bincount(which, also, len(pairs)).astype(np.int64)
+        tf = np.bincount(which, minlength=len(pairs)) - titled
+        ends = np.concatenate([[0], np.cumsum(np.bincount(pairs // max(len(names), 1), minlength=batch.num_rows))])
+        fields = [terms.take(pa.array(pairs % max(len(names), 1))), pa.array(tf, pa.int64())] + ([pa.array(titled, pa.int64())] if beside else [])
+        found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["term", "tf", "titled"][: len(fields)]))
+        alone = repeated(batch.column(1).to_numpy().view(np.uint64)) | batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        kept_columns = [batch.column(i) for i in range(3 + beside, 3 + beside + keep)]
+        sizes = [pa.array(size, pa.int64())] if beside else []
+        return pa.RecordBatch.from_arrays([batch.column(0), *kept_columns, pa.array(length, pa.int64()), found, *sizes, pa.array(alone)], names=[batch.schema.names[0], *batch.schema.names[3 + beside :], "length", "found", *["size"][: len(sizes)], "_again"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            begin = 0
+            while begin < len(ends):
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + CUT, "right")))
+                yield counts(batch.slice(begin, end - begin))
+                begin = end
+
+    return run
+
+
+def postings(docs: DataFrame, terms: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = (), beside: str | None = None) -> DataFrame:
+    """One row for each document: key, the columns to ``keep``, length, and ``found``, its (term, tf) among the ``terms`` that are asked for, in their order. With ``keep`` each row of ``docs`` is one, else each key.
+    ``beside`` names a column of titles: ``found`` then also has its terms, with how often they are there (titled), and ``size`` counts the tokens of both.
+
+    Terms are counted where the texts are read, so no row for each term of a document is ever shuffled, and the rows are written, since statistics and scores read them again. Rows of one key are one
+    document: only those of keys that are there more than once (or share a place of a bitmap with one) meet by key. A null text is empty."""
+    spark = docs.sparkSession
+    twice = saved(docs.where(F.col(key).isNotNull()).groupBy(F.xxhash64(key).alias("rest")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rest"), "repeated_ids")
+    n = twice.count()
+    asked = terms.select("term").where("term is not null").distinct().limit(SENT + 1).toArrow()["term"].combine_chunks().cast(pa.string())
+    sent = spark.sparkContext.broadcast(asked) if len(asked) <= SENT else None
+    clean = lambda c: F.lower(F.make_valid_utf8(F.col(c)))
+    rows = docs.select(key, F.xxhash64(key).alias("_hash"), clean(text).alias("_text"), *([clean(beside).alias("_beside")] if beside else []), *keep)
+    fields = [T.StructField("term", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("tf", "titled")[: 1 + (beside is not None)]]]
+    counted = [T.StructField("length", T.LongType()), T.StructField("found", T.ArrayType(T.StructType(fields))), *[T.StructField("size", T.LongType())][: beside is not None], T.StructField("_again", T.BooleanType())]
+    schema = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in (key, *keep)], *counted])
+    posted = saved(rows.mapInArrow(_posted(among(twice, n), sent, len(keep), beside is not None), schema), "postings")
+    single = posted.where("not _again").drop("_again")
+    if not keep:
+        single = single.where("length > 0")
+    if not n and docs.where(F.col(key).isNull()).isEmpty():
+        return single
+    again = posted.where("_again")
+    parts = again.select(key, F.inline("found")).groupBy(key, "term").agg(*[F.sum(c).alias(c) for c in ("tf", "titled")[: 1 + (beside is not None)]])
+    lists = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*parts.columns[1:]))).alias("found"))
+    sums = again.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("length", "size")[: 1 + (beside is not None)]])
+    same = lambda a, b: a[key].eqNullSafe(b[key])
+    none = F.array().cast(posted.schema["found"].dataType)
     if keep:
-        per = docs.select(key, *keep).join(per, key, "left").withColumns({"length": F.coalesce("length", F.lit(0)), "found": F.coalesce("found", F.array().cast(per.schema["found"].dataType))})
-    return saved(per, "postings")
+        whole = again.select(key, *keep).join(sums, key, "left").join(lists, key, "left")
+        whole = whole.withColumns({c: F.coalesce(c, F.lit(0)) for c in sums.columns[1:]} | {"found": F.coalesce("found", none)})
+    else:
+        whole = sums.join(lists, same(sums, lists), "left").select(sums[key], "length", F.coalesce("found", none).alias("found"), *(["size"] if beside else [])).where("length > 0")
+    return saved(single.unionByName(whole), "postings_whole")
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -169,7 +243,7 @@ def best(scored: DataFrame, key: str, query_key: str, k: int, digits: int = 9) -
 
 
 #: (query, term) pairs that are broadcast together; cells and products of one block of scores.
-LOT, CELLS = 200_000, 2_000_000
+LOT, CELLS = 500_000, 2_000_000
 
 
 class _Asked:

@@ -57,31 +57,44 @@ def records_for(asked: DataFrame, kv: DataFrame, most: int = MOST) -> DataFrame:
         asked.where("scope is not null").select("qid", "scope", pos("drugs")).select("qid", F.lit(5).alias("step"), F.col("pos").alias("a"), F.lit("0").alias("b"), F.concat(F.lit("patient:"), F.col("scope"), F.lit(":med:"), slug(F.col("col.x"))).alias("key")),
     ]
     named = reduce(DataFrame.unionByName, parts).join(kv.select("key"), "key", "left_semi")
-    # What belongs to the subject in scope: one join on the subject, ranked inside it.
-    scoped = asked.where("scope is not null").join(rows.where("subject is not null").withColumnRenamed("subject", "scope"), "scope")
+    # What belongs to the subject in scope. Places in a series are counted once for each subject; a question meets the kinds that it asks for, of a series no more rows than any question may
+    # name by place. Labs of a range are met by subject and lab.
     date = F.coalesce(F.element_at("data", "date"), F.lit(""))
-    name = F.lower(F.concat_ws(" ", F.element_at("data", "key"), F.element_at("data", "name")))
-    lab, types = F.element_at("data", "lab"), F.col("record_types")
+    lab, kind, types = F.element_at("data", "lab"), F.col("kind"), F.col("record_types")
+    newest = Window.partitionBy("scope", "kind", F.when(kind == "lab", lab)).orderBy(F.desc("date"), F.desc("key"))
+    newest_first = F.concat(F.lpad((F.lit(99999999) - F.coalesce(F.replace("date", F.lit("-"), F.lit("")).try_cast("int"), F.lit(0))).cast("string"), 8, "0"), F.col("key"))
+    held = rows.where("subject is not null").withColumnRenamed("subject", "scope").withColumn("date", date).withColumn("nth", F.row_number().over(newest))
+    about = asked.where("scope is not null")
     none = (F.size("labs") == 0) & (F.size("drugs") == 0) & (F.size("conditions") == 0) & (F.size("record_types") == 0)
-    newest = Window.partitionBy("qid", "kind", F.when(F.col("kind") == "lab", lab)).orderBy(F.desc("date"), F.desc("key"))
-    scoped = scoped.withColumn("date", date).withColumn("nth", F.row_number().over(newest))
-    inside = F.when(F.col("latest_only"), F.col("nth") == 1).when(F.col("start").isNotNull(), F.col("date").between(F.col("start"), F.col("stop"))).otherwise(F.col("nth") <= 3)
-    wanted_lab = (F.col("kind") == "lab") & F.array_contains("labs", lab) & inside
+    meets = {
+        "demographics": none | F.array_contains(types, "demographics"), "condition": none | (F.size("conditions") > 0) | F.array_contains(types, "conditions"), "allergy": none | F.array_contains(types, "allergies"),
+        "medication": none | F.array_contains(types, "medications"), "lab": (F.size("labs") > 0) | F.array_contains(types, "labs"), "encounter": F.array_contains(types, "encounters"),
+    }
+    kinds = F.explode(F.array_compact(F.array(*[F.when(test, F.lit(k)) for k, test in meets.items()]))).alias("kind")
+    scoped = about.select("*", kinds).join(held.where(~kind.isin("lab", "encounter") | (F.col("nth") <= 5)), ["scope", "kind"])
+    name = F.lower(F.concat_ws(" ", F.element_at("data", "key"), F.element_at("data", "name")))
+    ranged = ~F.coalesce("latest_only", F.lit(False)) & F.col("start").isNotNull()
+    wanted_lab = (kind == "lab") & F.array_contains("labs", lab) & ~ranged & (F.col("nth") <= F.when(F.col("latest_only"), 1).otherwise(3))
     section = (
-        (F.array_contains(types, "labs") & (F.col("kind") == "lab") & (F.col("nth") == 1)) | (F.array_contains(types, "encounters") & (F.col("kind") == "encounter") & (F.col("nth") <= 5))
-        | (F.array_contains(types, "medications") & (F.col("kind") == "medication")) | (F.array_contains(types, "conditions") & (F.col("kind") == "condition"))
-        | (F.array_contains(types, "allergies") & (F.col("kind") == "allergy")) | (F.array_contains(types, "demographics") & (F.col("kind") == "demographics"))
+        (F.array_contains(types, "labs") & (kind == "lab") & (F.col("nth") == 1)) | (F.array_contains(types, "encounters") & (kind == "encounter") & (F.col("nth") <= 5))
+        | (F.array_contains(types, "medications") & (kind == "medication")) | (F.array_contains(types, "conditions") & (kind == "condition"))
+        | (F.array_contains(types, "allergies") & (kind == "allergy")) | (F.array_contains(types, "demographics") & (kind == "demographics"))
     )
-    overview = none & (F.col("kind").isin("demographics", "condition", "allergy") | ((F.col("kind") == "medication") & (F.element_at("data", "status") == "active")))
-    order = F.array_position(F.array(*[F.lit(k) for k in ("demographics", "condition", "medication", "allergy", "lab", "encounter")]), F.col("kind")).cast("int")
+    overview = none & (kind.isin("demographics", "condition", "allergy") | ((kind == "medication") & (F.element_at("data", "status") == "active")))
+    order = F.array_position(F.array(*[F.lit(k) for k in ("demographics", "condition", "medication", "allergy", "lab", "encounter")]), kind).cast("int")
     step = lambda test, n, a, b: F.when(test, F.struct(F.lit(n).alias("step"), a.cast("int").alias("a"), b.alias("b")))
-    newest_first = F.concat(F.lpad((F.lit(99999999) - F.coalesce(F.replace("date", F.lit("-"), F.lit("")).try_cast("int"), F.lit(0))).cast("string"), 8, "0"), F.col("key"))
     steps = F.array_compact(F.array(
         step(wanted_lab, 4, F.array_position("labs", lab), newest_first),
-        step((F.col("kind") == "condition") & F.exists("conditions", lambda c: name.contains(c)), 6, F.lit(0), F.col("key")),
+        step((kind == "condition") & F.exists("conditions", lambda c: name.contains(c)), 6, F.lit(0), F.col("key")),
         step(section, 7, order, newest_first), step(overview, 8, order, F.col("key")),
     ))
     own = scoped.select("qid", "key", F.explode(steps).alias("s")).select("qid", F.col("s.step").alias("step"), F.col("s.a").alias("a"), F.col("s.b").alias("b"), "key")
+    spans = about.where(ranged).select("qid", "scope", "start", "stop", pos("labs")).select("qid", "scope", "start", "stop", (F.col("pos") + 1).alias("a"), F.col("col.x").alias("lab"))
+    series = held.where(kind == "lab").select("scope", lab.alias("lab"), "date", newest_first.alias("b"), "key")
+    within = spans.join(series, ["scope", "lab"]).where(F.col("date").between(F.col("start"), F.col("stop")))
+    # Behind the first ``most`` of a lab none is among the first of a question.
+    within = within.withColumn("n", F.row_number().over(Window.partitionBy("qid", "a").orderBy("b"))).where(F.col("n") <= most)
+    own = own.unionByName(within.select("qid", F.lit(4).alias("step"), "a", "b", "key"))
     first = named.unionByName(own).groupBy("qid", "key").agg(F.min(F.struct("step", "a", "b")).alias("at"))
     seq = F.row_number().over(Window.partitionBy("qid").orderBy("at", "key"))
     return first.select("qid", "key", seq.alias("seq")).where(F.col("seq") <= most)

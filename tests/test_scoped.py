@@ -161,3 +161,62 @@ def test_words_are_scored_in_blocks_and_lots(spark, monkeypatch):
     assert {(r.qid, r.namespace, r.id, round(r.score, 9), r.rank) for r in found.collect()} == one and one
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan  # no row for each term that a passage shares with a job
+
+
+def test_a_task_passes_on_the_best_of_all_its_blocks(spark, monkeypatch):
+    from sparkloom.operators import lexical
+
+    _, _, passages, questions = make(spark, 400, 20, seed=4)
+    monkeypatch.setattr(lexical, "CELLS", 100)
+    monkeypatch.setattr(scoped, "_ranked", lambda found, *_: found)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+        passed = scoped.words(passages.coalesce(1), scoped.jobs_of(questions), 2).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert passed and max(Counter((r.qid, r.namespace) for r in passed).values()) <= 4  # the two best, and rows that tie with them
+
+
+def test_texts_of_passages_do_not_travel_with_questions(spark, monkeypatch):
+    from sparkloom.operators import fusion
+    from sparkloom.sources import shared
+
+    passages = spark.createDataFrame([(f"g{i}", "guidelines", f"asthma {i}" if i % 3 == 0 else None, f"Asthma should be treated step by step. Step {i} is inhaled therapy. " + "More is not said of asthma here. " * (i % 4)) for i in range(12)], "id string, namespace string, title string, text string")
+    records = spark.createDataFrame([("patient:P0001", '{"name": "A"}')], "key string, value string")
+    written = {}
+
+    def kept(df, name):
+        out = shared.saved(df, name)
+        written[name] = sum(len(r.text or "") for r in out.select("text").collect()) if "text" in out.columns else 0
+        return out
+
+    monkeypatch.setattr(scoped, "saved", kept)
+    monkeypatch.setattr(lifecycle, "saved", kept)
+    run = lifecycle.run(spark.createDataFrame([(q, "How should asthma be treated?" + " Step by step" * q, None) for q in range(3)], "qid long, query string, scope string"), None, passages, records=records, min_score=0.0001)
+    assert {r.status for r in run.final.collect()} == {"answered"} and all(r.text for r in run.evidence.collect())
+    assert {"merged", "evidence"} <= written.keys() and not any(written[x] for x in ("merged", "evidence"))
+    # What is counted where words are scored ranks as the texts do.
+    _, _, rows, questions = make(spark, 200, 30, seed=5)
+    rows = rows.drop("embedding").withColumn("title", F.when(F.col("id") % 4 == 0, "rash, cough").when(F.col("id") % 4 == 1, "the fever"))
+    rows = rows.withColumn("text", F.when(F.col("id") % 9 > 0, F.concat_ws(" ", "text", "title", F.repeat(F.lit("word "), (F.col("id") % 7).cast("int")))))
+    one, other = ({tuple(r) for r in scoped.retrieve(questions.drop("embedding"), rows, 5, filters=FILTERS, rerank=f)[0].collect()} for f in (fusion.rerank, lambda *a: fusion.rerank(*a)))
+    assert one == other and len(one) > 50
+
+
+def test_postings_of_repeated_missing_and_empty_documents(spark):
+    from sparkloom.operators import lexical
+
+    texts = [("a", "fever and coughs, HTN"), ("b", "Fever fever-3 x"), ("a", "cough dose"), ("c", None), ("d", ""), (None, "fever"), (None, "rash fever"), ("e", "the of"), ("f", "été fever 12.5")]
+    docs = spark.createDataFrame([(k, n, t, "HTN fever" if n % 2 else None) for n, (k, t) in enumerate(texts)], "id string, n int, text string, title string")
+    terms = spark.createDataFrame([(t,) for t in ("fever", "cough", "hypertension", "rash", "12.5")], "term string")
+    asked = {r.term for r in terms.collect()}
+    counted = defaultdict(Counter)
+    for r in lexical.token_rows(docs.select("id", "text"), "id").collect():
+        counted[r.id][r.term] += 1
+    exp = {k: (sum(c.values()), {t: n for t, n in c.items() if t in asked}) for k, c in counted.items()}
+    got = {r.id: (r.length, {t: n for t, n in r.found}) for r in lexical.postings(docs, terms, "id").collect()}
+    assert got == exp and None in got
+    rows = {r.n: r for r in lexical.postings(docs, terms, "id", keep=("n",), beside="title").collect()}
+    assert {n: (r.length, {x.term: x.tf for x in r.found if x.tf}) for n, r in rows.items()} == {n: exp.get(k, (0, {})) if k else (0, {}) for n, (k, _) in enumerate(texts)}
+    assert {x.term: (x.tf, x.titled) for x in rows[1].found} == {"fever": (1, 1), "hypertension": (0, 1)} and rows[1].size == rows[1].length + 2 and rows[3].size == 2
