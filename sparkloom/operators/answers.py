@@ -108,27 +108,31 @@ def question_terms(questions: DataFrame, query_key: str) -> DataFrame:
     return questions.select(query_key, F.filter(F.array_distinct(tokens(F.col("question"))), lambda t: ~t.isin(*V.QUESTION_NOISE)).alias("_q"))
 
 
+def source_sentences(rows: DataFrame) -> DataFrame:
+    """rows: title, text. In their place ``_title``, its terms, and ``_said``, the different sentences with their number of words and, with those of the title, their terms."""
+    rows = rows.withColumn("_title", F.array_distinct(tokens(F.coalesce("title", F.lit("")))))
+    trimmed = F.array_distinct(F.transform(sentences(F.col("text")), lambda x: F.btrim(x, F.lit(" -•"))))
+    said = F.transform(trimmed, lambda x: F.struct(x.alias("sentence"), F.size(F.split(x, r"\s+")).alias("words"), F.array_union(tokens(x), F.col("_title")).alias("terms")))
+    return rows.withColumn("_said", F.filter(said, lambda x: x["words"] >= 3)).drop("title", "text")
+
+
 def scored_sentences(rows: DataFrame, most: int = 6, per_source: int = 2) -> DataFrame:
-    """rows: key, origin, title, text, order (from 0), ``_q`` as in ``question_terms``. ``best`` instead of text, title and ``_q``: of a source's different sentences that share a term the first
+    """rows: key, origin, order (from 0), ``_q`` as in ``question_terms``, what ``source_sentences`` adds. ``best`` instead: of a source's different sentences that share a term the first
     ``most + per_source`` by score, negative, so that they sort. No later one is ever told: of these ``most`` at most are told by others, so ``per_source`` are left, or the answer is full."""
-    rows = rows.withColumn("_title", F.array_distinct(tokens(F.coalesce("title", F.lit("")))))
     kind = F.lit(False)
     for name, terms in V.RECORD_KIND_TERMS.items():
         kind = kind | (F.array_contains("_title", name) & F.arrays_overlap("_q", F.array(*[F.lit(t) for t in terms.split()])))
     rows = rows.withColumn("_kind", (F.col("origin") == "kv") & kind)
-    trimmed = F.array_distinct(F.transform(sentences(F.col("text")), lambda x: F.btrim(x, F.lit(" -•"))))
-    # As one column of structs, since a filter would have each sentence's terms made twice.
-    size = lambda x: F.size(F.split(x, r"\s+"))
-    shared = lambda x: F.size(F.array_intersect("_q", F.array_union(tokens(x), F.col("_title")))) / F.greatest(F.size("_q"), F.lit(1))
-    rows = rows.withColumn("_all", F.transform(trimmed, lambda x: F.struct(x.alias("sentence"), size(x).alias("words"), shared(x).alias("o"))))
+    shared = lambda x: F.size(F.array_intersect("_q", x["terms"])) / F.greatest(F.size("_q"), F.lit(1))
+    met = F.transform("_said", lambda x: F.struct(x["sentence"].alias("sentence"), x["words"].alias("words"), shared(x).alias("o")))
     score = lambda x: F.when(x["o"] > 0, x["o"]).otherwise(0.5) + F.when(F.col("origin") == "kv", 0.25).otherwise(0.0) - 0.01 * F.col("order") - 0.001 * x["words"]
-    some = F.transform(F.filter("_all", lambda x: (x["words"] >= 3) & ((x["o"] > 0) | F.col("_kind"))), lambda x: F.struct((-F.round(score(x), 9)).alias("s"), x["sentence"].alias("sentence")))
-    return rows.withColumn("best", F.slice(F.array_sort(some), 1, most + per_source)).drop("_title", "_kind", "_all", "_q", "title", "text")
+    some = F.transform(F.filter(met, lambda x: (x["o"] > 0) | F.col("_kind")), lambda x: F.struct((-F.round(score(x), 9)).alias("s"), x["sentence"].alias("sentence")))
+    return rows.withColumn("best", F.slice(F.array_sort(some), 1, most + per_source)).drop("_title", "_kind", "_said", "_q")
 
 
 def compose(questions: DataFrame, evidence: DataFrame, query_key: str, most: int = 6, per_source: int = 2) -> DataFrame:
     """(query_key, answer) of questions (query_key, question) from evidence: query_key, key, origin, title, text, order."""
-    return composed(questions, scored_sentences(evidence.join(question_terms(questions, query_key), query_key), most, per_source), query_key, most, per_source)
+    return composed(questions, scored_sentences(source_sentences(evidence.join(question_terms(questions, query_key), query_key)), most, per_source), query_key, most, per_source)
 
 
 def composed(questions: DataFrame, scored: DataFrame, query_key: str, most: int = 6, per_source: int = 2) -> DataFrame:

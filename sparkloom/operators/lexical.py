@@ -243,7 +243,7 @@ def best(scored: DataFrame, key: str, query_key: str, k: int, digits: int = 9) -
 
 
 #: (query, term) pairs that are broadcast together; cells and products of one block of scores.
-LOT, CELLS = 500_000, 2_000_000
+LOT, CELLS = 250_000, 1_000_000
 
 
 class _Asked:

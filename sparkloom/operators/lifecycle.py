@@ -21,6 +21,10 @@ from ..sources.shared import saved
 from . import answers, gazetteer, lexical, lookup, scoped
 
 
+#: Questions that meet a passage's sentences together. What is kept of a source's sentences.
+GROUP, SCORED = 64, ("qid", "key", "order", "best", "has")
+
+
 def facts_for(asked: DataFrame, facts: DataFrame, k: int) -> DataFrame:
     """asked: qid, subject, q. The k facts of a question's subject that hold most of its terms, with ``nth``; facts without any come last,
     by id. One equi-join on subject and term, so a subject with many facts meets only the questions about it."""
@@ -122,8 +126,14 @@ def run(
     reason = answers.sufficiency(F.col("route"), zero("records"), zero("strong"), zero("chunks"), F.col("dosage"), F.size("drugs"), zero("med_records"), zero("labels"), extra["conflicts"], extra["unknown"])
     judged = saved(judged.select("qid", "q", reason.alias("reason")), "judged")
     able = judged.where("reason = 'ok'").select("qid", F.col("q").alias("question"))
-    asked_for = with_texts(evidence.join(answers.question_terms(able, "qid"), "qid"), passages).withColumn("has", answers.told_numbers(F.col("text"), F.col("title")))
-    scored = saved(answers.scored_sentences(asked_for).select("qid", "key", "order", "best", "has"), "scored")
+    wanted = evidence.join(answers.question_terms(able, "qid"), "qid")
+    stated = answers.scored_sentences(_sources(wanted.where("origin = 'kv'")))
+    # The questions that ask for a passage meet it in groups, so its sentences are cut once for a group.
+    pair = ("qid", "key", "origin", "order", "_q")
+    group = F.floor((F.row_number().over(Window.partitionBy("id").orderBy("qid", "key")) - 1) / GROUP)
+    pairs = wanted.where("origin <> 'kv'").select("id", *pair).withColumn("group", group).groupBy("id", "group").agg(F.collect_list(F.struct(*pair)).alias("pairs"))
+    met = _sources(pairs.join(passages.select("id", "title", "text"), "id")).select("_title", "_said", "has", F.explode("pairs").alias("p")).select("p.*", "_title", "_said", "has")
+    scored = saved(stated.select(*SCORED).unionByName(answers.scored_sentences(met).select(*SCORED)), "scored")
     told = saved(answers.composed(able, scored, "qid"), "told")
     has = scored.groupBy("qid", "key").agg(F.array_distinct(F.flatten(F.collect_list("has"))).alias("has"))
     checked = answers.check_answers(told.where(F.col("answer") != V.INSUFFICIENT), has, "qid")
@@ -135,6 +145,10 @@ def run(
     return Run(q, report, with_texts(evidence, passages), told_all)
 
 
+def _sources(rows: DataFrame) -> DataFrame:
+    return answers.source_sentences(rows.withColumn("has", answers.told_numbers(F.col("text"), F.col("title"))))
+
+
 def with_texts(evidence: DataFrame, passages: DataFrame) -> DataFrame:
     """Evidence with title and text of its passages; records have theirs."""
     chunks = evidence.where("origin <> 'kv'").drop("title", "text").join(passages.select("id", "title", "text"), "id")
