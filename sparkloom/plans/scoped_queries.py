@@ -148,7 +148,13 @@ def clinic_questions(spark, d):
 @query("lifecycle_batch")
 def lifecycle_batch(spark, d):
     """A batch of questions through safety, routing, scope, records by what is named, passages under each question's filter, sufficiency, answer and citation check."""
-    return lifecycle.run_batch(clinic_questions(spark, d), None, clinic_passages(spark, d), records=clinic_records(spark, d))
+    told = lifecycle.run_batch(told_apart(_questions(spark, d)), None, clinic_passages(spark, d), records=clinic_records(spark, d))
+    return told.withColumn("qid", F.shiftright("qid", 32) * 8 + F.col("qid").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def told_apart(questions):
+    """Questions by conversation and turn. As ``clinic_questions`` numbers them, the ninth turn of a conversation has the number of the next one's first, and stages that join by number would mix them."""
+    return questions.select((F.shiftleft(F.col("conv_id").cast("long"), 32) + F.col("turn")).alias("qid"), "query", "scope")
 
 
 @query(

@@ -220,3 +220,11 @@ def test_postings_of_repeated_missing_and_empty_documents(spark):
     rows = {r.n: r for r in lexical.postings(docs, terms, "id", keep=("n",), beside="title").collect()}
     assert {n: (r.length, {x.term: x.tf for x in r.found if x.tf}) for n, r in rows.items()} == {n: exp.get(k, (0, {})) if k else (0, {}) for n, (k, _) in enumerate(texts)}
     assert {x.term: (x.tf, x.titled) for x in rows[1].found} == {"fever": (1, 1), "hypertension": (0, 1)} and rows[1].size == rows[1].length + 2 and rows[3].size == 2
+
+
+def test_long_conversations_keep_their_questions_apart(spark):
+    from sparkloom.plans import scoped_queries
+
+    rows = spark.createDataFrame([(0, 8, "a", None), (1, 0, "b", None), (0, 398, "c", None)], "conv_id long, turn long, query string, scope string")
+    keys = [r.qid for r in scoped_queries.told_apart(rows).collect()]
+    assert len(set(keys)) == 3 and [(k >> 32, k & 0xFFFFFFFF) for k in keys] == [(0, 8), (1, 0), (0, 398)]
